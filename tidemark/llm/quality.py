@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import join_small, stored
-from .words import Powers, Words, chunks, gram_hashes, utf8
+from .words import Powers, Words, chunks, gram_hashes, slices, utf8
 
 N_BUCKETS = 1 << 15
 SCORE_BINS = 2000
@@ -39,7 +39,7 @@ def _grams(w: Words, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
 
 def _count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     powers, counts = Powers(), np.zeros((2, N_BUCKETS), dtype=np.int64)
-    for batch in batches:
+    for batch in slices(batches):
         trusted = np.array(batch.column("trusted").to_pylist(), dtype=bool)
         texts = utf8(batch.column("text"))
         for first, part in chunks(texts):
@@ -100,7 +100,7 @@ def base_features(text: bytes) -> tuple[int, int, int, int, int]:
 def _features(ratios: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
-        for batch in batches:
+        for batch in slices(batches):
             texts = utf8(batch.column("text"))
             total, n = np.zeros(len(texts)), np.zeros(len(texts))
             for first, part in chunks(texts):

@@ -6,13 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, tokens
+from . import jaccard, mixing, pii, quality, substrings, tokens, toxicity, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(_table(spark, sf_dir, "documents"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.substring_digests(_table(spark, sf_dir, "documents"))
+
+
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.bpe_digests(_table(spark, sf_dir, "documents"), tokens.tokenizer_path(spark))
 
@@ -21,13 +41,25 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(_table(spark, sf_dir, "documents"), tokens.tokenizer_path(spark))
 
 
+def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
+    "op2_pii": op2_pii,
+    "op3_toxicity": op3_toxicity,
+    "op5_substrings": op5_substrings,
+    "op6_jaccard": op6_jaccard,
     "op7_bpe": op7_bpe,
     "op8_token_counts": op8_token_counts,
+    "op9_vectors": op9_vectors,
     "op10_quality": op10_quality,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_mixing": mixing.SQL,
+}

@@ -23,11 +23,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import stored
-from .words import utf8
+from .words import slices, utf8
 
 #: Words that are joined by broadcast; some 16 bytes each.
-FREQUENT_WORDS = 600_000
-MEMO_ENTRIES = 500_000
+FREQUENT_WORDS = 300_000
+MEMO_ENTRIES = 150_000
 #: The pre-token pattern of byte-level BPE files of this family.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 HOLE = 0xFFFF_FFFF
@@ -140,7 +140,7 @@ def _count_words(special: list[str]):
             spans.clear()
             return pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.string()), pa.array(total.values(), pa.int64())], names=["word", "n"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for text in _texts(batch):
                 for section, is_special in split.sections(text):
                     if not is_special:
@@ -161,7 +161,7 @@ def distinct_words(docs: DataFrame, bpe: Bpe) -> DataFrame:
 def _encode_words(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = Bpe(path)
-        for batch in batches:
+        for batch in slices(batches):
             ids = [np.array(bpe.encode_word(w), dtype="<u4").tobytes() for w in utf8(batch.column("word"))]
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(ids, pa.binary())], names=["word", "n", "ids"])
 
@@ -231,7 +231,7 @@ def _known(table) -> dict[str, bytes]:
 def _holes(known, special):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         join = PositionJoin(_known(known.value), special)
-        for batch in batches:
+        for batch in slices(batches):
             keys, at, words = [], [], []
             for key, text in zip(batch.column("key").to_pylist(), _texts(batch)):
                 found = join.ids(text)[1]
@@ -246,7 +246,7 @@ def _holes(known, special):
 def _with_holes(known, special):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         join = PositionJoin(_known(known.value), special)
-        for batch in batches:
+        for batch in slices(batches):
             ids = [join.ids(x)[0] for x in _texts(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(ids, pa.binary())], names=["doc_id", "key", "ids"])
 
@@ -268,7 +268,7 @@ def _filled(ids: bytes, found: list[dict] | None) -> bytes:
 
 
 def _fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         ids = [_filled(a, b) for a, b in zip(batch.column("ids").to_pylist(), batch.column("found").to_pylist())]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
@@ -289,7 +289,7 @@ def bpe_encode(docs: DataFrame, path: str, most: int = FREQUENT_WORDS) -> DataFr
 def _decode(pieces):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = pieces.value
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column("ids").to_pylist()
             texts = [b"".join(map(piece.__getitem__, np.frombuffer(x or b"", dtype="<u4").tolist())).decode("utf-8", "replace") for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
@@ -388,7 +388,7 @@ class WordCounts(dict):
 def _piece_counts(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = WordCounts(LongestMatch(word_pieces(path)))
-        for batch in batches:
+        for batch in slices(batches):
             words = [x.split() for x in utf8(batch.column("text"))]
             n = [sum(map(counts.__getitem__, x)) for x in words]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(map(len, words)), pa.int64()), pa.array(n, pa.int64())], names=["doc_id", "n_words", "n_pieces"])
