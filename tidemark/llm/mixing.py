@@ -125,7 +125,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     copies = F.transform(F.sequence(F.lit(1), F.col("_full").cast("int")), lambda _: F.col("_n"))
     copies = F.concat(F.when(F.col("_full") > 0, copies).otherwise(F.array().cast("array<bigint>")), F.when(F.col("_prefix") > 0, F.array("_prefix")).otherwise(F.array().cast("array<bigint>")))
     df = joined.withColumn("_take", F.explode(copies))
-    cut = F.regexp_extract(F.col("text"), F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), F.col("_take").cast("string"), F.lit("}+")), 0)
+    cut = F.call_function("regexp_extract", F.col("text"), F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), F.col("_take").cast("string"), F.lit("}+")), F.lit(0))
     new = F.when(F.col("_take") < F.col("_n"), cut).otherwise(F.col("text"))
     df = df.withColumn("_text", new)
     return df.select(*(F.col("_text").alias(c) if c == "text" else F.length("_text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))

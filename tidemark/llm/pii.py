@@ -263,14 +263,15 @@ def redact(docs: DataFrame) -> DataFrame:
     found = candidates(df)
     df = Detector(cell_counts(found)).add(found)
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
+    most = lambda a, b: F.greatest(a, b)
     ends = F.transform("spans", lambda s: s["end"])
 
     def piece(s: Column, i: Column) -> Column:
-        done = _running(F.col("_ends"), F.col("_blocks"), i, F.lit(0), F.greatest)
+        done = _running(F.col("_ends"), F.col("_blocks"), i, F.lit(0), most)
         return F.when(s["start"] >= done, F.concat(F.substring(F.col("text"), done + 1, s["start"] - done), F.get(names, s["kind"]))).otherwise("")
 
     df = df.withColumn("_ends", ends)
-    df = df.withColumn("_blocks", F.when(F.size("spans") > 0, _block_values(F.col("_ends"), F.lit(0), F.greatest)))
+    df = df.withColumn("_blocks", F.when(F.size("spans") > 0, _block_values(F.col("_ends"), F.lit(0), most)))
     rest = F.substring(F.col("text"), F.array_max("_ends") + 1, F.length("text"))
     new = F.when(F.size("spans") > 0, F.concat(F.array_join(F.transform("spans", piece), ""), rest)).otherwise(F.col("text"))
     df = df.withColumn("_new_text", new)

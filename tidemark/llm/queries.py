@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, mixing, pii, quality, substrings, tokens, toxicity, vectors
+from . import jaccard, language, mixing, pii, quality, substrings, tokens, toxicity, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"))
+
+
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.substring_digests(_table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_pii": op2_pii,
     "op3_toxicity": op3_toxicity,
+    "op4_language": op4_language,
     "op5_substrings": op5_substrings,
     "op6_jaccard": op6_jaccard,
     "op7_bpe": op7_bpe,
