@@ -6,7 +6,8 @@ the words of consecutive windows with one anchor. Equal windows have equal ancho
 anchor is found once are done with. The others, each distinct passage once with its count, are dealt by anchor into shards of bounded size;
 each shard's suffix automaton (over word numbers, with occurrence counts) is built in one task, and the shard's passages are streamed
 through it: a window is repeated if it matches with at least ``WINDOW`` words at a state of two or more occurrences. An anchor with more
-than ``ANCHOR_PASSAGES`` distinct passages is dealt on by whole windows, which is as exact.
+distinct passages than a shard takes is dealt on by context: a window has at least ``_SIDE`` words before its anchor or as many after it, and equal
+windows agree in them, so each passage falls into two parts at most. A part that is still too frequent is dealt as single windows.
 
 ``reference_spans`` is the operator against a given reference: its shards' automata are broadcast, one bounded shard at a time.
 
@@ -16,6 +17,7 @@ takes part; an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,21 +32,21 @@ WINDOW = 35
 ANCHOR = 8
 #: Passages in a shard; each has at most 62 words.
 SHARD_PASSAGES = 1000
-ANCHOR_PASSAGES = 256
 _SPAN = WINDOW - ANCHOR + 1
+_SIDE = _SPAN // 2
 
 
-def anchors(w: Words, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, content digest, first word and number of windows of each passage of the texts."""
+def anchors(w: Words, powers: Powers) -> tuple[np.ndarray, ...]:
+    """Anchor hash, content digest, first word, number of windows and the anchor's place of each passage of the texts."""
     none = np.zeros(0, dtype=np.int64)
     if len(w) < WINDOW:
-        return none.astype(np.uint64), none.astype(np.uint64), none, none
+        return none.astype(np.uint64), none.astype(np.uint64), none, none, none
     h = w.hashes(powers)
     grams = gram_hashes(h, ANCHOR)
     at = np.arange(len(w) - WINDOW + 1) + np.lib.stride_tricks.sliding_window_view(grams, _SPAN).argmin(axis=1)
     start = np.flatnonzero(w.doc[WINDOW - 1 :] == w.doc[: len(w) - WINDOW + 1])
     if not len(start):
-        return none.astype(np.uint64), none.astype(np.uint64), none, none
+        return none.astype(np.uint64), none.astype(np.uint64), none, none, none
     chosen, doc = at[start], w.doc[start]
     new = np.flatnonzero(np.concatenate([[True], (chosen[1:] != chosen[:-1]) | (doc[1:] != doc[:-1])]))
     n = np.diff(np.concatenate([new, [len(start)]]))
@@ -52,7 +54,7 @@ def anchors(w: Words, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarra
     up, down = powers.to(len(w) + 1)
     sums = np.concatenate([[np.uint64(0)], np.cumsum(h * up[: len(h)])])
     digest = (sums[first + n + WINDOW - 1] - sums[first]) * down[first]
-    return anchor, mixed(digest ^ mixed(n.astype(np.uint64), 7), 8), first, n
+    return anchor, mixed(digest ^ mixed(n.astype(np.uint64), 7), 8), first, n, chosen[new] - first
 
 
 def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,10 +63,10 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = np.array(batch.column("key").to_pylist(), dtype=np.int64)
         for first, part in chunks(utf8(batch.column("text"))):
             w = Words(part)
-            anchor, digest, start, n = anchors(w, powers)
+            anchor, digest, start, n, place = anchors(w, powers)
             doc = w.doc[start]
-            columns = [anchor.view(np.int64), digest.view(np.int64), keys[first + doc], (start - w.first[doc]).astype(np.int32), n.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["anchor", "digest", "key", "start", "n"])
+            columns = [anchor.view(np.int64), digest.view(np.int64), keys[first + doc], (start - w.first[doc]).astype(np.int32), n.astype(np.int32), place.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["anchor", "digest", "key", "start", "n", "place"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,9 +76,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, wanted in zip(utf8(batch.column("text")), batch.column("wanted").to_pylist()):
             words = text.split()
             for x in wanted:
-                out.append((x["anchor"], x["digest"], x["count"], x["many"], b" ".join(words[x["start"] : x["start"] + x["n"] + WINDOW - 1])))
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 5, types)], names=["anchor", "digest", "count", "many", "words"])
+                out.append((x["anchor"], x["digest"], x["count"], x["many"], x["place"], b" ".join(words[x["start"] : x["start"] + x["n"] + WINDOW - 1])))
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 6, types)], names=["anchor", "digest", "count", "many", "place", "words"])
 
 
 class SuffixAutomaton:
@@ -178,13 +180,30 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield results(rows)
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each passage as the windows with ``_SIDE`` words before the anchor and the others, dealt by those words or the ones after it."""
+    for batch in slices(batches):
+        out = []
+        for anchor, digest, count, place, passage in zip(*(batch.column(c).to_pylist() for c in ("anchor", "digest", "count", "place", "words"))):
+            words = passage.split()
+            n = len(words) - WINDOW + 1
+            cut = min(n, max(0, place - _SIDE + 1))
+            after = place + ANCHOR
+            for first, last, context in ((0, cut, words[place - _SIDE : place] if cut else []), (cut, n, words[after : after + _SIDE])):
+                if first < last:
+                    deal = hashlib.blake2b(b" ".join((b"<" if first < cut else b">", *context)), digest_size=8).digest()
+                    out.append((anchor, digest, count, int.from_bytes(deal, "little", signed=True), first, b" ".join(words[first : last + WINDOW - 1])))
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 6, types)], names=["anchor", "digest", "count", "deal", "at", "words"])
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each passage of a frequent anchor as its single windows."""
+    """Each part of a passage as its single windows."""
     for batch in slices(batches):
         out = []
-        for anchor, digest, count, passage in zip(*(batch.column(c).to_pylist() for c in ("anchor", "digest", "count", "words"))):
+        for anchor, digest, count, first, passage in zip(*(batch.column(c).to_pylist() for c in ("anchor", "digest", "count", "at", "words"))):
             words = passage.split()
-            out += [(anchor, digest, count, at, b" ".join(words[at : at + WINDOW])) for at in range(len(words) - WINDOW + 1)]
+            out += [(anchor, digest, count, first + at, b" ".join(words[at : at + WINDOW])) for at in range(len(words) - WINDOW + 1)]
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 5, types)], names=["anchor", "digest", "count", "at", "words"])
 
@@ -211,29 +230,33 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
 
-def repeated_passages(docs: DataFrame) -> DataFrame:
+def repeated_passages(docs: DataFrame, shard_passages: int = SHARD_PASSAGES) -> DataFrame:
     """``(key, start, mask)``: bit j of ``mask`` is set if the window that starts at word ``start + j`` of document ``key`` is repeated."""
-    all_ = stored(docs.mapInArrow(_passages, "anchor long, digest long, key long, start int, n int"), "substr-anchors")
+    all_ = stored(docs.mapInArrow(_passages, "anchor long, digest long, key long, start int, n int, place int"), "substr-anchors")
     often = stored(all_.groupBy("anchor").count().where("count > 1").select("anchor"), "substr-often")
     repeated = stored(join_small(all_, often, ["anchor"]), "substr-repeated")
     discard(all_)
-    distinct = repeated.groupBy("anchor", "digest").agg(F.count("*").alias("count"), F.min(F.struct("key", "start", "n")).alias("place"))
+    distinct = repeated.groupBy("anchor", "digest").agg(F.count("*").alias("count"), F.min(F.struct("key", "start", "n", "place")).alias("at"))
     distinct = stored(distinct, "substr-distinct")
-    many = stored(distinct.groupBy("anchor").count().where(f"count > {ANCHOR_PASSAGES}").select("anchor", F.lit(True).alias("many")), "substr-many")
-    wanted = join_small(distinct, many, ["anchor"], "left").select("place.key", F.struct("anchor", "digest", "count", F.coalesce("many", F.lit(False)).alias("many"), "place.start", "place.n").alias("x"))
+    many = stored(distinct.groupBy("anchor").count().where(f"count > {shard_passages}").select("anchor", F.lit(True).alias("many")), "substr-many")
+    wanted = join_small(distinct, many, ["anchor"], "left")
+    wanted = wanted.select("at.key", F.struct("anchor", "digest", "count", F.coalesce("many", F.lit(False)).alias("many"), "at.start", "at.n", "at.place").alias("x"))
     wanted = stored(wanted.groupBy("key").agg(F.collect_list("x").alias("wanted")), "substr-wanted")
     once = docs.join(wanted.hint("shuffle_merge"), "key").select("key", "text", "wanted")
-    cut = stored(once.mapInArrow(_cut, "anchor long, digest long, count long, many boolean, words binary").dropDuplicates(["anchor", "digest"]), "substr-passages")
-    shards = max(1, cut.count() // SHARD_PASSAGES + 1)
-    few = cut.where("not many").select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), "anchor", "digest", "count", F.lit(0).alias("at"), "words")
-    windows = cut.where("many").select("anchor", "digest", "count", "words").mapInArrow(_windows, "anchor long, digest long, count long, at int, words binary")
-    # Equal windows have one hash, so they meet in one shard; equal windows of one anchor are few once passages are distinct.
-    windows = windows.select(F.pmod(F.xxhash64("anchor", "words"), F.lit(shards * 8)).alias("shard"), "anchor", "digest", "count", "at", "words")
-    schema = "anchor long, digest long, mask long"
-    tasks = min(shards, 4096)
-    match = lambda df: df.repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(_match, schema)
-    masks = match(few).unionByName(match(windows)).groupBy("anchor", "digest").agg(F.bit_or("mask").alias("mask"))
-    masks = stored(masks, "substr-masks")
+    schema = "anchor long, digest long, count long, many boolean, place int, words binary"
+    cut = stored(once.mapInArrow(_cut, schema).dropDuplicates(["anchor", "digest"]), "substr-passages")
+    shards = max(1, cut.count() // shard_passages + 1)
+    columns = ["anchor", "digest", "count", "at", "words"]
+    few = cut.where("not many").withColumn("at", F.lit(0)).select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), *columns)
+    parts = stored(cut.where("many").mapInArrow(_parts, "anchor long, digest long, count long, deal long, at int, words binary"), "substr-parts")
+    crowded = stored(parts.groupBy("anchor", "deal").count().where(f"count > {shard_passages}").select("anchor", "deal", F.lit(True).alias("crowded")), "substr-crowded")
+    parts = join_small(parts, crowded, ["anchor", "deal"], "left")
+    dealt = parts.where("crowded is null").select(F.pmod(F.xxhash64("anchor", "deal"), F.lit(shards)).alias("shard"), *columns)
+    windows = parts.where("crowded").select(*columns).mapInArrow(_windows, "anchor long, digest long, count long, at int, words binary")
+    windows = windows.select(F.pmod(F.xxhash64("anchor", "words"), F.lit(shards)).alias("shard"), *columns)
+    match = lambda df: df.repartition(min(shards, 4096), "shard").sortWithinPartitions("shard").mapInArrow(_match, "anchor long, digest long, mask long")
+    masks = match(few).unionByName(match(dealt)).unionByName(match(windows))
+    masks = stored(masks.groupBy("anchor", "digest").agg(F.bit_or("mask").alias("mask")), "substr-masks")
     return join_small(repeated, masks, ["anchor", "digest"]).select("key", "start", "mask").distinct()
 
 
