@@ -121,7 +121,17 @@ def probe_summary(log: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 #: Weights of attention drivers and the levels' thresholds.
-DRIVERS = {"novelty": 1.0, "conflict": 0.9, "utility": 0.8, "authority": 0.7, "surprise": 0.6, "scale": 0.5, "money": 0.5, "timing": 0.4, "identity": 0.3}
+DRIVERS = {
+    "independently_testable": 1.0,
+    "strong_before_after": 0.9,
+    "surprising_result": 0.85,
+    "measurable_comparison": 0.75,
+    "visually_demonstrable": 0.7,
+    "practical_consequence": 0.65,
+    "competitive_implication": 0.6,
+    "novelty": 0.5,
+    "timing_window": 0.35,
+}
 ATTENTION_HIGH, ATTENTION_MEDIUM = 2.2, 1.1
 
 

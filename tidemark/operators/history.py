@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 HOUR, DAY = 3600, 86_400
 #: Outcomes that count as transport failures, and the breaker's limits in seconds.
-FAILURES = ("timeout", "http_error", "network_error", "parse_error", "blocked")
+FAILURES = ("http_error", "network_error", "timeout", "too_large")
 BREAKER_AFTER, BREAKER_FIRST, BREAKER_MOST = 3, 1800, 21_600
 
 
@@ -54,35 +54,47 @@ def velocity(evidence: DataFrame, sources: DataFrame, hours: int = 6) -> DataFra
     return df.select("event_id", "followers", "community", F.round(value * 100).cast("long").alias("velocity"))
 
 
-def trend_lifecycle(observations: DataFrame, now: int, saturation: int = 40) -> DataFrame:
-    """Stage of each trend from its observations in time order: halves by floor(n/2), growth between their means, momentum of the last two
-    against the two before, peak breadth."""
+#: What to do at each stage of a trend.
+STAGE_DECISION = {"UNKNOWN": "IGNORE", "EMERGING": "ACT", "ACCELERATING": "DIFFERENTIATE", "MAINSTREAM": "ONLY_IF_UNIQUE", "SATURATED": "IGNORE", "DECLINING": "IGNORE"}
+
+
+def trend_lifecycle(observations: DataFrame, now: int) -> DataFrame:
+    """Stage and decision of each trend from its observations in time order.
+
+    Growth compares the means of the halves (split at floor(n/2)), momentum those of the last two and the two before (the first half
+    where there are none), saturation the peak breadth (of 8) and its decay."""
     w = Window.partitionBy("trend_id").orderBy("observed_at")
     df = observations.withColumn("rn", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy("trend_id")))
-    half = F.floor(F.col("n") / 2)
-    mentions = F.col("mention_count")
-    pick = lambda cond: F.avg(F.when(cond, mentions))
+    half, mentions = F.floor(F.col("n") / 2), F.col("mention_count")
+    mean = lambda value, cond: F.coalesce(F.avg(F.when(cond, value)), F.lit(0.0))
     df = df.groupBy("trend_id").agg(
         F.max("n").alias("n"),
+        F.min("observed_at").alias("first_at"),
         F.max("observed_at").alias("last_at"),
-        pick(F.col("rn") <= half).alias("early"),
-        pick(F.col("rn") > half).alias("late"),
-        pick(F.col("rn") > F.col("n") - 2).alias("last2"),
-        pick((F.col("rn") > F.col("n") - 4) & (F.col("rn") <= F.col("n") - 2)).alias("previous2"),
+        mean(mentions, F.col("rn") <= half).alias("early"),
+        mean(mentions, F.col("rn") > half).alias("late"),
+        mean(mentions, F.col("rn") > F.col("n") - 2).alias("tail"),
+        F.coalesce(F.avg(F.when((F.col("rn") > F.col("n") - 4) & (F.col("rn") <= F.col("n") - 2), mentions)), mean(mentions, F.col("rn") <= half)).alias("before"),
         F.max("distinct_sources").alias("breadth"),
+        mean(F.col("distinct_sources"), F.col("rn") > half).alias("late_breadth"),
     )
-    growth = F.when(F.col("early") > 0, (F.col("late") - F.col("early")) / F.col("early")).otherwise(F.lit(0.0))
-    momentum = F.when(F.col("previous2") > 0, (F.col("last2") - F.col("previous2")) / F.col("previous2")).otherwise(F.lit(0.0))
+    change = lambda new, old: F.when(F.col(old) == 0, F.when(F.col(new) > 0, 1.0).otherwise(0.0)).otherwise((F.col(new) - F.col(old)) / F.col(old))
+    decay = F.when(F.col("breadth") == 0, 0.0).otherwise(F.greatest(F.lit(0.0), (F.col("breadth") - F.col("late_breadth")) / F.col("breadth")))
+    df = df.withColumn("growth", change("late", "early")).withColumn("momentum", change("tail", "before"))
+    df = df.withColumn("saturation", F.least(F.lit(1.0), F.least(F.lit(1.0), F.col("breadth") / 8) * 0.6 + decay * 0.4))
     stage = (
-        F.when(F.col("n") < 3, "insufficient")
-        .when(F.lit(now) - F.col("last_at") > 14 * DAY, "stale")
-        .when(momentum < -0.25, "declining")
-        .when((F.col("breadth") >= saturation) & (growth < 0.1), "saturated")
-        .when(F.col("breadth") >= saturation / 2, "mainstream")
-        .when(growth > 0.5, "accelerating")
-        .otherwise("emerging")
+        F.when((F.lit(now) - F.col("last_at")) / DAY > 14, "DECLINING")
+        .when(F.col("n") < 3, "UNKNOWN")
+        .when((F.col("saturation") >= 0.7) & (F.col("momentum") <= 0.1), "SATURATED")
+        .when(F.col("breadth") >= 5, "MAINSTREAM")
+        .when(F.col("growth") >= 0.5, "ACCELERATING")
+        .when(F.col("growth") >= 0, "EMERGING")
+        .otherwise("DECLINING")
     )
-    return df.select("trend_id", "n", "breadth", F.round(growth, 6).alias("growth"), F.round(momentum, 6).alias("momentum"), stage.alias("stage"))
+    decision = F.create_map(*[F.lit(x) for kv in STAGE_DECISION.items() for x in kv])
+    df = df.withColumn("stage", stage)
+    rounded = [F.round(c, 6).alias(c) for c in ("growth", "momentum", "saturation")]
+    return df.select("trend_id", "n", "first_at", "last_at", "breadth", *rounded, "stage", decision[F.col("stage")].alias("decision"))
 
 
 def breaker_state(fetch_log: DataFrame) -> DataFrame:

@@ -10,18 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 BASE = 1_700_000_000
 NOW = BASE + 240 * 3600
 
-#: Source categories with default reliability and authority, in the registry's order.
+#: Source categories with their default reliability.
 CATEGORIES = (
-    ("OFFICIAL_SOURCE", 0.95, 100),
-    ("JOURNALIST", 0.7, 40),
-    ("EXPERT_ANALYST", 0.8, 60),
-    ("COMMUNITY_SIGNAL", 0.4, 20),
-    ("EARLY_SIGNAL", 0.5, 50),
-    ("TECHNICAL_RESEARCHER", 0.85, 70),
-    ("AMPLIFIER", 0.3, 10),
+    ("OFFICIAL_SOURCE", 0.95),
+    ("EARLY_SIGNAL", 0.65),
+    ("EXPERT_ANALYST", 0.75),
+    ("JOURNALIST", 0.6),
+    ("TECHNICAL_RESEARCHER", 0.8),
+    ("AMPLIFIER", 0.3),
+    ("COMMUNITY_SIGNAL", 0.45),
 )
-_CATEGORY = "case n % 7 " + " ".join(f"when {i} then '{c}'" for i, (c, _, _) in enumerate(CATEGORIES)) + " end"
-_RELIABILITY = "case n % 7 " + " ".join(f"when {i} then cast({r} as double)" for i, (_, r, _) in enumerate(CATEGORIES)) + " end"
+_CATEGORY = "case n % 7 " + " ".join(f"when {i} then '{c}'" for i, (c, _) in enumerate(CATEGORIES)) + " end"
+_RELIABILITY = "case n % 7 " + " ".join(f"when {i} then cast({r} as double)" for i, (_, r) in enumerate(CATEGORIES)) + " end"
 
 VIEWS = {
     "v_sources": f"""

@@ -63,15 +63,18 @@ def _(v):
     return H.velocity(v("v_evidence"), v("v_sources"))
 
 
-@query(
-    "w4_trend_lifecycle",
-    f"""with o as (select *, row_number() over (partition by trend_id order by observed_at) as rn, count(*) over (partition by trend_id) as n from v_observations),
-    g as (select trend_id, max(n) as n, max(observed_at) as last_at, avg(mention_count) filter (rn <= n // 2) as early, avg(mention_count) filter (rn > n // 2) as late,
-      avg(mention_count) filter (rn > n - 2) as last2, avg(mention_count) filter (rn > n - 4 and rn <= n - 2) as previous2, max(distinct_sources) as breadth from o group by trend_id),
-    h as (select *, case when early > 0 then (late - early) / early else 0 end as gr, case when previous2 > 0 then (last2 - previous2) / previous2 else 0 end as mo from g)
-    select trend_id, n, breadth, round(gr, 6) as growth, round(mo, 6) as momentum, case when n < 3 then 'insufficient' when {NOW} - last_at > 14 * 86400 then 'stale' when mo < -0.25 then 'declining'
-      when breadth >= 40 and gr < 0.1 then 'saturated' when breadth >= 20 then 'mainstream' when gr > 0.5 then 'accelerating' else 'emerging' end as stage from h""",
-)
+LIFECYCLE = f"""o as (select *, row_number() over (partition by trend_id order by observed_at) as rn, count(*) over (partition by trend_id) as n from v_observations),
+    g as (select trend_id, max(n) as n, min(observed_at) as first_at, max(observed_at) as last_at, coalesce(avg(mention_count) filter (rn <= n // 2), 0) as early, coalesce(avg(mention_count) filter (rn > n // 2), 0) as late,
+      coalesce(avg(mention_count) filter (rn > n - 2), 0) as tail, coalesce(avg(mention_count) filter (rn > n - 4 and rn <= n - 2), avg(mention_count) filter (rn <= n // 2), 0) as before,
+      max(distinct_sources) as breadth, coalesce(avg(distinct_sources) filter (rn > n // 2), 0) as lb from o group by trend_id),
+    h as (select *, case when early = 0 then case when late > 0 then 1 else 0 end else (late - early) / early end as gr, case when before = 0 then case when tail > 0 then 1 else 0 end else (tail - before) / before end as mo,
+      least(1.0::double, least(1.0::double, breadth / 8) * 0.6::double + (case when breadth = 0 then 0 else greatest(0.0::double, (breadth - lb) / breadth) end) * 0.4::double) as sa from g),
+    l as (select trend_id, n, first_at, last_at, breadth, round(gr, 6) as growth, round(mo, 6) as momentum, round(sa, 6) as saturation, case when ({NOW} - last_at) / 86400 > 14 then 'DECLINING' when n < 3 then 'UNKNOWN'
+      when sa >= 0.7 and mo <= 0.1 then 'SATURATED' when breadth >= 5 then 'MAINSTREAM' when gr >= 0.5 then 'ACCELERATING' when gr >= 0 then 'EMERGING' else 'DECLINING' end as stage from h),
+    lifecycle as (select *, case stage when 'EMERGING' then 'ACT' when 'ACCELERATING' then 'DIFFERENTIATE' when 'MAINSTREAM' then 'ONLY_IF_UNIQUE' else 'IGNORE' end as decision from l)"""
+
+
+@query("w4_trend_lifecycle", f"with {LIFECYCLE} select * from lifecycle")
 def _(v):
     return H.trend_lifecycle(v("v_observations"), NOW)
 
@@ -271,12 +274,13 @@ def _(v):
     return A.probe_summary(v("v_fetch_log"), v("v_sources"))
 
 
-DRIVER_SQL = "(select event_id, list_distinct([(['novelty','conflict','utility','authority','surprise','scale','money','timing','identity'])[1 + event_id % 9], (['novelty','conflict','utility','authority','surprise','scale','money','timing','identity'])[1 + event_id // 7 % 9], (['novelty','conflict','utility','authority','surprise','scale','money','timing','identity'])[1 + event_id // 3 % 9]]) as drivers from v_events)"
+DRIVER_NAMES = "(['" + "','".join(A.DRIVERS) + "'])"
+DRIVER_SQL = f"(select event_id, list_distinct([{DRIVER_NAMES}[1 + event_id % 9], {DRIVER_NAMES}[1 + event_id // 7 % 9], {DRIVER_NAMES}[1 + event_id // 3 % 9]]) as drivers from v_events)"
 
 
 @query(
     "a21_attention_score",
-    f"""with w(d, w) as (values ('novelty', 1.0::double), ('conflict', 0.9), ('utility', 0.8), ('authority', 0.7), ('surprise', 0.6), ('scale', 0.5), ('money', 0.5), ('timing', 0.4), ('identity', 0.3)),
+    f"""with w(d, w) as (values {", ".join(f"('{k}', {x}::double)" for k, x in A.DRIVERS.items())}),
     x as (select event_id, w.d, w.w from (select event_id, unnest(drivers) as d from {DRIVER_SQL} q) e join w on w.d = e.d),
     s as (select event_id, round(sum(w), 6) as attention, string_agg(d, ',' order by w desc, d) as ds from x group by event_id)
     select event_id, attention, case when attention >= 2.2 then 'HIGH' when attention >= 1.1 then 'MEDIUM' else 'LOW' end as level, array_to_string(string_split(ds, ',')[1:3], ',') as top from s""",
