@@ -1,8 +1,8 @@
 """Token counts, and BPE encoding and decoding through a distinct-word table.
 
 Encoding: (1) every whole text is split into pre-token words and the distinct words are counted by Spark; (2) each distinct
-word is encoded once; (3) ids come back by position: the most frequent words (at most ``FREQUENT_WORDS``, a fixed bound) by a
-broadcast join, every other word by a shuffled join on the word, after which each document's holes are filled in order;
+word is encoded once; (3) ids come back by position: of the most frequent words (``TABLE_BYTES`` of words and ids at most) by a
+broadcast join, of every other word by a shuffled join on the word, after which each document's holes are filled in order;
 (4) decoding joins ids to pieces of the vocabulary, whose size is fixed.
 
 Edge cases: null and empty texts have 0 tokens. Repeated rows are encoded alike, each on its own row. Empty tables give empty
@@ -13,24 +13,26 @@ from __future__ import annotations
 
 import heapq
 import json
+from array import array
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import stored
 from .words import slices, utf8
 
-#: Words that are joined by broadcast; some 16 bytes each.
-FREQUENT_WORDS = 300_000
-MEMO_ENTRIES = 150_000
+#: Size of the words and ids that are joined by broadcast; in a worker it is some three times that.
+TABLE_BYTES = 64 << 20
+MEMO_ENTRIES = 250_000
 #: The pre-token pattern of byte-level BPE files of this family.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-HOLE = 0xFFFF_FFFF
 
 
 class Bpe:
@@ -51,6 +53,8 @@ class Bpe:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.ranks[raw(a), raw(b)] = rank
         self.special = special
+        #: How ids are stored within a job; its largest number stands for a hole.
+        self.width = "<u2" if max(vocab.values(), default=0) < 0xFFFF > max(special.values(), default=0) else "<u4"
         self.pieces = {i: p for p, i in self.ids.items()} | {i: c.encode() for c, i in special.items()}
 
     def encode_word(self, word: bytes) -> list[int]:
@@ -162,14 +166,14 @@ def _encode_words(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = Bpe(path)
         for batch in slices(batches):
-            ids = [np.array(bpe.encode_word(w), dtype="<u4").tobytes() for w in utf8(batch.column("word"))]
+            ids = [np.array(bpe.encode_word(w), dtype=bpe.width).tobytes() for w in utf8(batch.column("word"))]
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(ids, pa.binary())], names=["word", "n", "ids"])
 
     return run
 
 
 def encoded_words(docs: DataFrame, path: str) -> DataFrame:
-    """The distinct-word table ``(word, n, ids)``; ids are little-endian unsigned 32-bit integers."""
+    """The distinct-word table ``(word, n, ids)``; ids are little-endian unsigned integers of the vocabulary's width."""
     return distinct_words(docs, Bpe(path)).mapInArrow(_encode_words(path), "word string, n long, ids binary")
 
 
@@ -177,34 +181,64 @@ def _count_bin() -> Column:
     return F.floor(F.log2("n") * 8)
 
 
-def frequent(table: DataFrame, most: int) -> DataFrame:
-    """The words of the highest count bins that are ``most`` words together at most."""
-    rows = table.groupBy(_count_bin().alias("bin")).count().collect()  # at most 8 * 64 bins
+def frequent(table: DataFrame, most: int) -> tuple[DataFrame, bool]:
+    """The words of the highest count bins that have ``most`` bytes of words and ids together at most; are these all words?"""
+    size = F.sum(F.octet_length("word") + F.octet_length("ids"))
+    rows = table.groupBy(_count_bin().alias("bin")).agg(size.alias("size")).collect()  # at most 8 * 64 bins
     left, lowest = most, 1 << 20
     for r in sorted(rows, key=lambda r: -r["bin"]):
-        left -= r["count"]
+        left -= r["size"]
         if left < 0:
-            break
+            return table.where(_count_bin() >= lowest), False
         lowest = r["bin"]
-    return table.where(_count_bin() >= lowest)
+    return table, True
+
+
+class WordTable:
+    """Words with their ids, packed: sorted 64-bit hashes, and the words and ids in the hashes' order. Hits are compared in full."""
+
+    def __init__(self, table: pa.Table) -> None:
+        words = table.column("word").to_pylist()
+        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), dtype=np.uint64, count=len(words))
+        del words
+        order = np.argsort(hashes, kind="stable")
+        self.hashes = array("Q", hashes[order].tobytes())
+        self.blobs = []
+        for name, kind in (("word", pa.large_string()), ("ids", pa.large_binary())):
+            column = table.column(name).cast(kind).combine_chunks().take(pa.array(order))
+            column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+            _, offsets, data = column.buffers()
+            at = np.frombuffer(offsets, dtype=np.int64)[: len(column) + 1] if len(column) else np.zeros(1, dtype=np.int64)
+            self.blobs.append((array("I", at.astype(np.uint32).tobytes()), data.to_pybytes() if data else b""))
+
+    def get(self, word: str) -> bytes | None:
+        h, raw = xxhash.xxh3_64_intdigest(word), word.encode()
+        (at, words), (ids_at, ids) = self.blobs
+        i = bisect_left(self.hashes, h)
+        while i < len(self.hashes) and self.hashes[i] == h:
+            if words[at[i] : at[i + 1]] == raw:
+                return ids[ids_at[i] : ids_at[i + 1]]
+            i += 1
+        return None
 
 
 class PositionJoin:
     """ids of a text by its words' positions, with a hole for each word that is not among the frequent ones."""
 
-    def __init__(self, known: dict[str, bytes], special: dict[str, int]) -> None:
+    def __init__(self, known: WordTable, special: dict[str, int], width: str) -> None:
         self.known, self.split = known, Splitter(list(special))
-        self.special = {c: np.array([i], dtype="<u4").tobytes() for c, i in special.items()}
-        self.hole, self.memo, self.rare = np.array([HOLE], dtype="<u4").tobytes(), {}, {}
+        self.special = {c: np.array([i], dtype=width).tobytes() for c, i in special.items()}
+        self.hole, self.memo, self.rare = b"\xff" * np.dtype(width).itemsize, {}, {}
 
     def _look_up(self, span: str) -> bytes:
         words = self.split.find(span)
         if len(self.memo) > MEMO_ENTRIES:
             self.memo.clear()
             self.rare.clear()
-        if missing := [w for w in words if w not in self.known]:
+        ids = [self.known.get(w) for w in words]
+        if missing := [w for w, x in zip(words, ids) if x is None]:
             self.rare[span] = missing
-        self.memo[span] = out = b"".join(self.known.get(w, self.hole) for w in words)
+        self.memo[span] = out = b"".join(self.hole if x is None else x for x in ids)
         return out
 
     def ids(self, text: str) -> tuple[bytes, list[str]]:
@@ -218,19 +252,14 @@ class PositionJoin:
             for span in self.split.spans(section):
                 ids = get(span)
                 out.append(self._look_up(span) if ids is None else ids)
-                if span in self.rare:
+                if self.rare and span in self.rare:
                     words += self.rare[span]
         return b"".join(out), words
 
 
-def _known(table) -> dict[str, bytes]:
-    """word -> ids; equal ids share one object."""
-    return dict(zip(table.column("word").to_pylist(), table.column("ids").to_pylist()))
-
-
-def _holes(known, special):
+def _holes(known, special, width):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        join = PositionJoin(_known(known.value), special)
+        join = PositionJoin(known.value, special, width)
         for batch in slices(batches):
             keys, at, words = [], [], []
             for key, text in zip(batch.column("key").to_pylist(), _texts(batch)):
@@ -243,9 +272,9 @@ def _holes(known, special):
     return run
 
 
-def _with_holes(known, special):
+def _with_holes(known, special, width):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        join = PositionJoin(_known(known.value), special)
+        join = PositionJoin(known.value, special, width)
         for batch in slices(batches):
             ids = [join.ids(x)[0] for x in _texts(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(ids, pa.binary())], names=["doc_id", "key", "ids"])
@@ -253,37 +282,46 @@ def _with_holes(known, special):
     return run
 
 
-def _filled(ids: bytes, found: list[dict] | None) -> bytes:
-    if not found:
-        return ids
-    at = {x["at"]: x["ids"] for x in found}
-    holes = np.flatnonzero(np.frombuffer(ids, dtype="<u4") == HOLE)
+def _filled(ids: bytes, found: list[dict] | None, width: str) -> bytes:
+    """The ids, widened, with those of the holes' words in their places."""
+    whole = np.frombuffer(ids, dtype=width)
+    holes = np.flatnonzero(whole == np.iinfo(width).max)
+    at = {x["at"]: np.frombuffer(x["ids"], dtype=width) for x in found or []}
     if len(holes) != len(at):
         raise ValueError(f"{len(holes)} holes and {len(at)} words")
-    out, last = [], 0
-    for k, i in enumerate(holes.tolist()):
-        out += (ids[last : 4 * i], at[k])
-        last = 4 * i + 4
-    return b"".join((*out, ids[last:]))
+    if len(holes):
+        parts, last = [], 0
+        for k, i in enumerate(holes.tolist()):
+            parts += (whole[last:i], at[k])
+            last = i + 1
+        whole = np.concatenate([*parts, whole[last:]])
+    return whole.astype("<u4").tobytes()
+
 
+def _fill(width):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            ids = [_filled(a, b, width) for a, b in zip(batch.column("ids").to_pylist(), batch.column("found").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
-def _fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        ids = [_filled(a, b) for a, b in zip(batch.column("ids").to_pylist(), batch.column("found").to_pylist())]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+    return run
 
 
-def bpe_encode(docs: DataFrame, path: str, most: int = FREQUENT_WORDS) -> DataFrame:
+def bpe_encode(docs: DataFrame, path: str, most: int = TABLE_BYTES) -> DataFrame:
     """``(doc_id, ids)`` of every row: the ids of the whole text as little-endian unsigned 32-bit integers."""
     spark, bpe = docs.sparkSession, Bpe(path)
     words = stored(encoded_words(docs, path), "bpe-words")
-    head = frequent(words, most)
-    known = spark.sparkContext.broadcast(head.select("word", "ids").toArrow())  # at most ``most`` rows
+    head, complete = frequent(words, most)
+    known = spark.sparkContext.broadcast(WordTable(head.select("word", "ids").toArrow()))  # at most ``most`` bytes of words and ids
     docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
-    tail = docs.select("key", "text").mapInArrow(_holes(known, bpe.special), "key long, at int, word string")
-    found = tail.join(words.select("word", "ids").hint("shuffle_merge"), "word").groupBy("key").agg(F.collect_list(F.struct("at", "ids")).alias("found"))
-    whole = docs.mapInArrow(_with_holes(known, bpe.special), "doc_id long, key long, ids binary")
-    return whole.join(found, "key", "left").select("doc_id", "ids", "found").mapInArrow(_fill, "doc_id long, ids binary")
+    whole = docs.mapInArrow(_with_holes(known, bpe.special, bpe.width), "doc_id long, key long, ids binary")
+    if complete:
+        joined = whole.withColumn("found", F.lit(None).cast("array<struct<at:int,ids:binary>>"))
+    else:
+        tail = docs.select("key", "text").mapInArrow(_holes(known, bpe.special, bpe.width), "key long, at int, word string")
+        found = tail.join(words.select("word", "ids").hint("shuffle_merge"), "word").groupBy("key").agg(F.collect_list(F.struct("at", "ids")).alias("found"))
+        joined = whole.join(found, "key", "left")
+    return joined.select("doc_id", "ids", "found").mapInArrow(_fill(bpe.width), "doc_id long, ids binary")
 
 
 def _decode(pieces):
