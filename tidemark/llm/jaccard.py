@@ -1,7 +1,7 @@
 """N-gram Jaccard join: rare-first prefix filtering with length, positional and suffix filters, verified once per pair.
 
 Documents with equal shingle sets are one class, so copies never make pairs. Classes that share a minimum hash are first compared
-with one pivot of their group, the class whose minimum hashes are the most shared, so that a large group of near copies costs one pair for each
+with one pivot, the class of their group whose minimum hashes are the most shared, so that a large group of near copies costs one pair for each
 member. Then the prefix join runs over all classes: each puts the rarest part of its set, in which any partner must share a
 shingle, into a table, and only prefix shingles that occur in different components so far are joined. Links within a component
 change nothing, links between components are all found.
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import discard, join_small, stored
+from .shared import discard, join_small, release, stored
 from .words import Powers, Words, chunks, gram_hashes, mixed, slices, utf8
 
 SHINGLE = 5
@@ -31,7 +31,11 @@ SHINGLE = 5
 PERCENT = 80
 BUCKETS = 1 << 17
 MIN_HASHES = 8
-SIGNATURE = 16
+SIGNATURE = 256
+#: Shared minimum hashes, of ``MIN_HASHES``, from which a class is compared with its pivot before the prefix join.
+LEAST_SHARED = 4
+#: Open prefix shingles (8 bytes each) that are sent to the tasks; more of them are joined by a shuffle.
+OPEN_TOKENS = 4_000_000
 
 
 def shingle_sets(texts: list[bytes], powers: Powers) -> list[np.ndarray]:
@@ -56,6 +60,14 @@ def class_ids(flat: np.ndarray, offset: np.ndarray) -> np.ndarray:
     return mixed(one ^ mixed(two + np.diff(offset).astype(np.uint64), 103), 104)
 
 
+def signatures(flat: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    """How many members of each set fall in each of ``SIGNATURE`` hash ranges, 255 at most."""
+    n = len(offset) - 1
+    row = np.repeat(np.arange(n), np.diff(offset))
+    part = (flat >> np.uint64(64 - 8)).astype(np.int64)
+    return np.minimum(np.bincount(row * SIGNATURE + part, minlength=n * SIGNATURE), 255).astype(np.uint8).reshape(n, SIGNATURE)
+
+
 def _flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])])
 
@@ -63,34 +75,37 @@ def _flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents with class, size and minimum hashes; at the end, the task's bucket counts as rows without a key."""
     powers, counts = Powers(), np.zeros(BUCKETS, dtype=np.int64)
-    names = ["doc_id", "key", "n", "class", "mins", "bucket"]
+    names = ["doc_id", "key", "n", "class", "mins", "signature", "bucket"]
     for batch in slices(batches):
         sets = shingle_sets(utf8(batch.column("text")), powers)
         sizes = np.array([len(x) for x in sets], dtype=np.int64)
-        ids, mins, full = np.zeros(len(sets), dtype=np.int64), [None] * len(sets), np.flatnonzero(sizes)
+        ids, mins, marks, full = np.zeros(len(sets), dtype=np.int64), [None] * len(sets), [None] * len(sets), np.flatnonzero(sizes)
         if len(full):
             flat, offset = _flat([sets[i] for i in full])
             counts += np.bincount((flat % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
             ids[full] = class_ids(flat, offset).view(np.int64)
             least = np.stack([np.minimum.reduceat(mixed(flat, s + 1), offset[:-1]) for s in range(MIN_HASHES)], axis=1).view(np.int64)
-            for i, row in zip(full, least.tolist()):
-                mins[i] = row
+            for i, row, mark in zip(full, least.tolist(), signatures(flat, offset)):
+                mins[i], marks[i] = row, mark.tobytes()
         none = pa.nulls(len(sets), pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(sizes), pa.array(ids), pa.array(mins, pa.list_(pa.int64())), none], names=names)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(sizes), pa.array(ids), pa.array(mins, pa.list_(pa.int64())), pa.array(marks, pa.binary()), none], names=names)
     used = np.flatnonzero(counts)
     none = pa.nulls(len(used), pa.int64())
-    yield pa.RecordBatch.from_arrays([none, none, pa.array(counts[used]), none, pa.nulls(len(used), pa.list_(pa.int64())), pa.array(used)], names=names)
+    yield pa.RecordBatch.from_arrays([none, none, pa.array(counts[used]), none, pa.nulls(len(used), pa.list_(pa.int64())), pa.nulls(len(used), pa.binary()), pa.array(used)], names=names)
+
 
+def _prefixes(rarity, wanted=None):
+    """Prefix shingles of each class that the task meets; only those in the sorted array ``wanted``, where it is given."""
 
-def _prefixes(rarity):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, count, done = Powers(), rarity.value, set()
+        only = None if wanted is None else wanted.value
         for batch in slices(batches):
             sets = [x for x in shingle_sets(utf8(batch.column("text")), powers) if len(x)]
             if not sets:
                 continue
             ids = class_ids(*_flat(sets)).view(np.int64).tolist()
-            tokens, classes, sizes, places, signatures = [], [], [], [], []
+            tokens, classes, sizes, places = [], [], [], []
             for c, s in zip(ids, sets):
                 if c in done:
                     continue
@@ -98,10 +113,15 @@ def _prefixes(rarity):
                 n = len(s)
                 keep = n - (PERCENT * n + 99) // 100 + 1
                 order = np.lexsort((s, count[(s % np.uint64(BUCKETS)).astype(np.int64)]))[:keep]
-                tokens.append(s[order].view(np.int64))
-                classes.append(np.full(keep, c, dtype=np.int64))
-                sizes.append(np.full(keep, n, dtype=np.int32))
-                places.append(np.arange(keep, dtype=np.int32))
+                token, place = s[order].view(np.int64), np.arange(keep, dtype=np.int32)
+                if only is not None:
+                    at = np.minimum(np.searchsorted(only, token), max(len(only) - 1, 0))
+                    hit = only[at] == token if len(only) else np.zeros(keep, dtype=bool)
+                    token, place = token[hit], place[hit]
+                tokens.append(token)
+                classes.append(np.full(len(token), c, dtype=np.int64))
+                sizes.append(np.full(len(token), n, dtype=np.int32))
+                places.append(place)
             if tokens:
                 columns = [pa.array(np.concatenate(x)) for x in (tokens, classes, sizes, places)]
                 yield pa.RecordBatch.from_arrays(columns, names=["token", "class", "n", "place"])
@@ -127,14 +147,21 @@ def overlap(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[at] == x).sum())
 
 
-def may_link(x: np.ndarray, y: np.ndarray) -> bool:
-    """Suffix filter: the sets' parts in each of ``SIGNATURE`` hash ranges differ by at least the difference of their sizes, and all that
-    differs together must not exceed what the threshold allows."""
-    edges = np.arange(1, SIGNATURE, dtype=np.uint64) * np.uint64((1 << 64) // SIGNATURE)
-    parts = [np.diff(np.concatenate([[0], np.searchsorted(s, edges), [len(s)]])) for s in (x, y)]
-    least = int(np.abs(parts[0] - parts[1]).sum())
+def may_link(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Suffix filter on rows of signatures: sets differ, in each hash range, by at least the difference of their counts there; all that they differ by
+    must not exceed what the threshold allows. Counts over 254 are unknown, so such rows pass."""
+    x, y = x.astype(np.int64), y.astype(np.int64)
+    least = np.abs(x - y).sum(axis=1)
     # |x ^ y| = |x| + |y| - 2 * overlap, and overlap >= PERCENT / (100 + PERCENT) * (|x| + |y|).
-    return least * (100 + PERCENT) <= (len(x) + len(y)) * (100 - PERCENT)
+    total = x.sum(axis=1) + y.sum(axis=1)
+    return (least * (100 + PERCENT) <= total * (100 - PERCENT)) | (x == 255).any(axis=1) | (y == 255).any(axis=1)
+
+
+def _suffix_filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, 4096):
+        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, SIGNATURE) for c in ("x", "y"))
+        mask = pa.array(may_link(x, y), pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in ("a", "b")], names=["a", "b"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,9 +169,6 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = []
         for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
             x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-            if not may_link(x, y):
-                keep.append(False)
-                continue
             both = overlap(x, y)
             keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
         mask = pa.array(keep, pa.bool_())
@@ -153,7 +177,9 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs ``(a, b)`` of classes that link, each compared once; only their documents' sets are moved."""
-    pairs = stored(pairs, "jaccard-pairs")
+    marks = classes.select("class", "signature")
+    x, y = marks.toDF("a", "x").hint("shuffle_merge"), marks.toDF("b", "y").hint("shuffle_merge")
+    pairs = stored(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_suffix_filter, "a long, b long"), "jaccard-pairs")
     members = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     wanted = stored(members.join(classes.select("class", "key"), "class").select("key"), "jaccard-wanted")
     sets = join_small(docs, wanted, ["key"], "left_semi").select("text").mapInArrow(_sets_of, "class long, members binary")
@@ -162,19 +188,21 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame
     links = stored(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long"), "jaccard-links")
     for old in (pairs, wanted, sets):
         discard(old)
+    release(docs.sparkSession)
     return links
 
 
 def pivot_pairs(classes: DataFrame) -> DataFrame:
-    """Pairs of a class and a pivot with which it shares a minimum hash; as many as classes times ``MIN_HASHES`` at most."""
+    """A pair of each class and the pivot with which it shares the most minimum hashes (``LEAST_SHARED`` or more), if their sizes allow a link."""
     shared = classes.select("class", F.posexplode("mins").alias("i", "least"))
     counts = stored(shared.groupBy("i", "least").count().where("count > 1"), "jaccard-mins")
     shared = stored(join_small(shared, counts, ["i", "least"]), "jaccard-shared")
     weight = stored(shared.groupBy("class").agg(F.sum("count").alias("weight")), "jaccard-weights")
     shared = join_small(shared.select("class", "i", "least"), weight, ["class"])
     pivots = stored(shared.groupBy("i", "least").agg(F.max(F.struct("weight", "class"))["class"].alias("pivot")), "jaccard-pivots")
-    pairs = join_small(shared, pivots, ["i", "least"]).where("class <> pivot")
-    return pairs.select(F.least("class", "pivot").alias("a"), F.greatest("class", "pivot").alias("b")).distinct()
+    met = join_small(shared, pivots, ["i", "least"]).where("class <> pivot").groupBy("class", "pivot").agg(F.count("*").alias("n")).where(f"n >= {LEAST_SHARED}")
+    best = met.groupBy("class").agg(F.max(F.struct("n", "pivot"))["pivot"].alias("pivot"))
+    return best.select(F.least("class", "pivot").alias("a"), F.greatest("class", "pivot").alias("b")).distinct()
 
 
 def prefix_pairs(docs: DataFrame, rarity, parts: DataFrame) -> DataFrame:
@@ -185,7 +213,14 @@ def prefix_pairs(docs: DataFrame, rarity, parts: DataFrame) -> DataFrame:
     rows = join_small(rows, parts, ["class"], "left").withColumn("part", F.coalesce("part", "class"))
     open_tokens = rows.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("token")
     open_tokens = stored(open_tokens, "jaccard-tokens")
-    rows = stored(join_small(rows, open_tokens, ["token"]).distinct(), "jaccard-prefixes")
+    release(docs.sparkSession)
+    if open_tokens.count() <= OPEN_TOKENS:
+        wanted = docs.sparkSession.sparkContext.broadcast(np.sort(open_tokens.toArrow().column("token").to_numpy()))
+        rows = docs.select("text").mapInArrow(_prefixes(rarity, wanted), "token long, class long, n int, place int")
+        rows = join_small(rows, parts, ["class"], "left").withColumn("part", F.coalesce("part", "class"))
+    else:
+        rows = rows.join(open_tokens, "token")
+    rows = stored(rows.distinct(), "jaccard-prefixes")
     a, b = rows.alias("a"), rows.alias("b")
     length = F.expr(f"100 * least(a.n, b.n) >= {PERCENT} * greatest(a.n, b.n)")
     most = F.expr("least(a.place, b.place) + 1 + least(a.n - a.place, b.n - b.place) - 1")
@@ -196,9 +231,9 @@ def prefix_pairs(docs: DataFrame, rarity, parts: DataFrame) -> DataFrame:
 
 def described(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All rows as ``(doc_id, key, n, class, mins, bucket)``, and the classes."""
-    rows = stored(docs.mapInArrow(_describe, "doc_id long, key long, n long, class long, mins array<long>, bucket long"), "jaccard-rows")
+    rows = stored(docs.mapInArrow(_describe, "doc_id long, key long, n long, class long, mins array<long>, signature binary, bucket long"), "jaccard-rows")
     full = rows.where("bucket is null and n > 0")
-    classes = full.groupBy("class").agg(F.min("key").alias("key"), F.first("mins").alias("mins"))
+    classes = full.groupBy("class").agg(F.min("key").alias("key"), F.first("mins").alias("mins"), F.first("signature").alias("signature"))
     return rows, stored(classes, "jaccard-classes")
 
 

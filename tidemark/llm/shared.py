@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -41,6 +42,12 @@ def discard(df: DataFrame) -> None:
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files and broadcasts of finished phases, which it does when their handles are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def join_small(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Joins; ``right`` (a stored table) is broadcast if its counted size allows, else both sides are shuffled."""
     small = right.count() <= BROADCAST_ROWS
