@@ -101,6 +101,6 @@ def extract_entities(df: DataFrame, key: str, text: str, aliases: DataFrame, ent
     rows = words.where(F.size("_w") > 0).select(key, F.explode(F.array_distinct(grams)).alias("raw"))
     rows = rows.withColumn("normalized", normalize_alias(F.col("raw"), normalise)).where("normalized <> ''")
     hits = rows.join(aliases, "normalized").where(~F.col("requires_exact_case") | F.contains("raw", F.col("alias")))
-    found = hits.select(key, F.col("entity_id").alias("id")).distinct().join(entities, "id")
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("operator_relevance")).alias("r"), "id"))), lambda x: x["id"])
+    found = hits.select(key, F.col("entity_id").alias("_entity")).distinct().join(entities.select(F.col("id").alias("_entity"), "operator_relevance"), "_entity")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("operator_relevance")).alias("r"), F.col("_entity").alias("e")))), lambda x: x["e"])
     return found.groupBy(key).agg(ordered.alias("entities"))

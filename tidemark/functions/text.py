@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SPACE = r"[\s   -     　﻿]"
 
@@ -70,12 +71,12 @@ FACTUAL_NUMBER = r"(?i)\$\s?\d[\d,._]*|\b\d[\d,._]*\s*(?:%|x\b|k\b|m\b|bn?\b|tok
 YEAR_ONLY = r"^(?:[^\d]*\b(?:19|20)\d{2}\b[^\d]*)$"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkd(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x))
 
@@ -96,7 +97,7 @@ def _numeric_entities(text: Column) -> Column:
 
         def replace(acc: Column, ref: Column, base: int = base) -> Column:
             code = F.conv(F.regexp_replace(ref, r"^&#[xX]?|;$", ""), base, 10).cast("int")
-            char = F.when(code.between(1, 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32BE")).otherwise(" ")
+            char = F.when(code.between(1, 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(" ")
             return F.replace(acc, ref, char)
 
         text = F.when(F.size(refs) > 0, F.aggregate(refs, text, lambda a, r: replace(a, r))).otherwise(text)

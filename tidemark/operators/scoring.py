@@ -59,6 +59,8 @@ def clamp(x: Column) -> Column:
 
 
 def _lookup(values: dict[str, float], key: Column) -> Column:
+    if not values:
+        return F.lit(0.0)
     return F.coalesce(F.create_map(*[F.lit(x) for kv in values.items() for x in kv])[key], F.lit(0.0))
 
 
