@@ -119,16 +119,16 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     ``n_chars``, where there is such a column, is the length of the text as it is then."""
     taken = mix(docs, **options).where("taken_tokens > 0").select("doc_id", "digest", "n_tokens", "full_epochs", "prefix_tokens").distinct()
     text = F.coalesce(F.col("text"), F.lit(""))
-    left = docs.withColumn("_digest", F.md5(text))
-    taken = stored(taken.toDF("_id", "_d", "_n", "_full", "_prefix"), "mix-taken")
-    joined = left.join(taken, (F.col("_digest") == F.col("_d")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    copies = F.transform(F.sequence(F.lit(1), F.col("_full").cast("int")), lambda _: F.col("_n"))
-    copies = F.concat(F.when(F.col("_full") > 0, copies).otherwise(F.array().cast("array<bigint>")), F.when(F.col("_prefix") > 0, F.array("_prefix")).otherwise(F.array().cast("array<bigint>")))
-    df = joined.withColumn("_take", F.explode(copies))
-    cut = F.call_function("regexp_extract", F.col("text"), F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), F.col("_take").cast("string"), F.lit("}+")), F.lit(0))
-    new = F.when(F.col("_take") < F.col("_n"), cut).otherwise(F.col("text"))
-    df = df.withColumn("_text", new)
-    return df.select(*(F.col("_text").alias(c) if c == "text" else F.length("_text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+    left = docs.withColumn("__mix_digest", F.md5(text))
+    taken = stored(taken.toDF("__mix_id", "__mix_d", "__mix_n", "__mix_full", "__mix_prefix"), "mix-taken")
+    joined = left.join(taken, (F.col("__mix_digest") == F.col("__mix_d")) & F.col("doc_id").eqNullSafe(F.col("__mix_id")))
+    copies = F.transform(F.sequence(F.lit(1), F.col("__mix_full").cast("int")), lambda _: F.col("__mix_n"))
+    copies = F.concat(F.when(F.col("__mix_full") > 0, copies).otherwise(F.array().cast("array<bigint>")), F.when(F.col("__mix_prefix") > 0, F.array("__mix_prefix")).otherwise(F.array().cast("array<bigint>")))
+    df = joined.withColumn("__mix_take", F.explode(copies))
+    cut = F.call_function("regexp_extract", F.col("text"), F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), F.col("__mix_take").cast("string"), F.lit("}+")), F.lit(0))
+    new = F.when(F.col("__mix_take") < F.col("__mix_n"), cut).otherwise(F.col("text"))
+    df = df.withColumn("__mix_text", new)
+    return df.select(*(F.col("__mix_text").alias(c) if c == "text" else F.length("__mix_text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
 
 
 def _sql_weight(level: str) -> str:

@@ -17,6 +17,7 @@ from array import array
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +26,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import release, stored
 from .words import slices, utf8
 
 #: Size of the words and ids that are joined by broadcast; in a worker it is some three times that.
 TABLE_BYTES = 64 << 20
-MEMO_ENTRIES = 250_000
+MEMO_ENTRIES = 160_000
 #: The pre-token pattern of byte-level BPE files of this family.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -228,17 +229,23 @@ class PositionJoin:
     def __init__(self, known: WordTable, special: dict[str, int], width: str) -> None:
         self.known, self.split = known, Splitter(list(special))
         self.special = {c: np.array([i], dtype=width).tobytes() for c, i in special.items()}
-        self.hole, self.memo, self.rare = b"\xff" * np.dtype(width).itemsize, {}, {}
+        self.hole, self.rare = b"\xff" * np.dtype(width).itemsize, {}
+        #: Two generations of remembered spans: when the newer is full it becomes the older, so frequent spans stay.
+        self.memo, self.older = {}, {}
 
     def _look_up(self, span: str) -> bytes:
-        words = self.split.find(span)
-        if len(self.memo) > MEMO_ENTRIES:
-            self.memo.clear()
-            self.rare.clear()
-        ids = [self.known.get(w) for w in words]
-        if missing := [w for w, x in zip(words, ids) if x is None]:
-            self.rare[span] = missing
-        self.memo[span] = out = b"".join(self.hole if x is None else x for x in ids)
+        if len(self.memo) >= MEMO_ENTRIES:
+            self.memo, self.older = {}, self.memo
+            if len(self.rare) > 2 * MEMO_ENTRIES:
+                self.rare, self.older = {}, {}
+        out = self.older.get(span)
+        if out is None:
+            words = self.split.find(span)
+            ids = [self.known.get(w) for w in words]
+            if None in ids:
+                self.rare[span] = [w for w, x in zip(words, ids) if x is None]
+            out = b"".join(self.hole if x is None else x for x in ids)
+        self.memo[span] = out
         return out
 
     def ids(self, text: str) -> tuple[bytes, list[str]]:
@@ -282,6 +289,16 @@ def _with_holes(known, special, width):
     return run
 
 
+def _widened(known, special, width):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        join = PositionJoin(known.value, special, width)
+        for batch in slices(batches):
+            ids = [np.frombuffer(join.ids(x)[0], dtype=width).astype("<u4").tobytes() for x in _texts(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+
+    return run
+
+
 def _filled(ids: bytes, found: list[dict] | None, width: str) -> bytes:
     """The ids, widened, with those of the holes' words in their places."""
     whole = np.frombuffer(ids, dtype=width)
@@ -311,25 +328,28 @@ def bpe_encode(docs: DataFrame, path: str, most: int = TABLE_BYTES) -> DataFrame
     """``(doc_id, ids)`` of every row: the ids of the whole text as little-endian unsigned 32-bit integers."""
     spark, bpe = docs.sparkSession, Bpe(path)
     words = stored(encoded_words(docs, path), "bpe-words")
+    release(spark)
     head, complete = frequent(words, most)
     known = spark.sparkContext.broadcast(WordTable(head.select("word", "ids").toArrow()))  # at most ``most`` bytes of words and ids
+    if complete:
+        # Every word is in the table: there are no holes to fill.
+        return docs.select("doc_id", "text").mapInArrow(_widened(known, bpe.special, bpe.width), "doc_id long, ids binary")
     docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
     whole = docs.mapInArrow(_with_holes(known, bpe.special, bpe.width), "doc_id long, key long, ids binary")
-    if complete:
-        joined = whole.withColumn("found", F.lit(None).cast("array<struct<at:int,ids:binary>>"))
-    else:
-        tail = docs.select("key", "text").mapInArrow(_holes(known, bpe.special, bpe.width), "key long, at int, word string")
-        found = tail.join(words.select("word", "ids").hint("shuffle_merge"), "word").groupBy("key").agg(F.collect_list(F.struct("at", "ids")).alias("found"))
-        joined = whole.join(found, "key", "left")
-    return joined.select("doc_id", "ids", "found").mapInArrow(_fill(bpe.width), "doc_id long, ids binary")
+    tail = docs.select("key", "text").mapInArrow(_holes(known, bpe.special, bpe.width), "key long, at int, word string")
+    found = tail.join(words.select("word", "ids").hint("shuffle_merge"), "word").groupBy("key").agg(F.collect_list(F.struct("at", "ids")).alias("found"))
+    return whole.join(found, "key", "left").select("doc_id", "ids", "found").mapInArrow(_fill(bpe.width), "doc_id long, ids binary")
 
 
 def _decode(pieces):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = pieces.value
         for batch in slices(batches):
-            ids = batch.column("ids").to_pylist()
-            texts = [b"".join(map(piece.__getitem__, np.frombuffer(x or b"", dtype="<u4").tolist())).decode("utf-8", "replace") for x in ids]
+            texts = []
+            for raw in batch.column("ids").to_pylist():
+                ids = np.frombuffer(raw or b"", dtype="<u4").tolist()
+                found = itemgetter(*ids)(piece) if len(ids) > 1 else [piece[i] for i in ids]
+                texts.append(b"".join(found).decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
 
     return run
@@ -337,7 +357,8 @@ def _decode(pieces):
 
 def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
     """``(doc_id, ids, decoded)``: each id joined to its piece of the vocabulary, in order."""
-    pieces = encoded.sparkSession.sparkContext.broadcast(Bpe(path).pieces)  # as many entries as the vocabulary file has
+    by_id = Bpe(path).pieces
+    pieces = encoded.sparkSession.sparkContext.broadcast([by_id.get(i, b"") for i in range(max(by_id, default=-1) + 1)])  # as many as the vocabulary file has
     return encoded.select("doc_id", "ids").mapInArrow(_decode(pieces), "doc_id long, ids binary, decoded string")
 
 
