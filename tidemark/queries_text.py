@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import artifacts as G
+from .functions import injection as I
 from .functions import text as N
 from .functions import web as U
 from .queries import query
@@ -34,6 +35,21 @@ def _(v):
     return df.select("page_id", "clean", "truncated", "hidden_elements", "zero_width", "bidi")
 
 
+def _flag(kind: str) -> str:
+    """Does a conversation's turn match a pattern of the kind? For texts without invisible characters."""
+    return "(" + " or ".join(f"regexp_matches(text, '{_q(p)}')" for k, p in I.PATTERNS if k == kind) + ")"
+
+
+_KINDS = sorted({k for k, _ in I.PATTERNS})
+
+
+@query("n2_detect_injection", "select conv_id, turn, array_to_string(list_filter([" + ", ".join(f"case when {_flag(k)} then '{k}' end" for k in _KINDS) + "], lambda x: x is not null), ',') as kinds from conversations where regexp_matches(text, '^[ -~\\s]*$')")
+def _(v):
+    plain = v("conversations").where(F.rlike("text", F.lit(r"^[ -~\s]*$")))
+    kinds = F.array_sort(F.array_distinct(F.filter(F.transform("signals", lambda s: s["kind"]), lambda k: ~k.isin("obfuscation", "hidden_content"))))
+    return I.detect_injection(plain, "text").select("conv_id", "turn", F.array_join(kinds, ",").alias("kinds"))
+
+
 def _canonical_sql() -> str:
     names = ", ".join(f"'{n}'" for n in U.TRACKING)
     url = "trim(url)"
