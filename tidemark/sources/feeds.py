@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Date formats of feeds, tried in order.
-DATE_FORMATS = ("EEE, d MMM yyyy HH:mm:ss z", "EEE, d MMM yyyy HH:mm:ss Z", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd")
+DATE_FORMATS = ("d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm:ss Z", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd")
 
 _TEXT = T.StructType([T.StructField("_VALUE", T.StringType())])
 _LINK = T.StructType([T.StructField("_VALUE", T.StringType()), T.StructField("_href", T.StringType()), T.StructField("_rel", T.StringType())])
@@ -33,8 +33,9 @@ ENTRY = T.StructType(
 
 
 def feed_date(*columns: str) -> Column:
-    """Seconds of the first of the fields that any format reads."""
-    tries = [F.try_to_timestamp(F.trim(F.col(f"`{c}`")), F.lit(f)) for c in columns for f in DATE_FORMATS]
+    """Seconds of the first of the fields that any format reads; a weekday in front is ignored."""
+    bare = {c: F.regexp_replace(F.trim(F.col(f"`{c}`")), r"^[A-Za-z]{3,9},\s*", "") for c in columns}
+    tries = [F.try_to_timestamp(bare[c], F.lit(f)) for c in columns for f in DATE_FORMATS]
     return F.unix_timestamp(F.coalesce(*tries))
 
 
