@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -204,6 +205,23 @@ def test_bpe_is_the_library(spark):
     assert tokens.bpe_digests(empty(spark), path).count() == 0
 
 
+def test_bpe_holes_when_the_memory_turns_within_a_text(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "MEMO_ENTRIES", 10)
+    bpe = tokens.Bpe(tokens.tokenizer_path(spark))
+    library = Tokenizer.from_file(tokens.tokenizer_path(spark))
+    text = " ".join(f"first zq{i} wx{i % 7}" for i in range(60)) + " " + " ".join(f"zq{i % 13} first" for i in range(200))
+    words = sorted({w for s in tokens.Splitter(list(bpe.special)).spans(text) for w in tokens.Splitter([]).find(s)})
+    for known in ([], words[::3], words):
+        table = pa.table({"word": pa.array(known, pa.string()), "ids": pa.array([np.array(bpe.encode_word(w.encode()), dtype=bpe.width).tobytes() for w in known], pa.binary())})
+        join = tokens.PositionJoin(tokens.WordTable(table), bpe.special, bpe.width)
+        for _ in range(2):
+            ids, rare = join.ids(text)
+            found = [{"at": i, "ids": np.array(bpe.encode_word(w.encode()), dtype=bpe.width).tobytes()} for i, w in enumerate(rare)]
+            assert np.frombuffer(tokens._filled(ids, found, bpe.width), dtype="<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_long_and_short_merges_agree(spark):
     bpe = tokens.Bpe(tokens.tokenizer_path(spark))
     for w in (b"the" * 40, b" internationalisation", bytes(range(256)), b"aaaaaaab" * 9):

@@ -229,22 +229,21 @@ class PositionJoin:
     def __init__(self, known: WordTable, special: dict[str, int], width: str) -> None:
         self.known, self.split = known, Splitter(list(special))
         self.special = {c: np.array([i], dtype=width).tobytes() for c, i in special.items()}
-        self.hole, self.rare = b"\xff" * np.dtype(width).itemsize, {}
-        #: Two generations of remembered spans: when the newer is full it becomes the older, so frequent spans stay.
+        self.hole = b"\xff" * np.dtype(width).itemsize
+        #: Two generations of remembered spans: when the newer is full it becomes the older, so frequent spans stay. A span with
+        #: holes has its ids and the holes' words as one value, so neither outlives the other; any other span has its ids alone.
         self.memo, self.older = {}, {}
 
-    def _look_up(self, span: str) -> bytes:
+    def _look_up(self, span: str) -> bytes | tuple[bytes, list[str]]:
         if len(self.memo) >= MEMO_ENTRIES:
             self.memo, self.older = {}, self.memo
-            if len(self.rare) > 2 * MEMO_ENTRIES:
-                self.rare, self.older = {}, {}
         out = self.older.get(span)
         if out is None:
             words = self.split.find(span)
             ids = [self.known.get(w) for w in words]
-            if None in ids:
-                self.rare[span] = [w for w, x in zip(words, ids) if x is None]
             out = b"".join(self.hole if x is None else x for x in ids)
+            if None in ids:
+                out = out, [w for w, x in zip(words, ids) if x is None]
         self.memo[span] = out
         return out
 
@@ -255,12 +254,14 @@ class PositionJoin:
             if is_special:
                 out.append(self.special[section])
                 continue
-            get = self.memo.get
             for span in self.split.spans(section):
-                ids = get(span)
-                out.append(self._look_up(span) if ids is None else ids)
-                if self.rare and span in self.rare:
-                    words += self.rare[span]
+                ids = self.memo.get(span)
+                if ids is None:
+                    ids = self._look_up(span)
+                if type(ids) is tuple:
+                    ids, rare = ids
+                    words += rare
+                out.append(ids)
         return b"".join(out), words
 
 
