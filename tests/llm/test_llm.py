@@ -105,6 +105,25 @@ def test_substrings(spark, shard, monkeypatch):
     assert substrings.substring_digests(empty(spark)).count() == 0
 
 
+def test_substrings_of_a_crowded_passage_are_not_one_shard(spark, monkeypatch):
+    """A passage of 60 words in all documents, with other neighbours in each: its windows are shared, its edge passages are not."""
+    shared = " ".join(f"s{i}" for i in range(60))
+    rows = [(d, " ".join([*(f"a{d}_{i}" for i in range(40)), shared, *(f"b{d}_{i}" for i in range(40))])) for d in range(300)]
+    most, kind = [], type(documents(spark, rows))
+    deal = kind.repartition
+
+    def repartition(df, n, *columns):
+        if columns == ("shard",):
+            most.append(df.groupBy("shard").count().agg(F.max("count")).first()[0] or 0)
+        return deal(df, n, *columns)
+
+    monkeypatch.setattr(kind, "repartition", repartition)
+    whole = substrings.repeated_passages
+    monkeypatch.setattr(substrings, "repeated_passages", lambda docs: whole(docs, 20))
+    assert ordered(substrings.substring_digests(documents(spark, rows)).collect()) == ordered(brute_substrings(rows))
+    assert most and max(most) < 150
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.lists(st.integers(0, 2), max_size=14), st.integers(1, 2)), min_size=1, max_size=5))
 def test_suffix_automaton(passages):

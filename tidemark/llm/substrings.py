@@ -7,7 +7,8 @@ anchor is found once are done with. The others, each distinct passage once with
 each shard's suffix automaton (over word numbers, with occurrence counts) is built in one task, and the shard's passages are streamed
 through it: a window is repeated if it matches with at least ``WINDOW`` words at a state of two or more occurrences. An anchor with more
 distinct passages than a shard takes is dealt on by context: a window has at least ``_SIDE`` words before its anchor or as many after it, and equal
-windows agree in them, so each passage falls into two parts at most. A part that is still too frequent is dealt as single windows.
+windows agree in them, so each passage falls into two parts at most. A part that is still too frequent is taken as single windows, which are
+summed by their words before they move: each distinct window is one row with its count, and repeated if that is over one.
 
 ``reference_spans`` is the operator against a given reference: its shards' automata are broadcast, one bounded shard at a time.
 
@@ -230,6 +231,18 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
 
+def _window_masks(parts: DataFrame) -> DataFrame:
+    """``anchor, digest, mask`` of the repeated windows of crowded parts. Equal windows are summed before they move, so a frequent one is a row
+    for each task at most; all windows but those counted once are repeated, so no window's copies have to meet again."""
+    windows = parts.mapInArrow(_windows, "anchor long, digest long, count long, at int, words binary")
+    once = windows.groupBy("anchor", "words").agg(F.sum("count").alias("n"), F.min("digest").alias("digest"), F.min("at").alias("at")).where("n = 1")
+    once = once.select("anchor", "digest", F.lit(0).cast("long").alias("every"), F.expr("shiftleft(1L, at)").alias("once"))
+    n = F.size(F.split(F.col("words").cast("string"), " ")) - (WINDOW - 1)
+    every = parts.withColumn("n", n).select("anchor", "digest", F.expr("shiftleft(shiftleft(1L, n) - 1, at)").alias("every"), F.lit(0).cast("long").alias("once"))
+    both = every.unionByName(once).groupBy("anchor", "digest").agg(F.bit_or("every").alias("every"), F.bit_or("once").alias("once"))
+    return both.select("anchor", "digest", F.expr("every & ~once").alias("mask")).where("mask <> 0")
+
+
 def repeated_passages(docs: DataFrame, shard_passages: int = SHARD_PASSAGES) -> DataFrame:
     """``(key, start, mask)``: bit j of ``mask`` is set if the window that starts at word ``start + j`` of document ``key`` is repeated."""
     all_ = stored(docs.mapInArrow(_passages, "anchor long, digest long, key long, start int, n int, place int"), "substr-anchors")
@@ -254,10 +267,9 @@ def repeated_passages(docs: DataFrame, shard_passages: int = SHARD_PASSAGES) ->
     crowded = stored(parts.groupBy("anchor", "deal").count().where(f"count > {shard_passages}").select("anchor", "deal", F.lit(True).alias("crowded")), "substr-crowded")
     parts = join_small(parts, crowded, ["anchor", "deal"], "left")
     dealt = parts.where("crowded is null").select(F.pmod(F.xxhash64("anchor", "deal"), F.lit(shards)).alias("shard"), *columns)
-    windows = parts.where("crowded").select(*columns).mapInArrow(_windows, "anchor long, digest long, count long, at int, words binary")
-    windows = windows.select(F.pmod(F.xxhash64("anchor", "words"), F.lit(shards)).alias("shard"), *columns)
+    windows = _window_masks(parts.where("crowded").select(*columns))
     match = lambda df: df.repartition(min(shards, 4096), "shard").sortWithinPartitions("shard").mapInArrow(_match, "anchor long, digest long, mask long")
-    masks = match(few).unionByName(match(dealt)).unionByName(match(windows))
+    masks = match(few).unionByName(match(dealt)).unionByName(windows)
     masks = stored(masks.groupBy("anchor", "digest").agg(F.bit_or("mask").alias("mask")), "substr-masks")
     return join_small(repeated, masks, ["anchor", "digest"]).select("key", "start", "mask").distinct()
 
