@@ -35,6 +35,12 @@ def _(v):
     return df.select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
+@query("j3_similar_pairs_whole")
+def _(v):
+    """All vectors; the query with SQL compares a quarter of them."""
+    return C.similar_pairs(vector_items(v), 0.3)
+
+
 @query("n17_hash_embed")
 def _(v):
     df = story_items(v)
@@ -88,7 +94,14 @@ def _(v):
 )
 def _(v):
     labels = v("embeddings").select(F.col("vec_id").alias("id"), "label")
-    return C.threshold_sweep(vector_items(v).where("id % 4 = 0"), labels, [0.3, 0.35, 0.4])
+    return C.threshold_sweep(vector_items(v).where("id % 4 = 0"), labels, [0.3, 0.35, 0.4]).where("tp + fp > 0")
+
+
+@query("a17_threshold_sweep_whole")
+def _(v):
+    """All vectors at the ten thresholds and at those of the query with SQL, which compares a quarter of the vectors."""
+    labels = v("embeddings").select(F.col("vec_id").alias("id"), "label")
+    return C.threshold_sweep(vector_items(v), labels, [0.3, 0.35, 0.4, *C.SWEEP])
 
 
 @query("t6_stream_spend", "select spent_at // 86400 * 86400 as day, provider, sum(cost_micro)::bigint as cost_micro from v_ledger group by all")
