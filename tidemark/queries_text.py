@@ -50,6 +50,12 @@ def _(v):
     return I.detect_injection(plain, "text").select("conv_id", "turn", F.array_join(kinds, ",").alias("kinds"))
 
 
+@query("n2_detect_injection_whole")
+def _(v):
+    """Every turn with all kinds and their evidence; the query with SQL has the plain ASCII turns."""
+    return I.detect_injection(v("conversations"), "text").select("conv_id", "turn", "signals")
+
+
 def _canonical_sql() -> str:
     names = ", ".join(f"'{n}'" for n in U.TRACKING)
     url = "trim(url)"
