@@ -9,15 +9,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only when it was counted and has no more rows than this (rows here are a few dozen bytes wide).
-BROADCAST_ROWS = 400_000
+#: A side is broadcast only when it was counted and has no more rows and no more stored bytes than this.
+BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; only where that is unset (tests), a temporary one."""
+    """The folder named in ``spark.checkpoint.dir``. Only where that is unset and everything runs in one process (tests) is it a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     own = spark.conf.get("tidemark.shared.dir", None)
     if not own:
         own = tempfile.mkdtemp(prefix="spark-tidemark-")
@@ -33,13 +36,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes a table made by :func:`stored` that no later plan reads."""
+def _folder(df: DataFrame):
+    """The folder of a table made by :func:`stored`, with its file system; None if it has no file."""
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for file in df.inputFiles()[:1]:
-        folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return None
+
+
+def stored_bytes(df: DataFrame) -> int:
+    """Bytes of a table made by :func:`stored`, compressed as they lie there."""
+    found = _folder(df)
+    return found[1].getContentSummary(found[0]).getLength() if found else 0
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables made by :func:`stored` that no later plan reads."""
+    for df in tables:
+        if found := _folder(df):
+            found[1].delete(found[0], True)
 
 
 def release(spark: SparkSession) -> None:
@@ -49,6 +65,6 @@ def release(spark: SparkSession) -> None:
 
 
 def join_small(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Joins; ``right`` (a stored table) is broadcast if its counted size allows, else both sides are shuffled."""
-    small = right.count() <= BROADCAST_ROWS
+    """Joins; ``right`` (a stored table) is broadcast if its counted rows and bytes allow, else both sides are shuffled."""
+    small = right.count() <= BROADCAST_ROWS and stored_bytes(right) <= BROADCAST_BYTES
     return left.join(F.broadcast(right) if small else right, on, how)
