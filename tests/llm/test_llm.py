@@ -233,8 +233,8 @@ def test_bpe_holes_when_the_memory_turns_within_a_text(spark, monkeypatch):
     text = " ".join(f"first zq{i} wx{i % 7}" for i in range(60)) + " " + " ".join(f"zq{i % 13} first" for i in range(200))
     words = sorted({w for s in tokens.Splitter(list(bpe.special)).spans(text) for w in tokens.Splitter([]).find(s)})
     for known in ([], words[::3], words):
-        table = pa.table({"word": pa.array(known, pa.string()), "ids": pa.array([np.array(bpe.encode_word(w.encode()), dtype=bpe.width).tobytes() for w in known], pa.binary())})
-        join = tokens.PositionJoin(tokens.WordTable(table), bpe.special, bpe.width)
+        table = {w: np.array(bpe.encode_word(w.encode()), dtype=bpe.width).tobytes() for w in known}
+        join = tokens.PositionJoin(table, bpe.special, bpe.width)
         for _ in range(2):
             ids, rare = join.ids(text)
             found = [{"at": i, "ids": np.array(bpe.encode_word(w.encode()), dtype=bpe.width).tobytes()} for i, w in enumerate(rare)]

@@ -2,8 +2,9 @@
 
 Encoding: (1) every whole text is split into pre-token words and the distinct words are counted by Spark; (2) each distinct
 word is encoded once; (3) ids come back by position: of the most frequent words (``TABLE_BYTES`` of words and ids at most) by a
-broadcast join, of every other word by a shuffled join on the word, after which each document's holes are filled in order;
-(4) decoding joins ids to pieces of the vocabulary, whose size is fixed.
+broadcast join; one pass over the texts gives each document's ids with a hole for every other word, and those words. The words
+join the table by a shuffle, go back to their documents and fill the holes in order; (4) decoding joins ids to pieces of the
+vocabulary, whose size is fixed.
 
 Edge cases: null and empty texts have 0 tokens. Repeated rows are encoded alike, each on its own row. Empty tables give empty
 results. A null ``doc_id`` is kept. Extra columns are ignored. Texts may be of any length.
@@ -13,8 +14,6 @@ from __future__ import annotations
 
 import heapq
 import json
-from array import array
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from operator import itemgetter
@@ -22,16 +21,16 @@ from operator import itemgetter
 import numpy as np
 import pyarrow as pa
 import regex
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import release, stored
 from .words import slices, utf8
 
-#: Size of the words and ids that are joined by broadcast; in a worker it is some three times that.
-TABLE_BYTES = 64 << 20
-MEMO_ENTRIES = 160_000
+#: Size of the words and ids that are joined by broadcast; as a table in a worker they take some ten times that.
+TABLE_BYTES = 4 << 20
+MEMO_ENTRIES = 120_000
+_NONE: list[str] = []
 #: The pre-token pattern of byte-level BPE files of this family.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -114,19 +113,10 @@ class Splitter:
                 yield x, i % 2 == 1
 
     def spans(self, text: str) -> list[str]:
-        """Spans whose words do not depend on their surroundings, together the whole text."""
-        if self.double(text):
+        """Spans whose words do not depend on their surroundings, together the whole text; some may be empty."""
+        if "\0" in text or self.double(text):
             return self.find(text)
-        out: list[str] = []
-        for i, line in enumerate(text.split("\n")):
-            if i:
-                out.append("\n")
-            if line:
-                head, *rest = line.split(" ")
-                if head:
-                    out.append(head)
-                out += [" " + x for x in rest]
-        return out
+        return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
 
 
 def _texts(batch: pa.RecordBatch) -> list[str]:
@@ -195,55 +185,25 @@ def frequent(table: DataFrame, most: int) -> tuple[DataFrame, bool]:
     return table, True
 
 
-class WordTable:
-    """Words with their ids, packed: sorted 64-bit hashes, and the words and ids in the hashes' order. Hits are compared in full."""
-
-    def __init__(self, table: pa.Table) -> None:
-        words = table.column("word").to_pylist()
-        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), dtype=np.uint64, count=len(words))
-        del words
-        order = np.argsort(hashes, kind="stable")
-        self.hashes = array("Q", hashes[order].tobytes())
-        self.blobs = []
-        for name, kind in (("word", pa.large_string()), ("ids", pa.large_binary())):
-            column = table.column(name).cast(kind).combine_chunks().take(pa.array(order))
-            column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-            _, offsets, data = column.buffers()
-            at = np.frombuffer(offsets, dtype=np.int64)[: len(column) + 1] if len(column) else np.zeros(1, dtype=np.int64)
-            self.blobs.append((array("I", at.astype(np.uint32).tobytes()), data.to_pybytes() if data else b""))
-
-    def get(self, word: str) -> bytes | None:
-        h, raw = xxhash.xxh3_64_intdigest(word), word.encode()
-        (at, words), (ids_at, ids) = self.blobs
-        i = bisect_left(self.hashes, h)
-        while i < len(self.hashes) and self.hashes[i] == h:
-            if words[at[i] : at[i + 1]] == raw:
-                return ids[ids_at[i] : ids_at[i + 1]]
-            i += 1
-        return None
-
-
 class PositionJoin:
     """ids of a text by its words' positions, with a hole for each word that is not among the frequent ones."""
 
-    def __init__(self, known: WordTable, special: dict[str, int], width: str) -> None:
+    def __init__(self, known: dict[str, bytes], special: dict[str, int], width: str) -> None:
         self.known, self.split = known, Splitter(list(special))
         self.special = {c: np.array([i], dtype=width).tobytes() for c, i in special.items()}
         self.hole = b"\xff" * np.dtype(width).itemsize
-        #: Two generations of remembered spans: when the newer is full it becomes the older, so frequent spans stay. A span with
-        #: holes has its ids and the holes' words as one value, so neither outlives the other; any other span has its ids alone.
+        #: Two generations of remembered spans of several words or none in the table: when the newer is full it becomes the older, so
+        #: frequent spans stay. A span has its ids and the words of its holes as one value, so neither outlives the other.
         self.memo, self.older = {}, {}
 
-    def _look_up(self, span: str) -> bytes | tuple[bytes, list[str]]:
+    def _look_up(self, span: str) -> tuple[bytes, list[str]]:
         if len(self.memo) >= MEMO_ENTRIES:
             self.memo, self.older = {}, self.memo
         out = self.older.get(span)
         if out is None:
             words = self.split.find(span)
-            ids = [self.known.get(w) for w in words]
-            out = b"".join(self.hole if x is None else x for x in ids)
-            if None in ids:
-                out = out, [w for w, x in zip(words, ids) if x is None]
+            ids = [self.known.get(w, self.hole) for w in words]
+            out = b"".join(ids), [w for w, x in zip(words, ids) if x is self.hole] if self.hole in ids else _NONE
         self.memo[span] = out
         return out
 
@@ -254,48 +214,27 @@ class PositionJoin:
             if is_special:
                 out.append(self.special[section])
                 continue
-            for span in self.split.spans(section):
-                ids = self.memo.get(span)
-                if ids is None:
-                    ids = self._look_up(span)
-                if type(ids) is tuple:
-                    ids, rare = ids
-                    words += rare
-                out.append(ids)
+            spans = self.split.spans(section)
+            # A span that is a word of the table is that word alone.
+            found = list(map(self.known.get, spans))
+            if None in found:
+                for i in [i for i, x in enumerate(found) if x is None]:
+                    known = self.memo.get(spans[i])
+                    found[i], rare = self._look_up(spans[i]) if known is None else known
+                    if rare:
+                        words += rare
+            out += found
         return b"".join(out), words
 
 
-def _holes(known, special, width):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        join = PositionJoin(known.value, special, width)
-        for batch in slices(batches):
-            keys, at, words = [], [], []
-            for key, text in zip(batch.column("key").to_pylist(), _texts(batch)):
-                found = join.ids(text)[1]
-                keys += [key] * len(found)
-                at += range(len(found))
-                words += found
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(at, pa.int32()), pa.array(words, pa.string())], names=["key", "at", "word"])
-
-    return run
-
-
 def _with_holes(known, special, width):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        join = PositionJoin(known.value, special, width)
-        for batch in slices(batches):
-            ids = [join.ids(x)[0] for x in _texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(ids, pa.binary())], names=["doc_id", "key", "ids"])
+    """Each text's ids with holes, and the words of the holes in order."""
 
-    return run
-
-
-def _widened(known, special, width):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        join = PositionJoin(known.value, special, width)
+        join = PositionJoin(dict(zip(*known.value)), special, width)
         for batch in slices(batches):
-            ids = [np.frombuffer(join.ids(x)[0], dtype=width).astype("<u4").tobytes() for x in _texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+            ids, words = zip(*map(join.ids, _texts(batch)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array(words, pa.list_(pa.string()))], names=["doc_id", "ids", "rare"])
 
     return run
 
@@ -331,15 +270,17 @@ def bpe_encode(docs: DataFrame, path: str, most: int = TABLE_BYTES) -> DataFrame
     words = stored(encoded_words(docs, path), "bpe-words")
     release(spark)
     head, complete = frequent(words, most)
-    known = spark.sparkContext.broadcast(WordTable(head.select("word", "ids").toArrow()))  # at most ``most`` bytes of words and ids
+    table = head.select("word", "ids").toArrow()  # at most ``most`` bytes of words and ids
+    known = spark.sparkContext.broadcast((table.column("word").to_pylist(), table.column("ids").to_pylist()))
+    whole = docs.select("doc_id", "text").mapInArrow(_with_holes(known, bpe.special, bpe.width), "doc_id long, ids binary, rare array<string>")
     if complete:
         # Every word is in the table: there are no holes to fill.
-        return docs.select("doc_id", "text").mapInArrow(_widened(known, bpe.special, bpe.width), "doc_id long, ids binary")
-    docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
-    whole = docs.mapInArrow(_with_holes(known, bpe.special, bpe.width), "doc_id long, key long, ids binary")
-    tail = docs.select("key", "text").mapInArrow(_holes(known, bpe.special, bpe.width), "key long, at int, word string")
-    found = tail.join(words.select("word", "ids").hint("shuffle_merge"), "word").groupBy("key").agg(F.collect_list(F.struct("at", "ids")).alias("found"))
-    return whole.join(found, "key", "left").select("doc_id", "ids", "found").mapInArrow(_fill(bpe.width), "doc_id long, ids binary")
+        return whole.withColumn("found", F.lit(None).cast("array<struct<at:int,ids:binary>>")).select("doc_id", "ids", "found").mapInArrow(_fill(bpe.width), "doc_id long, ids binary")
+    # Row numbers are fixed by being written, so repeated rows are told apart.
+    whole = stored(whole.withColumn("row", F.monotonically_increasing_id()), "bpe-holes")
+    holes = whole.select("row", F.posexplode("rare").alias("at", "word"))
+    found = holes.join(words.select("word", "ids").hint("shuffle_hash"), "word").groupBy("row").agg(F.collect_list(F.struct("at", "ids")).alias("found"))
+    return whole.select("doc_id", "row", "ids").join(found, "row", "left").select("doc_id", "ids", "found").mapInArrow(_fill(bpe.width), "doc_id long, ids binary")
 
 
 def _decode(pieces):
