@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -12,6 +11,8 @@ from pyspark.sql import functions as F
 #: A side is broadcast only when it was counted and has no more rows and no more stored bytes than this.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 8 << 20
+#: Spark's own setting for deleting a query's shuffle files when the query has ended.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,10 +30,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: lineage ends there, and lost executors cost nothing."""
+    """Writes ``df`` to the shared folder and reads it back: lineage ends there, and lost executors cost nothing. The shuffle files of the
+    write are deleted when it ends, since nothing reads them again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -58,12 +65,6 @@ def discard(*tables: DataFrame) -> None:
             found[1].delete(found[0], True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files and broadcasts of finished phases, which it does when their handles are collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def join_small(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Joins; ``right`` (a stored table) is broadcast if its counted rows and bytes allow, else both sides are shuffled."""
     small = right.count() <= BROADCAST_ROWS and stored_bytes(right) <= BROADCAST_BYTES
