@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import discard, stored
 from .words import slices, utf8
 
 #: Size of the words and ids that are joined by broadcast; as a table in a worker they take some ten times that.
@@ -279,6 +279,8 @@ def bpe_encode(docs: DataFrame, path: str, most: int = TABLE_BYTES) -> DataFrame
     whole = stored(whole.withColumn("row", F.monotonically_increasing_id()), "bpe-holes")
     holes = whole.select("row", F.posexplode("rare").alias("at", "word"))
     found = holes.join(words.select("word", "ids").hint("shuffle_hash"), "word").groupBy("row").agg(F.collect_list(F.struct("at", "ids")).alias("found"))
+    found = stored(found, "bpe-found")
+    discard(words)
     return whole.select("doc_id", "row", "ids").join(found, "row", "left").select("doc_id", "ids", "found").mapInArrow(_fill(bpe.width), "doc_id long, ids binary")
 
 
