@@ -4,7 +4,12 @@ Documents with equal shingle sets are one class, so copies never make pairs. Cla
 with one pivot, the class of their group whose minimum hashes are the most shared, so that a large group of near copies costs one pair for each
 member. Then the prefix join runs over all classes: each puts the rarest part of its set, in which any partner must share a
 shingle, into a table, and only prefix shingles that occur in different components so far are joined. Links within a component
-change nothing, links between components are all found.
+change nothing, links between components are all found. The classes of one prefix shingle meet within a task, in blocks of bounded size where there
+are many; the task applies the length, positional and suffix filters to whole columns of pairs and hands on only the pairs that pass all
+three, which are few even in a large family of copies that differ too much to link. Each such pair is verified once.
+
+The suffix filter divides shingles by hash into ``RANGES`` ranges and keeps, for each set, whether its count in a range is odd (64 bytes). Two sets
+differ by at least one shingle in each range where that differs, so a pair with more such ranges than the threshold allows cannot link.
 
 Rarity is a count of hash buckets over all documents (``BUCKETS`` of them); any fixed order keeps the filter exact.
 
@@ -31,7 +36,11 @@ SHINGLE = 5
 PERCENT = 80
 BUCKETS = 1 << 17
 MIN_HASHES = 8
-SIGNATURE = 256
+RANGES = 512
+#: Classes of one prefix shingle that are compared in one piece.
+BLOCK = 4096
+#: Pairs that a task gathers before it hands them on, and classes that it remembers as done.
+GATHERED, REMEMBERED = 1 << 19, 200_000
 #: Shared minimum hashes, of ``MIN_HASHES``, from which a class is compared with its pivot before the prefix join.
 LEAST_SHARED = 4
 #: Open prefix shingles (8 bytes each) that are sent to the tasks; more of them are joined by a shuffle.
@@ -60,12 +69,13 @@ def class_ids(flat: np.ndarray, offset: np.ndarray) -> np.ndarray:
     return mixed(one ^ mixed(two + np.diff(offset).astype(np.uint64), 103), 104)
 
 
-def signatures(flat: np.ndarray, offset: np.ndarray) -> np.ndarray:
-    """How many members of each set fall in each of ``SIGNATURE`` hash ranges, 255 at most."""
+def parities(flat: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    """For each set, one bit for each of ``RANGES`` hash ranges: is its count there odd? As rows of 64-bit words."""
     n = len(offset) - 1
     row = np.repeat(np.arange(n), np.diff(offset))
-    part = (flat >> np.uint64(64 - 8)).astype(np.int64)
-    return np.minimum(np.bincount(row * SIGNATURE + part, minlength=n * SIGNATURE), 255).astype(np.uint8).reshape(n, SIGNATURE)
+    part = (flat >> np.uint64(64 - 9)).astype(np.int64)
+    odd = (np.bincount(row * RANGES + part, minlength=n * RANGES) & 1).astype(np.uint8).reshape(n, RANGES)
+    return np.packbits(odd, axis=1).view(np.uint64)
 
 
 def _flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -75,41 +85,49 @@ def _flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents with class, size and minimum hashes; at the end, the task's bucket counts as rows without a key."""
     powers, counts = Powers(), np.zeros(BUCKETS, dtype=np.int64)
-    names = ["doc_id", "key", "n", "class", "mins", "signature", "bucket"]
+    names = ["doc_id", "key", "n", "class", "mins", "bucket"]
     for batch in slices(batches):
         sets = shingle_sets(utf8(batch.column("text")), powers)
         sizes = np.array([len(x) for x in sets], dtype=np.int64)
-        ids, mins, marks, full = np.zeros(len(sets), dtype=np.int64), [None] * len(sets), [None] * len(sets), np.flatnonzero(sizes)
+        ids, mins, full = np.zeros(len(sets), dtype=np.int64), [None] * len(sets), np.flatnonzero(sizes)
         if len(full):
             flat, offset = _flat([sets[i] for i in full])
             counts += np.bincount((flat % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
             ids[full] = class_ids(flat, offset).view(np.int64)
             least = np.stack([np.minimum.reduceat(mixed(flat, s + 1), offset[:-1]) for s in range(MIN_HASHES)], axis=1).view(np.int64)
-            for i, row, mark in zip(full, least.tolist(), signatures(flat, offset)):
-                mins[i], marks[i] = row, mark.tobytes()
+            for i, row in zip(full, least.tolist()):
+                mins[i] = row
         none = pa.nulls(len(sets), pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(sizes), pa.array(ids), pa.array(mins, pa.list_(pa.int64())), pa.array(marks, pa.binary()), none], names=names)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(sizes), pa.array(ids), pa.array(mins, pa.list_(pa.int64())), none], names=names)
     used = np.flatnonzero(counts)
     none = pa.nulls(len(used), pa.int64())
-    yield pa.RecordBatch.from_arrays([none, none, pa.array(counts[used]), none, pa.nulls(len(used), pa.list_(pa.int64())), pa.nulls(len(used), pa.binary()), pa.array(used)], names=names)
+    yield pa.RecordBatch.from_arrays([none, none, pa.array(counts[used]), none, pa.nulls(len(used), pa.list_(pa.int64())), pa.array(used)], names=names)
+
+
+def _new_sets(batch: pa.RecordBatch, powers: Powers, done: set[int]) -> tuple[list[int], list[np.ndarray]]:
+    """Classes and sets of the batch's texts that are not in ``done``, which forgets everything when it is full."""
+    sets = [x for x in shingle_sets(utf8(batch.column("text")), powers) if len(x)]
+    ids = class_ids(*_flat(sets)).view(np.int64).tolist() if sets else []
+    if len(done) > REMEMBERED:
+        done.clear()
+    new = [(c, s) for c, s in zip(ids, sets) if c not in done and not done.add(c)]
+    return [c for c, _ in new], [s for _, s in new]
 
 
-def _prefixes(rarity, wanted=None):
-    """Prefix shingles of each class that the task meets; only those in the sorted array ``wanted``, where it is given."""
+def _prefixes(rarity, wanted=None, full: bool = False):
+    """Prefix shingles of each class that the task meets; where the sorted array ``wanted`` is given, only those in it. With ``wanted`` or
+    ``full`` rows have size, place and parities too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, count, done = Powers(), rarity.value, set()
         only = None if wanted is None else wanted.value
         for batch in slices(batches):
-            sets = [x for x in shingle_sets(utf8(batch.column("text")), powers) if len(x)]
+            ids, sets = _new_sets(batch, powers, done)
             if not sets:
                 continue
-            ids = class_ids(*_flat(sets)).view(np.int64).tolist()
-            tokens, classes, sizes, places = [], [], [], []
-            for c, s in zip(ids, sets):
-                if c in done:
-                    continue
-                done.add(c)
+            marks = parities(*_flat(sets)) if full or only is not None else None
+            tokens, classes, sizes, places, rows = [], [], [], [], []
+            for k, (c, s) in enumerate(zip(ids, sets)):
                 n = len(s)
                 keep = n - (PERCENT * n + 99) // 100 + 1
                 order = np.lexsort((s, count[(s % np.uint64(BUCKETS)).astype(np.int64)]))[:keep]
@@ -122,9 +140,14 @@ def _prefixes(rarity, wanted=None):
                 classes.append(np.full(len(token), c, dtype=np.int64))
                 sizes.append(np.full(len(token), n, dtype=np.int32))
                 places.append(place)
-            if tokens:
-                columns = [pa.array(np.concatenate(x)) for x in (tokens, classes, sizes, places)]
-                yield pa.RecordBatch.from_arrays(columns, names=["token", "class", "n", "place"])
+                rows.append(np.full(len(token), k))
+            columns = [pa.array(np.concatenate(x)) for x in (tokens, classes)]
+            if marks is None:
+                yield pa.RecordBatch.from_arrays(columns, names=["token", "class"])
+                continue
+            raw = marks[np.concatenate(rows)].tobytes()
+            packed = pa.array([raw[i : i + RANGES // 8] for i in range(0, len(raw), RANGES // 8)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(np.concatenate(x)) for x in (sizes, places)), packed], names=["token", "class", "n", "place", "marks"])
 
     return run
 
@@ -132,10 +155,8 @@ def _prefixes(rarity, wanted=None):
 def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     powers, done = Powers(), set()
     for batch in slices(batches):
-        sets = [x for x in shingle_sets(utf8(batch.column("text")), powers) if len(x)]
-        ids = class_ids(*_flat(sets)).view(np.int64).tolist() if sets else []
-        new = [(c, s.tobytes()) for c, s in zip(ids, sets) if c not in done and not done.add(c)]
-        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in new], pa.int64()), pa.array([s for _, s in new], pa.binary())], names=["class", "members"])
+        ids, sets = _new_sets(batch, powers, done)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "members"])
 
 
 def overlap(x: np.ndarray, y: np.ndarray) -> int:
@@ -147,21 +168,68 @@ def overlap(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[at] == x).sum())
 
 
-def may_link(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Suffix filter on rows of signatures: sets differ, in each hash range, by at least the difference of their counts there; all that they differ by
-    must not exceed what the threshold allows. Counts over 254 are unknown, so such rows pass."""
-    x, y = x.astype(np.int64), y.astype(np.int64)
-    least = np.abs(x - y).sum(axis=1)
+def may_link(x: np.ndarray, y: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Suffix filter on rows of parities and the sums of both sizes: what the sets differ by at least must not exceed what the threshold allows."""
+    least = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
     # |x ^ y| = |x| + |y| - 2 * overlap, and overlap >= PERCENT / (100 + PERCENT) * (|x| + |y|).
-    total = x.sum(axis=1) + y.sum(axis=1)
-    return (least * (100 + PERCENT) <= total * (100 - PERCENT)) | (x == 255).any(axis=1) | (y == 255).any(axis=1)
-
-
-def _suffix_filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, 4096):
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, SIGNATURE) for c in ("x", "y"))
-        mask = pa.array(may_link(x, y), pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in ("a", "b")], names=["a", "b"])
+    return least * (100 + PERCENT) <= total * (100 - PERCENT)
+
+
+def group_pairs(t: dict[str, np.ndarray]) -> np.ndarray:
+    """Pairs of classes (columns a < b) of whole groups (token, p, q), sorted, that pass all filters. A step compares every row with the one ``k``
+    places after it, of all groups at once."""
+    size = len(t["token"])
+    new = np.flatnonzero(np.concatenate([[True], (t["token"][1:] != t["token"][:-1]) | (t["p"][1:] != t["p"][:-1]) | (t["q"][1:] != t["q"][:-1])]))
+    end = np.repeat(np.append(new[1:], size), np.diff(np.append(new, size)))
+    rows, out, k = np.arange(size), [], 0
+    while True:
+        k += 1
+        rows = rows[end[rows] > rows + k]
+        if not len(rows):
+            break
+        i, j = rows, rows + k
+        keep = (t["part"][i] != t["part"][j]) & ((t["p"][i] == t["q"][i]) | (t["block"][i] != t["block"][j]))
+        i, j = i[keep], j[keep]
+        m, n, p, q = t["n"][i], t["n"][j], t["place"][i], t["place"][j]
+        most = np.minimum(p, q) + np.minimum(m - p, n - q)
+        keep = (100 * np.minimum(m, n) >= PERCENT * np.maximum(m, n)) & (most * (100 + PERCENT) >= PERCENT * (m + n))
+        i, j = i[keep], j[keep]
+        keep = may_link(t["marks"][i], t["marks"][j], t["n"][i] + t["n"][j])
+        a, b = t["class"][i[keep]], t["class"][j[keep]]
+        out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
+    return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), dtype=np.int64)
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole groups (token, p, q), sorted. Only groups that may still go on are kept."""
+    numbers = ("token", "class", "part", "n", "place", "block", "p", "q")
+
+    def columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+        t = {c: batch.column(c).to_numpy().astype(np.int64) for c in numbers}
+        t["marks"] = np.frombuffer(b"".join(batch.column("marks").to_pylist()), dtype=np.uint64).reshape(-1, RANGES // 64)
+        return t
+
+    def pairs(found: list[np.ndarray]) -> pa.RecordBatch:
+        both = np.unique(np.concatenate(found), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+    left, found = None, []
+    for batch in slices(batches, 1 << 14):
+        t = columns(batch)
+        if left is not None:
+            t = {c: np.concatenate([left[c], t[c]]) for c in t}
+        last = np.flatnonzero((t["token"] != t["token"][-1]) | (t["p"] != t["p"][-1]) | (t["q"] != t["q"][-1]))
+        cut = int(last[-1]) + 1 if len(last) else 0
+        left = {c: x[cut:] for c, x in t.items()}
+        if cut:
+            found.append(group_pairs({c: x[:cut] for c, x in t.items()}))
+        if sum(map(len, found)) > GATHERED:
+            yield pairs(found)
+            found = []
+    if left is not None and len(left["token"]):
+        found.append(group_pairs(left))
+    if found:
+        yield pairs(found)
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,17 +245,14 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs ``(a, b)`` of classes that link, each compared once; only their documents' sets are moved."""
-    marks = classes.select("class", "signature")
-    x, y = marks.toDF("a", "x").hint("shuffle_merge"), marks.toDF("b", "y").hint("shuffle_merge")
-    pairs = stored(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_suffix_filter, "a long, b long"), "jaccard-pairs")
+    pairs = stored(pairs, "jaccard-pairs")
     members = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     wanted = stored(members.join(classes.select("class", "key"), "class").select("key"), "jaccard-wanted")
     sets = join_small(docs, wanted, ["key"], "left_semi").select("text").mapInArrow(_sets_of, "class long, members binary")
     sets = stored(sets.dropDuplicates(["class"]), "jaccard-sets")
     x, y = sets.toDF("a", "x").hint("shuffle_merge"), sets.toDF("b", "y").hint("shuffle_merge")
     links = stored(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long"), "jaccard-links")
-    for old in (pairs, wanted, sets):
-        discard(old)
+    discard(pairs, wanted, sets)
     return links
 
 
@@ -205,33 +270,34 @@ def pivot_pairs(classes: DataFrame) -> DataFrame:
 
 
 def prefix_pairs(docs: DataFrame, rarity, parts: DataFrame) -> DataFrame:
-    """Pairs of classes of different components that share a prefix shingle and pass the length and positional filters.
+    """Pairs of classes of different components that share a prefix shingle and pass the length, positional and suffix filters.
 
     ``parts(class, part)`` has the components of more than one class."""
-    rows = docs.select("text").mapInArrow(_prefixes(rarity), "token long, class long, n int, place int")
-    rows = join_small(rows, parts, ["class"], "left").withColumn("part", F.coalesce("part", "class"))
-    open_tokens = rows.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("token")
-    open_tokens = stored(open_tokens, "jaccard-tokens")
+    with_part = lambda df: join_small(df, parts, ["class"], "left").withColumn("part", F.coalesce("part", "class"))
+    rows = with_part(docs.select("text").mapInArrow(_prefixes(rarity), "token long, class long"))
+    open_tokens = rows.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n")).where("low < high")
+    # A shingle of many classes is compared block by block; each class goes to the pairs of blocks that hold its own.
+    open_tokens = stored(open_tokens.select("token", F.expr(f"if(n > {BLOCK}, cast(n div {BLOCK // 2} + 1 as int), 1)").alias("blocks")), "jaccard-tokens")
+    schema = "token long, class long, n int, place int, marks binary"
     if open_tokens.count() <= OPEN_TOKENS:
-        wanted = docs.sparkSession.sparkContext.broadcast(np.sort(open_tokens.toArrow().column("token").to_numpy()))
-        rows = docs.select("text").mapInArrow(_prefixes(rarity, wanted), "token long, class long, n int, place int")
-        rows = join_small(rows, parts, ["class"], "left").withColumn("part", F.coalesce("part", "class"))
+        wanted = docs.sparkSession.sparkContext.broadcast(np.sort(open_tokens.select("token").toArrow().column("token").to_numpy()))
+        rows = with_part(docs.select("text").mapInArrow(_prefixes(rarity, wanted), schema))
+        many = stored(open_tokens.where("blocks > 1"), "jaccard-many")
+        rows = join_small(rows, many, ["token"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     else:
-        rows = rows.join(open_tokens, "token")
-    rows = stored(rows.distinct(), "jaccard-prefixes")
-    a, b = rows.alias("a"), rows.alias("b")
-    length = F.expr(f"100 * least(a.n, b.n) >= {PERCENT} * greatest(a.n, b.n)")
-    most = F.expr("least(a.place, b.place) + 1 + least(a.n - a.place, b.n - b.place) - 1")
-    position = most * (100 + PERCENT) >= F.expr(f"{PERCENT} * (a.n + b.n)")
-    pairs = a.join(b, F.expr("a.token = b.token and a.part <> b.part and a.class < b.class") & length & position)
-    return pairs.select(F.col("a.class").alias("a"), F.col("b.class").alias("b")).distinct()
+        rows = with_part(docs.select("text").mapInArrow(_prefixes(rarity, None, True), schema)).join(open_tokens, "token")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("class"), "blocks").cast("int"))
+    pair = "transform(sequence(0, blocks - 1), o -> struct(least(o, block) as p, greatest(o, block) as q))"
+    rows = rows.withColumn("pq", F.explode(F.expr(pair))).select("token", "class", "part", "n", "place", "marks", "block", "pq.p", "pq.q")
+    met = rows.repartition("token", "p", "q").sortWithinPartitions("token", "p", "q")
+    return met.mapInArrow(_meet, "a long, b long").distinct()
 
 
 def described(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All rows as ``(doc_id, key, n, class, mins, bucket)``, and the classes."""
-    rows = stored(docs.mapInArrow(_describe, "doc_id long, key long, n long, class long, mins array<long>, signature binary, bucket long"), "jaccard-rows")
+    rows = stored(docs.mapInArrow(_describe, "doc_id long, key long, n long, class long, mins array<long>, bucket long"), "jaccard-rows")
     full = rows.where("bucket is null and n > 0")
-    classes = full.groupBy("class").agg(F.min("key").alias("key"), F.first("mins").alias("mins"), F.first("signature").alias("signature"))
+    classes = full.groupBy("class").agg(F.min("key").alias("key"), F.first("mins").alias("mins"))
     return rows, stored(classes, "jaccard-classes")
 
 
@@ -266,9 +332,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     found = stored(near_duplicates(docs), "jaccard-found")
     first = found.where("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "key"))["key"].alias("key"))
     kept = stored(first.select("key").unionByName(found.where("component is null").select("key").distinct()), "jaccard-kept")
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    left = join_small(keyed, kept.toDF("_key"), ["_key"])
+    # The whole row is one column, so no name of the table's own is in the way.
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64("doc_id", "text").alias("key"))
+    left = join_small(keyed, kept, ["key"])
     # Rows that are equal in id and text have one key; of those with words one stays.
-    words = F.coalesce(F.rlike("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
-    once = left.where(words).dropDuplicates(["_key"])
-    return once.unionByName(left.where(~words)).select(*docs.columns)
+    words = F.coalesce(F.rlike("row.text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
+    return left.where(words).dropDuplicates(["key"]).unionByName(left.where(~words)).select("row.*")
