@@ -157,14 +157,12 @@ def test_jaccard(spark):
 
 
 def test_prefix_join_alone_finds_all_links(spark):
-    """Without the pivots' links, the prefix join must find every link itself."""
+    """Without the rounds with leaders, the prefix join must find every link itself."""
     rows = given_rows(spark)
     docs = documents(spark, rows).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
     described, classes = jaccard.described(docs)
     rarity = spark.sparkContext.broadcast(np.zeros(jaccard.BUCKETS, dtype=np.int64))
-    none = spark.createDataFrame([], "class long, part long")
-    links = jaccard.verified(jaccard.prefix_pairs(docs, rarity, none), docs, classes)
-    roots = {r["node"]: r["root"] for r in components.components(links).collect()}
+    roots = {r["class"]: r["part"] for r in jaccard.class_parts(docs, classes, rarity, rounds=0).collect()}
     groups = defaultdict(list)
     for r in described.where("bucket is null").collect():
         groups[roots.get(r["class"], r["class"]) if r["n"] else ("none", r["doc_id"])].append(r["doc_id"])
@@ -193,7 +191,7 @@ def test_family_of_copies_that_do_not_link_is_compared_in_blocks(spark, monkeypa
         rows.append((i, " ".join(w)))
     rows += [(500 + i, rows[i][1] + " tail") for i in range(0, 120, 10)]
     monkeypatch.setattr(jaccard, "BLOCK", 16)
-    monkeypatch.setattr(jaccard, "OPEN_TOKENS", 0)
+    monkeypatch.setattr(jaccard, "SHARED_TOKENS", 0)
     assert ordered(jaccard.jaccard_components(documents(spark, rows)).collect()) == ordered(brute_components(rows))
 
 

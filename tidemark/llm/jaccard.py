@@ -1,14 +1,15 @@
 """N-gram Jaccard join: rare-first prefix filtering with length, positional and suffix filters, verified once per pair.
 
-Documents with equal shingle sets are one class, so copies never make pairs. Classes that share a minimum hash are first compared
-with one pivot, the class of their group whose minimum hashes are the most shared, so that a large group of near copies costs one pair for each
-member. Then the prefix join runs over all classes: each puts the rarest part of its set, in which any partner must share a
-shingle, into a table, and only prefix shingles that occur in different components so far are joined. Links within a component
-change nothing, links between components are all found. The classes of one prefix shingle meet within a task, in blocks of bounded size where there
-are many; the task applies the length, positional and suffix filters to whole columns of pairs and hands on only the pairs that pass all
-three, which are few even in a large family of copies that differ too much to link. Each such pair is verified once.
-
-The suffix filter divides shingles by hash into ``RANGES`` ranges and keeps, for each set, whether its count in a range is odd (64 bytes). Two sets
+Documents with equal shingle sets are one class, so copies never make pairs. Each class puts the rarest part of its set, in which any partner
+must share a shingle, into a table. The classes of one prefix shingle meet within a task, which applies the length, positional and suffix filters to
+whole columns of pairs and hands on only the pairs that pass all three; each such pair is verified once.
+
+Large groups of near copies are joined in rounds first: in each prefix shingle's group one class leads, by an order that is the same in all groups and new in each round,
+and every other class is verified with one leader, that of most shared shingles; classes that link become one part. So a round costs one pair a class, and
+a family of copies falls into few parts. Then all pairs of different parts are compared, in blocks of bounded size where a shingle has many classes. Links
+within a part change nothing, links between parts are all found.
+
+The suffix filter divides shingles by hash into ``RANGES`` ranges and keeps, for each set, whether its count in a range is odd (128 bytes). Two sets
 differ by at least one shingle in each range where that differs, so a pair with more such ranges than the threshold allows cannot link.
 
 Rarity is a count of hash buckets over all documents (``BUCKETS`` of them); any fixed order keeps the filter exact.
@@ -35,16 +36,15 @@ SHINGLE = 5
 #: Link: ``100 * intersection >= PERCENT * union``.
 PERCENT = 80
 BUCKETS = 1 << 17
-MIN_HASHES = 8
-RANGES = 512
+RANGES = 1024
+#: Rounds with leaders before all pairs of different parts are compared.
+ROUNDS = 4
 #: Classes of one prefix shingle that are compared in one piece.
 BLOCK = 4096
 #: Pairs that a task gathers before it hands them on, and classes that it remembers as done.
 GATHERED, REMEMBERED = 1 << 19, 200_000
-#: Shared minimum hashes, of ``MIN_HASHES``, from which a class is compared with its pivot before the prefix join.
-LEAST_SHARED = 4
-#: Open prefix shingles (8 bytes each) that are sent to the tasks; more of them are joined by a shuffle.
-OPEN_TOKENS = 4_000_000
+#: Shared prefix shingles (8 bytes each) that are sent to the tasks; more of them are joined by a shuffle.
+SHARED_TOKENS = 4_000_000
 
 
 def shingle_sets(texts: list[bytes], powers: Powers) -> list[np.ndarray]:
@@ -73,7 +73,7 @@ def parities(flat: np.ndarray, offset: np.ndarray) -> np.ndarray:
     """For each set, one bit for each of ``RANGES`` hash ranges: is its count there odd? As rows of 64-bit words."""
     n = len(offset) - 1
     row = np.repeat(np.arange(n), np.diff(offset))
-    part = (flat >> np.uint64(64 - 9)).astype(np.int64)
+    part = (flat >> np.uint64(64 - 10)).astype(np.int64)
     odd = (np.bincount(row * RANGES + part, minlength=n * RANGES) & 1).astype(np.uint8).reshape(n, RANGES)
     return np.packbits(odd, axis=1).view(np.uint64)
 
@@ -83,25 +83,22 @@ def _flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents with class, size and minimum hashes; at the end, the task's bucket counts as rows without a key."""
+    """Documents with class and size; at the end, the task's bucket counts as rows without a key."""
     powers, counts = Powers(), np.zeros(BUCKETS, dtype=np.int64)
-    names = ["doc_id", "key", "n", "class", "mins", "bucket"]
+    names = ["doc_id", "key", "n", "class", "bucket"]
     for batch in slices(batches):
         sets = shingle_sets(utf8(batch.column("text")), powers)
         sizes = np.array([len(x) for x in sets], dtype=np.int64)
-        ids, mins, full = np.zeros(len(sets), dtype=np.int64), [None] * len(sets), np.flatnonzero(sizes)
+        ids, full = np.zeros(len(sets), dtype=np.int64), np.flatnonzero(sizes)
         if len(full):
             flat, offset = _flat([sets[i] for i in full])
             counts += np.bincount((flat % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
             ids[full] = class_ids(flat, offset).view(np.int64)
-            least = np.stack([np.minimum.reduceat(mixed(flat, s + 1), offset[:-1]) for s in range(MIN_HASHES)], axis=1).view(np.int64)
-            for i, row in zip(full, least.tolist()):
-                mins[i] = row
         none = pa.nulls(len(sets), pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(sizes), pa.array(ids), pa.array(mins, pa.list_(pa.int64())), none], names=names)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(sizes), pa.array(ids), none], names=names)
     used = np.flatnonzero(counts)
     none = pa.nulls(len(used), pa.int64())
-    yield pa.RecordBatch.from_arrays([none, none, pa.array(counts[used]), none, pa.nulls(len(used), pa.list_(pa.int64())), pa.array(used)], names=names)
+    yield pa.RecordBatch.from_arrays([none, none, pa.array(counts[used]), none, pa.array(used)], names=names)
 
 
 def _new_sets(batch: pa.RecordBatch, powers: Powers, done: set[int]) -> tuple[list[int], list[np.ndarray]]:
@@ -175,39 +172,74 @@ def may_link(x: np.ndarray, y: np.ndarray, total: np.ndarray) -> np.ndarray:
     return least * (100 + PERCENT) <= total * (100 - PERCENT)
 
 
+def passing(t: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs of rows (i, j) of one prefix shingle those that pass the length, positional and suffix filters."""
+    m, n, p, q = t["n"][i], t["n"][j], t["place"][i], t["place"][j]
+    most = np.minimum(p, q) + np.minimum(m - p, n - q)
+    keep = (100 * np.minimum(m, n) >= PERCENT * np.maximum(m, n)) & (most * (100 + PERCENT) >= PERCENT * (m + n))
+    i, j = i[keep], j[keep]
+    keep = may_link(t["marks"][i], t["marks"][j], t["n"][i] + t["n"][j])
+    return i[keep], j[keep]
+
+
+def _ends(*keys: np.ndarray) -> np.ndarray:
+    """For each row the end of its run of equal keys."""
+    size = len(keys[0])
+    new = np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)]))
+    return np.repeat(np.append(new[1:], size), np.diff(np.append(new, size)))
+
+
 def group_pairs(t: dict[str, np.ndarray]) -> np.ndarray:
-    """Pairs of classes (columns a < b) of whole groups (token, p, q), sorted, that pass all filters. A step compares every row with the one ``k``
-    places after it, of all groups at once."""
-    size = len(t["token"])
-    new = np.flatnonzero(np.concatenate([[True], (t["token"][1:] != t["token"][:-1]) | (t["p"][1:] != t["p"][:-1]) | (t["q"][1:] != t["q"][:-1])]))
-    end = np.repeat(np.append(new[1:], size), np.diff(np.append(new, size)))
-    rows, out, k = np.arange(size), [], 0
-    while True:
-        k += 1
-        rows = rows[end[rows] > rows + k]
-        if not len(rows):
-            break
-        i, j = rows, rows + k
-        keep = (t["part"][i] != t["part"][j]) & ((t["p"][i] == t["q"][i]) | (t["block"][i] != t["block"][j]))
-        i, j = i[keep], j[keep]
-        m, n, p, q = t["n"][i], t["n"][j], t["place"][i], t["place"][j]
-        most = np.minimum(p, q) + np.minimum(m - p, n - q)
-        keep = (100 * np.minimum(m, n) >= PERCENT * np.maximum(m, n)) & (most * (100 + PERCENT) >= PERCENT * (m + n))
-        i, j = i[keep], j[keep]
-        keep = may_link(t["marks"][i], t["marks"][j], t["n"][i] + t["n"][j])
-        a, b = t["class"][i[keep]], t["class"][j[keep]]
+    """Pairs of classes (columns a < b) of different parts in whole groups (token, p, q), sorted, parts in order, that pass all filters. A step
+    compares every row with the one ``k`` places after its part's last one, in all groups at once."""
+    groups = t["token"], t["p"], t["q"]
+    end, after = _ends(*groups), _ends(*groups, t["part"])
+    rows, out, k = np.arange(len(end)), [], 0
+    while len(rows := rows[end[rows] > after[rows] + k]):
+        i, j = rows, after[rows] + k
+        keep = (t["p"][i] == t["q"][i]) | (t["block"][i] != t["block"][j])
+        i, j = passing(t, i[keep], j[keep])
+        a, b = t["class"][i], t["class"][j]
         out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
+        k += 1
     return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), dtype=np.int64)
 
 
+def _columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    t = {c: batch.column(c).to_numpy().astype(np.int64) for c in batch.schema.names if c != "marks"}
+    t["marks"] = np.frombuffer(b"".join(batch.column("marks").to_pylist()), dtype=np.uint64).reshape(-1, RANGES // 64)
+    return t
+
+
+def _with_leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Groups (token, block), sorted, the leader first: pairs of a class and a leader of another part that pass all filters, with the shingles they share here.
+    Only a group's leader is kept."""
+
+    def pairs(found: list[np.ndarray]) -> pa.RecordBatch:
+        both, n = np.unique(np.concatenate(found), axis=0, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(n)], names=["class", "leader", "n"])
+
+    leader, found = None, []
+    for batch in slices(batches, 1 << 14):
+        t = _columns(batch)
+        if leader is not None:
+            t = {c: np.concatenate([leader[c], t[c]]) for c in t}
+        end = _ends(t["token"], t["block"])
+        first = np.concatenate([[0], end[:-1][end[:-1] != end[1:]]])
+        first = np.repeat(first, np.diff(np.append(first, len(end))))
+        leader = {c: x[first[-1] : first[-1] + 1] for c, x in t.items()}
+        i = np.flatnonzero(t["part"] != t["part"][first])
+        i, j = passing(t, i, first[i])
+        found.append(np.stack([t["class"][i], t["class"][j]], axis=1))
+        if sum(map(len, found)) > GATHERED:
+            yield pairs(found)
+            found = []
+    if found:
+        yield pairs(found)
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Whole groups (token, p, q), sorted. Only groups that may still go on are kept."""
-    numbers = ("token", "class", "part", "n", "place", "block", "p", "q")
-
-    def columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
-        t = {c: batch.column(c).to_numpy().astype(np.int64) for c in numbers}
-        t["marks"] = np.frombuffer(b"".join(batch.column("marks").to_pylist()), dtype=np.uint64).reshape(-1, RANGES // 64)
-        return t
 
     def pairs(found: list[np.ndarray]) -> pa.RecordBatch:
         both = np.unique(np.concatenate(found), axis=0)
@@ -215,7 +247,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     left, found = None, []
     for batch in slices(batches, 1 << 14):
-        t = columns(batch)
+        t = _columns(batch)
         if left is not None:
             t = {c: np.concatenate([left[c], t[c]]) for c in t}
         last = np.flatnonzero((t["token"] != t["token"][-1]) | (t["p"] != t["p"][-1]) | (t["q"] != t["q"][-1]))
@@ -256,48 +288,62 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame
     return links
 
 
-def pivot_pairs(classes: DataFrame) -> DataFrame:
-    """A pair of each class and the pivot with which it shares the most minimum hashes (``LEAST_SHARED`` or more), if their sizes allow a link."""
-    shared = classes.select("class", F.posexplode("mins").alias("i", "least"))
-    counts = stored(shared.groupBy("i", "least").count().where("count > 1"), "jaccard-mins")
-    shared = stored(join_small(shared, counts, ["i", "least"]), "jaccard-shared")
-    weight = stored(shared.groupBy("class").agg(F.sum("count").alias("weight")), "jaccard-weights")
-    shared = join_small(shared.select("class", "i", "least"), weight, ["class"])
-    pivots = stored(shared.groupBy("i", "least").agg(F.max(F.struct("weight", "class"))["class"].alias("pivot")), "jaccard-pivots")
-    met = join_small(shared, pivots, ["i", "least"]).where("class <> pivot").groupBy("class", "pivot").agg(F.count("*").alias("n")).where(f"n >= {LEAST_SHARED}")
-    best = met.groupBy("class").agg(F.max(F.struct("n", "pivot"))["pivot"].alias("pivot"))
-    return best.select(F.least("class", "pivot").alias("a"), F.greatest("class", "pivot").alias("b")).distinct()
-
-
-def prefix_pairs(docs: DataFrame, rarity, parts: DataFrame) -> DataFrame:
-    """Pairs of classes of different components that share a prefix shingle and pass the length, positional and suffix filters.
-
-    ``parts(class, part)`` has the components of more than one class."""
-    with_part = lambda df: join_small(df, parts, ["class"], "left").withColumn("part", F.coalesce("part", "class"))
-    rows = with_part(docs.select("text").mapInArrow(_prefixes(rarity), "token long, class long"))
-    open_tokens = rows.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n")).where("low < high")
-    # A shingle of many classes is compared block by block; each class goes to the pairs of blocks that hold its own.
-    open_tokens = stored(open_tokens.select("token", F.expr(f"if(n > {BLOCK}, cast(n div {BLOCK // 2} + 1 as int), 1)").alias("blocks")), "jaccard-tokens")
+def prefixes(docs: DataFrame, rarity) -> DataFrame:
+    """``(token, class, n, place, marks, block, blocks)`` of all prefix shingles of more than one class; a shingle of many classes has blocks, a power of two."""
+    counts = docs.select("text").mapInArrow(_prefixes(rarity), "token long, class long").groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    blocks = F.expr(f"cast(if(n > {BLOCK}, power(2, ceil(log2(n / {BLOCK // 2}))), 1) as int)")
+    shared = stored(counts.select("token", blocks.alias("blocks")), "jaccard-tokens")
     schema = "token long, class long, n int, place int, marks binary"
-    if open_tokens.count() <= OPEN_TOKENS:
-        wanted = docs.sparkSession.sparkContext.broadcast(np.sort(open_tokens.select("token").toArrow().column("token").to_numpy()))
-        rows = with_part(docs.select("text").mapInArrow(_prefixes(rarity, wanted), schema))
-        many = stored(open_tokens.where("blocks > 1"), "jaccard-many")
+    if shared.count() <= SHARED_TOKENS:
+        wanted = docs.sparkSession.sparkContext.broadcast(np.sort(shared.select("token").toArrow().column("token").to_numpy()))
+        rows = docs.select("text").mapInArrow(_prefixes(rarity, wanted), schema)
+        many = stored(shared.where("blocks > 1"), "jaccard-many")
         rows = join_small(rows, many, ["token"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     else:
-        rows = with_part(docs.select("text").mapInArrow(_prefixes(rarity, None, True), schema)).join(open_tokens, "token")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("class"), "blocks").cast("int"))
+        rows = docs.select("text").mapInArrow(_prefixes(rarity, None, True), schema).join(shared, "token")
+    return rows.withColumn("block", F.pmod(F.xxhash64("class"), "blocks").cast("int"))
+
+
+def leader_pairs(rows: DataFrame, number: int) -> DataFrame:
+    """Pairs ``(a, b)`` of a class and its leader of most shared shingles in this round, one a class at most."""
+    order = F.xxhash64("part", F.lit(number))
+    met = rows.select("token", "block", "class", "part", "n", "place", "marks").repartition("token", "block").sortWithinPartitions("token", "block", order, "class")
+    met = met.mapInArrow(_with_leaders, "class long, leader long, n long").groupBy("class", "leader").agg(F.sum("n").alias("n"))
+    best = met.groupBy("class").agg(F.max(F.struct("n", "leader"))["leader"].alias("leader"))
+    return best.select(F.least("class", "leader").alias("a"), F.greatest("class", "leader").alias("b")).distinct()
+
+
+def prefix_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs of classes of different parts that share a prefix shingle and pass all filters."""
     pair = "transform(sequence(0, blocks - 1), o -> struct(least(o, block) as p, greatest(o, block) as q))"
     rows = rows.withColumn("pq", F.explode(F.expr(pair))).select("token", "class", "part", "n", "place", "marks", "block", "pq.p", "pq.q")
-    met = rows.repartition("token", "p", "q").sortWithinPartitions("token", "p", "q")
+    met = rows.repartition("token", "p", "q").sortWithinPartitions("token", "p", "q", "part")
     return met.mapInArrow(_meet, "a long, b long").distinct()
 
 
+def class_parts(docs: DataFrame, classes: DataFrame, rarity, rounds: int = ROUNDS) -> DataFrame:
+    """``(class, part)`` of every class that shares a prefix shingle: equal parts, same component."""
+    rows = stored(prefixes(docs, rarity), "jaccard-prefixes")
+    parts = stored(rows.select("class").distinct().withColumn("part", F.col("class")), "jaccard-parts")
+    for number in range(rounds + 1):
+        met = join_small(rows, parts, ["class"])
+        links = verified(leader_pairs(met, number) if number < rounds else prefix_pairs(met), docs, classes)
+        at = lambda c: parts.toDF(c, f"p{c}")  # noqa: B023, E731
+        edges = join_small(join_small(links, at("a"), ["a"]), at("b"), ["b"])
+        roots = components(edges.select(F.col("pa").alias("a"), F.col("pb").alias("b")))
+        moved = join_small(parts, roots.toDF("part", "root"), ["part"], "left").select("class", F.coalesce("root", "part").alias("part"))
+        moved = stored(moved, "jaccard-parts")
+        discard(links, parts, roots)
+        parts = moved
+    discard(rows)
+    return parts
+
+
 def described(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All rows as ``(doc_id, key, n, class, mins, bucket)``, and the classes."""
-    rows = stored(docs.mapInArrow(_describe, "doc_id long, key long, n long, class long, mins array<long>, bucket long"), "jaccard-rows")
+    """All rows as ``(doc_id, key, n, class, bucket)``, and the classes."""
+    rows = stored(docs.mapInArrow(_describe, "doc_id long, key long, n long, class long, bucket long"), "jaccard-rows")
     full = rows.where("bucket is null and n > 0")
-    classes = full.groupBy("class").agg(F.min("key").alias("key"), F.first("mins").alias("mins"))
+    classes = full.groupBy("class").agg(F.min("key").alias("key"))
     return rows, stored(classes, "jaccard-classes")
 
 
@@ -309,10 +355,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     count = np.zeros(BUCKETS, dtype=np.int64)
     count[sums.column("bucket").to_numpy()] = sums.column("n").to_numpy()
     rarity = docs.sparkSession.sparkContext.broadcast(count)
-    first = verified(pivot_pairs(classes), docs, classes)
-    parts = components(first).toDF("class", "part")
-    links = first.unionByName(verified(prefix_pairs(docs, rarity, parts), docs, classes))
-    roots = components(links).toDF("class", "root")
+    roots = class_parts(docs, classes, rarity).toDF("class", "root")
     out = rows.where("bucket is null").select("doc_id", "key", "n", "class")
     joined = join_small(out, roots, ["class"], "left")
     return joined.select("doc_id", "key", "n", F.when(F.col("n") > 0, F.coalesce("root", "class")).alias("component"))
