@@ -248,7 +248,7 @@ def repeated_passages(docs: DataFrame, shard_passages: int = SHARD_PASSAGES) ->
     all_ = stored(docs.mapInArrow(_passages, "anchor long, digest long, key long, start int, n int, place int"), "substr-anchors")
     often = stored(all_.groupBy("anchor").count().where("count > 1").select("anchor"), "substr-often")
     repeated = stored(join_small(all_, often, ["anchor"]), "substr-repeated")
-    discard(all_)
+    discard(all_, often)
     distinct = repeated.groupBy("anchor", "digest").agg(F.count("*").alias("count"), F.min(F.struct("key", "start", "n", "place")).alias("at"))
     distinct = stored(distinct, "substr-distinct")
     many = stored(distinct.groupBy("anchor").count().where(f"count > {shard_passages}").select("anchor", F.lit(True).alias("many")), "substr-many")
@@ -258,25 +258,31 @@ def repeated_passages(docs: DataFrame, shard_passages: int = SHARD_PASSAGES) ->
     once = docs.join(wanted.hint("shuffle_merge"), "key").select("key", "text", "wanted")
     schema = "anchor long, digest long, count long, many boolean, place int, words binary"
     cut = stored(once.mapInArrow(_cut, schema).dropDuplicates(["anchor", "digest"]), "substr-passages")
+    discard(distinct, many, wanted)
     shards = max(1, cut.count() // shard_passages + 1)
     columns = ["anchor", "digest", "count", "at", "words"]
     few = cut.where("not many").withColumn("at", F.lit(0)).select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), *columns)
-    parts = stored(cut.where("many").mapInArrow(_parts, "anchor long, digest long, count long, deal long, at int, words binary"), "substr-parts")
+    parts = parts_table = stored(cut.where("many").mapInArrow(_parts, "anchor long, digest long, count long, deal long, at int, words binary"), "substr-parts")
     crowded = stored(parts.groupBy("anchor", "deal").count().where(f"count > {shard_passages}").select("anchor", "deal", F.lit(True).alias("crowded")), "substr-crowded")
     parts = join_small(parts, crowded, ["anchor", "deal"], "left")
     dealt = parts.where("crowded is null").select(F.pmod(F.xxhash64("anchor", "deal"), F.lit(shards)).alias("shard"), *columns)
     windows = _window_masks(parts.where("crowded").select(*columns))
-    match = lambda df: df.repartition(min(shards, 4096), "shard").sortWithinPartitions("shard").mapInArrow(_match, "anchor long, digest long, mask long")
+    match = lambda df: df.repartition(shards // 8 + 1, "shard").sortWithinPartitions("shard").mapInArrow(_match, "anchor long, digest long, mask long")
     masks = match(few).unionByName(match(dealt)).unionByName(windows)
     masks = stored(masks.groupBy("anchor", "digest").agg(F.bit_or("mask").alias("mask")), "substr-masks")
-    return join_small(repeated, masks, ["anchor", "digest"]).select("key", "start", "mask").distinct()
+    discard(cut, parts_table, crowded)
+    out = stored(join_small(repeated, masks, ["anchor", "digest"]).select("key", "start", "mask").distinct(), "substr-windows")
+    discard(repeated, masks)
+    return out
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``doc_id, n_words, n_removed, kept`` of every row: ``kept`` has the words outside repeated windows, joined by single spaces."""
     docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
-    found = repeated_passages(docs).groupBy("key").agg(F.collect_list(F.struct("start", "mask")).alias("found"))
-    joined = docs.join(stored(found, "substr-found").hint("shuffle_merge"), "key", "left").select("doc_id", "text", "found")
+    windows = repeated_passages(docs)
+    found = stored(windows.groupBy("key").agg(F.collect_list(F.struct("start", "mask")).alias("found")), "substr-found")
+    discard(windows)
+    joined = docs.join(found.hint("shuffle_merge"), "key", "left").select("doc_id", "text", "found")
     return joined.mapInArrow(_remove, "doc_id long, n_words long, n_removed long, kept string")
 
 
