@@ -431,7 +431,12 @@ def test_toxicity_channel(spark):
     letters = toxicity.letter_model(spark.createDataFrame([("the idiot and the moron are stupid losers " * 20,), (None,)], "text string"))
     channel = toxicity.Channel(letters)
     assert [channel.decode(x) for x in ("1d10t", "i.d.i.o.t", "stuuuupid", "m0r0n", "idiot")] == ["idiot", "idiot", "stupid", "moron", "idiot"]
-    assert "s p a c e d".replace(" ", "") in toxicity.Features.tokens("it is s p a c e d out")
+    assert "s p a c e d" in toxicity.Features.tokens("it is s p a c e d out")
+    features = toxicity.Features(letters)
+    assert "=idiot" in set(features.inside("y o u s t u p i d i d i o t")) and "=stupid" in set(features.inside("y.0.u.s.t.u.p.i.d.i.d.i.o.t"))
+    assert "i d i o t" in features.tokens("you are a i d i o t")
+    assert "=loss" in features.of_token("lo$$") and "=idiot" in features.of_token("(idiot!),")
+    assert len(features.channel.decode("i.d.i.o.t." * 5_000)) == 25_000
 
 
 def test_toxicity_held_out(spark):
@@ -442,9 +447,9 @@ def test_toxicity_held_out(spark):
     toxic = [r["score"] >= toxicity.THRESHOLD for r in rows if r["toxic"] == 1]
     clean = [r["score"] >= toxicity.THRESHOLD for r in rows if r["toxic"] == 0]
     assert np.mean(toxic) > 0.75 and np.mean(clean) < 0.05
-    hidden = spark.createDataFrame([(" ".join(["the and of to"] * 20) + " " + w,) for w in ("1d10t", "i d i o t", "iiidiooot", "the")], "text string")
+    hidden = spark.createDataFrame([(" ".join(["the and of to"] * 20) + " " + w,) for w in ("1d10t", "i d i o t", "iiidiooot", "y o u a r e a n i d i o t", " ".join("anidiot" * 300), "the")], "text string")
     scores = [r["score"] for r in model.score(hidden.withColumn("k", F.lit(1))).collect()]
-    assert min(scores[:3]) > 0.3 > scores[3]
+    assert min(scores[:5]) > 0.3 > scores[5]
 
 
 def test_toxicity_edges(spark):

@@ -1,7 +1,9 @@
 """Language identification by Bayesian fusion of a page's text with its declared markup language, address suffix and host.
 
 Text: a naive Bayes model over hashed byte trigrams, fitted on at most about ``TRAIN_ROWS`` labelled documents that a hash chooses;
-log-likelihoods are tempered, since neighbouring trigrams are not independent. Evidence: the soft counts of text posteriors, over **all**
+the mean log-likelihood of a trigram counts ``TEMPER`` times for each one, and for ``MOST_GRAMS`` of them at most, since neighbouring trigrams of one
+text are not independent evidence: beyond some hundred of them more text says nothing that a declared language should not be able to outweigh.
+All trigrams of the whole text go into the mean. All languages of the labelled sample can be answered. Evidence: the soft counts of text posteriors, over **all**
 pages, give the likelihood of each declared language and of each address suffix. Prior: soft counts by host, smoothed towards those of its
 registered domain, those towards its suffix, those towards all pages; a page's own count is left out. All counts are grouped
 aggregations; each host's row is joined back to its pages.
@@ -23,7 +25,6 @@ from .shared import join_small, stored
 from .words import slices, utf8
 
 TRAIN_ROWS = 20_000
-LANGUAGES = 64
 BUCKETS = 1 << 15
 TEMPER = 0.25
 MOST_GRAMS = 400
@@ -50,10 +51,10 @@ def _grams(text: bytes) -> np.ndarray:
 
 def _count(names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((len(names), BUCKETS), dtype=np.int64)
+        counts, place = np.zeros((len(names), BUCKETS), dtype=np.int64), {x: i for i, x in enumerate(names)}
         for batch in slices(batches):
             for lang, text in zip(batch.column("lang").to_pylist(), utf8(batch.column("text"))):
-                counts[names.index(lang)] += np.bincount(_grams(text), minlength=BUCKETS)
+                counts[place[lang]] += np.bincount(_grams(text), minlength=BUCKETS)
         lang, bucket = np.nonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(bucket), pa.array(counts[lang, bucket])], names=["lang", "bucket", "n"])
 
@@ -61,14 +62,13 @@ def _count(names: list[str]):
 
 
 class TextModel:
-    """Log-probabilities of trigram buckets by language, at most ``LANGUAGES * BUCKETS`` numbers."""
+    """Log-probabilities of trigram buckets by language; ``BUCKETS`` numbers for each language of the sample."""
 
     def __init__(self, docs: DataFrame, rows: int = TRAIN_ROWS) -> None:
         labelled = docs.where("lang is not null and text is not null")
-        total = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-        self.names = sorted(r["lang"] for r in total)
-        share = min(1.0, rows / max(1, sum(r["count"] for r in total)))
-        chosen = labelled.where(F.col("lang").isin(self.names) & (F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1_000_000)) < share * 1_000_000))
+        share = min(1.0, rows / max(1, labelled.count()))
+        chosen = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1_000_000)) < share * 1_000_000)
+        self.names = sorted(r["lang"] for r in chosen.select("lang").distinct().collect())  # of some ``rows`` labels
         counted = chosen.select("lang", "text").mapInArrow(_count(self.names), "lang long, bucket long, n long")
         table = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
         n = np.full((len(self.names), BUCKETS), 0.5)

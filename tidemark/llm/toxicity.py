@@ -2,7 +2,9 @@
 
 A token that is not plain letters (leetspeak, separators between letters, long repetition, letters spaced out) spans a character
 lattice: every written character offers the letters it may stand for, or nothing. The Viterbi path under a letter trigram
-model, counted over **all** documents, is the restored word. Word and word-beginning features of written and restored
+model, counted over **all** documents, is the restored word, whatever its length; next best paths that differ in the first two ambiguous characters
+are read too. Letters spaced out have no word breaks left, so the words that the model knows are also looked for inside of restored letters.
+Word and word-beginning features of written and restored
 words get smoothed log-odds from labelled rows; a document's strongest features go through a logistic calibration that is
 fitted on other labelled rows than the log-odds.
 
@@ -29,7 +31,6 @@ from .shared import join_small, stored
 from .words import slices, utf8
 
 TRAIN_ROWS = 60_000
-LEXICON = 200_000
 MIN_SUPPORT = 4
 THRESHOLD = 0.3
 #: Remembered tokens of a task: their strengths, and their (larger) feature lists; and features counted until they are handed on.
@@ -37,7 +38,8 @@ MEMO_ENTRIES = 150_000
 MEMO_FEATURES = 40_000
 COUNTED_FEATURES = 150_000
 PREFIXES = (3, 4, 5, 6, 7, 8)
-LONGEST_DECODED = 400
+#: Lengths of known words that are looked for inside of restored letters, where those are more than ``LONG``.
+INSIDE, LONG = range(4, 25), 8
 
 #: What a written character may stand for, besides itself.
 LEET = {
@@ -46,6 +48,8 @@ LEET = {
 }
 _N = 27
 _EDGES = re.compile(r"^[^\w@$!|(+€£]+|[\W_]+$")
+#: The same, but what may stand for a letter stays at the end too.
+_OUTSIDE = re.compile(r"^[^\w@$!|(+€£]+|[^\w@$!|(+€£]+$|_+$")
 _REPEAT = re.compile(r"(.)\1\1")
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -140,20 +144,33 @@ class Features:
     def of_word(word: str) -> list[str]:
         return ["=" + word, *("^" + word[:k] for k in PREFIXES if len(word) > k)] if len(word) > 2 else []
 
+    def restored(self, token: str) -> set[str]:
+        """The readings of a token's lattice; none for plain words."""
+        token = _OUTSIDE.sub("", token.lower().replace(" ", ""))
+        if not _LETTER.search(token) or (token.isalpha() and not _REPEAT.search(token)):
+            return set()
+        return {*self.channel.readings(token), "".join(_LETTER.findall(token))}
+
     def of_token(self, token: str) -> list[str]:
-        token = _EDGES.sub("", token.lower())
-        if not token or not _LETTER.search(token):
+        plain = _EDGES.sub("", token.lower().replace(" ", ""))
+        if not plain or not _LETTER.search(plain):
             return []
-        out = self.of_word(token)
-        if (not token.isalpha() or _REPEAT.search(token)) and len(token) <= LONGEST_DECODED:
-            plain = _LETTER.findall(token)
-            for word in {*self.channel.readings(token), "".join(plain)}:
-                out += self.of_word(word)
+        out = self.of_word(plain)
+        for word in self.restored(token) - {plain}:
+            out += self.of_word(word)
         return out
 
+    def inside(self, token: str) -> Iterator[str]:
+        """Words that may stand within a token's restored letters."""
+        for word in {*self.restored(token), token.lower().replace(" ", "")} if " " in token else self.restored(token):
+            if len(word) > LONG:
+                for k in INSIDE:
+                    for i in range(len(word) - k + 1):
+                        yield "=" + word[i : i + k]
+
     @staticmethod
     def tokens(text: str) -> set[str]:
-        """Distinct tokens; runs of three or more single letters are also read as one token."""
+        """Distinct tokens; runs of three or more single characters are also read as one token, which keeps its spaces."""
         words = text.split()
         found = set(words)
         if sum(len(w) == 1 for w in found) > 2:
@@ -162,8 +179,11 @@ class Features:
                 if len(w) == 1:
                     run.append(w)
                     continue
-                if 3 <= len(run) <= LONGEST_DECODED:
-                    found.add("".join(run))
+                if len(run) >= 3:
+                    found.add(" ".join(run))
+                    # A word of one letter may stand before the run.
+                    if len(run) > 3 and run[0] in "aAIiyYoO":
+                        found.add(" ".join(run[1:]))
                 run = []
         return found
 
@@ -204,13 +224,14 @@ def _feature_counts(docs: DataFrame, model: np.ndarray, wanted=None) -> DataFram
 
 
 def log_odds(train: DataFrame, model: np.ndarray) -> dict[str, float]:
-    """Feature -> lower bound of its log-odds for toxic text, for the (at most ``LEXICON``) features with evidence."""
+    """Feature -> lower bound of its log-odds for toxic text. A feature needs one in 500 toxic rows, so their number is bounded by 500 times the
+    features of a toxic text on average."""
     sizes = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_clean:
         return {}
     support = max(MIN_SUPPORT, n_toxic // 500)
-    seen = _feature_counts(train.where("toxic = 1"), model).where(F.col("n") >= support).orderBy(F.desc("n"), "feature").limit(LEXICON).toArrow()
+    seen = _feature_counts(train.where("toxic = 1"), model).where(F.col("n") >= support).toArrow()
     toxic = dict(zip(seen.column("feature").to_pylist(), seen.column("n").to_pylist()))
     wanted = train.sparkSession.sparkContext.broadcast(list(toxic))
     found = _feature_counts(train.where("toxic = 0"), model, wanted).toArrow()
@@ -237,7 +258,8 @@ def _strengths(model: np.ndarray, lexicon):
                     if (w := memo.get(token)) is None:
                         if len(memo) > MEMO_ENTRIES:
                             memo.clear()
-                        w = memo[token] = max((weight[f] for f in features.of_token(token) if f in weight), default=0.0)
+                        known = [weight[f] for f in (*features.of_token(token), *features.inside(token)) if f in weight]
+                        w = memo[token] = max(known, default=0.0)
                     if w:
                         found.append(w)
                 found.sort(reverse=True)
@@ -279,6 +301,8 @@ class ToxicityModel:
         share = min(1.0, rows / max(1, labels.count()))
         chosen = stored(labels.where(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1_000_000)) < share * 1_000_000), "toxicity-labels")
         train = stored(join_small(docs.select("doc_id", "text"), chosen, ["doc_id"]), "toxicity-train")
+        if (found := train.count()) > 1.2 * rows:  # ids that many rows share
+            train = train.where(F.pmod(F.xxhash64("doc_id", "text", F.lit("rows")), F.lit(1_000_000)) < rows / found * 1_000_000)
         # Log-odds come from two of the three remainders, the calibration from the third.
         lexicon = log_odds(train.where(_remainder() != 3), self.letters)
         self.lexicon = spark.sparkContext.broadcast(lexicon)
