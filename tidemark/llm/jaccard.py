@@ -43,6 +43,8 @@ ROUNDS = 4
 BLOCK = 4096
 #: Pairs that a task gathers before it hands them on, and classes that it remembers as done.
 GATHERED, REMEMBERED = 1 << 19, 200_000
+#: Least prefix shingles of its class that a row carries, so that most pairs are handed on at one shingle only.
+LEAST = 4
 #: Shared prefix shingles (8 bytes each) that are sent to the tasks; more of them are joined by a shuffle.
 SHARED_TOKENS = 4_000_000
 
@@ -113,7 +115,7 @@ def _new_sets(batch: pa.RecordBatch, powers: Powers, done: set[int]) -> tuple[li
 
 def _prefixes(rarity, wanted=None, full: bool = False):
     """Prefix shingles of each class that the task meets; where the sorted array ``wanted`` is given, only those in it. With ``wanted`` or
-    ``full`` rows have size, place and parities too."""
+    ``full`` rows have size, place and, as ``marks``, the parities and the class's ``LEAST`` least shingles too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, count, done = Powers(), rarity.value, set()
@@ -123,7 +125,7 @@ def _prefixes(rarity, wanted=None, full: bool = False):
             if not sets:
                 continue
             marks = parities(*_flat(sets)) if full or only is not None else None
-            tokens, classes, sizes, places, rows = [], [], [], [], []
+            tokens, classes, sizes, places, rows, least = [], [], [], [], [], np.full((len(sets), LEAST), np.iinfo(np.int64).max)
             for k, (c, s) in enumerate(zip(ids, sets)):
                 n = len(s)
                 keep = n - (PERCENT * n + 99) // 100 + 1
@@ -133,6 +135,7 @@ def _prefixes(rarity, wanted=None, full: bool = False):
                     at = np.minimum(np.searchsorted(only, token), max(len(only) - 1, 0))
                     hit = only[at] == token if len(only) else np.zeros(keep, dtype=bool)
                     token, place = token[hit], place[hit]
+                least[k, : min(LEAST, len(token))] = np.sort(token)[:LEAST]
                 tokens.append(token)
                 classes.append(np.full(len(token), c, dtype=np.int64))
                 sizes.append(np.full(len(token), n, dtype=np.int32))
@@ -142,8 +145,9 @@ def _prefixes(rarity, wanted=None, full: bool = False):
             if marks is None:
                 yield pa.RecordBatch.from_arrays(columns, names=["token", "class"])
                 continue
-            raw = marks[np.concatenate(rows)].tobytes()
-            packed = pa.array([raw[i : i + RANGES // 8] for i in range(0, len(raw), RANGES // 8)], pa.binary())
+            both, width = np.concatenate([marks, least.view(np.uint64)], axis=1), RANGES // 8 + 8 * LEAST
+            raw = both[np.concatenate(rows)].tobytes()
+            packed = pa.array([raw[i : i + width] for i in range(0, len(raw), width)], pa.binary())
             yield pa.RecordBatch.from_arrays([*columns, *(pa.array(np.concatenate(x)) for x in (sizes, places)), packed], names=["token", "class", "n", "place", "marks"])
 
     return run
@@ -199,7 +203,10 @@ def group_pairs(t: dict[str, np.ndarray]) -> np.ndarray:
         i, j = rows, after[rows] + k
         keep = (t["p"][i] == t["q"][i]) | (t["block"][i] != t["block"][j])
         i, j = passing(t, i[keep], j[keep])
-        a, b = t["class"][i], t["class"][j]
+        # A pair that shares a lesser shingle, as far as the rows can tell, is handed on there.
+        x, y = t["least"][i][:, :, None], t["least"][j][:, None]
+        keep = ~((x == y) & (x < t["token"][i][:, None, None])).any(axis=(1, 2))
+        a, b = t["class"][i[keep]], t["class"][j[keep]]
         out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
         k += 1
     return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), dtype=np.int64)
@@ -207,7 +214,8 @@ def group_pairs(t: dict[str, np.ndarray]) -> np.ndarray:
 
 def _columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
     t = {c: batch.column(c).to_numpy().astype(np.int64) for c in batch.schema.names if c != "marks"}
-    t["marks"] = np.frombuffer(b"".join(batch.column("marks").to_pylist()), dtype=np.uint64).reshape(-1, RANGES // 64)
+    both = np.frombuffer(b"".join(batch.column("marks").to_pylist()), dtype=np.uint64).reshape(-1, RANGES // 64 + LEAST)
+    t["marks"], t["least"] = both[:, : RANGES // 64], both[:, RANGES // 64 :].view(np.int64)
     return t
 
 

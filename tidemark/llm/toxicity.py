@@ -50,6 +50,8 @@ _N = 27
 _EDGES = re.compile(r"^[^\w@$!|(+€£]+|[\W_]+$")
 #: The same, but what may stand for a letter stays at the end too.
 _OUTSIDE = re.compile(r"^[^\w@$!|(+€£]+|[^\w@$!|(+€£]+$|_+$")
+#: Single characters between separators, four or more.
+_SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[\W_]+[^\W_](?![^\W_])){3}")
 _REPEAT = re.compile(r"(.)\1\1")
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -161,8 +163,10 @@ class Features:
         return out
 
     def inside(self, token: str) -> Iterator[str]:
-        """Words that may stand within a token's restored letters."""
-        for word in {*self.restored(token), token.lower().replace(" ", "")} if " " in token else self.restored(token):
+        """Words that may stand within the restored letters of a token whose letters are spaced out."""
+        if not _SPACED.search(token):
+            return
+        for word in {*self.restored(token), token.lower().replace(" ", "")}:
             if len(word) > LONG:
                 for k in INSIDE:
                     for i in range(len(word) - k + 1):
