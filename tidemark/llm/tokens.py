@@ -2,8 +2,8 @@
 
 Encoding: (1) every whole text is split into pre-token words and the distinct words are counted by Spark; (2) each distinct
 word is encoded once; (3) ids come back by position: of the most frequent words (``TABLE_BYTES`` of words and ids at most) by a
-broadcast join; one pass over the texts gives each document's ids with a hole for every other word, and those words. The words
-join the table by a shuffle, go back to their documents and fill the holes in order; (4) decoding joins ids to pieces of the
+broadcast join; every other word leaves a hole. One pass over the texts gives the holes' words, which join the table by a shuffle and
+are gathered by document; another gives the ids and fills the holes in order, so that ids themselves are never moved or stored; (4) decoding joins ids to pieces of the
 vocabulary, whose size is fixed.
 
 Edge cases: null and empty texts have 0 tokens. Repeated rows are encoded alike, each on its own row. Empty tables give empty
@@ -227,14 +227,18 @@ class PositionJoin:
         return b"".join(out), words
 
 
-def _with_holes(known, special, width):
-    """Each text's ids with holes, and the words of the holes in order."""
+def _holes(known, special):
+    """``(key, at, word)`` of each hole of each text; ``at`` is its number as four bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        join = PositionJoin(dict(zip(*known.value)), special, width)
+        join = PositionJoin(dict(zip(*known.value)), special, "<u2")
         for batch in slices(batches):
-            ids, words = zip(*map(join.ids, _texts(batch)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array(words, pa.list_(pa.string()))], names=["doc_id", "ids", "rare"])
+            found = [join.ids(x)[1] for x in _texts(batch)]
+            n = np.array([len(x) for x in found], dtype=np.int64)
+            key = np.repeat(np.array(batch.column("key").to_pylist(), dtype=np.int64), n)
+            at = b"".join(np.arange(i, dtype=">u4").tobytes() for i in n)
+            at = pa.array([at[i : i + 4] for i in range(0, len(at), 4)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(key), at, pa.array([w for x in found for w in x], pa.string())], names=["key", "at", "word"])
 
     return run
 
@@ -255,10 +259,16 @@ def _filled(ids: bytes, found: list[dict] | None, width: str) -> bytes:
     return whole.astype("<u4").tobytes()
 
 
-def _fill(width):
+def _fill(known, special, width):
+    """The ids of each text, with those of ``found`` (a hole's number and ids in one) in its holes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        join = PositionJoin(dict(zip(*known.value)), special, width)
         for batch in slices(batches):
-            ids = [_filled(a, b, width) for a, b in zip(batch.column("ids").to_pylist(), batch.column("found").to_pylist())]
+            ids = []
+            for text, found in zip(_texts(batch), batch.column("found").to_pylist()):
+                found = [{"at": int.from_bytes(x[:4], "big"), "ids": x[4:]} for x in found or []]
+                ids.append(_filled(join.ids(text)[0], found, width))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return run
@@ -271,17 +281,17 @@ def bpe_encode(docs: DataFrame, path: str, most: int = TABLE_BYTES) -> DataFrame
     head, complete = frequent(words, most)
     table = head.select("word", "ids").toArrow()  # at most ``most`` bytes of words and ids
     known = spark.sparkContext.broadcast((table.column("word").to_pylist(), table.column("ids").to_pylist()))
-    whole = docs.select("doc_id", "text").mapInArrow(_with_holes(known, bpe.special, bpe.width), "doc_id long, ids binary, rare array<string>")
+    fill = _fill(known, bpe.special, bpe.width)
     if complete:
         # Every word is in the table: there are no holes to fill.
-        return whole.withColumn("found", F.lit(None).cast("array<struct<at:int,ids:binary>>")).select("doc_id", "ids", "found").mapInArrow(_fill(bpe.width), "doc_id long, ids binary")
-    # Row numbers are fixed by being written, so repeated rows are told apart.
-    whole = stored(whole.withColumn("row", F.monotonically_increasing_id()), "bpe-holes")
-    holes = whole.select("row", F.posexplode("rare").alias("at", "word"))
-    found = holes.join(words.select("word", "ids").hint("shuffle_hash"), "word").groupBy("row").agg(F.collect_list(F.struct("at", "ids")).alias("found"))
+        return docs.select("doc_id", "text", F.lit(None).cast("array<binary>").alias("found")).mapInArrow(fill, "doc_id long, ids binary")
+    docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
+    holes = docs.select("key", "text").mapInArrow(_holes(known, bpe.special), "key long, at binary, word string")
+    # Repeated rows have one key and the same holes, of which a set keeps one each.
+    found = holes.join(words.select("word", "ids").hint("shuffle_hash"), "word").groupBy("key").agg(F.collect_set(F.concat("at", "ids")).alias("found"))
     found = stored(found, "bpe-found")
     discard(words)
-    return whole.select("doc_id", "row", "ids").join(found, "row", "left").select("doc_id", "ids", "found").mapInArrow(_fill(bpe.width), "doc_id long, ids binary")
+    return docs.join(found.hint("shuffle_merge"), "key", "left").select("doc_id", "text", "found").mapInArrow(fill, "doc_id long, ids binary")
 
 
 def _decode(pieces):
