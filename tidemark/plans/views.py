@@ -37,7 +37,8 @@ VIEWS = {
             {BASE} + (doc_id % 240) * 3600 + (doc_id % 9) * 3600 as fetched_at
         from documents where text is not null""",
     "v_evidence": """
-        select min(id) over (partition by content_hash) as event_id, id as item_id, source_id, coalesce(published_at, fetched_at) as attached_at, content_hash from v_items""",
+        select h.event_id, i.id as item_id, i.source_id, coalesce(i.published_at, i.fetched_at) as attached_at, i.content_hash from v_items i
+        join (select content_hash, min(id) as event_id from v_items group by content_hash) h on h.content_hash = i.content_hash""",
     "v_events": f"""
         select e.event_id, min(i.title) as title, min(i.body) as summary, min(coalesce(i.published_at, i.fetched_at)) as occurred_at,
             min(case when i.published_at is null then 1 else 0 end) = 1 as occurred_estimated, min(i.fetched_at) as first_seen_at,
@@ -67,7 +68,7 @@ VIEWS = {
             {BASE} + event_id * 60 as created_at, props as payload from events""",
     "v_alerts": """
         select event_id as seq, case event_type when 'purchase' then 'urgent' when 'click' then 'high' else 'low' end as tier, 'k' || cast(user_id as string) as dedupe_key, event_id % 1440 as minute
-        from events where event_id < 2000""",
+        from events""",
     "v_labels": """
         select l.doc_id, l.quality, l.toxic, d.source, d.text from labels l join documents d on d.doc_id = l.doc_id""",
 }

@@ -36,23 +36,29 @@ def _(v):
 
 
 def _flag(kind: str) -> str:
-    """Does a conversation's turn match a pattern of the kind? For texts without invisible characters."""
-    return "(" + " or ".join(f"regexp_matches(text, '{_q(p)}')" for k, p in I.PATTERNS if k == kind) + ")"
+    """Does a conversation's turn, with or without its invisible characters, match a pattern of the kind?"""
+    return "(" + " or ".join(f"regexp_matches({t}, '{_q(p)}')" for k, p in I.PATTERNS if k == kind for t in ("raw", "visible")) + ")"
 
 
-_KINDS = sorted({k for k, _ in I.PATTERNS})
+_KINDS = sorted({"obfuscation", *(k for k, _ in I.PATTERNS)})
 
 
-@query("n2_detect_injection", "select conv_id, turn, array_to_string(list_filter([" + ", ".join(f"case when {_flag(k)} then '{k}' end" for k in _KINDS) + "], lambda x: x is not null), ',') as kinds from conversations where regexp_matches(text, '^[ -~\\s]*$')")
+@query(
+    "n2_detect_injection",
+    f"""with t as (select conv_id, turn, coalesce(text, '') as raw, regexp_replace(coalesce(text, ''), '{I.INVISIBLE}', '', 'g') as visible from conversations)
+    select conv_id, turn, array_to_string(list_filter(["""
+    + ", ".join(f"case when {'raw <> visible' if k == 'obfuscation' else _flag(k)} then '{k}' end" for k in _KINDS)
+    + "], lambda x: x is not null), ',') as kinds from t",
+)
 def _(v):
-    plain = v("conversations").where(F.rlike("text", F.lit(r"^[ -~\s]*$")))
-    kinds = F.array_sort(F.array_distinct(F.filter(F.transform("signals", lambda s: s["kind"]), lambda k: ~k.isin("obfuscation", "hidden_content"))))
-    return I.detect_injection(plain, "text").select("conv_id", "turn", F.array_join(kinds, ",").alias("kinds"))
+    """Every turn; the kind hidden_content counts elements by backreference, which the SQL cannot, and is in the whole query."""
+    kinds = F.array_sort(F.array_distinct(F.filter(F.transform("signals", lambda s: s["kind"]), lambda k: k != "hidden_content")))
+    return I.detect_injection(v("conversations"), "text").select("conv_id", "turn", F.array_join(kinds, ",").alias("kinds"))
 
 
 @query("n2_detect_injection_whole")
 def _(v):
-    """Every turn with all kinds and their evidence; the query with SQL has the plain ASCII turns."""
+    """Every turn with all kinds and their evidence."""
     return I.detect_injection(v("conversations"), "text").select("conv_id", "turn", "signals")
 
 
@@ -135,7 +141,7 @@ def _has(p: str) -> str:
 @query(
     "n11_infer_category",
     f"""select doc_id, case when {_has(N.POLICY_TERMS)} then 'policy_platform' when {_has(N.HARDWARE_TERMS)} then 'hardware' when {_has(N.SOCIAL_TERMS)} and not {_has(N.AI_TERMS)} then 'social_trend'
-      when {_has(N.AI_TERMS)} or source in ('src1', 'src2') then 'ai' else 'software' end as category from documents where text is not null""",
+      when {_has(N.AI_TERMS)} or source in ('src1', 'src2') then 'ai' else 'software' end as category from documents""",
 )
 def _(v):
     entities = F.array(F.when(F.col("source").isin("src1", "src2"), "openai").otherwise("x"))
@@ -159,24 +165,24 @@ def _redact_sql(expr: str) -> str:
     return expr
 
 
-@query("n13_redact_secrets", f"select doc_id, md5({_redact_sql('text')}) as redacted, {' or '.join(_has(p) for p in N.SECRETS)} as has_secret from documents where text is not null")
+@query("n13_redact_secrets", f"select doc_id, md5({_redact_sql('text')}) as redacted, {' or '.join(_has(p) for p in N.SECRETS)} as has_secret from documents")
 def _(v):
-    return v("documents").where("text is not null").select("doc_id", F.md5(N.redact_secrets(F.col("text"))).alias("redacted"), N.contains_secret(F.col("text")).alias("has_secret"))
+    return v("documents").select("doc_id", F.md5(N.redact_secrets(F.col("text"))).alias("redacted"), N.contains_secret(F.col("text")).alias("has_secret"))
 
 
 @query("n14_clean_text")
 def _(v):
-    return v("v_items").select("id", N.clean_text(F.col("title")).alias("clean"))
+    return v("v_items").select("id", N.clean_text(F.col("body")).alias("clean"))
 
 
-@query("n15_do_not_say", "select id, contains(lower(title), 'with') and contains(lower(title), 'that') as violates from v_items")
+@query("n15_do_not_say", "select id, contains(lower(body), 'with') and contains(lower(body), 'that') as violates from v_items")
 def _(v):
-    return v("v_items").select("id", N.violates(F.col("title"), F.array(F.lit("Do not say with that at"), F.lit("short"))).alias("violates"))
+    return v("v_items").select("id", N.violates(F.col("body"), F.array(F.lit("Do not say with that at"), F.lit("short"))).alias("violates"))
 
 
-@query("n16_factual_number", f"select doc_id, not regexp_matches(text, '{_q(N.YEAR_ONLY)}') and regexp_matches(text, '{_q(N.FACTUAL_NUMBER)}') as factual from documents where text is not null")
+@query("n16_factual_number", f"select doc_id, not regexp_matches(text, '{_q(N.YEAR_ONLY)}') and regexp_matches(text, '{_q(N.FACTUAL_NUMBER)}') as factual from documents")
 def _(v):
-    return v("documents").where("text is not null").select("doc_id", N.factual_number(F.col("text")).alias("factual"))
+    return v("documents").select("doc_id", N.factual_number(F.col("text")).alias("factual"))
 
 
 @query("n18_cosine", "select a.vec_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as cosine from embeddings a join embeddings b on b.vec_id = a.vec_id + 1")
