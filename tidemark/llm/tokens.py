@@ -16,6 +16,7 @@ import heapq
 import json
 from collections import Counter
 from collections.abc import Iterator
+from itertools import filterfalse
 from operator import itemgetter
 
 import numpy as np
@@ -119,6 +120,12 @@ class Splitter:
         return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
 
 
+def _is_word(span: str) -> bool:
+    """Is the span plainly one word, ASCII letters after at most one space? Spares the pattern; other words are found by it."""
+    letters = span[1:] if span[:1] == " " else span
+    return letters.isascii() and letters.isalpha()
+
+
 def _texts(batch: pa.RecordBatch) -> list[str]:
     return [x or "" for x in batch.column("text").to_pylist()]
 
@@ -130,6 +137,9 @@ def _count_words(special: list[str]):
         def words() -> pa.RecordBatch:
             total: Counter = Counter()
             for span, n in spans.items():
+                if _is_word(span):
+                    total[span] += n
+                    continue
                 for w in split.find(span):
                     total[w] += n
             spans.clear()
@@ -192,19 +202,26 @@ class PositionJoin:
         self.known, self.split = known, Splitter(list(special))
         self.special = {c: np.array([i], dtype=width).tobytes() for c, i in special.items()}
         self.hole = b"\xff" * np.dtype(width).itemsize
-        #: Two generations of remembered spans of several words or none in the table: when the newer is full it becomes the older, so
-        #: frequent spans stay. A span has its ids and the words of its holes as one value, so neither outlives the other.
-        self.memo, self.older = {}, {}
+        #: The table's words and remembered spans without holes; spans with holes have their ids and the holes' words as one value.
+        #: Both start anew after ``MEMO_ENTRIES`` spans.
+        self.whole, self.holed, self.room = dict(known), {}, MEMO_ENTRIES
 
     def _look_up(self, span: str) -> tuple[bytes, list[str]]:
-        if len(self.memo) >= MEMO_ENTRIES:
-            self.memo, self.older = {}, self.memo
-        out = self.older.get(span)
+        """The ids and the holes' words of a span that is not in ``whole``. A single word is a hole and need not be remembered."""
+        if _is_word(span):
+            return self.hole, [span]
+        out = self.holed.get(span)
         if out is None:
+            if not self.room:
+                self.whole, self.holed, self.room = dict(self.known), {}, MEMO_ENTRIES
+            self.room -= 1
             words = self.split.find(span)
             ids = [self.known.get(w, self.hole) for w in words]
             out = b"".join(ids), [w for w, x in zip(words, ids) if x is self.hole] if self.hole in ids else _NONE
-        self.memo[span] = out
+            if out[1]:
+                self.holed[span] = out
+            else:
+                self.whole[span] = out[0]
         return out
 
     def ids(self, text: str) -> tuple[bytes, list[str]]:
@@ -216,16 +233,24 @@ class PositionJoin:
                 continue
             spans = self.split.spans(section)
             # A span that is a word of the table is that word alone.
-            found = list(map(self.known.get, spans))
+            found = list(map(self.whole.get, spans))
             if None in found:
                 for i in [i for i, x in enumerate(found) if x is None]:
-                    known = self.memo.get(spans[i])
-                    found[i], rare = self._look_up(spans[i]) if known is None else known
+                    found[i], rare = self._look_up(spans[i])
                     if rare:
                         words += rare
             out += found
         return b"".join(out), words
 
+    def rare(self, text: str) -> list[str]:
+        """The words of the holes alone."""
+        out = []
+        for section, is_special in self.split.sections(text):
+            if not is_special:
+                for span in filterfalse(self.whole.__contains__, self.split.spans(section)):
+                    out += self._look_up(span)[1]
+        return out
+
 
 def _holes(known, special):
     """``(key, at, word)`` of each hole of each text; ``at`` is its number as four bytes."""
@@ -233,7 +258,7 @@ def _holes(known, special):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         join = PositionJoin(dict(zip(*known.value)), special, "<u2")
         for batch in slices(batches):
-            found = [join.ids(x)[1] for x in _texts(batch)]
+            found = [join.rare(x) for x in _texts(batch)]
             n = np.array([len(x) for x in found], dtype=np.int64)
             key = np.repeat(np.array(batch.column("key").to_pylist(), dtype=np.int64), n)
             at = b"".join(np.arange(i, dtype=">u4").tobytes() for i in n)
@@ -247,15 +272,15 @@ def _filled(ids: bytes, found: list[dict] | None, width: str) -> bytes:
     """The ids, widened, with those of the holes' words in their places."""
     whole = np.frombuffer(ids, dtype=width)
     holes = np.flatnonzero(whole == np.iinfo(width).max)
-    at = {x["at"]: np.frombuffer(x["ids"], dtype=width) for x in found or []}
+    at = {x["at"]: x["ids"] for x in found or []}
     if len(holes) != len(at):
         raise ValueError(f"{len(holes)} holes and {len(at)} words")
     if len(holes):
         parts, last = [], 0
-        for k, i in enumerate(holes.tolist()):
-            parts += (whole[last:i], at[k])
-            last = i + 1
-        whole = np.concatenate([*parts, whole[last:]])
+        for k, i in enumerate((holes * whole.itemsize).tolist()):
+            parts += (ids[last:i], at[k])
+            last = i + whole.itemsize
+        whole = np.frombuffer(b"".join([*parts, ids[last:]]), dtype=width)
     return whole.astype("<u4").tobytes()
 
 
