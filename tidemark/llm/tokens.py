@@ -29,7 +29,7 @@ from .shared import discard, stored
 from .words import slices, utf8
 
 #: Size of the words and ids that are joined by broadcast; as a table in a worker they take some ten times that.
-TABLE_BYTES = 4 << 20
+TABLE_BYTES = 8 << 20
 MEMO_ENTRIES = 120_000
 _NONE: list[str] = []
 #: The pre-token pattern of byte-level BPE files of this family.
