@@ -1,6 +1,6 @@
 """Token counts, and BPE encoding and decoding through a distinct-word table.
 
-Encoding: (1) every whole text is split into pre-token words and the distinct words are counted by Spark; (2) each distinct
+Encoding: (1) every whole text is split into pre-token words, many texts at a time: spans at white space are numbered, and only distinct ones are cut further, and the distinct words are counted by Spark; (2) each distinct
 word is encoded once; (3) ids come back by position: of the most frequent words (``TABLE_BYTES`` of words and ids at most) by a
 broadcast join; every other word leaves a hole. One pass over the texts gives the holes' words, which join the table by a shuffle and
 are gathered by document; another gives the ids and fills the holes in order, so that ids themselves are never moved or stored; (4) decoding joins ids to pieces of the
@@ -14,24 +14,23 @@ from __future__ import annotations
 
 import heapq
 import json
-from collections import Counter
+import re
 from collections.abc import Iterator
-from itertools import filterfalse
-from operator import itemgetter
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import discard, stored
-from .words import slices, utf8
+from .words import portions, slices, utf8
 
 #: Size of the words and ids that are joined by broadcast; as a table in a worker they take some ten times that.
 TABLE_BYTES = 8 << 20
 MEMO_ENTRIES = 120_000
-_NONE: list[str] = []
 #: The pre-token pattern of byte-level BPE files of this family.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -96,63 +95,110 @@ class Bpe:
         return [p for p in parts if p]
 
 
+#: Classes of bytes in UTF-8 text: space, other white space, first bytes of wider characters that may be white space.
+_SPACE, _OTHER_SPACE, _WIDE_SPACE, _LEAD = 1, 2, 3, 4
+_WIDE_SPACES = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+_WIDE_CODES = np.array([int.from_bytes(x.ljust(3, b"\0"), "big") for x in _WIDE_SPACES])
+_BYTE_CLASS = np.zeros(256, dtype=np.uint8)
+_BYTE_CLASS[9:14] = _OTHER_SPACE
+_BYTE_CLASS[32] = _SPACE
+_BYTE_CLASS[[x[0] for x in _WIDE_SPACES]] = _LEAD
+
+
+def _span_starts(data: np.ndarray) -> np.ndarray:
+    """Bytes of UTF-8 text at which a word begins whatever stands around: the first of each run of white space, and the first after a line end
+    or tab that stands alone. What a run is cut into depends on what follows it alone, and of single ones only a space joins the next word."""
+    kind = _BYTE_CLASS[data]
+    lead = np.flatnonzero(kind == _LEAD)
+    if len(lead):
+        kind[lead] = 0
+        wide = np.concatenate([data, np.zeros(2, dtype=np.uint8)]).astype(np.int64)
+        two = data[lead] < 0xE0
+        code = wide[lead] << 16 | wide[lead + 1] << 8 | np.where(two, 0, wide[lead + 2])
+        is_space = np.isin(code, _WIDE_CODES)
+        kind[lead[is_space]] = kind[lead[is_space] + 1] = kind[lead[is_space & ~two] + 2] = _WIDE_SPACE
+    space = kind != 0
+    start = np.zeros(len(data), dtype=bool)
+    start[1:] = space[1:] & ~space[:-1]
+    start[2:] |= ~space[2:] & (kind[1:-1] == _OTHER_SPACE) & ~space[:-2]
+    return start
+
+
+def _binary(offsets: np.ndarray, data: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """A column of texts or bytes over ``data``."""
+    return pa.Array.from_buffers(kind, len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and bytes of a column of texts or bytes without nulls."""
+    if not len(column):
+        return np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.uint8)
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
+    return offsets - offsets[0], data
+
+
+class Spans(NamedTuple):
+    """Texts in spans whose words do not depend on their surroundings: each distinct span once, and by place its number there.
+    The places of text i are ``first[i]`` .. ``first[i + 1]``."""
+
+    distinct: pa.Array
+    codes: np.ndarray
+    first: np.ndarray
+
+
 class Splitter:
-    """Cuts texts into pre-token words. Spans between single spaces and newlines are cut once and remembered."""
+    """Cuts texts into spans, many texts at a time, and spans into pre-token words. A special token is a span of its own."""
 
     def __init__(self, special: list[str]) -> None:
         self.find = regex.compile(PRETOKEN).findall
-        self.double = regex.compile(r"\s\s").search
-        self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-
-    def sections(self, text: str) -> Iterator[tuple[str, bool]]:
-        """(section, is it a special token) in order."""
-        if self.special is None or not self.special.search(text):
-            yield text, False
-            return
-        for i, x in enumerate(self.special.split(text)):
-            if x:
-                yield x, i % 2 == 1
+        self.any_special = "|".join(map(re.escape, sorted(special, key=len, reverse=True)))
+        self.special = regex.compile(f"({self.any_special})") if special else None
+
+    def read(self, column: pa.Array) -> Spans:
+        texts = column.cast(pa.string()).fill_null("")
+        place = np.arange(len(texts) + 1)
+        if self.special is not None and pc.any(pc.match_substring_regex(texts, self.any_special)).as_py():
+            cut = [[x for x in self.special.split(t) if x] for t in texts.to_pylist()]
+            place = np.cumsum([0, *map(len, cut)])
+            texts = pa.array([x for c in cut for x in c], pa.string())
+        offsets, data = _parts(texts)
+        start = _span_starts(data)
+        start[offsets[:-1][offsets[:-1] < len(data)]] = True
+        at = np.flatnonzero(start)
+        spans = _binary(np.append(at, len(data)), data, pa.string()).dictionary_encode()
+        return Spans(spans.dictionary, spans.indices.to_numpy(), np.searchsorted(at, offsets)[place])
 
     def spans(self, text: str) -> list[str]:
-        """Spans whose words do not depend on their surroundings, together the whole text; some may be empty."""
-        if "\0" in text or self.double(text):
-            return self.find(text)
-        return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
+        """The spans of one text, in order."""
+        read = self.read(pa.array([text], pa.string()))
+        return read.distinct.take(pa.array(read.codes)).to_pylist()
 
 
-def _is_word(span: str) -> bool:
-    """Is the span plainly one word, ASCII letters after at most one space? Spares the pattern; other words are found by it."""
-    letters = span[1:] if span[:1] == " " else span
-    return letters.isascii() and letters.isalpha()
+def _words(span: str, find) -> list[str]:
+    """The words of a span. Letters of the Latin alphabet after at most one space, with or without a sentence's marks behind them, spare the pattern."""
+    core = span.rstrip(".,;:!?")
+    letters = core[1:] if core[:1] == " " else core
+    if letters.isalpha() and (letters.isascii() or max(letters) < "\u0250"):
+        return [span] if len(core) == len(span) else [core, span[len(core) :]]
+    return find(span)
 
 
-def _texts(batch: pa.RecordBatch) -> list[str]:
-    return [x or "" for x in batch.column("text").to_pylist()]
+def _strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
 
 
 def _count_words(special: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, spans = Splitter(special), Counter()
-
-        def words() -> pa.RecordBatch:
-            total: Counter = Counter()
-            for span, n in spans.items():
-                if _is_word(span):
-                    total[span] += n
-                    continue
-                for w in split.find(span):
-                    total[w] += n
-            spans.clear()
-            return pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.string()), pa.array(total.values(), pa.int64())], names=["word", "n"])
-
-        for batch in slices(batches):
-            for text in _texts(batch):
-                for section, is_special in split.sections(text):
-                    if not is_special:
-                        spans.update(split.spans(section))
-                if len(spans) > MEMO_ENTRIES:
-                    yield words()
-        yield words()
+        split = Splitter(special)
+        for batch in portions(batches, "text"):
+            spans = split.read(batch.column("text"))
+            counts = np.bincount(spans.codes, minlength=len(spans.distinct)).tolist()
+            total: dict[str, int] = {}
+            for span, n in zip(_strings(spans.distinct), counts):
+                for w in () if span in special else _words(span, split.find):
+                    total[w] = total.get(w, 0) + n
+            yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.string()), pa.array(total.values(), pa.int64())], names=["word", "n"])
 
     return run
 
@@ -196,60 +242,62 @@ def frequent(table: DataFrame, most: int) -> tuple[DataFrame, bool]:
 
 
 class PositionJoin:
-    """ids of a text by its words' positions, with a hole for each word that is not among the frequent ones."""
+    """ids of texts by their words' positions, with a hole for each word that is not among the frequent ones."""
 
     def __init__(self, known: dict[str, bytes], special: dict[str, int], width: str) -> None:
-        self.known, self.split = known, Splitter(list(special))
+        self.known, self.split, self.width = known, Splitter(list(special)), np.dtype(width)
         self.special = {c: np.array([i], dtype=width).tobytes() for c, i in special.items()}
-        self.hole = b"\xff" * np.dtype(width).itemsize
-        #: The table's words and remembered spans without holes; spans with holes have their ids and the holes' words as one value.
-        #: Both start anew after ``MEMO_ENTRIES`` spans.
-        self.whole, self.holed, self.room = dict(known), {}, MEMO_ENTRIES
-
-    def _look_up(self, span: str) -> tuple[bytes, list[str]]:
-        """The ids and the holes' words of a span that is not in ``whole``. A single word is a hole and need not be remembered."""
-        if _is_word(span):
-            return self.hole, [span]
-        out = self.holed.get(span)
-        if out is None:
-            if not self.room:
-                self.whole, self.holed, self.room = dict(self.known), {}, MEMO_ENTRIES
-            self.room -= 1
-            words = self.split.find(span)
-            ids = [self.known.get(w, self.hole) for w in words]
-            out = b"".join(ids), [w for w, x in zip(words, ids) if x is self.hole] if self.hole in ids else _NONE
-            if out[1]:
-                self.holed[span] = out
-            else:
-                self.whole[span] = out[0]
-        return out
+        self.hole = b"\xff" * self.width.itemsize
+        #: Special tokens, and remembered spans of several words of the table. Starts anew after ``MEMO_ENTRIES`` spans.
+        self.memo = dict(self.special)
+
+    def _found(self, distinct: pa.Array) -> tuple[list[bytes], list[int], list[int], list[str]]:
+        """The ids of each span; and of the spans with holes their numbers, how many holes each has, and all holes' words in order."""
+        spans, get, memo, find = _strings(distinct), self.known.get, self.memo, self.split.find
+        numbers, holes, rare = [], [], []
+        # A span that is a word of the table is that word alone.
+        ids = list(map(get, spans))
+        for i in [i for i, x in enumerate(ids) if x is None]:
+            span = spans[i]
+            if (known := memo.get(span)) is None:
+                words = _words(span, find)
+                parts = [get(w, self.hole) for w in words]
+                known = b"".join(parts)
+                if self.hole in parts:
+                    missing = [w for w, x in zip(words, parts) if x is self.hole]
+                    numbers.append(i)
+                    holes.append(len(missing))
+                    rare += missing
+                else:
+                    if len(memo) >= MEMO_ENTRIES:
+                        memo.clear()
+                        memo.update(self.special)
+                    memo[span] = known
+            ids[i] = known
+        return ids, numbers, holes, rare
+
+    def encoded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and where each text's begin and end."""
+        spans = self.split.read(texts)
+        offsets, data = _parts(pa.array(self._found(spans.distinct)[0], pa.binary()).take(pa.array(spans.codes)))
+        return np.frombuffer(data, dtype=self.width), offsets[spans.first] // self.width.itemsize
+
+    def rare(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """Of each hole, in order: the index of its text, its number within the text, and its word."""
+        spans = self.split.read(texts)
+        _, numbers, holes, rare = self._found(spans.distinct)
+        row = np.full(len(spans.distinct), -1, dtype=np.int64)
+        row[numbers] = np.arange(len(numbers))
+        places = np.flatnonzero(row[spans.codes] >= 0)
+        words = pa.ListArray.from_arrays(np.cumsum([0, *holes], dtype=np.int32), pa.array(rare, pa.string())).take(pa.array(row[spans.codes[places]]))
+        place = np.repeat(places, pc.list_value_length(words).to_numpy())
+        text = np.searchsorted(spans.first, place, side="right") - 1
+        return text, np.arange(len(text)) - np.searchsorted(text, text), words.flatten()
 
     def ids(self, text: str) -> tuple[bytes, list[str]]:
-        """The ids, and the words of the holes in order."""
-        out, words = [], []
-        for section, is_special in self.split.sections(text):
-            if is_special:
-                out.append(self.special[section])
-                continue
-            spans = self.split.spans(section)
-            # A span that is a word of the table is that word alone.
-            found = list(map(self.whole.get, spans))
-            if None in found:
-                for i in [i for i, x in enumerate(found) if x is None]:
-                    found[i], rare = self._look_up(spans[i])
-                    if rare:
-                        words += rare
-            out += found
-        return b"".join(out), words
-
-    def rare(self, text: str) -> list[str]:
-        """The words of the holes alone."""
-        out = []
-        for section, is_special in self.split.sections(text):
-            if not is_special:
-                for span in filterfalse(self.whole.__contains__, self.split.spans(section)):
-                    out += self._look_up(span)[1]
-        return out
+        """The ids of one text, and the words of its holes in order."""
+        texts = pa.array([text], pa.string())
+        return self.encoded(texts)[0].tobytes(), self.rare(texts)[2].to_pylist()
 
 
 def _holes(known, special):
@@ -257,13 +305,10 @@ def _holes(known, special):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         join = PositionJoin(dict(zip(*known.value)), special, "<u2")
-        for batch in slices(batches):
-            found = [join.rare(x) for x in _texts(batch)]
-            n = np.array([len(x) for x in found], dtype=np.int64)
-            key = np.repeat(np.array(batch.column("key").to_pylist(), dtype=np.int64), n)
-            at = b"".join(np.arange(i, dtype=">u4").tobytes() for i in n)
-            at = pa.array([at[i : i + 4] for i in range(0, len(at), 4)], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(key), at, pa.array([w for x in found for w in x], pa.string())], names=["key", "at", "word"])
+        for batch in portions(batches, "text"):
+            text, at, word = join.rare(batch.column("text"))
+            at = _binary(4 * np.arange(len(at) + 1), np.frombuffer(at.astype(">u4").tobytes(), dtype=np.uint8), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(text)), at, word], names=["key", "at", "word"])
 
     return run
 
@@ -289,12 +334,18 @@ def _fill(known, special, width):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         join = PositionJoin(dict(zip(*known.value)), special, width)
-        for batch in slices(batches):
-            ids = []
-            for text, found in zip(_texts(batch), batch.column("found").to_pylist()):
-                found = [{"at": int.from_bytes(x[:4], "big"), "ids": x[4:]} for x in found or []]
-                ids.append(_filled(join.ids(text)[0], found, width))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+        for batch in portions(batches, "text"):
+            ids, first = join.encoded(batch.column("text"))
+            found = batch.column("found")
+            if found.null_count == len(found) and not np.any(ids == np.iinfo(width).max):
+                filled = _binary(4 * first, ids.astype("<u4").view(np.uint8), pa.binary())
+            else:
+                filled = []
+                for i, x in enumerate(found.to_pylist()):
+                    x = [{"at": int.from_bytes(y[:4], "big"), "ids": y[4:]} for y in x or []]
+                    filled.append(_filled(ids[first[i] : first[i + 1]].tobytes(), x, width))
+                filled = pa.array(filled, pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), filled], names=["doc_id", "ids"])
 
     return run
 
@@ -319,16 +370,22 @@ def bpe_encode(docs: DataFrame, path: str, most: int = TABLE_BYTES) -> DataFrame
     return docs.join(found.hint("shuffle_merge"), "key", "left").select("doc_id", "text", "found").mapInArrow(fill, "doc_id long, ids binary")
 
 
+def _texts(offsets: np.ndarray, data: np.ndarray) -> pa.Array:
+    """The bytes as texts; what is not UTF-8 becomes replacement characters."""
+    raw = _binary(offsets, data, pa.binary())
+    try:
+        return raw.cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([x.decode("utf-8", "replace") for x in raw.to_pylist()], pa.string())
+
+
 def _decode(pieces):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = pieces.value
-        for batch in slices(batches):
-            texts = []
-            for raw in batch.column("ids").to_pylist():
-                ids = np.frombuffer(raw or b"", dtype="<u4").tolist()
-                found = itemgetter(*ids)(piece) if len(ids) > 1 else [piece[i] for i in ids]
-                texts.append(b"".join(found).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
+        piece = pa.array(pieces.value, pa.binary())
+        for batch in portions(batches, "ids", 4 << 20):
+            first, raw = _parts(batch.column("ids").fill_null(b""))
+            offsets, data = _parts(piece.take(pa.array(np.frombuffer(raw, dtype="<u4"))))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), _texts(offsets[first // 4], data)], names=["doc_id", "ids", "decoded"])
 
     return run
 

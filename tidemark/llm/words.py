@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -101,6 +102,17 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(first, rows)
 
 
+def portions(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of about ``limit`` bytes of ``column`` (a longer value stands alone)."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        end, first = np.cumsum(size), 0
+        while first < batch.num_rows:
+            last = max(first + 1, int(np.searchsorted(end, end[first] - size[first] + limit, side="right")))
+            yield batch.slice(first, last - first)
+            first = last
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """The texts as bytes; null is empty."""
     if isinstance(column, pa.ChunkedArray):
