@@ -191,7 +191,7 @@ def _strings(column: pa.Array) -> list[str]:
 def _count_words(special: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = Splitter(special)
-        for batch in portions(batches, "text"):
+        for batch in portions(batches, "text", 4 << 20):
             spans = split.read(batch.column("text"))
             counts = np.bincount(spans.codes, minlength=len(spans.distinct)).tolist()
             total: dict[str, int] = {}
@@ -382,7 +382,7 @@ def _texts(offsets: np.ndarray, data: np.ndarray) -> pa.Array:
 def _decode(pieces):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = pa.array(pieces.value, pa.binary())
-        for batch in portions(batches, "ids", 4 << 20):
+        for batch in portions(batches, "ids"):
             first, raw = _parts(batch.column("ids").fill_null(b""))
             offsets, data = _parts(piece.take(pa.array(np.frombuffer(raw, dtype="<u4"))))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), _texts(offsets[first // 4], data)], names=["doc_id", "ids", "decoded"])
