@@ -65,6 +65,12 @@ def canonicalize_url(df: DataFrame, column: str, out: str = "canonical_url", unw
     return df.withColumn(out, F.coalesce(built, u)).drop("_u")
 
 
+def same_canonical_url(df: DataFrame, a: str, b: str, out: str = "same") -> DataFrame:
+    """Adds whether two addresses have one canonical form; null if one is null."""
+    df = canonicalize_url(canonicalize_url(df, a, "_canonical_a"), b, "_canonical_b")
+    return df.withColumn(out, F.col("_canonical_a") == F.col("_canonical_b")).drop("_canonical_a", "_canonical_b")
+
+
 def page_text(html: Column) -> Column:
     text = F.coalesce(html, F.lit(""))
     for pattern in (r"(?is)<script\b[^>]*>.*?</script>", r"(?is)<style\b[^>]*>.*?</style>", r"(?s)<!--.*?-->", r"<[^>]+>", r"(?i)&nbsp;"):

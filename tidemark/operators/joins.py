@@ -117,7 +117,7 @@ def alias_conflicts(aliases: DataFrame) -> DataFrame:
 
 def items_with_source(items: DataFrame, sources: DataFrame, ids: DataFrame) -> DataFrame:
     """The wanted items, in the caller's order (``ids(place, id)``), with their source's columns."""
-    df = items.join(ids, "id").join(F.broadcast(sources.select(F.col("id").alias("source_id"), "category", "priority")), "source_id")  # sources: a registry
+    df = items.join(ids, "id").join(sources.select(F.col("id").alias("source_id"), "category", "priority"), "source_id")
     return df.select("place", "id", "source_id", "category", "priority").orderBy("place")
 
 

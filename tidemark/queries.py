@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import text as N
 from .operators import aggregates as A
 from .operators import history as H
 from .operators import joins as J
 from .plans.views import BASE, NOW, view, with_views
+from .sources import entities as E
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -439,6 +441,16 @@ def _(v):
     return H.recent(v("v_events"), "first_seen_at", "event_id", 50).select("event_id", "first_seen_at")
 
 
+@query("k1_recent_items", "select id, fetched_at from v_items order by fetched_at desc, id desc limit 50")
+def _(v):
+    return H.recent(v("v_items"), "fetched_at", "id", 50).select("id", "fetched_at")
+
+
+@query("k1_recent_fetches", "select id, source_id, started_at, outcome from v_fetch_log order by started_at desc, id desc limit 50")
+def _(v):
+    return H.recent(v("v_fetch_log"), "started_at", "id", 50).select("id", "source_id", "started_at", "outcome")
+
+
 @query("k2_list_sources", "select id, priority, name, row_number() over (order by priority, name, id) as place from v_sources")
 def _(v):
     from pyspark.sql.window import Window
@@ -475,6 +487,34 @@ def _(v):
     return J.alias_conflicts(v("v_items").select(F.lower(F.substring("title", 1, 2)).alias("normalized"), F.col("source_id").alias("entity_id")))
 
 
+@query(
+    "s8_registry_problems",
+    """with e as (select cast(s_nationkey % 20 as varchar) as id from supplier),
+    a as (select cast(c_nationkey as varchar) as entity_id, regexp_replace(lower(case when c_custkey % 50 = 0 then '--' else c_mktsegment end), '[^a-z0-9]+', '', 'g') as normalized from customer)
+    select 'duplicate_entity' as problem, id as key, count(*) as n from e group by id having count(*) > 1
+    union all select 'empty_alias', entity_id, count(*) from a where normalized = '' group by entity_id
+    union all select 'unknown_entity', entity_id, count(*) from a where entity_id not in (select id from e) group by entity_id
+    union all select 'shared_alias', normalized, count(distinct entity_id) from a where normalized <> '' group by normalized having count(distinct entity_id) > 1""",
+)
+def _(v):
+    entities = v("supplier").select((F.col("s_nationkey") % 20).cast("string").alias("id"))
+    alias = F.when(F.col("c_custkey") % 50 == 0, "--").otherwise(F.col("c_mktsegment"))
+    aliases = v("customer").select(F.col("c_nationkey").cast("string").alias("entity_id"), N.normalize_alias(alias, False).alias("normalized"))
+    return E.registry_problems(entities, aliases)
+
+
+@query(
+    "s9_registry_aliases",
+    """with d as (select s_suppkey, unnest([s_name, upper(s_name), 'Supplier ' || s_suppkey, 'S-' || s_nationkey]) as alias, unnest([0, 1, 2, 3]) as place from supplier),
+    n as (select *, regexp_replace(lower(alias), '[^a-z0-9]+', '', 'g') as normalized from d)
+    select cast(s_suppkey as varchar) as entity_id, arg_min(alias, place) as alias, normalized, arg_min(place = 3, place) as requires_exact_case from n group by s_suppkey, normalized""",
+)
+def _(v):
+    names = F.array("s_name", F.upper("s_name"), F.concat(F.lit("Supplier "), F.col("s_suppkey").cast("string")))
+    exact = F.array(F.concat(F.lit("S-"), F.col("s_nationkey").cast("string")))
+    return E.registry_aliases(v("supplier").select(F.col("s_suppkey").cast("string").alias("id"), names.alias("aliases"), exact.alias("case_sensitive_aliases")), normalise=False)
+
+
 @query("s10_items_with_source", "select i.id, i.source_id, category, priority, -i.id as place from v_items i join v_sources s on s.id = i.source_id where i.id % 5 = 0")
 def _(v):
     ids = v("v_items").where("id % 5 = 0").select("id", (-F.col("id")).alias("place"))

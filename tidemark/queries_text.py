@@ -81,6 +81,13 @@ def _(v):
     return v("pages").select("page_id", U.url_host(F.col("url")).alias("host"))
 
 
+@query("n4_same_canonical_url", "select page_id, page_id % 3 <> 2 or strpos(url, '#') > 0 as same from pages where url is not null union all select page_id, null from pages where url is null")
+def _(v):
+    added = F.when(F.col("page_id") % 3 == 0, "utm_source=a").when(F.col("page_id") % 3 == 1, "ref=b").otherwise("zz=1")
+    variant = F.concat("url", F.when(F.contains("url", F.lit("?")), "&").otherwise("?"), added)
+    return U.same_canonical_url(v("pages").withColumn("variant", variant), "url", "variant").select("page_id", "same")
+
+
 @query("n5_content_hash", "select doc_id, sha256(lower(trim(regexp_replace(coalesce(source, ''), '\\s+', ' ', 'g'))) || chr(10) || lower(trim(regexp_replace(coalesce(lang, ''), '\\s+', ' ', 'g'))) || chr(10) || lower(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')))) as hash from documents")
 def _(v):
     return v("documents").select("doc_id", N.content_hash("source", "lang", "text").alias("hash"))
