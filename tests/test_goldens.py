@@ -131,6 +131,22 @@ def test_budget_fold(spark):
     assert [(r["id"], r["allowed"]) for r in history.budget_decisions(calls, 100).orderBy("id").collect()] == [(1, True), (2, False), (3, True), (4, True)]
 
 
+def test_budget_fold_over_batches_and_missing_costs(spark):
+    rows = [(i, 100 * (i % 3) * 864, None if i % 11 == 0 else i * 7 % 23) for i in range(300)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = history.budget_decisions(spark.createDataFrame(rows, "id long, spent_at long, cost_micro long"), 400).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spent, expected = {}, {}
+    for i, at, cost in rows:
+        before = spent.setdefault(at // 86_400, 0)
+        fits = cost is not None and before < 400 and before + cost <= 400
+        expected[i] = (at // 86_400, cost, before, fits)
+        spent[at // 86_400] += cost if fits else 0
+    assert {r["id"]: (r["day"], r["cost_micro"], r["spent_before"], r["allowed"]) for r in got} == expected
+
+
 def test_longest_prefix_price(spark):
     usage = spark.createDataFrame([("alpha-2-20250101",), ("alpha",), ("gamma",)], "model string")
     assert [r["priced_as"] for r in aggregates.price_usage(usage).collect()] == ["alpha-2", "alpha", None]

@@ -154,19 +154,28 @@ def budget_state(ledger: DataFrame, budget: int) -> DataFrame:
 
 
 def budget_decisions(calls: DataFrame, budget: int) -> DataFrame:
-    """The sequential form: a call whose cost would pass the budget is refused and spends nothing; a fold over each day's calls."""
-    import pandas as pd
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        spent, rows = 0, []
-        for r in pdf.sort_values("id").itertuples():
-            allowed = spent < budget and spent + r.cost_micro <= budget
-            rows.append((r.id, r.day, r.cost_micro, spent, allowed))
-            spent += r.cost_micro if allowed else 0
-        return pd.DataFrame(rows, columns=["id", "day", "cost_micro", "spent_before", "allowed"])
-
-    df = calls.select("id", F.floor(F.col("spent_at") / DAY).cast("long").alias("day"), "cost_micro")
-    return df.groupBy("day").applyInPandas(fold, "id long, day long, cost_micro long, spent_before long, allowed boolean")
+    """The sequential form: a call whose cost would pass the budget is refused and spends nothing. Each decision needs the one before it, so a
+    day's calls stream in order of id through one task, which holds a batch and the day's sum; Spark sorts them, on disk where they are many.
+    A call without a cost is refused."""
+    import pyarrow as pa
+
+    def fold(batches):
+        today, spent = None, 0
+        for batch in batches:
+            before, allowed = [], []
+            for day, cost in zip(batch.column("day").to_pylist(), batch.column("cost_micro").to_pylist()):
+                if day != today:
+                    today, spent = day, 0
+                fits = cost is not None and spent < budget and spent + cost <= budget
+                before.append(spent)
+                allowed.append(fits)
+                spent += cost if fits else 0
+            rows = [*batch.select(["id", "day", "cost_micro"]).columns, pa.array(before, pa.int64()), pa.array(allowed, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(rows, names=["id", "day", "cost_micro", "spent_before", "allowed"])
+
+    df = calls.select(F.col("id").cast("long"), F.floor(F.col("spent_at") / DAY).cast("long").alias("day"), F.col("cost_micro").cast("long"))
+    ordered = df.repartition("day").sortWithinPartitions("day", "id")
+    return ordered.mapInArrow(fold, "id long, day long, cost_micro long, spent_before long, allowed boolean")
 
 
 def publication_audit(posts: DataFrame, longest: int = 280, per_day: int = 5, gap: int = 1800) -> DataFrame:

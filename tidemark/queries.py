@@ -113,7 +113,14 @@ def _(v):
     return H.budget_state(v("v_ledger"), 10_000_000)
 
 
-@query("w7_budget_decisions")
+@query(
+    "w7_budget_decisions",
+    """select id, day, cost_micro, spent_before, allowed from (with recursive l as (select id, spent_at // 86400 as day, cost_micro, row_number() over (partition by spent_at // 86400 order by id) as rn from v_ledger),
+    r as (select id, day, cost_micro, rn, 0::bigint as spent_before, cost_micro <= 10000000 as allowed from l where rn = 1
+      union all select l.id, l.day, l.cost_micro, l.rn, s::bigint, s < 10000000 and s + l.cost_micro <= 10000000
+        from (select day, rn, spent_before + case when allowed then cost_micro else 0 end as s from r) p join l on l.day = p.day and l.rn = p.rn + 1)
+    select * from r)""",
+)
 def _(v):
     return H.budget_decisions(v("v_ledger"), 10_000_000)
 

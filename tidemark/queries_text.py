@@ -152,7 +152,7 @@ def _has(p: str) -> str:
 )
 def _(v):
     entities = F.array(F.when(F.col("source").isin("src1", "src2"), "openai").otherwise("x"))
-    return v("documents").where("text is not null").select("doc_id", N.infer_category(F.col("text"), entities).alias("category"))
+    return v("documents").select("doc_id", N.infer_category(F.col("text"), entities).alias("category"))
 
 
 @query("n12_normalize_items")
