@@ -244,6 +244,28 @@ def test_bpe_is_the_library(spark):
     assert tokens.bpe_digests(empty(spark), path).count() == 0
 
 
+def test_bpe_spans_of_odd_white_space(spark):
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = tokens.tokenizer_path(spark)
+    bpe, library, pick = tokens.Bpe(path), Tokenizer.from_file(path), random.Random(5)
+    signs = ["a", "b", " ", " ", "\n", "\t", "\u00a0", "\u2003", "\u3000", "\x1c", "\x85", "é", "’", "1", "²", "!", "'s", "<|endoftext|>", "日", "😀", "\u200b", "\u0301", "\x00"]
+    texts = ["".join(pick.choice(signs) for _ in range(pick.randint(0, 14))) for _ in range(5000)] + [None, ""]
+    known = {w: np.array(bpe.encode_word(w.encode()), dtype=bpe.width).tobytes() for w in ("a", " a", "b", " b", "!")}
+    join = tokens.PositionJoin(known, bpe.special, bpe.width)
+    ids, first = join.encoded(pa.array(texts))
+    text, at, word = join.rare(pa.array(texts))
+    found = {}
+    for t, i, w in zip(text.tolist(), at.tolist(), word.to_pylist()):
+        found.setdefault(t, []).append({"at": i, "ids": np.array(bpe.encode_word(w.encode()), dtype=bpe.width).tobytes()})
+    for i, t in enumerate(texts):
+        got = tokens._filled(ids[first[i] : first[i + 1]].tobytes(), found.get(i), bpe.width)
+        assert np.frombuffer(got, dtype="<u4").tolist() == library.encode(t or "", add_special_tokens=False).ids, repr(t)
+
+
 def test_bpe_holes_when_the_memory_turns_within_a_text(spark, monkeypatch):
     from tokenizers import Tokenizer
 
