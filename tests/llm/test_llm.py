@@ -182,6 +182,24 @@ def test_deduplicated_keeps_one_of_each(spark):
     assert len(rows) == 8 and {r["_key"] for r in rows} == {"keep src1"} and {r["key"] for r in rows} == {"clash"}
 
 
+def test_settled_family_is_sent_in_proportion(spark, monkeypatch):
+    """Rows of one part are dropped; beside a few other parts a large part's rows travel once each for each of their blocks."""
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    sent = []
+    for n in (100, 400, 1600):
+        rows = spark.range(n).selectExpr("1L as token", "id as class", "if(id < 5, id, 9L) as part", "100 as n", "1 as place", "cast('' as binary) as marks", "0 as block", "64 as blocks")
+        rows = rows.unionByName(rows.withColumn("token", F.lit(2).cast("long")).withColumn("part", F.lit(9).cast("long")))
+        pairs = jaccard.block_pairs(rows)[0].select("token", "class", "part", "block", "p", "q").collect()
+        assert {r["token"] for r in pairs} == {1}
+        met = {(r["p"], r["q"]): [] for r in pairs}
+        for r in pairs:
+            met[r["p"], r["q"]].append(r)
+        seen = {(a["class"], b["class"]) for g in met.values() for a in g for b in g if a["part"] < b["part"] and (a["p"] == a["q"] or a["block"] != b["block"])}
+        assert len(seen) == 10 + 5 * (n - 5)
+        sent.append(len(pairs))
+    assert sent[2] < 20 * sent[0] and sent[2] < 3 * 1600
+
+
 def test_family_of_copies_that_do_not_link_is_compared_in_blocks(spark, monkeypatch):
     """Documents that share a third of their words: many pairs meet, none but the planted ones may pass the filters."""
     rng = np.random.default_rng(4)
@@ -548,6 +566,19 @@ def test_vectors(spark, block, monkeypatch):
     assert vectors.near_vectors(vector_table(spark, rows).limit(0)).count() == 0
 
 
+def test_vectors_with_odd_components(spark):
+    """Twins that differ in a null, a NaN or a zero's sign alone: nulls and NaN link with nothing, the zeros are the same."""
+    rng, rows = np.random.default_rng(11), []
+    for i in range(40):
+        v = rng.integers(-2, 3, size=5).astype(float).tolist()
+        at = int(rng.integers(0, 6))
+        for odd in (None, float("nan"), 0.0, -0.0):
+            rows.append((len(rows), [*v[:at], odd, *v[at:]], 0))
+        rows.append((len(rows), v, 0))
+    rows += [(900, [1.0, 2.0], 0), (901, [1.0, None, 2.0], 0), (902, [1.0, 2.0], 0)]
+    assert ordered(vectors.near_vectors(vector_table(spark, rows)).collect()) == ordered(brute_vectors(rows))
+
+
 def test_vectors_recall():
     """Pairs at cosine 0.9 exactly, the hardest ones, share a filter."""
     rng = np.random.default_rng(9)

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -321,12 +321,33 @@ def leader_pairs(rows: DataFrame, number: int) -> DataFrame:
     return best.select(F.least("class", "leader").alias("a"), F.greatest("class", "leader").alias("b")).distinct()
 
 
-def prefix_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs of classes of different parts that share a prefix shingle and pass all filters."""
-    pair = "transform(sequence(0, blocks - 1), o -> struct(least(o, block) as p, greatest(o, block) as q))"
-    rows = rows.withColumn("pq", F.explode(F.expr(pair))).select("token", "class", "part", "n", "place", "marks", "block", "pq.p", "pq.q")
+def block_pairs(rows: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """``rows`` with the pairs ``(p, q)`` of blocks that each one goes to, and the tables that this reads.
+
+    Shingles of at most ``BLOCK`` classes are one block. Of the others, those of one part go. A large part has blocks of its own, which never meet each
+    other; parts of up to half a block share blocks. So a settled family with few other rows is sent about as often as those others have blocks."""
+    half, columns = BLOCK // 2, ["token", "class", "part", "n", "place", "marks", "block", "p", "q"]
+    few = rows.where("blocks = 1").withColumn("p", F.lit(0)).withColumn("q", F.lit(0))
+    rows = rows.where("blocks > 1").drop("block", "blocks")
+    sizes = stored(rows.groupBy("token", "part").count(), "jaccard-sizes")
+    own = F.expr(f"if(count > {half}, cast(ceil(count / {half}) as int), 0)")
+    total = sizes.groupBy("token").agg(F.count("*").alias("parts"), F.expr(f"cast(ceil(sum(if(count > {half}, 0, count)) / {half}) as int)").alias("shared"), F.sum(own).cast("int").alias("large"))
+    total = stored(total.where("parts > 1").drop("parts"), "jaccard-many")
+    first = F.sum("own").over(Window.partitionBy("token").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    large = stored(sizes.where(f"count > {half}").select("token", "part", own.alias("own")).withColumn("first", F.coalesce(first, F.lit(0)).cast("int")), "jaccard-large")
+    many = join_small(join_small(rows, total, ["token"]), large, ["token", "part"], "left")
+    many = many.withColumn("block", F.expr("cast(if(own is null, pmod(xxhash64(part), shared), shared + first + pmod(xxhash64(class), own)) as int)"))
+    others = "filter(sequence(0, shared + large - 1), o -> own is null or o < shared + first or o >= shared + first + own)"
+    many = many.withColumn("pq", F.explode(F.expr(f"transform({others}, o -> struct(least(o, block) as p, greatest(o, block) as q))")))
+    many = many.withColumn("p", F.col("pq.p")).withColumn("q", F.col("pq.q"))
+    return few.select(columns).unionByName(many.select(columns)), [sizes, total, large]
+
+
+def prefix_pairs(rows: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Pairs of classes of different parts that share a prefix shingle and pass all filters, and the tables that this reads."""
+    rows, read = block_pairs(rows)
     met = rows.repartition("token", "p", "q").sortWithinPartitions("token", "p", "q", "part")
-    return met.mapInArrow(_meet, "a long, b long").distinct()
+    return met.mapInArrow(_meet, "a long, b long").distinct(), read
 
 
 def class_parts(docs: DataFrame, classes: DataFrame, rarity, rounds: int = ROUNDS) -> DataFrame:
@@ -335,13 +356,14 @@ def class_parts(docs: DataFrame, classes: DataFrame, rarity, rounds: int = ROUND
     parts = stored(rows.select("class").distinct().withColumn("part", F.col("class")), "jaccard-parts")
     for number in range(rounds + 1):
         met = join_small(rows, parts, ["class"])
-        links = verified(leader_pairs(met, number) if number < rounds else prefix_pairs(met), docs, classes)
+        pairs, read = (leader_pairs(met, number), []) if number < rounds else prefix_pairs(met)
+        links = verified(pairs, docs, classes)
         at = lambda c: parts.toDF(c, f"p{c}")  # noqa: B023, E731
         edges = join_small(join_small(links, at("a"), ["a"]), at("b"), ["b"])
         roots = components(edges.select(F.col("pa").alias("a"), F.col("pb").alias("b")))
         moved = join_small(parts, roots.toDF("part", "root"), ["part"], "left").select("class", F.coalesce("root", "part").alias("part"))
         moved = stored(moved, "jaccard-parts")
-        discard(links, parts, roots)
+        discard(links, parts, roots, *read)
         parts = moved
     discard(rows)
     return parts

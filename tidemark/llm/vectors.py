@@ -216,10 +216,20 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield results(key, rows)
 
 
+#: Vectors that can link: not null or empty, all components finite, one at least not zero.
+USABLE = "coalesce(size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('inf')) and exists(embedding, x -> x <> 0), false)"
+
+
+def classed(vectors: DataFrame) -> DataFrame:
+    """``(vec_id, class, embedding)``: equal usable vectors have one class (either zero is the same), any other vector has none."""
+    same = vectors.select("vec_id", F.expr("transform(embedding, x -> x + cast(0 as float))").alias("embedding"))
+    return same.select("vec_id", F.when(F.expr(USABLE), F.xxhash64("embedding")).alias("class"), "embedding")
+
+
 def vector_classes(vectors: DataFrame) -> DataFrame:
     """``(class, size, dims, embedding)``: the distinct usable vectors."""
-    usable = F.expr("size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('inf')) and exists(embedding, x -> x <> 0)")
-    return vectors.where(usable).groupBy("embedding").agg(F.count("*").alias("size")).select(F.xxhash64("embedding").alias("class"), "size", F.size("embedding").alias("dims"), "embedding")
+    counted = classed(vectors).where("class is not null").groupBy("embedding").agg(F.count("*").alias("size"))
+    return counted.select(F.xxhash64("embedding").alias("class"), "size", F.size("embedding").alias("dims"), "embedding")
 
 
 def linked(vectors: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -248,7 +258,7 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     classes, links, roots = linked(vectors)
     links, roots = stored(links, "vec-counts"), roots.toDF("class", "root")
     facts = stored(join_small(join_small(classes, links, ["class"], "left"), roots, ["class"], "left"), "vec-facts")
-    rows = stored(join_small(vectors.select("vec_id", F.xxhash64("embedding").alias("class")), facts, ["class"], "left"), "vec-rows")
+    rows = stored(join_small(classed(vectors).select("vec_id", "class"), facts, ["class"], "left"), "vec-rows")
     own = rows.withColumn("root", F.when(F.col("size").isNotNull(), F.coalesce("root", "class")))
     least = stored(own.where("root is not null").groupBy("root").agg(F.min("vec_id").alias("component_id")), "vec-least")
     joined = join_small(own, least, ["root"], "left")
