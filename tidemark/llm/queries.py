@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import divergence, jaccard, language, mixing, pii, quality, ranks, substrings, tokens, toxicity, vectors
+from . import divergence, jaccard, language, mixing, pii, quality, ranks, repair, substrings, tokens, toxicity, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_digests(_table(spark, sf_dir, "conversations"))
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(_table(spark, sf_dir, "documents"))
 
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_vectors": op9_vectors,
     "op10_quality": op10_quality,
+    "op11_repair": op11_repair,
     "op12_divergence": op12_divergence,
     "op13_byte_bpe": op13_byte_bpe,
 }
