@@ -36,7 +36,7 @@ FIRST_LENGTH = 6
 MOST_BITS = 1 << 27
 #: Sources and terms of a block of divergences.
 SOURCES, TERMS = 128, 4096
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 #: Counts that a task gathers before it adds them up.
 GATHERED = 1 << 20
 SCALE = 1_000_000_000
@@ -190,64 +190,86 @@ def kept_prefixes(docs: DataFrame, least: int = LEAST) -> list[Bitmap]:
         before, length = spark.sparkContext.broadcast(found[-1]), 2 * length
 
 
+class Gathered:
+    """Counts by group and term in a task: groups and terms have numbers, and a number of both is a key."""
+
+    def __init__(self) -> None:
+        self.terms: dict[bytes, int] = {}
+        self.groups: dict[tuple[str, str], int] = {}
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.rows = 0
+
+    def add(self, *part: np.ndarray) -> None:
+        self.parts.append(part)
+        self.rows += len(part[0])
+
+    def numbers(self, known: dict, values: list) -> np.ndarray:
+        return np.array([known.setdefault(x, len(known)) for x in values], dtype=np.int64)
+
+    def shrink(self) -> None:
+        self.parts = [sums_by_key(*map(np.concatenate, zip(*self.parts)))]
+        self.rows = len(self.parts[0][0])
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        """All counts, in pieces; then it is empty."""
+        if self.parts:
+            self.shrink()
+            terms, langs, sources = pa.array(self.terms, pa.binary()), *(pa.array(x, pa.string()) for x in zip(*self.groups))
+            for i in range(0, self.rows, 1 << 16):
+                key, n, docs = (x[i : i + (1 << 16)] for x in self.parts[0])
+                group = pa.array(key >> 32)
+                columns = [langs.take(group), sources.take(group), terms.take(pa.array(key & 0xFFFFFFFF)).cast(pa.string()), pa.array(n), pa.array(docs)]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n", "docs"])
+        self.__init__()
+
+
 def _count_terms(bitmaps):
     """``(lang, source, term, n, docs)`` of complete kept terms, summed over many texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, levels, gathered, rows = Powers(), bitmaps.value, [], 0
-        names = ["lang", "source", "term"]
+        powers, levels, gathered, long, last = Powers(), bitmaps.value, Gathered(), [], None
 
-        def summed(parts: list[pa.Table]) -> pa.Table:
-            t = pa.concat_tables(parts).group_by(names, use_threads=False).aggregate([("n", "sum"), ("docs", "sum")])
-            return t.rename_columns([x.removesuffix("_sum") for x in t.column_names])
-
-        def counted(batch: pa.RecordBatch, texts: list[bytes], part: bool) -> pa.Table:
-            terms, salts = Terms(texts, powers), _salts(batch.column("lang").to_pylist())
+        def counted(batch: pa.RecordBatch, texts: list[bytes]) -> tuple[np.ndarray, ...]:
+            langs = batch.column("lang").to_pylist()
+            terms, salts = Terms(texts, powers), _salts(langs)
             chosen, size = np.zeros(len(terms.start), dtype=bool), terms.end - terms.start
             for i, level in enumerate(levels):
                 here = (size < level.length) & (size >= (levels[i - 1].length if i else 0))
                 chosen |= here & level.holds(terms.keys(level.length, salts)[0])
             chosen = np.flatnonzero(chosen)
             coded = terms.take(chosen).dictionary_encode()
-            group = pa.StructArray.from_arrays([batch.column("lang"), batch.column("source")], names=["lang", "source"])
-            both = [f"{len(g['lang'])}:{g['lang']}{g['source']}" for g in group.to_pylist()]
-            number = {g: i for i, g in enumerate(dict.fromkeys(both))}
-            of_doc = np.array([number[g] for g in both], dtype=np.int64)
-            first = np.full(len(number), -1, dtype=np.int64)
-            first[of_doc[::-1]] = np.arange(len(both))[::-1]
-            doc, width = terms.doc[chosen], max(1, len(coded.dictionary))
-            key = of_doc[doc] * width + coded.indices.to_numpy().astype(np.int64)
+            term = gathered.numbers(gathered.terms, coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+            group = gathered.numbers(gathered.groups, list(zip(langs, batch.column("source").to_pylist())))
+            doc = terms.doc[chosen]
+            key = group[doc] << 32 | term
             order = np.argsort(key, kind="stable")
             key, doc = key[order], doc[order]
             new = np.ones(len(key), dtype=np.int64)
             new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-            key, n, docs = sums_by_key(key, np.ones(len(key), dtype=np.int64), new)
-            where = pa.array(first[key // width])
-            columns = [batch.column("lang").take(where), batch.column("source").take(where), coded.dictionary.take(pa.array(key % width)).cast(pa.string())]
-            return pa.table([*columns, pa.array(n), pa.array(docs)], names=[*names, "n", "docs"])
+            return sums_by_key(key, np.ones(len(key), dtype=np.int64), new)
 
-        def whole(parts: list[pa.Table]) -> pa.Table:
+        def whole(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
             """The parts of one long text: it is one document."""
-            t = summed(parts)
-            return t.set_column(4, "docs", pa.array(np.ones(len(t), dtype=np.int64)))
+            key, n, _ = sums_by_key(*map(np.concatenate, zip(*parts)))
+            return key, n, np.ones(len(key), dtype=np.int64)
 
-        long, last = [], None
         for batch, texts, part in _texts(batches, PIECE_BYTES):
-            if long and batch is not last:
-                gathered.append(whole(long))
-                long = []
+            if batch is not last:
+                if long:
+                    gathered.add(*whole(long))
+                    long = []
+                if gathered.rows > 2 * GATHERED:
+                    gathered.shrink()
+                if gathered.rows > GATHERED or len(gathered.terms) > GATHERED:
+                    yield from gathered.batches()
             last = batch
-            (long if part else gathered).append(counted(batch, texts, part))
-            rows += len((long if part else gathered)[-1])
-            if rows > GATHERED and gathered:
-                t = summed(gathered)
-                gathered, rows = [t], len(t)
-                if rows > GATHERED // 2:
-                    yield from t.to_batches()
-                    gathered, rows = [], 0
-        gathered += [whole(long)] if long else []
-        if gathered:
-            yield from summed(gathered).to_batches()
+            if part:
+                long.append(counted(batch, texts))
+            else:
+                gathered.add(*counted(batch, texts))
+        if long:
+            gathered.add(*whole(long))
+        yield from gathered.batches()
 
     return run
 
