@@ -75,19 +75,6 @@ def test_ranks_in_any_order(found, word, random):
     assert ranks.RankBpe(known).encode_word(word) == want
 
 
-def test_queue():
-    queue, rng, held = ranks.RankQueue(), np.random.default_rng(2), {}
-    for _ in range(3000):
-        if held and rng.random() < 0.45:
-            rank = min(held)
-            assert queue.first() == rank and queue.take(rank) == held.pop(rank)
-        else:
-            rank, at = int(rng.integers(0, 64**3)) if rng.random() < 0.7 else int(rng.integers(0, 40)), int(rng.integers(0, 99))
-            queue.add(rank, [at])
-            held.setdefault(rank, []).append(at)
-    assert bool(held) == bool(queue.top)
-
-
 def test_pattern_is_the_files_own():
     assert tokens.PRETOKEN == public_tokenizers.PATTERN
 

@@ -2,7 +2,7 @@
 
 A text is cut into the matches of the file's pattern; each match that is a token itself is that token, any other is merged from its bytes, the pair of the
 lowest rank first and of equal ones the leftmost. Pairs wait in buckets, one for each rank, that hold the positions where such a pair begins; which buckets
-hold something is a bitmap of three levels, so the next rank is found by three find-first-set steps however long the word is. Positions are links of a
+hold something is a bitmap of two levels with words of 256 bits, so the next rank is found by two find-first-set steps however long the word is. Positions are links of a
 list of parts; an entry whose pair is no more is stale and skipped when it comes up. Words of n bytes take n log n steps.
 
 Texts are read once and nothing is shuffled: distinct spans of a portion of texts are cut and looked up once, and words are remembered within a task.
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .tokens import Splitter, _binary, _parts, _strings, _words
 from .words import portions
 
-MEMO_ENTRIES = 250_000
+MEMO_ENTRIES = 400_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -33,84 +33,77 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
-class RankQueue:
-    """Positions by rank, and the lowest rank that has any. Ranks are below 64 ** 3."""
-
-    def __init__(self) -> None:
-        self.buckets: dict[int, list[int]] = {}
-        self.leaf: dict[int, int] = {}
-        self.middle: dict[int, int] = {}
-        self.top = 0
-
-    def add(self, rank: int, positions: list[int]) -> None:
-        if rank in self.buckets:
-            self.buckets[rank] += positions
-            return
-        self.buckets[rank] = positions
-        a, b = rank >> 6, rank >> 12
-        self.leaf[a] = self.leaf.get(a, 0) | 1 << (rank & 63)
-        self.middle[b] = self.middle.get(b, 0) | 1 << (a & 63)
-        self.top |= 1 << b
-
-    def first(self) -> int:
-        """The lowest rank in the queue, which must not be empty."""
-        b = (self.top & -self.top).bit_length() - 1
-        a = b << 6 | (self.middle[b] & -self.middle[b]).bit_length() - 1
-        return a << 6 | (self.leaf[a] & -self.leaf[a]).bit_length() - 1
-
-    def take(self, rank: int) -> list[int]:
-        """The positions of a rank, which is then empty."""
-        a, b = rank >> 6, rank >> 12
-        self.leaf[a] ^= 1 << (rank & 63)
-        if not self.leaf[a]:
-            self.middle[b] ^= 1 << (a & 63)
-            if not self.middle[b]:
-                self.top ^= 1 << b
-        return self.buckets.pop(rank)
-
-
 class RankBpe:
-    """Encodes words by ranks."""
+    """Encodes words by ranks, which are below 256 ** 2."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
         self.longest = max(map(len, ranks), default=1)
         self.length = dict(zip(ranks.values(), map(len, ranks)))
+        #: The rank of each pair of bytes, -1 if it is no token.
+        self.pair = [-1] * (1 << 16)
+        for token, rank in ranks.items():
+            if len(token) == 2:
+                self.pair[token[0] << 8 | token[1]] = rank
+        self.leaves = (max(ranks.values(), default=0) >> 8) + 1
 
     def encode_word(self, word: bytes) -> list[int]:
         get = self.ranks.get
         if (whole := get(word)) is not None:
             return [whole]
-        n, longest, length = len(word), self.longest, self.length
+        n, longest, length, pair = len(word), self.longest, self.length, self.pair
+        # The queue: positions by rank, a bitmap of the ranks that have any in words of 256, and a bitmap of the words that are not zero.
+        buckets: dict[int, list[int]] = {}
+        leaf, top, i = [0] * self.leaves, 0, 0
+        for a, b in zip(word, word[1:]):
+            rank = pair[a << 8 | b]
+            if rank >= 0:
+                if rank in buckets:
+                    buckets[rank].append(i)
+                else:
+                    buckets[rank] = [i]
+                    leaf[rank >> 8] |= 1 << (rank & 255)
+                    top |= 1 << (rank >> 8)
+            i += 1
         # The part that begins at i ends at after[i] and follows the one that begins at before[i]; no part begins where after is 0.
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue = RankQueue()
-        add = queue.add
-        for i in range(n - 1):
-            if (rank := get(word[i : i + 2])) is not None:
-                add(rank, [i])
-        while queue.top:
-            rank = queue.first()
-            size, positions = length[rank], queue.take(rank)
-            positions.sort()
-            lowest = rank
+        while top:
+            high = (top & -top).bit_length() - 1
+            bits = leaf[high]
+            low = bits & -bits
+            rank = high << 8 | low.bit_length() - 1
+            leaf[high] = bits = bits ^ low
+            if not bits:
+                top ^= 1 << high
+            size, positions = length[rank], buckets.pop(rank)
+            if len(positions) > 1:
+                positions.sort()
             for k, i in enumerate(positions):
                 j = after[i]
                 if not j or j >= n or after[j] - i != size:
                     continue  # stale: the pair is no more
                 end = after[i] = after[j]
-                after[j] = 0
+                after[j], found, lowest = 0, [], rank
                 if end < n:
                     before[end] = i
-                    if after[end] - i <= longest and (r := get(word[i : after[end]])) is not None:
-                        add(r, [i])
-                        lowest = min(lowest, r)
-                if i and end - before[i] <= longest and (r := get(word[before[i] : end])) is not None:
-                    add(r, [before[i]])
-                    lowest = min(lowest, r)
-                if lowest < rank:
+                    if (stop := after[end]) - i <= longest and (r := get(word[i:stop])) is not None:
+                        found.append((r, i))
+                if i and end - (start := before[i]) <= longest and (r := get(word[start:end])) is not None:
+                    found.append((r, start))
+                for r, at in found:
+                    if r in buckets:
+                        buckets[r].append(at)
+                    else:
+                        buckets[r] = [at]
+                        leaf[r >> 8] |= 1 << (r & 255)
+                        top |= 1 << (r >> 8)
+                    if r < lowest:
+                        lowest = r
+                if lowest < rank:  # a pair of a lower rank has come up: the rest waits
                     if k + 1 < len(positions):
-                        add(rank, positions[k + 1 :])
+                        buckets[rank] = positions[k + 1 :]
+                        leaf[high] |= low
+                        top |= 1 << high
                     break
         out, i = [], 0
         while i < n:
