@@ -21,11 +21,11 @@ def exact_matches(items: DataFrame) -> DataFrame:
     return star("url").unionByName(star("content_hash")).distinct()
 
 
-def artifact_matches(items: DataFrame, hours: int = 48) -> DataFrame:
-    """Stage 2: pairs with a shared identity key and a shared entity whose times differ by ``hours`` at most;
+def artifact_matches(items: DataFrame, hours: int = 48, require_artifact: bool = True) -> DataFrame:
+    """Stage 2: pairs with a shared entity, and a shared identity key unless that isn't required, whose times differ by ``hours`` at most;
     ``items(id, keys, entities, at)``. An interval join: each item meets its own time bucket and the next one."""
     bucket = F.floor(F.col("at") / (hours * HOUR))
-    rows = items.select("id", "entities", "at", F.explode(F.array_distinct("keys")).alias("key"), bucket.alias("bucket"))
+    rows = items.select("id", "entities", "at", F.explode(F.array_distinct("keys" if require_artifact else "entities")).alias("key"), bucket.alias("bucket"))
     left = rows.toDF("a", "entities_a", "at_a", "key", "bucket")
     right = rows.select(F.col("id").alias("b"), F.col("entities").alias("entities_b"), F.col("at").alias("at_b"), "key", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
     near = (F.abs(F.col("at_a") - F.col("at_b")) <= hours * HOUR) & F.arrays_overlap("entities_a", "entities_b") & (F.col("a") < F.col("b"))
