@@ -153,10 +153,23 @@ def union_alerts(*streams: DataFrame) -> DataFrame:
     return out
 
 
-def member_features(evidence: DataFrame, items: DataFrame) -> DataFrame:
-    """Per event: distinct URLs and hashes of its members, and the earliest time."""
-    df = evidence.select("event_id", "item_id", "attached_at", "content_hash").join(items.select(F.col("id").alias("item_id"), "url"), "item_id")
-    return df.groupBy("event_id").agg(F.countDistinct("url").alias("urls"), F.countDistinct("content_hash").alias("hashes"), F.min("attached_at").alias("occurred_at"))
+def array_unions(rows: DataFrame, key: str, arrays: list[str]) -> DataFrame:
+    """Per ``key`` the distinct elements of each array column, sorted. Elements are exploded and told apart by a hash aggregation before they gather, so a key
+    collects each of its elements once however many rows hold it; a key whose arrays are all empty or null has empty ones."""
+    out = rows.select(key).distinct()
+    for c in arrays:
+        each = rows.select(key, F.explode(c).alias("x")).where("x is not null").distinct()
+        out = out.join(each.groupBy(key).agg(F.sort_array(F.collect_list("x")).alias(c)), key, "left")
+    return out.select(key, *(F.coalesce(c, F.array().cast(rows.schema[c].dataType)).alias(c) for c in arrays))
+
+
+def merge_members(evidence: DataFrame, items: DataFrame) -> DataFrame:
+    """What an event has gathered from its members: ``event_id, entities, keys, urls, hashes, occurred_at``, sorted arrays without repeats and the earliest
+    time. ``evidence(event_id, item_id, attached_at)``, ``items(id, entities, keys, url, content_hash)``."""
+    one = lambda c: F.when(F.col(c).isNotNull(), F.array(c))
+    rows = evidence.select("event_id", "item_id", "attached_at").join(items.select(F.col("id").alias("item_id"), "entities", "keys", one("url").alias("urls"), one("content_hash").alias("hashes")), "item_id")
+    first = rows.groupBy("event_id").agg(F.min("attached_at").alias("occurred_at"))
+    return array_unions(rows, "event_id", ["entities", "keys", "urls", "hashes"]).join(first, "event_id")
 
 
 #: Authority of source categories.

@@ -32,7 +32,7 @@ VIEWS = {
         from (select source as id, cast(coalesce(nullif(regexp_extract(source, '([0-9]+)$', 1), ''), '0') as bigint) as n from documents group by source)""",
     "v_items": f"""
         select doc_id as id, source as source_id, cast(doc_id as string) as external_id, substr(text, 1, 80) as title, text as body,
-            'https://www.example.com/' || source || '/' || md5(text) as url, md5(text) as content_hash,
+            'https://www' || cast(length(coalesce(source, '')) % 2 as string) || '.example.com/' || md5(substr(text, 1, 64)) as url, md5(text) as content_hash,
             case when doc_id % 10 = 0 then null else {BASE} + (doc_id % 240) * 3600 end as published_at,
             {BASE} + (doc_id % 240) * 3600 + (doc_id % 9) * 3600 as fetched_at
         from documents where text is not null""",

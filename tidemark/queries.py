@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as N
 from .operators import aggregates as A
+from .operators import clustering as C
 from .operators import history as H
 from .operators import joins as J
 from .plans.views import BASE, NOW, view, with_views
@@ -410,16 +411,24 @@ def _(v):
     return J.union_alerts(a.where("tier = 'urgent'"), a.where("seq < 100"))
 
 
-@query("u4_member_features", "select event_id, count(distinct url) as urls, count(distinct i.content_hash) as hashes, min(attached_at) as occurred_at from v_evidence e join v_items i on i.id = e.item_id group by event_id")
+@query("u4_member_features", "select event_id, array_to_string(list_sort(list(distinct source_id)), ',') as entities from v_evidence group by event_id")
 def _(v):
-    return J.member_features(v("v_evidence"), v("v_items"))
+    """The union of the members' entity arrays."""
+    items = v("v_items").select(F.col("id").alias("item_id"), F.array("source_id", "source_id").alias("entities"))
+    ev = v("v_evidence").select("event_id", "item_id").join(items, "item_id")
+    return J.array_unions(ev, "event_id", ["entities"]).select("event_id", F.array_join("entities", ",").alias("entities"))
 
 
-@query("c2_exact_dedup_groups", "select item_id, event_id from v_evidence")
+_STAR = "(select id, min(id) over (partition by content_hash) as a from v_items union select id, min(id) over (partition by url) from v_items)"
+
+
+@query(
+    "c2_exact_dedup_groups",
+    f"""select id as item_id, min(low) as event_id from (with recursive s as (select * from {_STAR} z), e as (select id as x, a as y from s union select a, id from s),
+    r(id, low) as (select id, id from v_items union select e.x, r.low from r join e on e.y = r.id where r.low < e.x) select * from r) q group by id""",
+)
 def _(v):
-    items = v("v_items")
-    first = items.groupBy("content_hash").agg(F.min("id").alias("event_id"))
-    return items.join(first, "content_hash").select(F.col("id").alias("item_id"), "event_id")
+    return C.exact_dedup_groups(v("v_items")).select("item_id", "event_id")
 
 
 AUTH = "case category when 'OFFICIAL_SOURCE' then 100 when 'TECHNICAL_RESEARCHER' then 70 when 'EXPERT_ANALYST' then 60 when 'EARLY_SIGNAL' then 50 when 'JOURNALIST' then 40 when 'COMMUNITY_SIGNAL' then 20 else 10 end"

@@ -23,8 +23,10 @@ def vector_items(v) -> DataFrame:
 
 
 def story_items(v) -> DataFrame:
-    """Items of documents with hashed vectors of their first 680 characters."""
-    df = v("v_items").select("id", "url", "content_hash", F.array().cast("array<string>").alias("keys"), F.array("source_id").alias("entities"), F.lit("ai").alias("category"), F.coalesce("published_at", "fetched_at").alias("at"), "source_id", F.substring("body", 1, 680).alias("head"))
+    """Items of documents with hashed vectors of their first 680 characters (the reference's cut). Those whose text begins with a letter up to M have the first
+    three letters as an identity key, the others none."""
+    key = F.when(F.col("title").rlike("^[A-M]"), F.array(F.concat(F.lit("model:"), F.lower(F.substring("title", 1, 3))))).otherwise(F.array().cast("array<string>"))
+    df = v("v_items").select("id", "url", "content_hash", key.alias("keys"), F.array("source_id").alias("entities"), F.lit("ai").alias("category"), F.coalesce("published_at", "fetched_at").alias("at"), "source_id", F.substring("body", 1, 680).alias("head"))
     return C.hash_embed(df, "head").drop("head")
 
 
@@ -38,10 +40,14 @@ def _(v):
     return df.select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
+#: The probability with which a pair of document vectors at the threshold itself is found; nearer ones are found with more.
+RECALL = 0.95
+
+
 @query("j3_similar_pairs_whole")
 def _(v):
-    """The same pairs with unrounded similarities."""
-    return C.similar_pairs(vector_items(v), 0.3)
+    """Pairs of document vectors at the clustering's own threshold, by shared cells."""
+    return C.similar_pairs(story_items(v), recall=RECALL)
 
 
 @query("n17_hash_embed")
@@ -52,10 +58,16 @@ def _(v):
 
 @query("c1_cluster_items")
 def _(v):
-    return C.cluster_items(story_items(v)).withColumn("similarity", F.round("similarity", 6))
+    """All stages, with operator-unmerged items (every 97th) left alone."""
+    audit = v("v_items").select(F.col("id").alias("item_id"), F.lit("operator").alias("actor"), F.when(F.col("id") % 97 == 5, "unmerge").otherwise("merge").alias("action"))
+    return C.cluster_items(story_items(v), recall=RECALL, excluded=J.operator_unmerged(audit)).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("c1_edges", """with i as (select id, source_id, content_hash, coalesce(published_at, fetched_at) as at from v_items) select b.id as id, min(a.id) as head from i a join i b on a.content_hash = b.content_hash and a.id < b.id group by b.id""")
+@query(
+    "c1_edges",
+    """select id, min(head) as head from (with recursive s as (select id, min(id) over (partition by content_hash) as a from v_items union all select id, min(id) over (partition by url) from v_items),
+    f as (select id, min(a) as a from s where a < id group by id), r(id, head) as (select id, a from f union select r.id, f.a from r join f on f.id = r.head) select * from r) q group by id""",
+)
 def _(v):
     return C.exact_heads(v("v_items"))
 
@@ -63,13 +75,13 @@ def _(v):
 @query("c3_open_events")
 def _(v):
     items = story_items(v)
-    return C.open_events(C.cluster_items(items), items).select("event_id", "category", "occurred_at")
+    return C.open_events(C.cluster_items(items, recall=RECALL), items).select("event_id", "category", "occurred_at")
 
 
 @query("c3_attach_evidence")
 def _(v):
     items = story_items(v)
-    return C.attach_evidence(C.cluster_items(items), items, v("v_sources")).select("event_id", "item_id", "role", "stage")
+    return C.attach_evidence(C.cluster_items(items, recall=RECALL), items, v("v_sources")).select("event_id", "item_id", "role", "stage")
 
 
 @query("c6_unmerge", """with n as (select *, count(*) over (partition by event_id) as n from v_evidence) select item_id, case when item_id % 5 = 0 and n > 1 then -item_id else event_id end as event_id from n""")
@@ -78,14 +90,23 @@ def _(v):
     return C.unmerge(ev, ev.where("item_id % 5 = 0").select("item_id")).select("item_id", "event_id")
 
 
-@query("c8_member_features", "select event_id, count(distinct url) as urls, count(distinct i.content_hash) as hashes, min(attached_at) as occurred_at from v_evidence e join v_items i on i.id = e.item_id group by event_id")
+_SORTED = "array_to_string(list_sort(list(distinct {})), ',')"
+
+
+@query(
+    "c8_member_features",
+    f"""select event_id, {_SORTED.format("i.source_id")} as entities, {_SORTED.format("lower(substr(i.title, 1, 3))")} as keys, {_SORTED.format("i.url")} as urls, {_SORTED.format("i.content_hash")} as hashes,
+    min(attached_at) as occurred_at from v_evidence e join v_items i on i.id = e.item_id group by event_id""",
+)
 def _(v):
-    return J.member_features(v("v_evidence"), v("v_items"))
+    items = v("v_items").select("id", F.array("source_id").alias("entities"), F.array(F.lower(F.substring("title", 1, 3))).alias("keys"), "url", "content_hash")
+    df = J.merge_members(v("v_evidence"), items)
+    return df.select("event_id", *(F.array_join(c, ",").alias(c) for c in ("entities", "keys", "urls", "hashes")), "occurred_at")
 
 
 @query("a16_cluster_quality")
 def _(v):
-    clustered = C.cluster_items(story_items(v)).select("id", F.col("event_id").alias("cluster"))
+    clustered = C.cluster_items(story_items(v), recall=RECALL).select("id", F.col("event_id").alias("cluster"))
     return A.pairwise_quality(clustered.join(v("v_items").select("id", F.col("content_hash").alias("label")), "id"))
 
 
@@ -102,9 +123,9 @@ def _(v):
 
 @query("a17_threshold_sweep_whole")
 def _(v):
-    """The same sweep, which a test holds against brute force."""
-    labels = v("embeddings").select(F.col("vec_id").alias("id"), "label")
-    return C.threshold_sweep(vector_items(v), labels, THRESHOLDS)
+    """The ten thresholds over document vectors, where texts of one beginning are the truth."""
+    labels = v("v_items").select("id", F.col("url").alias("label"))
+    return C.threshold_sweep(story_items(v), labels, list(C.SWEEP))
 
 
 @query("t6_stream_spend", "select spent_at // 86400 * 86400 as day, provider, sum(cost_micro)::bigint as cost_micro from v_ledger group by all")
