@@ -149,7 +149,12 @@ def test_budget_fold_over_batches_and_missing_costs(spark):
 
 def test_longest_prefix_price(spark):
     usage = spark.createDataFrame([("alpha-2-20250101",), ("alpha",), ("gamma",)], "model string")
-    assert [r["priced_as"] for r in aggregates.price_usage(usage).collect()] == ["alpha-2", "alpha", None]
+    prices = aggregates.price_table(spark)
+    assert {r["model"]: r["priced_as"] for r in aggregates.price_usage(usage, prices).collect()} == {"alpha-2-20250101": "alpha-2", "alpha": "alpha", "gamma": None}
+    every = spark.createDataFrame([("", 7, 7), ("alpha", 1, 1)], prices.schema)
+    assert {r["model"]: r["price_in"] for r in aggregates.price_usage(usage, every).collect()} == {"alpha-2-20250101": 1, "alpha": 1, "gamma": 7}
+    calls = spark.createDataFrame([("alpha-9", 3500, 100), (None, 350, 10)], "model string, prompt_chars long, max_output_tokens long")
+    assert sorted(r["estimated_micro"] for r in aggregates.estimate_cost(calls, prices).collect()) == [750.0, 4500.0]
 
 
 def test_pairwise_quality(spark):

@@ -120,12 +120,6 @@ def blocked(host: Column) -> Column:
     return F.coalesce(inside, F.lit(False)) | v6
 
 
-def fetchable_urls(urls: DataFrame, allowed: DataFrame) -> DataFrame:
-    """Rows of ``urls(url, ...)`` that are HTTP(S), whose host is among ``allowed(host)``, and that are no blocked address."""
-    df = urls.withColumn("host", url_host(F.col("url"))).where("host is not null")
-    return df.where(~blocked(F.col("host"))).join(allowed.select("host").distinct(), "host", "left_semi")
-
-
 def robots_rules(files: DataFrame) -> DataFrame:
     """``host, agent, allow, rule, pattern`` of ``files(host, robots)``. Consecutive user-agent lines share the rules that follow."""
     from pyspark.sql.window import Window

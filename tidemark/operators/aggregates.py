@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .scans import at_ranks
 
 HOUR, DAY = 3600, 86_400
 
@@ -64,21 +67,22 @@ def evidence_facts(evidence: DataFrame, items: DataFrame, sources: DataFrame) ->
 def detection_latency(events: DataFrame, fractions: tuple[float, ...] = (0.5, 0.75, 0.9, 0.99)) -> DataFrame:
     """Hours from occurrence to first sight, without estimated times and outside 0 to 168; element ``min(n - 1, floor(n * f))`` of the sorted hours.
 
-    Ranks come from counts by value: equal hours are one row, so no task orders all events."""
+    Elements come from histograms around their rank (:func:`~tidemark.operators.scans.at_ranks`), so no task orders all events."""
     hours = (F.col("first_seen_at") - F.col("occurred_at")) / HOUR
     df = events.where("not occurred_estimated").select(hours.alias("hours")).where("hours between 0 and 168")
-    counts = df.groupBy("hours").agg(F.count("*").alias("c"))
-    upto = counts.withColumn("upto", F.sum("c").over(Window.orderBy("hours"))).crossJoin(df.agg(F.count("*").alias("n")))
-    picks = [F.min(F.when(F.col("upto") > F.least(F.col("n") - 1, F.floor(F.col("n") * f)), F.col("hours"))).alias(f"p{round(f * 100)}") for f in fractions]
-    return upto.agg(F.max("n").alias("n"), *picks, F.min("hours").alias("least"), F.max("hours").alias("most"))
+    n = df.count()
+    picks = at_ranks(df, "hours", [min(n - 1, math.floor(n * f)) for f in fractions]) if n else [None] * len(fractions)
+    found = [F.lit(x).cast("double").alias(f"p{round(f * 100)}") for f, x in zip(fractions, picks)]
+    return df.agg(F.when(F.count("*") > 0, F.count("*")).alias("n"), F.min("hours").alias("least"), F.max("hours").alias("most")).select("n", *found, "least", "most")
 
 
 def corpus_span(events: DataFrame) -> DataFrame:
-    """Days from first to last event, and of the middle 90 %, by ranks ``floor((n - 1) * f)``."""
-    counts = events.groupBy("occurred_at").agg(F.count("*").alias("c"))
-    upto = counts.withColumn("upto", F.sum("c").over(Window.orderBy("occurred_at"))).crossJoin(events.agg(F.count("*").alias("n")))
-    at = lambda f: F.min(F.when(F.col("upto") > F.floor((F.col("n") - 1) * f), F.col("occurred_at")))
-    return upto.agg(((F.max("occurred_at") - F.min("occurred_at")) / DAY).alias("full_days"), ((at(0.95) - at(0.05)) / DAY).alias("middle_days"))
+    """Days from first to last event, and of the middle 90 %, by ranks ``floor((n - 1) * f)`` of the times that are not null."""
+    df = events.where("occurred_at is not null").select("occurred_at")
+    n = df.count()
+    low, high = at_ranks(df, "occurred_at", [math.floor((n - 1) * f) for f in (0.05, 0.95)]) if n else (None, None)
+    middle = (F.lit(high).cast("double") - F.lit(low).cast("double")) / DAY
+    return df.agg(((F.max("occurred_at") - F.min("occurred_at")) / DAY).alias("full_days")).select("full_days", middle.alias("middle_days"))
 
 
 def source_health(sources: DataFrame, now: int) -> DataFrame:
@@ -193,18 +197,37 @@ PRICES = (("alpha", 3_000_000, 15_000_000), ("alpha-2", 5_000_000, 25_000_000),
 CACHE_WRITE, CACHE_READ, BATCH = 1.25, 0.1, 0.5
 
 
-def price_usage(usage: DataFrame, prices: tuple[tuple[str, int, int], ...] = PRICES) -> DataFrame:
-    """Each row with the price of the longest listed beginning of its model's name (the name itself is the longest there can be)."""
-    best = F.lit(None).cast("string")
-    for name, _, _ in sorted(prices, key=lambda p: len(p[0])):
-        best = F.when(F.startswith("model", F.lit(name)), F.lit(name)).otherwise(best)
-    price = lambda i: F.coalesce(*[F.when(F.col("priced_as") == p[0], F.lit(p[i])) for p in prices])
-    return usage.withColumn("priced_as", best).withColumn("price_in", price(1)).withColumn("price_out", price(2))
+def price_table(spark: SparkSession, prices: tuple[tuple[str, int, int], ...] = PRICES) -> DataFrame:
+    """The listed prices as a table ``(name, price_in, price_out)``."""
+    return spark.createDataFrame(list(prices), "name string, price_in long, price_out long")
+
+
+def price_usage(usage: DataFrame, prices: DataFrame) -> DataFrame:
+    """Each row with ``priced_as, price_in, price_out``: the price of the longest listed beginning of its model's name (the name itself is the longest there can
+    be); nulls where none is listed. ``prices(name, price_in, price_out)`` is a table of any size: each distinct model name is exploded into its beginnings,
+    which join it by equality. A name listed twice has its highest price."""
+    listed = prices.groupBy("name").agg(F.max(F.struct("price_in", "price_out")).alias("price"))
+    models = usage.select("model").where("model is not null").distinct()
+    beginnings = models.withColumn("name", F.explode(F.transform(F.sequence(F.lit(0), F.length("model")), lambda n: F.substring("model", F.lit(1), n))))
+    best = beginnings.join(listed, "name").groupBy("model").agg(F.max(F.struct(F.length("name").alias("n"), "name", "price")).alias("best"))
+    best = best.select("model", F.col("best.name").alias("priced_as"), F.col("best.price.price_in").alias("price_in"), F.col("best.price.price_out").alias("price_out"))
+    return usage.join(best, "model", "left")
+
+
+#: Characters a token for an estimate, and the dearest listed rate, which an unknown model has.
+CHARS_A_TOKEN, DEAREST = 3.5, (5_000_000, 25_000_000)
+
+
+def estimate_cost(calls: DataFrame, prices: DataFrame) -> DataFrame:
+    """``calls(model, prompt_chars, max_output_tokens, ...)`` with ``estimated_micro``: no cache hit, the output at full length."""
+    df = price_usage(calls, prices)
+    cost = F.col("prompt_chars") / CHARS_A_TOKEN * F.coalesce("price_in", F.lit(DEAREST[0])) + F.col("max_output_tokens") * F.coalesce("price_out", F.lit(DEAREST[1]))
+    return df.withColumn("estimated_micro", cost / 1e6)
 
 
-def usage_cost(usage: DataFrame) -> DataFrame:
+def usage_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
     """Cost in micro-USD by model: cache writes at 1.25 of the input price, reads at 0.1; what a batch would save."""
-    df = price_usage(usage)
+    df = price_usage(usage, prices)
     cost = (F.col("input_tokens") + CACHE_WRITE * F.col("cache_write_tokens") + CACHE_READ * F.col("cache_read_tokens")) * F.col("price_in") + F.col("output_tokens") * F.col("price_out")
     total = F.round(F.sum(F.round(cost / 1e6).cast("long")))
     return df.groupBy("model", "priced_as").agg(F.count("*").alias("calls"), total.cast("long").alias("cost_micro"), F.round(total * (1 - BATCH)).cast("long").alias("batch_saves"))

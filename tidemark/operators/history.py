@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .scans import run_length, sum_before, value_before
+
 HOUR, DAY = 3600, 86_400
 #: Outcomes that count as transport failures, and the breaker's limits in seconds.
 FAILURES = ("http_error", "network_error", "timeout", "too_large")
@@ -98,11 +100,9 @@ def trend_lifecycle(observations: DataFrame, now: int) -> DataFrame:
 
 
 def breaker_state(fetch_log: DataFrame) -> DataFrame:
-    """Running consecutive transport failures of each source; from the third on the breaker is open for 30 min * 2^k, 6 h at most."""
-    w = Window.partitionBy("source_id").orderBy("id")
-    failed = F.col("outcome").isin(*FAILURES)
-    df = fetch_log.withColumn("_run", F.sum(F.when(failed, 0).otherwise(1)).over(w))
-    df = df.withColumn("failures", F.sum(F.when(failed, 1).otherwise(0)).over(Window.partitionBy("source_id", "_run").orderBy("id")))
+    """Running consecutive transport failures of each source, in order of distinct ids; from the third on the breaker is open for 30 min * 2^k, 6 h at most.
+    A source's log is scanned in slices, so one that holds most of the rows is many tasks."""
+    df = run_length(fetch_log, ["source_id"], "id", F.col("outcome").isin(*FAILURES), "failures")
     over = F.least(F.col("failures") - BREAKER_AFTER, F.lit(10))
     wait = F.least(F.lit(BREAKER_MOST), BREAKER_FIRST * F.pow(F.lit(2), over)).cast("long")
     return df.select("id", "source_id", F.col("failures").cast("long"), F.when(F.col("failures") >= BREAKER_AFTER, F.col("started_at") + wait).alias("open_until"))
@@ -146,10 +146,8 @@ def mode_of(spent: Column, budget: int) -> Column:
 
 
 def budget_state(ledger: DataFrame, budget: int) -> DataFrame:
-    """Running spend of each UTC day before each call, and the mode that it puts the next call in."""
-    day = F.floor(F.col("spent_at") / DAY)
-    w = Window.partitionBy("day").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    df = ledger.withColumn("day", day).withColumn("spent_before", F.coalesce(F.sum("cost_micro").over(w), F.lit(0)))
+    """Running spend of each UTC day before each call, and the mode that it puts the next call in. A day is scanned in slices of its ids."""
+    df = sum_before(ledger.withColumn("day", F.floor(F.col("spent_at") / DAY)), ["day"], "id", F.coalesce("cost_micro", F.lit(0)), "spent_before")
     return df.select("id", F.col("day").cast("long"), "cost_micro", "spent_before", mode_of(F.col("spent_before"), budget).alias("mode"))
 
 
@@ -179,17 +177,18 @@ def budget_decisions(calls: DataFrame, budget: int) -> DataFrame:
 
 
 def publication_audit(posts: DataFrame, longest: int = 280, per_day: int = 5, gap: int = 1800) -> DataFrame:
-    """Faults of each post ``(post_id, author, text, reviewed_hash, posted_at)``: empty, too long, changed since review, over the day's limit, too soon."""
-    w = Window.partitionBy("author").orderBy("posted_at", "post_id")
-    day = Window.partitionBy("author", F.floor(F.col("posted_at") / DAY)).orderBy("posted_at", "post_id")
+    """Faults of each post ``(post_id, author, text, reviewed_hash, posted_at)``: empty, too long, changed since review, over the day's limit, too soon. An
+    author's posts are scanned in slices of an hour."""
     text = F.coalesce("text", F.lit(""))
+    posts = sum_before(posts.withColumn("_day", F.floor(F.col("posted_at") / DAY)), ["author", "_day"], "posted_at", F.lit(1), "_earlier", ["post_id"], 3600)
+    posts = value_before(posts, ["author"], "posted_at", "_last", ["post_id"], 3600)
     faults = F.array_compact(
         F.array(
             F.when(F.trim(text) == "", "empty"),
             F.when(F.length(text) > longest, "too_long"),
             F.when(F.md5(text) != F.col("reviewed_hash"), "changed"),
-            F.when(F.row_number().over(day) > per_day, "over_daily_limit"),
-            F.when(F.col("posted_at") - F.lag("posted_at").over(w) < gap, "too_soon"),
+            F.when(F.col("_earlier") >= per_day, "over_daily_limit"),
+            F.when(F.col("posted_at") - F.col("_last") < gap, "too_soon"),
         )
     )
     return posts.select("post_id", F.array_join(faults, ",").alias("faults"))

@@ -234,7 +234,34 @@ def _(v):
      qualify row_number() over (partition by l.id order by length(p.name) desc) = 1) group by all""",
 )
 def _(v):
-    return A.usage_cost(v("v_ledger"))
+    return A.usage_cost(v("v_ledger"), A.price_table(v("v_ledger").sparkSession))
+
+
+#: Prices by the beginnings of sources' names and of event types: a table that grows with its source.
+_PRICES = "(select source as name, 1000 * max(length(source)) + count(*) as price_in, count(*) as price_out from documents where source is not null group by source)"
+
+
+@query(
+    "j12_price_usage",
+    f"""with u as (select event_id as id, 'src' || cast(user_id % 40 as varchar) || '-' || event_type as model from events), p as {_PRICES}
+    select id, model, p.name as priced_as, price_in::bigint as price_in, price_out::bigint as price_out from u left join p on starts_with(u.model, p.name)
+    qualify row_number() over (partition by id order by length(p.name) desc nulls last) = 1""",
+)
+def _(v):
+    usage = v("events").select(F.col("event_id").alias("id"), F.concat(F.lit("src"), (F.col("user_id") % 40).cast("string"), F.lit("-"), "event_type").alias("model"))
+    prices = v("documents").where("source is not null").groupBy(F.col("source").alias("name")).agg((1000 * F.max(F.length("source")) + F.count("*")).alias("price_in"), F.count("*").alias("price_out"))
+    return A.price_usage(usage, prices).select("id", "model", "priced_as", "price_in", "price_out")
+
+
+@query(
+    "a14_estimate_cost",
+    """select id, round((input_tokens / 3.5::double * coalesce(pin, 5000000) + output_tokens * coalesce(pout, 25000000)) / 1e6, 6) as estimated_micro from v_ledger l
+    left join (values ('alpha', 3000000, 15000000), ('alpha-2', 5000000, 25000000)) p(name, pin, pout) on starts_with(l.model, p.name) qualify row_number() over (partition by l.id order by length(p.name) desc nulls last) = 1""",
+)
+def _(v):
+    calls = v("v_ledger").select("id", "model", F.col("input_tokens").alias("prompt_chars"), F.col("output_tokens").alias("max_output_tokens"))
+    prices = A.price_table(calls.sparkSession).where("name <> 'beta'")  # an unlisted model has the dearest rate
+    return A.estimate_cost(calls, prices).select("id", F.round("estimated_micro", 6).alias("estimated_micro"))
 
 
 @query("a15_cache_hit_ratio", "select count(*) as issued, count(*) filter (cache_read_tokens > 0) as hits, round(count(*) filter (cache_read_tokens > 0) / count(*), 6) as ratio from v_analyses where status <> 'skipped'")

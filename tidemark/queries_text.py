@@ -9,6 +9,7 @@ from .functions import injection as I
 from .functions import text as N
 from .functions import web as U
 from .queries import query
+from .operators import addresses as AD
 from .operators import joins as J
 
 
@@ -205,17 +206,39 @@ def _(v):
     return v("pages").select("page_id", N.repo_of_feed(url).alias("repo"))
 
 
+def _blocked_sql(n: str) -> str:
+    first = lambda a: sum(int(x) << 8 * (3 - i) for i, x in enumerate(a.split(".")))
+    return " or ".join(f"{n} between {first(a)} and {first(a) + (1 << 32 - bits) - 1}" for a, bits in U.BLOCKED_V4)
+
+
+_HOST = f"nullif(regexp_replace(lower(regexp_extract(trim(url), '{U._URL}', 2)), '^www\\.', ''), '')"
+
+
 @query(
     "n20_fetchable_urls",
-    """select page_id from pages where page_id % 4 <> 0 and page_id % 3 <> 1 union all select page_id from pages where page_id % 3 = 1 and page_id % 256 not in (0, 10, 127) and page_id % 256 < 224 and not (page_id % 256 = 192 and false)""",
+    f"""with h as (select page_id, {_HOST} as host from pages), a as (select page_id, host, ('0x' || substr(md5(host), 1, 8))::bigint as n from h where host is not null)
+    select page_id from a where host in (select host from a group by host having count(*) >= 2) and not ({_blocked_sql("n")})""",
+)
+def _(v):
+    """Hosts of several pages may be fetched; the first four bytes of a host's MD5 stand for the address that it resolves to."""
+    hosts = v("pages").select("page_id", U.url_host(F.col("url")).alias("host")).where("host is not null")
+    byte = lambda i: F.conv(F.substring(F.md5("host"), 1 + 2 * i, 2), 16, 10)
+    resolved = hosts.select("host").distinct().select("host", F.concat_ws(".", *map(byte, range(4))).alias("address"))
+    allowed = hosts.groupBy("host").count().where("count >= 2")
+    return AD.fetchable_urls(v("pages"), allowed, resolved=resolved).select("page_id")
+
+
+@query(
+    "n20_page_ranges",
+    f"""with a as (select distinct ('0x' || substr(md5(url), 1, 8))::bigint as n from pages), r as (select (('0x' || substr(md5(cast(item_id as varchar)), 1, 8))::bigint >> (32 - l)) as p, l from (select item_id, 4 + item_id % 21 as l from benchmark) x)
+    select n, max(l) as bits from a join r on (a.n >> (32 - r.l)) = r.p group by n""",
 )
 def _(v):
-    p = v("pages")
-    named = p.where("page_id % 3 <> 1").select("page_id", F.concat(F.lit("https://www.h"), (F.col("page_id") % 4).cast("string"), F.lit(".example.com/x")).alias("url"))
-    literal = p.where("page_id % 3 = 1").select("page_id", F.concat((F.col("page_id") % 256).cast("string"), F.lit(".9.9.9")).alias("ip"))
-    urls = named.unionByName(literal.select("page_id", F.concat(F.lit("http://"), "ip", F.lit("/y")).alias("url")))
-    allowed = named.where("page_id % 4 <> 0").select(U.url_host(F.col("url")).alias("host")).unionByName(literal.select(F.col("ip").alias("host")))
-    return U.fetchable_urls(urls, allowed).select("page_id")
+    """Addresses of all pages in a table of ranges of 21 lengths: the narrowest one."""
+    dotted = lambda c: F.concat_ws(".", *(F.conv(F.substring(F.md5(c), 1 + 2 * i, 2), 16, 10) for i in range(4)))
+    ranges = v("benchmark").select(F.concat(dotted(F.col("item_id").cast("string")), F.lit("/"), (4 + F.col("item_id") % 21).cast("string")).alias("cidr"))
+    found = AD.ranges_of(v("pages").select(dotted(F.col("url")).alias("address")), ranges)
+    return found.select(U.ip_number(F.col("address")).alias("n"), F.substring_index("cidr", "/", -1).cast("long").alias("bits"))
 
 
 @query("n21_robots_allowed")
