@@ -1,6 +1,7 @@
 """Byte-level BPE by ranks against the library, and its round trip."""
 
 import hashlib
+import random as rnd
 
 import numpy as np
 import public_tokenizers
@@ -35,6 +36,21 @@ def expected(rows):
         yield d, len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()
 
 
+def numbers(*ids):
+    return np.frombuffer(b"".join(ids), dtype="<u4").tolist()
+
+
+def slow(word):
+    """The pair of the lowest rank, the leftmost first, again and again."""
+    if word in BPE.ranks:
+        return [BPE.ranks[word]]
+    parts = [word[i : i + 1] for i in range(len(word))]
+    while pairs := [(BPE.ranks[x + y], i) for i, (x, y) in enumerate(zip(parts, parts[1:])) if x + y in BPE.ranks]:
+        i = min(pairs)[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return [BPE.ranks[p] for p in parts]
+
+
 def ordered(rows):
     return sorted(map(tuple, rows), key=repr)
 
@@ -57,7 +73,7 @@ def test_words_equal_the_library(text):
     split = tokens.Splitter([])
     words = [w for span in split.spans(text) for w in tokens._words(span, split.find)]
     assert "".join(words) == text
-    assert [i for w in words for i in BPE.encode_word(w.encode())] == LIBRARY.encode_ordinary(text)
+    assert numbers(*BPE.encode_words([w.encode() for w in words])) == LIBRARY.encode_ordinary(text)
 
 
 @settings(max_examples=200, deadline=None)
@@ -72,7 +88,8 @@ def test_ranks_in_any_order(found, word, random):
         i = min(pairs)[1]
         parts[i : i + 2] = [parts[i] + parts[i + 1]]
     want = [known[word]] if word in known else [known[p] for p in parts]
-    assert ranks.RankBpe(known).encode_word(word) == want
+    others = [word[::-1], b"a", word[:3], b"ba"]
+    assert numbers(ranks.RankBpe(known).encode_words([*others, word, *others])[4]) == want
 
 
 def test_pattern_is_the_files_own():
@@ -81,10 +98,17 @@ def test_pattern_is_the_files_own():
 
 def test_memo_starts_anew(monkeypatch):
     monkeypatch.setattr(ranks, "MEMO_ENTRIES", 3)
-    ids = ranks.WordIds(BPE)
-    for w in ("one", "two", "three", "four", "thatble", "one"):
-        assert np.frombuffer(ids[w], dtype="<u4").tolist() == LIBRARY.encode_ordinary(w)
-    assert len(ids) <= 3
+    ids = ranks.WordIds(BPE, tokens.Splitter([]).find)
+    for spans in (["one", " two.", "three"], ["thatble", "one"], [" two.", "..."], []):
+        assert [numbers(x) for x in ids.of_spans(spans)] == [LIBRARY.encode_ordinary(x) for x in spans]
+        assert len(ids) <= 6
+
+
+def test_many_words_through_one_queue():
+    random = rnd.Random(3)
+    words = ["".join(random.choice("abcehnotirsé\0 ") for _ in range(random.choice([1, 2, 3, 5, 8, 13, 40, 200]))) for _ in range(3000)]
+    assert [numbers(x) for x in BPE.encode_words([w.encode() for w in words])] == [slow(w.encode()) for w in words]
+    assert BPE.encode_words([]) == []
 
 
 def test_unknown_id_is_an_error(spark):

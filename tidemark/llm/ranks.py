@@ -5,7 +5,8 @@ lowest rank first and of equal ones the leftmost. Pairs wait in buckets, one for
 hold something is a bitmap of two levels with words of 256 bits, so the next rank is found by two find-first-set steps however long the word is. Positions are links of a
 list of parts; an entry whose pair is no more is stale and skipped when it comes up. Words of n bytes take n log n steps.
 
-Texts are read once and nothing is shuffled: distinct spans of a portion of texts are cut and looked up once, and words are remembered within a task.
+Texts are read once and nothing is shuffled: distinct spans of a portion of texts are cut and looked up once, words are remembered within a task, and the words
+of a portion that are new go through one queue together.
 
 Edge cases: null and empty texts have no tokens. Repeated rows are encoded alike, each on its own row. Empty tables give empty results. A null ``doc_id`` is
 kept. Extra columns are ignored. Texts and words may be of any length.
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from .tokens import Splitter, _binary, _parts, _strings, _words
 from .words import portions
 
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 600_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -34,39 +35,50 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class RankBpe:
-    """Encodes words by ranks, which are below 256 ** 2."""
+    """Encodes words by ranks, which are below 256 ** 2. Many words go through one queue: they lie one after the other with a gap between, where no part
+    begins, so no pair spans two words; and what a word's pairs are merged into depends on that word alone."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
         self.longest = max(map(len, ranks), default=1)
         self.length = dict(zip(ranks.values(), map(len, ranks)))
-        #: The rank of each pair of bytes, -1 if it is no token.
-        self.pair = [-1] * (1 << 16)
+        #: The rank of each byte and of each pair of bytes, -1 if it is no token.
+        self.byte, self.pair = np.full(256, -1), np.full(1 << 16, -1)
         for token, rank in ranks.items():
-            if len(token) == 2:
+            if len(token) == 1:
+                self.byte[token[0]] = rank
+            elif len(token) == 2:
                 self.pair[token[0] << 8 | token[1]] = rank
-        self.leaves = (max(ranks.values(), default=0) >> 8) + 1
 
-    def encode_word(self, word: bytes) -> list[int]:
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word as little-endian unsigned 32-bit integers."""
         get = self.ranks.get
-        if (whole := get(word)) is not None:
-            return [whole]
-        n, longest, length, pair = len(word), self.longest, self.length, self.pair
+        whole = list(map(get, words))
+        parts = [w for w, x in zip(words, whole) if x is None]
+        merged = iter(self._merged(parts) if parts else ())
+        return [next(merged) if x is None else x.to_bytes(4, "little") for x in whole]
+
+    def _merged(self, words: list[bytes]) -> list[bytes]:
+        get, longest, length = self.ranks.get, self.longest, self.length
+        data = b"\0" + b"\0".join(words) + b"\0"
+        n, raw = len(data), np.frombuffer(data, dtype=np.uint8).astype(np.int64)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+        gap = np.zeros(n, dtype=bool)
+        gap[0] = gap[ends] = True
+        # The part that begins at i ends at after[i], follows the one that begins at before[i] and is the token tokens[i]; none begins where after is 0.
+        after = np.where(gap, 0, np.arange(1, n + 1)).tolist()
+        before, tokens = list(range(-1, n - 1)), self.byte[raw].tolist()
         # The queue: positions by rank, a bitmap of the ranks that have any in words of 256, and a bitmap of the words that are not zero.
-        buckets: dict[int, list[int]] = {}
-        leaf, top, i = [0] * self.leaves, 0, 0
-        for a, b in zip(word, word[1:]):
-            rank = pair[a << 8 | b]
-            if rank >= 0:
-                if rank in buckets:
-                    buckets[rank].append(i)
-                else:
-                    buckets[rank] = [i]
-                    leaf[rank >> 8] |= 1 << (rank & 255)
-                    top |= 1 << (rank >> 8)
-            i += 1
-        # The part that begins at i ends at after[i] and follows the one that begins at before[i]; no part begins where after is 0.
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        first = np.where(gap[:-1] | gap[1:], -1, self.pair[raw[:-1] << 8 | raw[1:]])
+        order = np.argsort(first, kind="stable")
+        order = order[np.searchsorted(first[order], 0) :]
+        known, starts = np.unique(first[order], return_index=True)
+        buckets = dict(zip(known.tolist(), [x.tolist() for x in np.split(order, starts[1:])])) if len(known) else {}
+        leaf, top = {}, 0
+        for rank in buckets:
+            leaf[rank >> 8] = leaf.get(rank >> 8, 0) | 1 << (rank & 255)
+        for high in leaf:
+            top |= 1 << high
         while top:
             high = (top & -top).bit_length() - 1
             bits = leaf[high]
@@ -80,22 +92,28 @@ class RankBpe:
                 positions.sort()
             for k, i in enumerate(positions):
                 j = after[i]
-                if not j or j >= n or after[j] - i != size:
+                if not j or after[j] - i != size:
                     continue  # stale: the pair is no more
                 end = after[i] = after[j]
-                after[j], found, lowest = 0, [], rank
-                if end < n:
+                after[j], tokens[i], lowest = 0, rank, rank
+                if stop := after[end]:
                     before[end] = i
-                    if (stop := after[end]) - i <= longest and (r := get(word[i:stop])) is not None:
-                        found.append((r, i))
-                if i and end - (start := before[i]) <= longest and (r := get(word[start:end])) is not None:
-                    found.append((r, start))
-                for r, at in found:
+                    if stop - i <= longest and (r := get(data[i:stop])) is not None:
+                        if r in buckets:
+                            buckets[r].append(i)
+                        else:
+                            buckets[r] = [i]
+                            leaf[r >> 8] = leaf.get(r >> 8, 0) | 1 << (r & 255)
+                            top |= 1 << (r >> 8)
+                        if r < lowest:
+                            lowest = r
+                start = before[i]
+                if after[start] and end - start <= longest and (r := get(data[start:end])) is not None:
                     if r in buckets:
-                        buckets[r].append(at)
+                        buckets[r].append(start)
                     else:
-                        buckets[r] = [at]
-                        leaf[r >> 8] |= 1 << (r & 255)
+                        buckets[r] = [start]
+                        leaf[r >> 8] = leaf.get(r >> 8, 0) | 1 << (r & 255)
                         top |= 1 << (r >> 8)
                     if r < lowest:
                         lowest = r
@@ -105,35 +123,43 @@ class RankBpe:
                         leaf[high] |= low
                         top |= 1 << high
                     break
-        out, i = [], 0
-        while i < n:
-            out.append(self.ranks[word[i : after[i]]])
-            i = after[i]
-        return out
+        alive = np.array(after) > 0
+        ids = np.array(tokens)[alive].astype("<u4").tobytes()
+        cuts = (4 * np.concatenate([[0], np.cumsum(alive)[ends]])).tolist()
+        return [ids[x:y] for x, y in zip(cuts, cuts[1:])]
 
 
 class WordIds(dict):
-    """The ids of words as bytes, worked out on first use. Forgets everything at ``MEMO_ENTRIES`` words."""
+    """The ids of words as bytes. Forgets everything at ``MEMO_ENTRIES`` words."""
 
-    def __init__(self, bpe: RankBpe) -> None:
+    def __init__(self, bpe: RankBpe, find) -> None:
         super().__init__()
-        self.bpe = bpe
+        self.bpe, self.find = bpe, find
 
-    def __missing__(self, word: str) -> bytes:
+    def of_spans(self, spans: list[str]) -> list[bytes]:
+        """The ids of spans, each distinct; words not met before are encoded together. A span that is a word met before is that word alone."""
         if len(self) >= MEMO_ENTRIES:
             self.clear()
-        ids = self[word] = np.array(self.bpe.encode_word(word.encode()), dtype="<u4").tobytes()
-        return ids
+        found, cut = list(map(self.get, spans)), {}
+        for i, x in enumerate(found):
+            if x is None:
+                cut[i] = _words(spans[i], self.find)
+        fresh = list({w for words in cut.values() for w in words if w not in self})
+        self.update(zip(fresh, self.bpe.encode_words([w.encode() for w in fresh])))
+        get = self.__getitem__
+        for i, words in cut.items():
+            found[i] = b"".join(map(get, words))
+        return found
 
 
 def _encode(ranks):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, ids = Splitter([]), WordIds(RankBpe(ranks.value))
-        of_word = ids.__getitem__
+        split = Splitter([])
+        ids = WordIds(RankBpe(ranks.value), split.find)
         for batch in portions(batches, "text"):
             spans = split.read(batch.column("text"))
-            found = [b"".join(map(of_word, _words(span, split.find))) for span in _strings(spans.distinct)]
-            offsets, data = _parts(pa.array(found, pa.binary()).take(pa.array(spans.codes)))
+            found = pa.array(ids.of_spans(_strings(spans.distinct)), pa.binary())
+            offsets, data = _parts(found.take(pa.array(spans.codes)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _binary(offsets[spans.first], data, pa.binary())], names=["doc_id", "ids"])
 
     return run
