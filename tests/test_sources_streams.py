@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import clustering
+from tidemark.operators import clustering, joins
 from tidemark.sources import feeds, landing
 from tidemark.streaming import streams
 
@@ -69,6 +69,83 @@ def test_landing_source(spark, tmp_path):
     assert {r["source_id"]: r["body"] for r in df.collect()} == {f"s{i}": f"body {i}" for i in range(5)}
 
 
+def test_landing_stream_goes_on_from_its_cursor(spark, tmp_path):
+    """A restarted stream takes only the files behind its offset, whatever has happened to those before."""
+    landing.register(spark)
+    (tmp_path / "in").mkdir()
+
+    def land(*names):
+        for name in names:
+            (tmp_path / "in" / f"{name}.xml").write_text(f"body {name}")
+
+    def run():
+        stream = spark.readStream.format("landing").option("path", str(tmp_path / "in")).option("filesPerTask", "1").load()
+        q = stream.writeStream.foreachBatch(lambda df, n: batches.append(sorted(r["source_id"] for r in df.collect()))).option("checkpointLocation", str(tmp_path / "cp")).start()
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+
+    batches = []
+    land("a", "b", "c")
+    run()
+    assert sum(batches, []) == ["a", "b", "c"]
+    (tmp_path / "in" / "a.xml").unlink()
+    land("d", "e")
+    batches.clear()
+    run()
+    assert sorted(sum(batches, [])) == ["d", "e"]
+    batches.clear()
+    run()
+    assert sum(batches, []) == []
+
+
+def test_new_items_by_keyed_state(spark, tmp_path):
+    rows = [[(3, "s", "x"), (1, "s", "x"), (2, None, "x")], [(4, "s", "x"), (5, None, "x"), (6, "s", None), (7, "s", "y")]]
+    schema, found = "id long, source_id string, external_id string", []
+    for part in rows:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        new = streams.stream_new_items(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), ttl_ms=3_600_000)
+        q = new.writeStream.foreachBatch(lambda df, n: found.append(sorted(r["id"] for r in df.collect()))).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    assert [x for x in found if x] == [[1, 2], [6, 7]]
+
+
+def test_stream_of_artifact_matches_equals_batch(spark, tmp_path):
+    rows = [(i, [f"k{i % 3}"], [f"e{i % 2}"], i * 9 * 3600) for i in range(20)]
+    items = spark.createDataFrame(rows, "id long, keys array<string>, entities array<string>, at long")
+    for i in range(0, 20, 7):
+        items.where(f"id between {i} and {i + 6}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(items.schema).option("maxFilesPerTrigger", "1").parquet(str(tmp_path / "in")).withColumn("ts", F.timestamp_seconds("at"))
+    q = streams.stream_artifact_matches(stream, late="30 days").writeStream.format("memory").queryName("matches").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    assert sorted(map(tuple, spark.table("matches").select("a", "b").collect())) == sorted(map(tuple, joins.artifact_matches(items).collect()))
+
+
+def test_crash_between_the_writes_repeats_nothing(spark, tmp_path, monkeypatch):
+    schema = "id long, url string, content_hash string, keys array<string>, entities array<string>, category string, at long, embedding array<float>"
+    rows = [(i, f"u{i % 2}", f"h{i}", [], ["e"], "ai", i * 3600, None) for i in range(4)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    append, out = streams._append, str(tmp_path / "out")
+
+    def run():
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        streams.stream_cluster(stream, str(tmp_path / "seen"), str(tmp_path / "cp"), clustering.cluster_items, out, trigger={"availableNow": True}).awaitTermination(300)
+
+    def crash(df, path, number):
+        if path.endswith("seen"):
+            raise OSError("lost")
+        append(df, path, number)
+
+    monkeypatch.setattr(streams, "_append", crash)
+    with pytest.raises(Exception, match="lost"):
+        run()
+    assert spark.read.parquet(out).count() == 4
+    monkeypatch.setattr(streams, "_append", append)
+    run()
+    assert sorted((r["id"], r["event_id"]) for r in spark.read.parquet(out).collect()) == [(0, 0), (1, 1), (2, 0), (3, 1)]
+
+
 def test_user_embedder(spark):
     df = spark.createDataFrame([("ab",), (None,)], "t string")
     out = clustering.embed_with(df, lambda texts: [[float(len(t)), 1.0] for t in texts], "t", 2)
