@@ -175,7 +175,8 @@ def source_state(log: DataFrame) -> DataFrame:
 
 
 def pairwise_quality(assigned: DataFrame) -> DataFrame:
-    """TP, FP, FN, TN over all unordered pairs of ``assigned(id, cluster, label)``, from group sizes: linear in the rows."""
+    """TP, FP, FN, TN over all unordered pairs of ``assigned(id, cluster, label)``, with precision, recall (1 where nothing was to be found) and F1 (0 where both
+    are), from group sizes: linear in the rows."""
     pairs = lambda keys: assigned.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0)).alias("p"))
     both, cluster, label = pairs(["cluster", "label"]), pairs(["cluster"]), pairs(["label"])
     total = assigned.agg(F.expr("count(*) * (count(*) - 1) div 2").alias("p"))
@@ -183,7 +184,8 @@ def pairwise_quality(assigned: DataFrame) -> DataFrame:
     df = df.select("tp", (F.col("c") - F.col("tp")).alias("fp"), (F.col("l") - F.col("tp")).alias("fn"), (F.col("t") - F.col("c") - F.col("l") + F.col("tp")).alias("tn"))
     precision = F.when(F.col("tp") + F.col("fp") > 0, F.col("tp") / (F.col("tp") + F.col("fp"))).otherwise(1.0)
     recall = F.when(F.col("tp") + F.col("fn") > 0, F.col("tp") / (F.col("tp") + F.col("fn"))).otherwise(1.0)
-    return df.select("tp", "fp", "fn", "tn", F.round(precision, 6).alias("precision"), F.round(recall, 6).alias("recall"))
+    f1 = F.when(precision + recall > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0)
+    return df.select("tp", "fp", "fn", "tn", *(F.round(x, 6).alias(n) for n, x in (("precision", precision), ("recall", recall), ("f1", f1))))
 
 
 def strategy_summary(decisions: DataFrame) -> DataFrame:

@@ -31,12 +31,22 @@ def latest_scores(scores: DataFrame, limit: int | None = None, passed_only: bool
 
 
 def gate_kill_rate(scores: DataFrame) -> DataFrame:
-    """Over latest scores: totals and kill rate, also without the rule ``too_old``, and counts by rule, by one rollup."""
+    """Over latest scores: totals and kill rate, and counts by rule, by one rollup."""
     df = latest(scores, "event_id").withColumn("rule", F.when(F.col("gate_passed"), "passed").otherwise(F.coalesce("killed_by", F.lit("unknown"))))
     by = df.rollup("rule").agg(F.count("*").alias("n"), F.sum(F.when(F.col("gate_passed"), 0).otherwise(1)).alias("killed"))
     return by.select(F.coalesce("rule", F.lit("all")).alias("rule"), "n", "killed", F.round(F.col("killed") / F.col("n"), 6).alias("kill_rate"))
 
 
+def kill_rate_without(scores: DataFrame, rule: str = "too_old") -> DataFrame:
+    """One row over latest scores: how many, how many the gate killed and their share, and the same over the events that ``rule`` did not kill (the rate of what
+    came within the gate's window). Rates of no events are null."""
+    df = latest(scores, "event_id").select(F.when(F.col("gate_passed"), 0).otherwise(1).alias("k"), (F.col("killed_by").eqNullSafe(F.lit(rule))).alias("out"))
+    inside = lambda c: F.sum(F.when(~F.col("out"), c))
+    df = df.agg(F.count("*").alias("n"), F.sum("k").alias("killed"), F.coalesce(inside(F.lit(1)), F.lit(0)).alias("n_without"), inside(F.col("k")).alias("killed_without"))
+    rate = lambda a, b: F.round(F.when(F.col(b) > 0, F.col(a) / F.col(b)), 6)
+    return df.select("n", "killed", rate("killed", "n").alias("kill_rate"), "n_without", "killed_without", rate("killed_without", "n_without").alias("kill_rate_without"))
+
+
 def latest_analysis(analyses: DataFrame) -> DataFrame:
     """Latest successful analysis of each event with a field of its JSON payload."""
     df = latest(analyses.where("status = 'ok'"), "event_id")

@@ -49,6 +49,17 @@ def _(v):
     return H.gate_kill_rate(v("v_scores"))
 
 
+@query(
+    "a8_kill_rate_without_rule",
+    f"""select count(*) as n, sum(killed)::bigint as killed, round(sum(killed) / count(*), 6) as kill_rate, count(*) filter (rule is distinct from 'view') as n_without, sum(killed) filter (rule is distinct from 'view')::bigint as killed_without,
+    round(sum(killed) filter (rule is distinct from 'view') / count(*) filter (rule is distinct from 'view'), 6) as kill_rate_without
+    from (select killed_by as rule, case when gate_passed then 0 else 1 end as killed from {LATEST} x) q""",
+)
+def _(v):
+    """The views' rules are event types; 'view' stands for the rule that is left out."""
+    return H.kill_rate_without(v("v_scores"), "view")
+
+
 @query("w2_latest_analysis", """select event_id, id, stage, cast(json_extract_string(payload, '$.k') as bigint) as k from v_analyses
     where id in (select max(id) from v_analyses where status = 'ok' group by event_id)""")
 def _(v):
@@ -282,7 +293,8 @@ ASSIGNED = "(select id, content_hash as cluster, source_id as label from v_items
     f"""with a as (select * from {ASSIGNED}), b as (select (select coalesce(sum(n * (n - 1) // 2), 0) from (select count(*) as n from a group by cluster, label))::bigint as tp,
       (select sum(n * (n - 1) // 2) from (select count(*) as n from a group by cluster))::bigint as c, (select sum(n * (n - 1) // 2) from (select count(*) as n from a group by label))::bigint as l,
       (select count(*) * (count(*) - 1) // 2 from a)::bigint as t)
-    select tp, c - tp as fp, l - tp as fn, t - c - l + tp as tn, round(case when c > 0 then tp / c else 1 end, 6) as precision, round(case when l > 0 then tp / l else 1 end, 6) as recall from b""",
+    select tp, c - tp as fp, l - tp as fn, t - c - l + tp as tn, round(p, 6) as precision, round(r, 6) as recall, round(case when p + r > 0 then 2 * p * r / (p + r) else 0 end, 6) as f1
+    from (select *, case when c > 0 then tp / c else 1 end as p, case when l > 0 then tp / l else 1 end as r from b) q""",
 )
 def _(v):
     return A.pairwise_quality(v("v_items").select("id", F.col("content_hash").alias("cluster"), F.col("source_id").alias("label")))
