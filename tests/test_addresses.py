@@ -32,7 +32,7 @@ def parsed(text):
 
 def test_bits(spark):
     cases = [*random_addresses(300), *ODD]
-    got = spark.createDataFrame([(x,) for x in cases], "a string").select("a", addresses.address_bits(F.col("a")).alias("bits")).collect()
+    got = addresses.with_bits(spark.createDataFrame([(x,) for x in cases], "a string"), "a").collect()
     for r in got:
         a = parsed(r["a"])
         assert r["bits"] == (None if a is None else f"{int(a):0{a.max_prefixlen}b}"), r

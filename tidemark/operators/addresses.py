@@ -7,10 +7,11 @@ address with each range. IPv4 addresses inside IPv6 ones (``::ffff:1.2.3.4``) co
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.web import BLOCKED_V4, ip_number, url_host
+from ..functions.web import BLOCKED_V4, url_host
 
 #: IPv6 ranges that are never fetched.
 BLOCKED_V6 = ("::/128", "::1/128", "fc00::/7", "fe80::/10", "ff00::/8")
@@ -21,35 +22,31 @@ def blocked_ranges(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(f"{network}/{n}",) for network, n in BLOCKED_V4] + [(c,) for c in BLOCKED_V6], "cidr string")
 
 
-def _v4_bits(text: Column) -> Column:
-    return F.lpad(F.bin(ip_number(text)), 32, "0")
+def with_bits(df: DataFrame, column: str, out: str = "bits") -> DataFrame:
+    """Adds the bits of an IPv4 or IPv6 address (with or without brackets and zone), null for any other text. Called on distinct texts; in Arrow batches, since
+    the steps of reading an IPv6 address as one column expression repeat each other so often that planning it takes a minute."""
 
+    @F.pandas_udf("string")
+    def bits(texts: pd.Series) -> pd.Series:
+        import ipaddress
 
-def address_bits(text: Column) -> Column:
-    """The bits of an IPv4 or IPv6 address (with or without brackets and zone), null for any other text."""
-    text = F.regexp_replace(F.regexp_replace(F.lower(F.trim(text)), r"^\[|\]$", ""), "%.*$", "")
-    mapped = F.regexp_extract(text, r"^(?:::ffff:)?([0-9]{1,3}(?:\.[0-9]{1,3}){3})$", 1)
-    tail = F.regexp_extract(text, r":([0-9]{1,3}(?:\.[0-9]{1,3}){3})$", 1)
-    low = ip_number(tail)
-    pair = F.concat_ws(":", F.lower(F.hex(F.floor(low / 65536))), F.lower(F.hex(F.pmod(low, F.lit(65536)))))
-    whole = F.when(tail == "", text).when(low.isNotNull(), F.concat(F.regexp_replace(text, r"[0-9.]+$", ""), pair))
-    halves = F.split(whole, "::")
-    groups = lambda i: F.filter(F.split(F.coalesce(F.get(halves, i), F.lit("")), ":"), lambda g: g != "")
-    left, right = groups(F.lit(0)), groups(F.lit(1))
-    zeros = F.lit(8) - F.size(left) - F.size(right)
-    all_groups = F.when(F.size(halves) == 1, left).otherwise(F.concat(left, F.array_repeat(F.lit("0"), F.greatest(zeros, F.lit(0))), right))
-    # At most one "::", which stands for one group at least; no stray colons.
-    good = F.rlike(whole, F.lit(r"^[0-9a-f:]*:[0-9a-f:]*$")) & ~F.rlike(whole, F.lit(r":::|^:[^:]|[^:]:$|[0-9a-f]{5}")) & (F.size(halves) <= 2)
-    good = good & (F.size(all_groups) == 8) & ((F.size(halves) == 1) | (zeros >= 1))
-    v6 = F.array_join(F.transform(all_groups, lambda g: F.lpad(F.conv(g, 16, 2), 16, "0")), "")
-    return F.when(mapped != "", _v4_bits(mapped)).when(good, v6)
+        def one(text: str | None) -> str | None:
+            try:
+                a = ipaddress.ip_address((text or "").strip().removeprefix("[").removesuffix("]").split("%")[0])
+            except ValueError:
+                return None
+            a = getattr(a, "ipv4_mapped", None) or a
+            return f"{int(a):0{a.max_prefixlen}b}"
+
+        return texts.map(one, na_action=None).astype(object).where(lambda x: x.notna(), None)
+
+    return df.withColumn(out, bits(F.col(column)))
 
 
 def range_bits(ranges: DataFrame) -> DataFrame:
     """``(cidr, family, length, head)`` of the ranges that are well formed."""
-    network, length = F.substring_index("cidr", "/", 1), F.expr("try_cast(substring_index(cidr, '/', -1) as int)")
-    bits = address_bits(network)
-    df = ranges.select("cidr", bits.alias("bits"), length.alias("length")).withColumn("family", F.length("bits"))
+    length = F.expr("try_cast(substring_index(cidr, '/', -1) as int)")
+    df = with_bits(ranges.select("cidr", F.substring_index("cidr", "/", 1).alias("network"), length.alias("length")), "network").withColumn("family", F.length("bits"))
     return df.where("length between 0 and family").select("cidr", "family", "length", F.expr("left(bits, length)").alias("head"))
 
 
@@ -59,7 +56,8 @@ def ranges_of(addresses: DataFrame, ranges: DataFrame, column: str = "address")
     lengths = heads.select("family", "length").distinct()  # at most 33 + 129 rows
     wanted = {f: sorted(r["length"] for r in lengths.collect() if r["family"] == f) for f in (32, 128)}
     cuts = F.when(F.length("bits") == 32, F.array(*map(F.lit, wanted[32])).cast("array<int>")).otherwise(F.array(*map(F.lit, wanted[128])).cast("array<int>"))
-    cut = addresses.select(F.col(column).alias("address")).distinct().withColumn("bits", address_bits(F.col("address"))).where("bits is not null")
+    cut = addresses.select(F.col(column).alias("address")).distinct()
+    cut = with_bits(cut, "address").where("bits is not null")
     cut = cut.select("address", F.length("bits").alias("family"), F.explode(cuts).alias("length"), "bits").withColumn("head", F.expr("left(bits, length)"))
     found = cut.join(heads, ["family", "length", "head"])
     return found.groupBy("address").agg(F.max(F.struct("length", "cidr"))["cidr"].alias("cidr"))
@@ -76,9 +74,9 @@ def fetchable_urls(urls: DataFrame, allowed: DataFrame, ranges: DataFrame | None
     it is not given): neither the host itself nor any address that ``resolved(host, address)`` has for it. A resolved text that is no address is refused."""
     ranges = blocked_ranges(urls.sparkSession) if ranges is None else ranges
     df = urls.withColumn("host", literal_host(F.col("url"))).where("host is not null").join(allowed.select("host").distinct(), "host", "left_semi")
-    literal = df.select("host", F.col("host").alias("address")).where(address_bits(F.col("host")).isNotNull()).distinct()
-    leads = literal
+    hosts = df.select("host").distinct()
+    leads = with_bits(hosts.withColumn("address", F.col("host")), "address").where("bits is not null")
     if resolved is not None:
-        leads = literal.unionByName(resolved.select("host", "address")).distinct()
-    bad = leads.join(ranges_of(leads, ranges), "address", "left").where(F.col("cidr").isNotNull() | address_bits(F.col("address")).isNull()).select("host").distinct()
+        leads = leads.unionByName(with_bits(resolved.select("host", "address").distinct(), "address"))
+    bad = leads.join(ranges_of(leads, ranges), "address", "left").where("cidr is not null or bits is null").select("host").distinct()
     return df.join(bad, "host", "left_anti")
