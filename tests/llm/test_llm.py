@@ -626,5 +626,6 @@ def test_pipeline(spark):
     assert corpus_pipeline.run(spark, SF).count() == docs.count()
 
 
-def test_queries_have_brute_force_or_sql():
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in queries.QUERIES}
+def test_every_operator_has_one_query():
+    assert [f"op{n}" for n in range(1, 14)] == [q.split("_")[0] for q in queries.QUERIES]
+    assert set(queries.SQL) <= set(queries.QUERIES)
