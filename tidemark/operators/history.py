@@ -144,6 +144,54 @@ def plan_alerts(alerts: DataFrame, sent: DataFrame, floor: str = "high", cap: in
     return df.select("seq", "tier", "dedupe_key", decision.alias("decision"))
 
 
+
+def plan_alerts_by_day(alerts: DataFrame, sent: DataFrame, floor: str = "high", cap: int = 4, quiet: tuple[int, int] = (23, 7)) -> DataFrame:
+    """The same decisions over any number of days, in order of ``(day, seq)``: ``alerts(seq, day, minute, tier, dedupe_key)`` with distinct ``seq`` and whole day numbers,
+    ``sent(dedupe_key, day)`` the alerts that went out before. A day sends ``cap`` less what ``sent`` has of it; a key that the cap held back may go on a later day.
+
+    On the i-th day at most ``cap * (i - 1)`` keys have gone before, so its first ``cap * i`` keys decide it: only these rows, whose number follows from the days and
+    not from the alerts, pass in order through one task. Null days, tiers and keys are none of the listed: such alerts are below the tier or never equal."""
+    import pyarrow as pa
+
+    tiers = F.when(F.col("tier") == "urgent", 3).when(F.col("tier") == "high", 2).otherwise(1)
+    least = {"urgent": 3, "high": 2, "low": 1}[floor]
+    hour = F.floor(F.col("minute") / 60)
+    asleep = ((hour >= quiet[0]) | (hour < quiet[1])) & (F.col("tier") != "urgent")
+    already = sent.select("dedupe_key").distinct().withColumn("_sent", F.lit(True))
+    df = alerts.select("seq", "day", "tier", "dedupe_key", (tiers < least).alias("_low"), asleep.alias("_asleep")).join(already, "dedupe_key", "left")
+    leads = df.where("not _low and _sent is null and not _asleep and day is not null and dedupe_key is not null").groupBy("day", "dedupe_key").agg(F.min("seq").alias("seq"))
+    first_day, last_day = alerts.agg(F.min("day"), F.max("day")).first()
+    span = 0 if first_day is None else last_day - first_day + 1
+    place = F.row_number().over(Window.partitionBy("day").orderBy("seq"))
+    near = leads.withColumn("_rn", place).where(F.col("_rn") <= cap * span).where(F.col("_rn") <= cap * (F.col("day") - F.lit(first_day) + 1))
+    near = near.join(sent.groupBy("day").agg(F.count("*").alias("_gone")), "day", "left").select("day", "seq", "dedupe_key", (cap - F.coalesce("_gone", F.lit(0))).alias("_left"))
+
+    def fold(batches):
+        gone, today, count = set(), None, 0
+        for batch in batches:
+            out = []
+            for day, seq, key, left in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if day != today:
+                    today, count = day, 0
+                if count < left and key not in gone:
+                    gone.add(key)
+                    count += 1
+                    out.append((key, day, seq))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.int64())], names=["dedupe_key", "_day", "_when"])
+
+    near = near.select(F.col("day").cast("long"), F.col("seq").cast("long"), "dedupe_key", F.col("_left").cast("long"))
+    went = near.repartition(1).sortWithinPartitions("day", "seq").mapInArrow(fold, "dedupe_key string, _day long, _when long")
+    df = df.join(went, "dedupe_key", "left")
+    decision = (
+        F.when(F.col("_low"), "below_tier")
+        .when(F.col("_sent").isNotNull() | F.coalesce((F.col("_day") < F.col("day")) | ((F.col("_day") == F.col("day")) & (F.col("_when") < F.col("seq"))), F.lit(False)), "duplicate")
+        .when(F.col("_asleep"), "quiet_hours")
+        .when(F.col("_when") == F.col("seq"), "sent")
+        .otherwise("daily_cap")
+    )
+    return df.select("seq", "day", "tier", "dedupe_key", decision.alias("decision"))
+
+
 #: Shares of the daily budget at which the mode changes.
 MODES = ((1.0, "SUSPENDED"), (0.9, "TRIAGE"), (0.7, "FRUGAL"))
 

@@ -110,8 +110,8 @@ def content_options(events: DataFrame) -> DataFrame:
     return events.withColumn("options", F.transform(all_, lambda o: F.struct(o["kind"].alias("kind"), (-o["f"]).alias("fit"))))
 
 
-def recommend(events: DataFrame) -> DataFrame:
-    """``event_id, action, reason, option, manual_flag``: forcing first, then the refusals in order, then when to post."""
+def recommend(events: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """``event_id, action, reason, option, manual_flag``, and the columns to keep: forcing first, then the refusals in order, then when to post."""
     df = content_options(find_angles(events)).withColumn("forced", forcing_rule())
     best = F.get("angles", F.lit(0))["strength"]
     experts = F.col("expert_count")
@@ -128,7 +128,40 @@ def recommend(events: DataFrame) -> DataFrame:
     now = (option["fit"] >= 0.6) & (F.col("combined") >= 50) & (F.col("hours_since") <= EARLY_HOURS)
     action = F.when(F.col("forced") == "accusation", "VERIFY").when(F.col("forced").isNotNull(), "WAIT").when(refused.isNotNull(), "DONT_POST").when(now, "POST_NOW").otherwise("POST_SOON")
     chosen = F.when(F.col("forced").isNotNull(), "wait").when(refused.isNull(), option["kind"])
-    return df.select("event_id", action.alias("action"), F.coalesce("forced", refused, F.lit("none")).alias("reason"), chosen.alias("option"), (F.coalesce("forced", F.lit("")) == "accusation").alias("manual_flag"))
+    return df.select("event_id", action.alias("action"), F.coalesce("forced", refused, F.lit("none")).alias("reason"), chosen.alias("option"), (F.coalesce("forced", F.lit("")) == "accusation").alias("manual_flag"), *(keep or []))
+
+
+def rank_stream(scores: DataFrame, events: DataFrame, evidence: DataFrame, items: DataFrame, sources: DataFrame, analyses: DataFrame, now: int, limit: int = 200) -> DataFrame:
+    """The list that is read first: the ``limit`` best of the latest scores that passed the gate, each with its facts, what its latest good analysis said, and the
+    recommendation that follows; best first, ties by event.
+
+    ``scores(id, event_id, importance, relevance, combined, confidence, evidence_tag, caps, entities, testability, source_count, gate_passed)``, ``events(event_id, title, category,
+    occurred_at)``, ``analyses(id, event_id, status, payload)`` with JSON payloads. An event without an analysis, or whose payload is no JSON, has nothing unknown and
+    nothing that must not be said. Strategy sees the title alone. Evidence and analyses are narrowed to the list's events (``limit`` ids, broadcast) before they are grouped."""
+    from .aggregates import evidence_facts
+    from .history import latest, latest_scores
+    from .scoring import TESTABLE
+
+    page = latest_scores(scores, limit, passed_only=True)
+    ids = F.broadcast(page.select("event_id"))
+    listed = lambda df: df.join(ids, "event_id", "left_semi")
+    facts = evidence_facts(listed(evidence), items, sources)
+    payload, none = F.try_parse_json("payload"), F.array().cast("array<string>")
+    texts = lambda key: F.coalesce(F.try_variant_get(payload, f"$.{key}", "array<string>"), none)
+    said = latest(listed(analyses.select("id", "event_id", "status", "payload")).where("status = 'ok'"), "event_id").select(
+        "event_id", F.col("id").alias("analysis_id"), texts("stillUnknown").alias("still_unknown"), texts("doNotSay").alias("do_not_say"), F.try_variant_get(payload, "$.injectionObserved", "boolean").alias("injection")
+    )
+    df = page.join(listed(events.select("event_id", "title", "category", "occurred_at")), "event_id").join(facts, "event_id", "left").join(said, "event_id", "left")
+    ready = [e for e, w in TESTABLE.items() if w >= 0.8]
+    df = df.withColumns(
+        {
+            "summary": F.lit(""), "testable": (F.col("testability") > 0.5) | F.exists("entities", lambda e: e.isin(*ready)), "expert_count": F.coalesce("experts", F.lit(0)),
+            "has_official": F.coalesce("has_official", F.lit(False)), "has_version": F.coalesce("has_version", F.lit(False)), "still_unknown": F.coalesce("still_unknown", none),
+            "do_not_say": F.coalesce("do_not_say", none), "injection_flagged": F.coalesce("injection", F.lit(False)), "hours_since": F.greatest(F.lit(0.0), (F.lit(now) - F.col("occurred_at")) / HOUR),
+        }
+    )
+    shown = ["title", "category", "occurred_at", "importance", "relevance", "combined", "confidence", "evidence_tag", "caps", "entities", "source_count", "has_official", "has_version", "expert_count", "analysis_id"]
+    return recommend(df, keep=shown).orderBy(F.desc("combined"), "event_id")
 
 
 def teaching_candidates(events: DataFrame) -> DataFrame:

@@ -116,6 +116,24 @@ def _(v):
     return H.plan_alerts(alerts, alerts.where("dedupe_key in ('k1', 'k2', 'k3')"))
 
 
+@query(
+    "w6_plan_alerts_by_day",
+    """select seq, day, tier, dedupe_key, decision from (with recursive a as (select *, seq // 1440 as day, (minute // 60 >= 23 or minute // 60 < 7) and tier <> 'urgent' as asleep from v_alerts),
+    g as (select dedupe_key, day from a where seq % 500 = 0), b as (select *, dedupe_key in (select dedupe_key from g) as was_sent from a),
+    l as (select day, dedupe_key, min(seq) as f from b where tier in ('urgent', 'high') and not was_sent and not asleep group by all),
+    d as (select day, list(dedupe_key order by f) as keys, greatest(0, 4 - coalesce((select count(*) from g where g.day = l.day), 0))::bigint as c from l group by day),
+    n as (select *, row_number() over (order by day) as i from d),
+    r as (select 0::bigint as i, 0::bigint as day, []::varchar[] as gone, []::varchar[] as today
+      union all select i, day, list_concat(gone, t), t from (select n.i, n.day, r.gone, list_slice(list_filter(n.keys, lambda k: not list_contains(r.gone, k)), 1, n.c) as t from r join n on n.i = r.i + 1)),
+    w as (select u.day, u.key, l.f from (select day, unnest(today) as key from r) u join l on l.day = u.day and l.dedupe_key = u.key)
+    select b.*, case when tier = 'low' then 'below_tier' when was_sent or w.f < seq then 'duplicate' when asleep then 'quiet_hours' when w.f = seq then 'sent' else 'daily_cap' end as decision from b left join w on w.key = b.dedupe_key)""",
+)
+def _(v):
+    """A day has 1,440 alerts; every five-hundredth was sent before the run."""
+    alerts = v("v_alerts").withColumn("day", F.floor(F.col("seq") / 1440))
+    return H.plan_alerts_by_day(alerts, alerts.where("seq % 500 = 0"))
+
+
 @query(
     "w7_budget_state",
     """select id, day, cost_micro, spent_before, case when spent_before >= 10000000 then 'SUSPENDED' when spent_before >= 9000000 then 'TRIAGE' when spent_before >= 7000000 then 'FRUGAL' else 'NORMAL' end as mode from

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .functions import text as N
 from .operators import aggregates as A
+from .operators import analyses as P
 from .operators import joins as J
 from .operators import scoring as R
 from .operators import strategy as S
@@ -231,6 +233,39 @@ def _(v):
     return A.strategy_summary(S.recommend(strategic(v)))
 
 
+_BEST = f"(select max({_case('n', R.TESTABLE)}) from (select unnest(entities) as n))"
+_MADE = f"{_TEXT} as t, event_id % 3 = 0 as testable, event_id % 4 = 0 as ver, event_id % 6 as unknown, event_id // 6 % 6 as dont"
+_SAID = f"title || chr(10) as t, {_BEST} * (case when versioned then 1.0::double else 0.6::double end) > 0.5::double or {_BEST} >= 0.8::double as testable, coalesce(k, 0) % 6 as unknown, coalesce(k, 0) // 6 % 6 as dont"
+STREAM = STRATEGY.replace(_MADE, _SAID).replace(
+    "\n  p1 as",
+    """\n  a1 as (select event_id, id as analysis_id, cast(json_extract_string(payload, '$.k') as bigint) as k from v_analyses where id in (select max(id) from v_analyses where status = 'ok' group by event_id)),
+  f1 as (select e.event_id, bool_or(regexp_matches(i.title, 'v[0-9]|[0-9]\\.[0-9]')) as ver from v_evidence e join v_items i on i.id = e.item_id group by e.event_id),
+  s6 as (select s5.* replace (coalesce(k % 17 = 0, false) as flagged), k, analysis_id, f1.ver from s5 left join a1 on a1.event_id = s5.event_id left join f1 on f1.event_id = s5.event_id),
+  p1 as""",
+    1,
+).replace("as rest from s5)", "as rest from s6)", 1)
+
+
+@query(
+    "r9_stream_with_strategy",
+    f"""with {STREAM}, listed as (select event_id from s5 where ({_gate('importance', 'combined')}) is null order by combined desc, event_id limit 200)
+    select p4.event_id, title, category, combined, confidence, evidence_tag, official as has_official, ver as has_version, experts as expert_count, analysis_id, action, reason, option, manual_flag
+    from p4 join decision on decision.event_id = p4.event_id where p4.event_id in (select event_id from listed)""",
+)
+def _(v):
+    """An analysis says as many unknowns and warnings as the number in its payload has it."""
+    df = R.apply_gate(R.score_events(scorable(v), CLOCK, WEIGHTS, breakdown=True), CLOCK)
+    part = F.get(F.filter("relevance_parts", lambda p: p["name"] == "testability"), F.lit(0))["value"]
+    sources = F.size(F.array_distinct(F.transform("evidence", lambda e: e["source_id"])))
+    scores = df.select(F.col("event_id").alias("id"), "event_id", "importance", "relevance", "combined", "confidence", "evidence_tag", "caps", "entities", part.alias("testability"), sources.alias("source_count"), "gate_passed")
+    k = F.get_json_object("payload", "$.k").cast("long")
+    several = lambda n, word: F.transform(F.slice(F.sequence(F.lit(1), F.lit(6)), F.lit(1), n.cast("int")), lambda i: F.concat(F.lit(word), i.cast("string")))
+    said = F.to_json(F.struct(several(k % 6, "how ").alias("stillUnknown"), several(F.floor(k / 6) % 6, "no ").alias("doNotSay"), (k % 17 == 0).alias("injectionObserved")))
+    analyses = v("v_analyses").select("id", "event_id", "status", said.alias("payload"))
+    df = S.rank_stream(scores, v("v_events"), v("v_evidence"), v("v_items"), v("v_sources"), analyses, CLOCK)
+    return df.select("event_id", "title", "category", "combined", "confidence", "evidence_tag", "has_official", "has_version", "expert_count", "analysis_id", "action", "reason", "option", "manual_flag")
+
+
 @query("r14_teaching_candidates", f"with {STRATEGY} select event_id, teaching as angle from p2 where teaching is not null and (testable or teaching = 'myth_correction')")
 def _(v):
     return S.teaching_candidates(strategic(v))
@@ -288,6 +323,43 @@ def _(v):
     return S.validate_analyses(analyses, items.select("event_id", F.col("id").alias("item_id")))
 
 
+_PROSE = "regexp_replace(regexp_replace({}, '(?i)\\bev-[0-9]+\\b', '', 'g'), '\\b(?:19|20)[0-9]{{2}}\\b', '', 'g')"
+_JOINED = lambda t: f"regexp_replace(regexp_replace({t}, '[.,]([0-9]{{3}})\\b', '\\1', 'g'), '[_\\s]', '', 'g')"
+_STRAY = lambda t: f"case when regexp_matches({t}, '{_q(N.YEAR_ONLY)}') then [] else list_filter(list_transform(regexp_extract_all({t}, '{_q(N.FACTUAL_NUMBER)}'), lambda n: trim(n)), lambda n: not contains(sourced, {_JOINED('n')})) end"
+
+
+@query(
+    "r20_check_analyses",
+    f"""with o as (select distinct e.event_id from v_evidence e join v_sources s on s.id = e.source_id where is_official),
+    a as (select i.id, e.event_id, title, body, length(body) as n, length(body) between 1 and 2500 and length(title) > 0 as good from v_items i join v_evidence e on e.item_id = i.id),
+    b as (select a.*, {_PROSE.format("body")} as t1, {_PROSE.format("title")} as t2, {_PROSE.format("substr(body, 100, 300)")} as t3, {_JOINED("substr(body, 1, 800)")} as sourced,
+      n % 4 = 0 and not exists (select 1 from v_evidence x where x.item_id = a.id + 1 and x.event_id = a.event_id) as lost, o.event_id is null or n % 13 = 0 as low,
+      (['HIGH', 'MED', 'LOW'])[1 + n % 3] as said, (['POST_NOW', 'POST_SOON', 'WAIT', 'VERIFY', 'IGNORE'])[1 + n % 5] as act from a left join o on o.event_id = a.event_id),
+    c as (select *, case when good then list_distinct(list_concat({_STRAY("t1")}, {_STRAY("t2")}, {_STRAY("t3")})) else [] end as stray from b)
+    select id, event_id, case when not good then 'shape' when lost then 'unknown_evidence' when len(stray) > 0 then 'unsupported_number' else 'ok' end as verdict, case when good and lost then cast(id + 1 as varchar) else '' end as unknown_ids,
+      array_to_string(list_sort(stray), ' ') as stray_numbers, case when good then case when low then 'LOW' else said end end as confidence,
+      case when good then case when (low or said = 'LOW') and act in ('POST_NOW', 'POST_SOON') then 'VERIFY' else act end end as action from c""",
+)
+def _(v):
+    """Payloads made of the items' texts: the whole text is the story, its first 800 characters the claim, which cites the item and, in every fourth length, the next one."""
+    items = v("v_items").join(v("v_evidence").select(F.col("item_id").alias("id"), "event_id"), "id")
+    n = F.length("body")
+    pick = lambda values, by: F.get(F.array(*map(F.lit, values)), (n % by).cast("int"))
+    own = F.col("id").cast("string")
+    cited = F.when(n % 4 == 0, F.array(own, (F.col("id") + 1).cast("string"))).otherwise(F.array(own))
+    claim = F.struct(F.substring("body", 1, 800).alias("text"), cited.alias("evidenceIds"), F.lit("OBSERVED").alias("tag"))
+    texts = lambda *names: F.struct(*(F.lit("as it says").alias(x) for x in names))
+    payload = F.struct(
+        F.col("body").alias("whatHappened"), F.col("title").alias("whatChanged"), F.lit("").alias("before"), F.substring("body", 100, 300).alias("after"), F.array(texts("audience", "implication")).alias("implications"), F.array(claim).alias("claims"),
+        F.array(F.lit("method")).alias("stillUnknown"), pick(("HIGH", "MED", "LOW"), 3).alias("confidence"), pick(P.ACTIONS, 5).alias("recommendedAction"), F.array(F.lit("nothing")).alias("doNotSay"),
+        texts("hook", "substance", "soWhat", "testableClaim").alias("draftMaterial"), F.array(F.lit("novelty")).alias("attentionDrivers"), F.lit("").alias("attentionReason"), texts("kind", "whatToShow", "sourceHint").alias("mediaIdea"),
+        (n % 13 == 0).alias("injectionObserved"), F.lit("").alias("injectionNote"),
+    )
+    official = v("v_evidence").join(v("v_sources").where("is_official").select(F.col("id").alias("source_id")), "source_id", "left_semi").select("event_id")
+    df = P.check_analyses(items.select("id", "event_id", F.to_json(payload).alias("payload")), v("v_evidence").select("event_id", F.col("item_id").alias("evidence_id")), official)
+    return df.select("id", "event_id", "verdict", F.array_join("unknown_ids", ",").alias("unknown_ids"), F.array_join(F.array_sort("stray_numbers"), " ").alias("stray_numbers"), "confidence", "action")
+
+
 @query("r21_route_events", "select event_id, case when status <> 'ok' then 'triage_failed' when event_id % 5 = 0 then 'not_an_event' when event_id % 7 = 0 then 'not_worth_it' when cost_micro % 100 < 40 then 'below_threshold' end as skip_code from v_analyses")
 def _(v):
     t = v("v_analyses").select("event_id", "status", (F.col("event_id") % 5 != 0).alias("is_real_event"), (F.col("event_id") % 7 != 0).alias("worth_analysis"), (F.col("cost_micro") % 100).alias("combined"))

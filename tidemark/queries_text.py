@@ -10,6 +10,7 @@ from .functions import text as N
 from .functions import web as U
 from .queries import query
 from .operators import addresses as AD
+from .operators import items as IT
 from .operators import joins as J
 
 
@@ -156,6 +157,37 @@ def _(v):
     return v("documents").select("doc_id", N.infer_category(F.col("text"), entities).alias("category"))
 
 
+def benchmark_registry(v):
+    """A registry of multi-word names out of the table ``benchmark``: the first two and the first three words of each passage name its item, the three in exact case
+    where the item's number is odd."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")
+    rows = v("benchmark").select("item_id", words.alias("w")).where("size(w) >= 3")
+    grams = F.array(*(F.struct(F.array_join(F.slice("w", 1, n), " ").alias("alias"), ((F.col("item_id") % 2 == 1) & (F.lit(n) == 3)).alias("requires_exact_case")) for n in (2, 3)))
+    aliases = rows.select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("entity_id"), F.explode(grams).alias("g")).select("entity_id", "g.alias", N.normalize_alias(F.col("g.alias")).alias("normalized"), "g.requires_exact_case")
+    entities = v("benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("id"), (F.col("item_id") % 7).cast("double").alias("operator_relevance"))
+    return aliases.where("normalized <> ''").dropDuplicates(["entity_id", "normalized", "requires_exact_case"]), entities
+
+
+@query("n10_extract_entities_whole")
+def _(v):
+    """Names of two and three words, whole texts, Unicode folding: brute force in tests/test_items.py."""
+    aliases, entities = benchmark_registry(v)
+    return G.extract_entities(v("documents"), "doc_id", "text", aliases, entities).select("doc_id", F.array_join("entities", ",").alias("entities"))
+
+
+@query("n12_normalized_items")
+def _(v):
+    """Every item with all that it is known by; sources own no entity where their number is odd."""
+    aliases, entities = benchmark_registry(v)
+    sources = v("v_sources").withColumn("entity", F.when(F.col("n") % 2 == 0, F.concat(F.lit("b"), F.col("n").cast("string"))))
+    df = IT.normalize_items(v("v_items"), sources, aliases, entities)
+    kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("signals", lambda s: s["kind"]))), ",")
+    return df.select(
+        "id", "title", F.md5("summary").alias("summary"), "canonical_url", "content_hash", "source_category", F.array_join("entities", ",").alias("entities"), "category", "occurred_at", "occurred_estimated",
+        kinds.alias("signals"), "truncated", F.md5("embedding_text").alias("embedding_text"),
+    )
+
+
 @query("n12_normalize_items")
 def _(v):
     items = J.items_with_source(v("v_items"), v("v_sources"), v("v_items").select("id", F.col("id").alias("place"))).select("id", "category")
