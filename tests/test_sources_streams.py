@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import clustering, joins
+from tidemark.operators.aggregates import price_table
 from tidemark.sources import feeds, landing
 from tidemark.streaming import streams
 
@@ -42,6 +43,26 @@ def test_feed_outcomes(spark):
     docs = spark.createDataFrame([(str(i), b) for i, b in enumerate(cases)], "path string, body string")
     rows = feeds.classify_feed_documents(docs).orderBy("path").collect()
     assert [(r["outcome"], r["n_items"], r["warning"]) for r in rows] == list(cases.values())
+    assert rows[0]["newest_at"] == rows[1]["newest_at"] == 1736157600 and rows[3]["newest_at"] is None
+
+
+def test_feed_faults_and_times(spark):
+    item = lambda d: f"<item><title>t</title><pubDate>{d}</pubDate></item>"
+    feed = lambda x: f'<rss version="2.0"><channel><pubDate>Wed, 01 Jan 2031 00:00:00 GMT</pubDate>{x}</channel></rss>'
+    cases = [
+        (feed(item("Mon, 06 Jan 2025 10:00:00 GMT") + item("Tue, 07 Jan 2025 10:00:00 GMT") + item("soon")), False, 1736244000),
+        (feed(item("never")), False, None),
+        (feed(item("2025-01-06") + "<open>"), True, 1736121600),
+        (feed("<item a=b><title>t</title></item>"), True, None),
+    ]
+    rows = feeds.classify_feed_documents(spark.createDataFrame([(str(i), b) for i, (b, _, _) in enumerate(cases)], "path string, body string")).orderBy("path").collect()
+    assert [(r["outcome"], r["warning"], r["newest_at"]) for r in rows] == [("ok", w, t) for _, w, t in cases]
+
+
+def test_batch_costs(spark):
+    rows = spark.createDataFrame([("a", "alpha-2-x", 1000, 100), ("b", "none", 5, 5), ("c", None, None, None)], "custom_id string, model string, input_tokens long, output_tokens long")
+    found = {r["custom_id"]: r["cost_micro"] for r in feeds.batch_costs(rows, price_table(spark)).collect()}
+    assert found == {"a": 3750, "b": None, "c": None}
 
 
 def test_batch_results(spark, tmp_path):

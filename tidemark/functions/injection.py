@@ -9,6 +9,8 @@ from .text import sanitize
 
 # Invisible characters, and the patterns of each kind of signal, in order.
 INVISIBLE = r"[\x{200B}-\x{200D}\x{2060}\x{FEFF}\x{180E}\x{00AD}\x{202A}-\x{202E}\x{2066}-\x{2069}\x{200E}\x{200F}\x{061C}\x00-\x08\x0B\x0C\x0E-\x1F]"
+#: Fixed value: what surrounds the first of the invisible characters (this class is the narrower one, with all control characters).
+AROUND = r"[^\n\r\x{2028}\x{2029}]{0,30}[\x{200B}-\x{200D}\x{2060}\x{FEFF}\x{180E}\x{00AD}\x{202A}-\x{202E}\x00-\x1F][^\n\r\x{2028}\x{2029}]{0,30}"
 PATTERNS = (
     ("instruction_override", r"(?i)\b(?:ignore|disregard|forget|override)\s+(?:all\s+|any\s+|the\s+|your\s+|previous\s+|prior\s+|above\s+)*(?:previous\s+|prior\s+|earlier\s+|all\s+)?(?:instructions?|prompts?|rules?|directions?|context)\b"),
     ("system_prompt_probe", r"(?i)\b(?:reveal|print|output|show|repeat|display|disclose)\s+(?:me\s+)?(?:your\s+|the\s+)?(?:system\s+prompt|initial\s+instructions?|prompt\s+above|configuration|your\s+rules)\b"),
@@ -45,7 +47,7 @@ def _signal(kind: str, evidence: Column) -> Column:
 def detect_injection(df: DataFrame, column: str) -> DataFrame:
     """Adds ``signals``: (kind, evidence of at most 200 characters), one of each kind and first 40 characters; ``sanitize``'s counts of hidden content add one.
 
-    Patterns see the raw text, and where that holds invisible characters, the text without them too. Null is empty."""
+    The evidence of obfuscation is the text around the first invisible character, 30 characters to either side within its line. Patterns see the raw text, and where that holds invisible characters, the text without them too. Null is empty."""
     counted = sanitize(df, column, normalise=False)
     raw = F.coalesce(F.col(column), F.lit(""))
     obfuscated, visible = F.rlike(raw, F.lit(INVISIBLE)), F.regexp_replace(raw, INVISIBLE, "")
@@ -57,7 +59,7 @@ def detect_injection(df: DataFrame, column: str) -> DataFrame:
 
     hidden = (F.col("hidden_elements") > 0) | (F.col("zero_width") > 8) | (F.col("bidi") > 0) | (F.col("scripts") > 0)
     counts = F.format_string("hidden elements: %d, zero-width: %d, bidi: %d, comments: %d, scripts: %d", "hidden_elements", "zero_width", "bidi", "comments", "scripts")
-    every = F.array_compact(F.array(F.when(obfuscated, _signal("obfuscation", F.lit("invisible characters"))), *[found(k, p) for k, p in PATTERNS], F.when(hidden, _signal("hidden_content", counts))))
+    every = F.array_compact(F.array(F.when(obfuscated, _signal("obfuscation", F.coalesce(F.nullif(F.regexp_extract(raw, AROUND, 0), F.lit("")), F.lit("invisible characters")))), *[found(k, p) for k, p in PATTERNS], F.when(hidden, _signal("hidden_content", counts))))
     counted = counted.withColumn("_signals", every)
     same = lambda a, b: (a["kind"] == b["kind"]) & (F.substring(a["evidence"], 1, 40) == F.substring(b["evidence"], 1, 40))
     once = F.aggregate("_signals", F.array().cast("array<struct<kind:string,evidence:string>>"), lambda acc, s: F.when(F.exists(acc, lambda x: same(x, s)), acc).otherwise(F.concat(acc, F.array(s))))

@@ -97,6 +97,18 @@ def run_summary(log: DataFrame) -> DataFrame:
     )
 
 
+def run_results(results: DataFrame) -> DataFrame:
+    """The summary of a run over ``results(outcome, skipped, not_modified, items_found, items_new)``, one row a source considered: ``skipped`` is null for those that were fetched.
+    Failures are fetched ones that ended neither well nor unmodified. No rows give zeros."""
+    fetched = F.col("skipped").isNull()
+    n = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0))
+    total = lambda c: F.coalesce(F.sum(F.when(fetched, F.col(c))), F.lit(0))
+    return results.agg(
+        F.count("*").alias("considered"), n(fetched).alias("fetched"), n(F.col("skipped") == "not_due").alias("skipped_not_due"), n(F.col("skipped") == "circuit_open").alias("skipped_circuit_open"),
+        n(fetched & F.col("not_modified")).alias("not_modified"), total("items_found").alias("found"), total("items_new").alias("new"), n(fetched & ~F.col("outcome").isin("ok", "not_modified")).alias("failures"),
+    )
+
+
 def cache_hit_ratio(analyses: DataFrame) -> DataFrame:
     df = analyses.where("status <> 'skipped'")
     return df.agg(F.count("*").alias("issued"), _n("cache_read_tokens > 0").alias("hits"), F.round(_n("cache_read_tokens > 0") / F.count("*"), 6).alias("ratio"))
@@ -113,6 +125,13 @@ def merge_stats(audit: DataFrame) -> DataFrame:
     return df.crossJoin(total).select("stage", "n", F.round(F.col("n") / F.col("total"), 6).alias("share"))
 
 
+def merge_rates(audit: DataFrame) -> DataFrame:
+    """``audit(action)`` with ``new``, ``merge`` and ``unmerge``: the share of attached items that were merged, and that of merges which were taken back; null over nothing."""
+    df = audit.agg(_n("action = 'new'").alias("opened"), _n("action = 'merge'").alias("merged"), _n("action = 'unmerge'").alias("unmerged"))
+    rate = lambda a, b: F.round(F.when(b > 0, a / b), 6)
+    return df.select("opened", "merged", "unmerged", rate(F.col("merged"), F.col("opened") + F.col("merged")).alias("merge_rate"), rate(F.col("unmerged"), F.col("merged")).alias("unmerge_rate"))
+
+
 def detector_quality(flags: DataFrame) -> DataFrame:
     """``flags(family, hostile, flagged)``: counts of missed and falsely flagged by family and in all, by one rollup."""
     df = flags.rollup("family").agg(F.count("*").alias("n"), _n("hostile and not flagged").alias("missed"), _n("not hostile and flagged").alias("false_flags"))
@@ -164,13 +183,20 @@ def hourly_request_budget(log: DataFrame, limit: int, share: float = 0.75) -> Da
 
 
 def source_state(log: DataFrame) -> DataFrame:
-    """Last checked, last success, last event and latest tag of each source, rebuilt from the log."""
+    """Last checked, last success, last event and latest tag of each source, rebuilt from the log. A log with ``last_modified`` and ``verified`` gives the latest such date
+    of a successful fetch, and when one last confirmed the feed."""
     good = F.col("outcome").isin("ok", "not_modified")
+    more = []
+    if "last_modified" in log.columns:
+        more.append(F.max_by("last_modified", F.when(good & F.col("last_modified").isNotNull(), F.col("id"))).alias("last_modified"))
+    if "verified" in log.columns:
+        more.append(F.max(F.when(good & F.col("verified"), F.col("started_at"))).alias("verified_at"))
     return log.groupBy("source_id").agg(
         F.max("started_at").alias("last_checked_at"),
         F.max(F.when(good, F.col("started_at"))).alias("last_success_at"),
         F.max(F.when(F.col("items_found") > 0, F.col("started_at"))).alias("last_event_at"),
         F.max_by("etag", "id").alias("etag"),
+        *more,
     )
 
 
@@ -194,6 +220,16 @@ def strategy_summary(decisions: DataFrame) -> DataFrame:
     return df.select(F.coalesce("action", F.lit("*")).alias("action"), F.coalesce("reason", F.lit("*")).alias("reason"), "n")
 
 
+#: Actions that hold back.
+RESTRAINED = ("DONT_POST", "WAIT", "VERIFY")
+
+
+def restraint(decisions: DataFrame) -> DataFrame:
+    """One row: how many of ``decisions(action, manual_flag)`` hold back, their share (0 of none), and how many are flagged for a person."""
+    df = decisions.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("action").isin(*RESTRAINED).cast("long")), F.lit(0)).alias("restrained"), F.coalesce(F.sum(F.col("manual_flag").cast("long")), F.lit(0)).alias("manual_flags"))
+    return df.select("n", "restrained", F.round(F.when(F.col("n") > 0, F.col("restrained") / F.col("n")).otherwise(0.0), 6).alias("restraint_rate"), "manual_flags")
+
+
 #: Price in micro-USD for each million tokens (input, output), by model name or its beginning.
 PRICES = (("alpha", 3_000_000, 15_000_000), ("alpha-2", 5_000_000, 25_000_000), ("beta", 800_000, 4_000_000))
 CACHE_WRITE, CACHE_READ, BATCH = 1.25, 0.1, 0.5

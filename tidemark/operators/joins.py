@@ -136,6 +136,19 @@ def labelled_set(items: DataFrame, shortest: int = 12) -> DataFrame:
     return df.join(shared, "label").select("id", "label")
 
 
+#: Fixed value: tokens that name a version or a build.
+VERSION_TOKEN = r"(?i)\bv?[0-9]+\.[0-9]+(?:\.[0-9]+)?\b|\bb[0-9]{4,}\b"
+
+
+def version_labels(items: DataFrame, labelled: DataFrame) -> DataFrame:
+    """Weak labels of what the titles left: an item whose title has exactly one distinct version token is an event of its own, the least id of each (source, version).
+    Null titles and sources have none."""
+    tokens = F.array_distinct(F.transform(F.regexp_extract_all(F.col("title"), F.lit(VERSION_TOKEN), F.lit(0)), lambda x: F.lower(x)))
+    df = items.join(labelled.select("id"), "id", "left_anti").select("id", "source_id", tokens.alias("t")).where("size(t) = 1 and source_id is not null")
+    first = df.groupBy("source_id", F.get("t", F.lit(0)).alias("version")).agg(F.min("id").alias("id"))
+    return first.select("id", F.concat_ws(":", F.lit("version"), "source_id", "version").alias("label"))
+
+
 def agreement(a: DataFrame, b: DataFrame) -> DataFrame:
     """Sizes of the intersection and the union of two id sets."""
     return a.select("event_id").intersect(b.select("event_id")).agg(F.count("*").alias("common")).crossJoin(a.select("event_id").union(b.select("event_id")).distinct().agg(F.count("*").alias("total")))

@@ -179,13 +179,17 @@ def experiment_queue(events: DataFrame) -> DataFrame:
 
 
 def trend_cards(trends: DataFrame, observations: DataFrame, now: int) -> DataFrame:
-    """Lifecycle of each trend with its observations' span, whether any was made by hand, and its missing fields."""
+    """Lifecycle of each trend with its observations' span and its missing fields; observations with a column ``manual`` also say whether any was made by hand."""
     from .history import trend_lifecycle
 
     life = trend_lifecycle(observations, now)
     df = trends.join(life, "trend_id", "left")
+    by_hand = []
+    if "manual" in observations.columns:
+        df = df.join(observations.groupBy("trend_id").agg(F.max("manual").alias("_manual")), "trend_id", "left")
+        by_hand = [F.coalesce("_manual", F.lit(False)).alias("any_manual")]
     missing = F.array_compact(F.array(*[F.when(F.coalesce(F.col(c), F.lit("")) == "", c) for c in trends.columns if c != "trend_id"]))
-    return df.select("trend_id", F.coalesce("n", F.lit(0)).alias("n"), "first_at", "last_at", F.coalesce("stage", F.lit("UNKNOWN")).alias("stage"), F.coalesce("decision", F.lit("IGNORE")).alias("decision"), F.array_join(missing, ",").alias("missing"))
+    return df.select("trend_id", F.coalesce("n", F.lit(0)).alias("n"), "first_at", "last_at", F.coalesce("stage", F.lit("UNKNOWN")).alias("stage"), F.coalesce("decision", F.lit("IGNORE")).alias("decision"), F.array_join(missing, ",").alias("missing"), *by_hand)
 
 
 # Hours of silence until an alert, and seconds until a source counts as stale, by priority.

@@ -255,6 +255,13 @@ def _(v):
     return A.run_summary(v("v_fetch_log"))
 
 
+@query("a13_run_results", """select count(*) as considered, count(*) filter (s is null) as fetched, count(*) filter (s = 'not_due') as skipped_not_due, count(*) filter (s = 'circuit_open') as skipped_circuit_open,
+    count(*) filter (s is null and not_modified) as not_modified, (sum(items_found) filter (s is null))::bigint as found, (sum(items_new) filter (s is null))::bigint as new, count(*) filter (s is null and outcome not in ('ok', 'not_modified')) as failures
+    from (select *, case when bytes % 7 = 0 then 'not_due' when bytes % 11 = 0 then 'circuit_open' end as s from v_fetch_log) x""")
+def _(v):
+    return A.run_results(v("v_fetch_log").withColumn("skipped", F.when(F.col("bytes") % 7 == 0, "not_due").when(F.col("bytes") % 11 == 0, "circuit_open")))
+
+
 @query(
     "a14_usage_cost",
     """select model, priced_as, count(*) as calls, sum(c)::bigint as cost_micro, round(sum(c) * 0.5)::bigint as batch_saves from
@@ -325,6 +332,13 @@ def _(v):
     return A.merge_stats(v("v_evidence").select(F.when(F.col("item_id") != F.col("event_id"), "merge").otherwise("new").alias("action"), stage.alias("stage")))
 
 
+@query("a18_merge_rates", """select opened, merged, unmerged, round(merged / (opened + merged), 6) as merge_rate, round(unmerged / merged, 6) as unmerge_rate from
+    (select count(*) filter (item_id = event_id) as opened, count(*) filter (item_id <> event_id) as merged, count(*) filter (item_id <> event_id and length(source_id) + item_id % 11 = 9) as unmerged from v_evidence) x""")
+def _(v):
+    actions = F.array_compact(F.array(F.when(F.col("item_id") == F.col("event_id"), "new").otherwise("merge"), F.when((F.col("item_id") != F.col("event_id")) & (F.length("source_id") + F.col("item_id") % 11 == 9), "unmerge")))
+    return A.merge_rates(v("v_evidence").select(F.explode(actions).alias("action")))
+
+
 @query(
     "a19_detector_quality",
     """select coalesce(family, 'all') as family, count(*) as n, count(*) filter (hostile and not flagged) as missed, count(*) filter (not hostile and flagged) as false_flags from
@@ -374,6 +388,14 @@ def _(v):
     return A.source_state(v("v_fetch_log"))
 
 
+@query("a24_source_state_verified", """select source_id, max(started_at) as last_checked_at, max(started_at) filter (outcome in ('ok', 'not_modified')) as last_success_at, max(started_at) filter (items_found > 0) as last_event_at,
+    max_by(etag, id) as etag, max_by(lm, id) filter (outcome in ('ok', 'not_modified') and lm is not null) as last_modified, max(started_at) filter (outcome in ('ok', 'not_modified') and items_new > 1) as verified_at
+    from (select *, case when bytes % 3 > 0 then 'day ' || cast(bytes as varchar) end as lm from v_fetch_log) x group by source_id""")
+def _(v):
+    modified = F.when(F.col("bytes") % 3 > 0, F.concat(F.lit("day "), F.col("bytes").cast("string")))
+    return A.source_state(v("v_fetch_log").withColumns({"last_modified": modified, "verified": F.col("items_new") > 1}))
+
+
 @query("j1_exact_groups", "select a, b from (select min(id) over (partition by content_hash) as a, id as b from v_items union select min(id) over (partition by url) as a, id as b from v_items) where a <> b")
 def _(v):
     return J.exact_matches(v("v_items"))
@@ -605,3 +627,16 @@ def _(v):
     select id, label from t where length(label) >= 12 and label in (select label from t group by label having count(distinct source_id) >= 2)""")
 def _(v):
     return J.labelled_set(v("v_items"))
+
+
+_VERSIONS = f"list_distinct(list_transform(regexp_extract_all(body, '{J.VERSION_TOKEN}'), lambda x: lower(x)))"
+
+
+@query("s13_version_labels", f"""with t as (select id, source_id, body, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) as label from v_items),
+    done as (select id from t where length(label) >= 12 and label in (select label from t group by label having count(distinct source_id) >= 2)),
+    o as (select id, source_id, {_VERSIONS} as ts from t where id not in (select id from done) and source_id is not null)
+    select min(id) as id, 'version:' || source_id || ':' || ts[1] as label from o where len(ts) = 1 group by source_id, ts[1]""")
+def _(v):
+    """The whole text stands for a title here, as few of the first lines name a version."""
+    items = v("v_items")
+    return J.version_labels(items.select("id", "source_id", F.col("body").alias("title")), J.labelled_set(items))

@@ -266,6 +266,12 @@ def _(v):
     return df.select("event_id", "title", "category", "combined", "confidence", "evidence_tag", "has_official", "has_version", "expert_count", "analysis_id", "action", "reason", "option", "manual_flag")
 
 
+@query("a9_restraint", f"""with {STRATEGY} select count(*) as n, count(*) filter (action in ('DONT_POST', 'WAIT', 'VERIFY')) as restrained, round(count(*) filter (action in ('DONT_POST', 'WAIT', 'VERIFY')) / count(*), 6) as restraint_rate,
+    count(*) filter (manual_flag) as manual_flags from decision""")
+def _(v):
+    return A.restraint(S.recommend(strategic(v)))
+
+
 @query("r14_teaching_candidates", f"with {STRATEGY} select event_id, teaching as angle from p2 where teaching is not null and (testable or teaching = 'myth_correction')")
 def _(v):
     return S.teaching_candidates(strategic(v))
@@ -285,6 +291,14 @@ def _(v):
     return S.trend_cards(trends, v("v_observations"), NOW)
 
 
+@query("r15_trend_cards_by_hand", f"""with {LIFECYCLE}, tr as (select distinct user_id % 25 as trend_id from events), m as (select trend_id, bool_or(mention_count % 29 = 0) as hand from v_observations group by trend_id)
+    select tr.trend_id, coalesce(n, 0) as n, first_at, last_at, coalesce(stage, 'UNKNOWN') as stage, coalesce(decision, 'IGNORE') as decision, '' as missing, coalesce(hand, false) as any_manual
+    from tr left join lifecycle l on l.trend_id = tr.trend_id left join m on m.trend_id = tr.trend_id""")
+def _(v):
+    trends = v("events").select((F.col("user_id") % 25).alias("trend_id")).distinct().withColumn("name", F.lit("t"))
+    return S.trend_cards(trends, v("v_observations").withColumn("manual", F.col("mention_count") % 29 == 0), NOW)
+
+
 _KEY = "'urgent:' || substr(sha256({}), 1, 16)"
 
 

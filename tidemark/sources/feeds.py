@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.aggregates import BATCH, price_usage
+
 #: Date formats of feeds, tried in order.
 DATE_FORMATS = ("d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm:ss Z", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd")
 
@@ -32,11 +34,14 @@ ENTRY = T.StructType(
 )
 
 
+def _tries(text: Column) -> list[Column]:
+    bare = F.regexp_replace(F.trim(text), r"^[A-Za-z]{3,9},\s*", "")
+    return [F.try_to_timestamp(bare, F.lit(f)) for f in DATE_FORMATS]
+
+
 def feed_date(*columns: str) -> Column:
     """Seconds of the first of the fields that any format reads; a weekday in front is ignored."""
-    bare = {c: F.regexp_replace(F.trim(F.col(f"`{c}`")), r"^[A-Za-z]{3,9},\s*", "") for c in columns}
-    tries = [F.try_to_timestamp(bare[c], F.lit(f)) for c in columns for f in DATE_FORMATS]
-    return F.unix_timestamp(F.coalesce(*tries))
+    return F.unix_timestamp(F.coalesce(*[t for c in columns for t in _tries(F.col(f"`{c}`"))]))
 
 
 def _present(x: Column) -> Column:
@@ -66,25 +71,39 @@ def read_feed_items(spark: SparkSession, path: str) -> DataFrame:
 
 
 def classify_feed_documents(docs: DataFrame) -> DataFrame:
-    """``path, outcome, n_items, warning`` of ``docs(path, body)``: HTML or no root element is ``not_a_feed``; no items is ``empty_feed``, or ``not_a_feed`` when
-    the document is also cut off; else ``ok``, with a warning about what follows the end of the root or is missing from it."""
+    """``path, outcome, n_items, newest_at, warning`` of ``docs(path, body)``: HTML or no root element is ``not_a_feed``; no items is ``empty_feed``, or ``not_a_feed`` when
+    the document is also cut off; else ``ok``, with a warning about what follows the end of the root or is missing from it,
+    or that it is no well-formed XML. ``newest_at`` is the greatest time of its items (seconds), of each the first of its date fields that can be read; null where none can."""
     body = F.coalesce(F.col("body"), F.lit(""))
     html = F.rlike(body, F.lit(r"(?is)^\s*(?:<!doctype\s+html|<html)"))
     root = F.regexp_extract(body, r"(?is)<(rss|feed|rdf:RDF)\b", 1)
     n = F.regexp_count(body, F.lit(r"(?i)<(?:item|entry)[\s>]")).cast("long")
     closed = F.rlike(body, F.concat(F.lit(r"(?is)</"), root, F.lit(r"\s*>\s*$")))
+    broken = F.from_xml(body, "_fault string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_fault"})["_fault"].isNotNull()
+    items = F.regexp_extract_all(body, F.lit(r"(?is)<(item|entry)\b.*?</\1\s*>"), F.lit(0))
+    field = lambda x, c: F.regexp_extract(x, rf"(?is)<{c}\b[^>]*>\s*(?:<!\[CDATA\[\s*)?([^<\]]*)", 1)
+    at = F.array_max(F.transform(items, lambda x: F.unix_timestamp(F.coalesce(*[t for c in ("pubDate", "published", "updated", "dc:date", "date") for t in _tries(field(x, c))]))))
+    closed = closed & ~broken
     outcome = F.when(html | (root == ""), "not_a_feed").when(n == 0, F.when(closed, "empty_feed").otherwise("not_a_feed")).otherwise("ok")
-    return docs.select("path", outcome.alias("outcome"), F.when(outcome == "ok", n).otherwise(0).alias("n_items"), ((outcome == "ok") & ~closed).alias("warning"))
+    return docs.select("path", outcome.alias("outcome"), F.when(outcome == "ok", n).otherwise(0).alias("n_items"), F.when(outcome == "ok", at).alias("newest_at"), ((outcome == "ok") & ~closed).alias("warning"))
 
 
 def batch_results(spark: SparkSession, path: str) -> DataFrame:
-    """``custom_id, status, verdict, error, input_tokens, output_tokens`` of lines of batch results."""
-    schema = "custom_id string, result struct<type:string,error:struct<message:string>,message:struct<content:array<struct<text:string>>,usage:struct<input_tokens:long,output_tokens:long>>>"
+    """``custom_id, status, verdict, error, model, input_tokens, output_tokens`` of lines of batch results."""
+    schema = "custom_id string, result struct<type:string,error:struct<message:string>,message:struct<model:string,content:array<struct<text:string>>,usage:struct<input_tokens:long,output_tokens:long>>>"
     df = spark.read.schema(schema).json(path)
     text = F.get("result.message.content", F.lit(0))["text"]
     parsed = F.when(F.try_parse_json(text).isNotNull(), text)
     status = F.when(F.col("result.type") != "succeeded", F.col("result.type")).when(parsed.isNull(), "invalid_json").otherwise("ok")
-    return df.select("custom_id", status.alias("status"), parsed.alias("verdict"), F.col("result.error.message").alias("error"), F.col("result.message.usage.input_tokens").alias("input_tokens"), F.col("result.message.usage.output_tokens").alias("output_tokens"))
+    return df.select("custom_id", status.alias("status"), parsed.alias("verdict"), F.col("result.error.message").alias("error"), F.col("result.message.model").alias("model"), F.col("result.message.usage.input_tokens").alias("input_tokens"), F.col("result.message.usage.output_tokens").alias("output_tokens"))
+
+
+def batch_costs(results: DataFrame, prices: DataFrame) -> DataFrame:
+    """``results(custom_id, model, input_tokens, output_tokens, ...)`` with ``cost_micro``: the listed price of the model's longest beginning at half, as batches are; null where no
+    price is listed or nothing was used."""
+    df = price_usage(results, prices)
+    cost = (F.col("input_tokens") * F.col("price_in") + F.col("output_tokens") * F.col("price_out")) * BATCH / 1e6
+    return df.withColumn("cost_micro", F.round(cost).cast("long")).drop("priced_as", "price_in", "price_out")
 
 
 def append_log(df: DataFrame, path: str, date_of: str) -> None:
