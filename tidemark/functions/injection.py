@@ -50,16 +50,22 @@ def detect_injection(df: DataFrame, column: str) -> DataFrame:
     The evidence of obfuscation is the text around the first invisible character, 30 characters to either side within its line. Patterns see the raw text, and where that holds invisible characters, the text without them too. Null is empty."""
     counted = sanitize(df, column, normalise=False)
     raw = F.coalesce(F.col(column), F.lit(""))
-    obfuscated, visible = F.rlike(raw, F.lit(INVISIBLE)), F.regexp_replace(raw, INVISIBLE, "")
+    matches = lambda t: F.array(*[F.regexp_extract(t, p, 0) for _, p in PATTERNS])
+    # columns of their own, used more than once below, so that each pattern runs once over a text
+    counted = counted.withColumn("_obfuscated", F.rlike(raw, F.lit(INVISIBLE))).withColumn("_visible", F.when(F.col("_obfuscated"), F.regexp_replace(raw, INVISIBLE, "")))
+    counted = counted.withColumn("_raw_matches", matches(raw)).withColumn("_visible_matches", F.when(F.col("_obfuscated"), matches(F.col("_visible"))))
+    kinds = F.array(*[F.lit(k) for k, _ in PATTERNS])
 
-    def found(kind: str, pattern: str) -> Column:
-        first = F.regexp_extract(raw, pattern, 0)
-        match = F.when(first != "", first).when(obfuscated, F.regexp_extract(visible, pattern, 0)).otherwise("")
-        return F.when(match != "", _signal(kind, match))
+    def best(m: Column, i: Column) -> Column:
+        match = F.when(m != "", m).otherwise(F.coalesce(F.get("_visible_matches", i), F.lit("")))
+        return F.struct(F.get(kinds, i).alias("kind"), F.substring(match, 1, 200).alias("evidence"))
 
+    found = F.filter(F.transform("_raw_matches", best), lambda s: s["evidence"] != "")
+    around = F.coalesce(F.nullif(F.regexp_extract(raw, AROUND, 0), F.lit("")), F.lit("invisible characters"))
     hidden = (F.col("hidden_elements") > 0) | (F.col("zero_width") > 8) | (F.col("bidi") > 0) | (F.col("scripts") > 0)
     counts = F.format_string("hidden elements: %d, zero-width: %d, bidi: %d, comments: %d, scripts: %d", "hidden_elements", "zero_width", "bidi", "comments", "scripts")
-    every = F.array_compact(F.array(F.when(obfuscated, _signal("obfuscation", F.coalesce(F.nullif(F.regexp_extract(raw, AROUND, 0), F.lit("")), F.lit("invisible characters")))), *[found(k, p) for k, p in PATTERNS], F.when(hidden, _signal("hidden_content", counts))))
+    alone = lambda c, s: F.array_compact(F.array(F.when(c, s)))
+    every = F.concat(alone(F.col("_obfuscated"), _signal("obfuscation", around)), found, alone(hidden, _signal("hidden_content", counts)))
     counted = counted.withColumn("_signals", every)
     same = lambda a, b: (a["kind"] == b["kind"]) & (F.substring(a["evidence"], 1, 40) == F.substring(b["evidence"], 1, 40))
     once = F.aggregate("_signals", F.array().cast("array<struct<kind:string,evidence:string>>"), lambda acc, s: F.when(F.exists(acc, lambda x: same(x, s)), acc).otherwise(F.concat(acc, F.array(s))))
