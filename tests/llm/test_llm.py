@@ -626,6 +626,17 @@ def test_pipeline(spark):
     assert corpus_pipeline.run(spark, SF).count() == docs.count()
 
 
+@pytest.mark.parametrize("stage", range(4))
+def test_stages_pass_on_columns_of_any_name(spark, stage):
+    docs = documents(spark, ODD)
+    for name in ("a.b", "back`tick", "row", "row_id", "digest", "taken", "best", "n_tokens", "__mix_id", "_keep_0", "new", "two words"):
+        docs = docs.withColumn(name, F.struct(F.lit(name).alias("x.y")))
+    out = corpus_pipeline.STAGES[stage][1](spark, docs, SF)
+    assert out.columns == docs.columns
+    for row in out.collect():
+        assert row["a.b"] == ("a.b",) and row["back`tick"] == ("back`tick",) and row["__mix_id"] == ("__mix_id",) and row["key"] == "clash"
+
+
 def test_every_operator_has_one_query():
     assert [f"op{n}" for n in range(1, 14)] == [q.split("_")[0] for q in queries.QUERIES]
     assert set(queries.SQL) <= set(queries.QUERIES)

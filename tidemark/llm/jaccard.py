@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import discard, join_small, stored
+from .shared import discard, join_small, stored, whole_row
 from .words import Powers, Words, chunks, gram_hashes, mixed, slices, utf8
 
 SHINGLE = 5
@@ -406,7 +406,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     first = found.where("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "key"))["key"].alias("key"))
     kept = stored(first.select("key").unionByName(found.where("component is null").select("key").distinct()), "jaccard-kept")
     # The whole row is one column, so no name of the table's own is in the way.
-    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64("doc_id", "text").alias("key"))
+    keyed = docs.select(whole_row(docs).alias("row"), F.xxhash64("doc_id", "text").alias("key"))
     left = join_small(keyed, kept, ["key"])
     # Rows that are equal in id and text have one key; of those with words one stays.
     words = F.coalesce(F.rlike("row.text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))

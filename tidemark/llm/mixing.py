@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import join_small, stored
+from .shared import join_small, stored, whole_row
 
 LEVELS = ("domain", "lang", "source")
 SEED = 17
@@ -118,17 +118,18 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mixture itself: each row of ``docs`` once for each whole epoch, and once more, cut to its prefix, for the partial one.
     ``n_chars``, where there is such a column, is the length of the text as it is then."""
     taken = mix(docs, **options).where("taken_tokens > 0").select("doc_id", "digest", "n_tokens", "full_epochs", "prefix_tokens").distinct()
-    text = F.coalesce(F.col("text"), F.lit(""))
-    left = docs.withColumn("__mix_digest", F.md5(text))
-    taken = stored(taken.toDF("__mix_id", "__mix_d", "__mix_n", "__mix_full", "__mix_prefix"), "mix-taken")
-    joined = left.join(taken, (F.col("__mix_digest") == F.col("__mix_d")) & F.col("doc_id").eqNullSafe(F.col("__mix_id")))
-    copies = F.transform(F.sequence(F.lit(1), F.col("__mix_full").cast("int")), lambda _: F.col("__mix_n"))
-    copies = F.concat(F.when(F.col("__mix_full") > 0, copies).otherwise(F.array().cast("array<bigint>")), F.when(F.col("__mix_prefix") > 0, F.array("__mix_prefix")).otherwise(F.array().cast("array<bigint>")))
-    df = joined.withColumn("__mix_take", F.explode(copies))
-    cut = F.call_function("regexp_extract", F.col("text"), F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), F.col("__mix_take").cast("string"), F.lit("}+")), F.lit(0))
-    new = F.when(F.col("__mix_take") < F.col("__mix_n"), cut).otherwise(F.col("text"))
-    df = df.withColumn("__mix_text", new)
-    return df.select(*(F.col("__mix_text").alias(c) if c == "text" else F.length("__mix_text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+    # The whole row is one column, so no name of the table's own is in the way.
+    left = docs.select(whole_row(docs).alias("row"), F.col("doc_id").alias("row_id"), F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("row_digest"))
+    taken = stored(taken, "mix-taken")
+    joined = left.join(taken, (F.col("row_digest") == F.col("digest")) & F.col("row_id").eqNullSafe(F.col("doc_id")))
+    none = F.array().cast("array<bigint>")
+    copies = F.transform(F.sequence(F.lit(1), F.col("full_epochs").cast("int")), lambda _: F.col("n_tokens"))
+    copies = F.concat(F.when(F.col("full_epochs") > 0, copies).otherwise(none), F.when(F.col("prefix_tokens") > 0, F.array("prefix_tokens")).otherwise(none))
+    df = joined.select("row", "n_tokens", F.explode(copies).alias("take"))
+    text = F.col("row")["text"]
+    cut = F.call_function("regexp_extract", text, F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), F.col("take").cast("string"), F.lit("}+")), F.lit(0))
+    df = df.select("row", F.when(F.col("take") < F.col("n_tokens"), cut).otherwise(text).alias("new"))
+    return df.select(*(F.col("new").alias(c) if c == "text" else F.length("new").cast("long").alias(c) if c == "n_chars" else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def _sql_weight(level: str) -> str:

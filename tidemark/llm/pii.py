@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import discard, join_small, stored
+from .shared import discard, join_small, named, stored
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -298,7 +298,7 @@ def redact(docs: DataFrame) -> DataFrame:
     ``n_chars``, where there is such a column, is the new length."""
     columns = docs.columns
     keep = {c: f"_keep_{i}" for i, c in enumerate(columns)}
-    df = docs.select(*(F.col(f"`{c}`").alias(k) for c, k in keep.items()), F.col("doc_id"), F.col("text"))
+    df = docs.select(*(named(c).alias(k) for c, k in keep.items()), F.col("doc_id"), F.col("text"))
     found = stored(cut(df).drop("doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "pii-matches")
     text, doc_id = F.col(keep["text"]), F.col(keep["doc_id"])
     spans = spans_of(found.withColumn("doc_id", doc_id))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only when it was counted and has no more rows and no more stored bytes than this.
@@ -65,6 +65,16 @@ def discard(*tables: DataFrame) -> None:
             found[1].delete(found[0], True)
 
 
+def named(column: str) -> Column:
+    """The top-level column of exactly this name, dots and back quotes included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns of ``df`` as one, whatever their names."""
+    return F.struct(*map(named, df.columns))
+
+
 def join_small(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Joins; ``right`` (a stored table) is broadcast if its counted rows and bytes allow, else both sides are shuffled."""
     small = right.count() <= BROADCAST_ROWS and stored_bytes(right) <= BROADCAST_BYTES

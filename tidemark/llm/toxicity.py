@@ -26,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .shared import join_small, stored
+from .shared import join_small, stored, whole_row
 from .words import slices, utf8
 
 TRAIN_ROWS = 60_000
@@ -317,7 +318,7 @@ class ToxicityModel:
     def score(self, docs: DataFrame) -> DataFrame:
         """All columns of ``docs`` but the text, with ``score``."""
         kept = [c for c in docs.columns if c != "text"]
-        schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"), "best double, more double, size double"])
+        schema = StructType([*(f for f in docs.schema if f.name != "text"), *(StructField(c, DoubleType()) for c in ("best", "more", "size"))])
         found = docs.mapInArrow(_strengths(self.letters, self.lexicon), schema)
         if self.weights is None:
             return found.select(*kept, F.lit(0.0).alias("score"))
@@ -335,5 +336,5 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text scores below ``THRESHOLD``, columns as they were."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    rows = docs.select(whole_row(docs).alias("row"), "text")
     return ToxicityModel(docs, labels).score(rows).where(F.col("score") < THRESHOLD).select("row.*")
