@@ -44,6 +44,27 @@ def test_entities_of_whole_documents(spark):
     assert found == {k: x for k, x in wanted.items() if x} and len(found) > 20
 
 
+@pytest.mark.parametrize("slots", [1, 1 << 19])
+def test_entities_across_pieces(spark, monkeypatch, slots):
+    monkeypatch.setattr(artifacts, "PIECE_WORDS", 4)
+    monkeypatch.setattr(artifacts, "ALIAS_SLOTS", slots)
+    rows = [("b", "Google DeepMind", False), ("a", "Google", False), ("d", "DeepMind", False), ("e", "École de Paris", True), ("n", "№ 5", False), ("s", "ΟΔΟΣ", False), ("b", "google deep mind", False)]
+    table, words = {}, ["google", "Deep", "Mind", "École", "école", "DE", "de", "Paris", "№", "5", "no5", "ΟΔΟΣ", "οδός", "GOOGLE,", "x\u00a0y", "´"]
+    for entity, alias, exact in rows:
+        table.setdefault(folded(alias), []).append((entity, alias, exact))
+    relevance = {"a": 1.0, "b": 2.0, "d": 2.0, "e": 5.0, "n": 0.0, "s": 1.0}
+    rng = random.Random(7)
+    texts = {i: "".join(rng.choice(words) + rng.choice([" ", "\n", "  \t"]) for _ in range(rng.randrange(14))) for i in range(300)}
+    texts |= {300: None, 301: "", 302: " \n ", 303: " google", 304: "google " * 9000, 305: "a b c Google DeepMind", 306: "an école de Paris, École\nde  Paris"}
+    docs = spark.createDataFrame(list(texts.items()), "id long, text string")
+    aliases = spark.createDataFrame([(e, a, folded(a), x) for e, a, x in rows], "entity_id string, alias string, normalized string, requires_exact_case boolean")
+    entities = spark.createDataFrame(list(relevance.items()), "id string, operator_relevance double")
+    found = {r["id"]: r["entities"] for r in artifacts.extract_entities(docs, "id", "text", aliases, entities).collect()}
+    assert found == {i: e for i, t in texts.items() if (e := entities_of(t, table, relevance))}
+    assert found[305] == ["b", "d", "a"] and {"e", "n", "s"} <= {e for names in found.values() for e in names}
+    assert artifacts.extract_entities(docs, "id", "text", aliases.limit(0), entities).count() == 0
+
+
 ITEM = "id long, source_id string, title string, body string, url string, content_hash string, published_at long, fetched_at long"
 
 

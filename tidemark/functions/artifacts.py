@@ -90,16 +90,38 @@ def entities_of_models(models_: Column) -> Column:
     return F.array_distinct(F.array_compact(F.transform(models_, vendor)))
 
 
+#: Words of a piece of text whose grams are listed at once.
+PIECE_WORDS = 4096
+#: Hash slots of the filter before the registry's join. With very many aliases more grams pass it; none is lost.
+ALIAS_SLOTS = 1 << 19
+
+
 def extract_entities(df: DataFrame, key: str, text: str, aliases: DataFrame, entities: DataFrame, most: int = 3, normalise: bool = True) -> DataFrame:
     """``key, entities``: ids found by their aliases in grams of one to ``most`` words; an exact-case alias must stand in the text
     as it is written; by relevance (highest first), then id.
 
-    ``aliases(entity_id, alias, normalized, requires_exact_case)``, ``entities(id, operator_relevance)``."""
-    words = df.select(key, text, F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), lambda w: w != "").alias("_w"))
-    starts = F.sequence(F.lit(1), F.size("_w"))
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(most)), lambda n: F.transform(F.filter(starts, lambda i: i + n - 1 <= F.size("_w")), lambda i: F.array_join(F.slice("_w", i, n), " "))))
-    rows = words.where(F.size("_w") > 0).select(key, F.explode(F.array_distinct(grams)).alias("raw"))
-    rows = rows.withColumn("normalized", normalize_alias(F.col("raw"), normalise)).where("normalized <> ''")
+    ``aliases(entity_id, alias, normalized, requires_exact_case)``, ``entities(id, operator_relevance)``. Null and empty texts have no row. A text is read in
+    pieces of ``PIECE_WORDS`` words that overlap; before anything moves, grams are met with the hash slots that aliases occupy, so only names, and the share
+    of other grams that fall into such a slot, are joined to the registry."""
+    # Words are folded once a text; line feeds stand between them, which folding neither makes nor moves.
+    raw = df.select(key, F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\s+", "\n").alias("_raw"))
+    both = F.zip_with(F.split("_raw", "\n"), F.split(normalize_alias(F.col("_raw"), normalise, "\n"), "\n"), lambda r, n: F.struct(r.alias("raw"), n.alias("normalized")))
+    words = raw.select(key, F.filter(both, lambda w: w["raw"] != "").alias("_w"))
+    pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w"), F.lit(1)), F.lit(PIECE_WORDS)), lambda i: F.slice("_w", i, PIECE_WORDS + most - 1))
+    pieces = words.select(key, F.explode_outer(pieces).alias("_w"))
+    starts = F.sequence(F.lit(1), F.greatest(F.least(F.size("_w"), F.lit(PIECE_WORDS)), F.lit(1)))
+
+    def gram(i: Column, n: Column) -> Column:
+        part = F.slice("_w", i, n)
+        return F.concat(F.array_join(part["normalized"], ""), F.lit("\n"), F.array_join(part["raw"], " "))  # one string: distinct by hash
+
+    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(most)), lambda n: F.transform(F.filter(starts, lambda i: i + n - 1 <= F.size("_w")), lambda i: gram(i, n))))
+    # An outer explode, as the plain one would build its array once more in a filter of its own.
+    rows = pieces.select(key, F.explode_outer(F.array_distinct(grams)).alias("_g"))
+    rows = rows.select(key, F.substring_index("_g", "\n", -1).alias("raw"), F.substring_index("_g", "\n", 1).alias("normalized")).where("normalized <> ''")
+    slot = F.pmod(F.xxhash64("normalized"), F.lit(ALIAS_SLOTS)).alias("_slot")
+    # At most ALIAS_SLOTS numbers, however many aliases there are.
+    rows = rows.select("*", slot).join(F.broadcast(aliases.select(slot).distinct()), "_slot", "left_semi").drop("_slot")
     hits = rows.join(aliases, "normalized").where(~F.col("requires_exact_case") | F.contains("raw", F.col("alias")))
     found = hits.select(key, F.col("entity_id").alias("_entity")).distinct().join(entities.select(F.col("id").alias("_entity"), "operator_relevance"), "_entity")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("operator_relevance")).alias("r"), F.col("_entity").alias("e")))), lambda x: x["e"])

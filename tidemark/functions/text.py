@@ -131,10 +131,10 @@ def content_hash(title: str, url: str, body: str) -> Column:
     return F.sha2(F.concat_ws("\n", *parts), 256)
 
 
-def normalize_alias(text: Column, normalise: bool = True) -> Column:
-    """One key for all spellings of a name: NFKD, lower case, letters and digits only."""
+def normalize_alias(text: Column, normalise: bool = True, between: str = "") -> Column:
+    """One key for all spellings of a name: NFKD, lower case, letters and digits only, and the character ``between`` keys if there are several."""
     text = _normalised(text, _nfkd) if normalise else text
-    return F.regexp_replace(F.regexp_replace(F.lower(text), r"\p{M}+", ""), r"[^\p{L}\p{N}]+", "")
+    return F.regexp_replace(F.regexp_replace(F.lower(text), r"\p{M}+", ""), rf"[^\p{{L}}\p{{N}}{between}]+", "")
 
 
 def infer_category(text: Column, entities: Column) -> Column:
