@@ -216,6 +216,45 @@ def test_family_of_copies_that_do_not_link_is_compared_in_blocks(spark, monkeypa
     assert ordered(jaccard.jaccard_components(documents(spark, rows)).collect()) == ordered(brute_components(rows))
 
 
+def test_prefix_rows_are_of_possible_partners(spark):
+    """Copies, and texts that share a passage but differ much in length, send no rows; texts of like length do."""
+    shared = [f"s{i}" for i in range(30)]
+    rows = [(1, " ".join([*shared, "x"])), (2, " ".join([*shared, "x"])), (3, " ".join([*shared, *(f"y{i}" for i in range(400))])), (4, " ".join([*shared, "z"]))]
+
+    def sent(rows):
+        docs = documents(spark, rows).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key")).repartition(4)
+        described, classes = jaccard.described(docs)
+        rarity = spark.sparkContext.broadcast(np.zeros(jaccard.BUCKETS, dtype=np.int64))
+        return {r["n"] for r in jaccard.prefixes(docs, rarity, jaccard.further_copies(described, classes)).collect()}
+
+    assert sent(rows[:2]) == sent(rows[:3]) == set()
+    assert sent([rows[0], *rows[2:]]) >= {27} and sent([rows[0], rows[3]]) == {27}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(1, 200_000), st.data())
+def test_sizes_that_link_are_two_bands_apart_at_most(n, data):
+    m = data.draw(st.integers((jaccard.PERCENT * n + 99) // 100, n))
+    a, b = jaccard.bands(np.array([m, n]))
+    assert 0 <= a <= b <= min(a + 2, jaccard.BANDS - 1)
+
+
+@pytest.mark.parametrize("shared_tokens", [0, 4_000_000])
+def test_small_and_crowded_groups_together(spark, monkeypatch, shared_tokens):
+    """Families of 2 to 40 near copies, of which some also occur as exact copies: links in small groups, in crowded ones and between both are all found."""
+    monkeypatch.setattr(jaccard, "SHARED_TOKENS", shared_tokens)
+    rng, rows = np.random.default_rng(7), []
+    for family, size in enumerate([2, 3, 7, 8, 9, 10, 17, 40]):
+        base = [f"f{family}_{i}" for i in range(int(rng.integers(40, 200)))]
+        for i in range(size):
+            w = list(base)
+            for p in rng.choice(len(w), int(rng.integers(0, 3)), replace=False):
+                w[p] = f"n{family}_{i}_{p}"
+            w = w[: len(w) - int(rng.integers(0, 6))]
+            rows += [(len(rows) + k, " ".join(w)) for k in range(1 + (i % 5 == 0))]
+    assert ordered(jaccard.jaccard_components(documents(spark, rows)).collect()) == ordered(brute_components(rows))
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.sets(st.integers(0, 2**64 - 1), min_size=1, max_size=60), st.sets(st.integers(0, 2**64 - 1), min_size=1, max_size=60), st.sets(st.integers(0, 2**64 - 1), max_size=60))
 def test_suffix_filter_drops_no_link(a, b, both):
@@ -225,6 +264,18 @@ def test_suffix_filter_drops_no_link(a, b, both):
     marks = jaccard.parities(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)]))
     if 100 * common >= 80 * (len(x) + len(y) - common):
         assert jaccard.may_link(marks[:1], marks[1:], np.array([len(x) + len(y)])).all()
+        assert jaccard.sketches_may_link(jaccard.sketch(x), jaccard.sketch(y))
+
+
+def test_sketches_tell_large_sets_apart():
+    """At 5000 shingles 1024 ranges tell nothing; the sketches do, also of sizes on both sides of a power of two."""
+    rng = np.random.default_rng(1)
+    x, y = (np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2)) for n in (3900, 4400))
+    marks = jaccard.parities(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)]))
+    assert jaccard.may_link(marks[:1], marks[1:], np.array([len(x) + len(y)])).all()
+    assert len(jaccard.sketch(x)) < len(jaccard.sketch(y)) and not jaccard.sketches_may_link(jaccard.sketch(x), jaccard.sketch(y))
+    near = np.union1d(x, y[:400])
+    assert jaccard.sketches_may_link(jaccard.sketch(x), jaccard.sketch(near)) and jaccard.sets_link(x.tobytes(), near.tobytes())
 
 
 def test_components_of_a_chain(spark):

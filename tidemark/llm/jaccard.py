@@ -4,13 +4,17 @@ Documents with equal shingle sets are one class, so copies never make pairs. Eac
 must share a shingle, into a table. The classes of one prefix shingle meet within a task, which applies the length, positional and suffix filters to
 whole columns of pairs and hands on only the pairs that pass all three; each such pair is verified once.
 
-Large groups of near copies are joined in rounds first: in each prefix shingle's group one class leads, by an order that is the same in all groups and new in each round,
+What meets at a prefix shingle is narrowed before it moves: of equal texts one row takes part (the others' keys are sent to the tasks), and a class goes only
+to shingles where another class has a size that could link (sizes fall in 64 bands; a shingle's bands are one number).
+
+Groups of more than ``FEW`` classes are joined in rounds first: in each such prefix shingle's group one class leads, by an order that is the same in all groups and new in each round,
 and every other class is verified with one leader, that of most shared shingles; classes that link become one part. So a round costs one pair a class, and
-a family of copies falls into few parts. Then all pairs of different parts are compared, in blocks of bounded size where a shingle has many classes. Links
-within a part change nothing, links between parts are all found.
+a family of copies falls into few parts. Then all pairs of different parts are compared, in blocks of bounded size where a shingle has many classes, together
+with all pairs of the small groups, of which those of one part go before they are verified. Links within a part change nothing, links between parts are all found.
 
 The suffix filter divides shingles by hash into ``RANGES`` ranges and keeps, for each set, whether its count in a range is odd (128 bytes). Two sets
-differ by at least one shingle in each range where that differs, so a pair with more such ranges than the threshold allows cannot link.
+differ by at least one shingle in each range where that differs, so a pair with more such ranges than the threshold allows cannot link. That is too
+coarse for large sets, so a pair is held against sketches first, the same with at least two ranges for each shingle; whole sets move only for pairs that pass.
 
 Rarity is a count of hash buckets over all documents (``BUCKETS`` of them); any fixed order keeps the filter exact.
 
@@ -41,12 +45,18 @@ RANGES = 1024
 ROUNDS = 4
 #: Classes of one prefix shingle that are compared in one piece.
 BLOCK = 4096
+#: Classes of one prefix shingle that are compared without rounds before.
+FEW = 8
+#: Size bands: a set of n shingles is in band log(n / ``BAND_FROM``) / log(``BAND_STEP``), from 0 to 63; sets that link are at most two bands apart.
+BAND_FROM, BAND_STEP, BANDS = 8, 1.125, 64
 #: Pairs that a task gathers before it hands them on, and classes that it remembers as done.
 GATHERED, REMEMBERED = 1 << 19, 200_000
 #: Least prefix shingles of its class that a row carries, so that most pairs are handed on at one shingle only.
 LEAST = 4
 #: Shared prefix shingles (8 bytes each) that are sent to the tasks; more of them are joined by a shuffle.
 SHARED_TOKENS = 4_000_000
+#: Keys of further copies (8 bytes each) that are sent to the tasks; with more of them, all copies take part, which changes no result.
+COPIES = 4_000_000
 
 
 def shingle_sets(texts: list[bytes], powers: Powers) -> list[np.ndarray]:
@@ -80,6 +90,11 @@ def parities(flat: np.ndarray, offset: np.ndarray) -> np.ndarray:
     return np.packbits(odd, axis=1).view(np.uint64)
 
 
+def bands(sizes: np.ndarray) -> np.ndarray:
+    """The size band of sets of these sizes (1 at least)."""
+    return np.clip(np.floor(np.log(sizes / BAND_FROM) / np.log(BAND_STEP)), 0, BANDS - 1).astype(np.int64)
+
+
 def _flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])])
 
@@ -113,19 +128,30 @@ def _new_sets(batch: pa.RecordBatch, powers: Powers, done: set[int]) -> tuple[li
     return [c for c, _ in new], [s for _, s in new]
 
 
-def _prefixes(rarity, wanted=None, full: bool = False):
-    """Prefix shingles of each class that the task meets; where the sorted array ``wanted`` is given, only those in it. With ``wanted`` or
-    ``full`` rows have size, place and, as ``marks``, the parities and the class's ``LEAST`` least shingles too."""
+def _without(batch: pa.RecordBatch, keys: np.ndarray) -> pa.RecordBatch:
+    """The rows whose key is not in the sorted array ``keys``."""
+    if not len(keys):
+        return batch
+    own = batch.column("key").to_numpy()
+    return batch.filter(pa.array(keys[np.minimum(np.searchsorted(keys, own), len(keys) - 1)] != own))
+
+
+def _prefixes(rarity, copies, wanted=None, full: bool = False):
+    """Prefix shingles of each class that the task meets, with the class's size band as a bit. Where the sorted array of shingles in ``wanted`` is given, only
+    those in it whose bands have the class's. With ``wanted`` or ``full`` rows have size, place, band, blocks (0 with ``full``) and, as ``marks``, the parities
+    and the class's ``LEAST`` least shingles instead. Rows with a key in ``copies`` take no part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, count, done = Powers(), rarity.value, set()
-        only = None if wanted is None else wanted.value
+        only, only_bands, only_blocks = (None, None, None) if wanted is None else wanted.value
         for batch in slices(batches):
-            ids, sets = _new_sets(batch, powers, done)
+            ids, sets = _new_sets(_without(batch, copies.value), powers, done)
             if not sets:
                 continue
             marks = parities(*_flat(sets)) if full or only is not None else None
-            tokens, classes, sizes, places, rows, least = [], [], [], [], [], np.full((len(sets), LEAST), np.iinfo(np.int64).max)
+            band = bands(np.array([len(s) for s in sets]))
+            bit = np.uint64(1) << band.astype(np.uint64)
+            tokens, classes, sizes, places, rows, blocks, least = [], [], [], [], [], [], np.full((len(sets), LEAST), np.iinfo(np.int64).max)
             for k, (c, s) in enumerate(zip(ids, sets)):
                 n = len(s)
                 keep = n - (PERCENT * n + 99) // 100 + 1
@@ -133,31 +159,55 @@ def _prefixes(rarity, wanted=None, full: bool = False):
                 token, place = s[order].view(np.int64), np.arange(keep, dtype=np.int32)
                 if only is not None:
                     at = np.minimum(np.searchsorted(only, token), max(len(only) - 1, 0))
-                    hit = only[at] == token if len(only) else np.zeros(keep, dtype=bool)
+                    hit = (only[at] == token) & (only_bands[at] & bit[k] != 0) if len(only) else np.zeros(keep, dtype=bool)
                     token, place = token[hit], place[hit]
+                    blocks.append(only_blocks[at[hit]] if len(only) else np.zeros(0, dtype=np.int32))
                 least[k, : min(LEAST, len(token))] = np.sort(token)[:LEAST]
                 tokens.append(token)
                 classes.append(np.full(len(token), c, dtype=np.int64))
                 sizes.append(np.full(len(token), n, dtype=np.int32))
                 places.append(place)
                 rows.append(np.full(len(token), k))
-            columns = [pa.array(np.concatenate(x)) for x in (tokens, classes)]
+            token, row = np.concatenate(tokens), np.concatenate(rows)
             if marks is None:
-                yield pa.RecordBatch.from_arrays(columns, names=["token", "class"])
+                yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(bit[row].view(np.int64))], names=["token", "bands"])
                 continue
             both, width = np.concatenate([marks, least.view(np.uint64)], axis=1), RANGES // 8 + 8 * LEAST
-            raw = both[np.concatenate(rows)].tobytes()
+            raw = both[row].tobytes()
             packed = pa.array([raw[i : i + width] for i in range(0, len(raw), width)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(np.concatenate(x)) for x in (sizes, places)), packed], names=["token", "class", "n", "place", "marks"])
+            block = np.concatenate(blocks) if blocks else np.zeros(len(token), dtype=np.int32)
+            columns = [token, *(np.concatenate(x) for x in (classes, sizes, places)), band[row].astype(np.int32), block]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), packed], names=["token", "class", "n", "place", "band", "blocks", "marks"])
 
     return run
 
 
-def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    powers, done = Powers(), set()
-    for batch in slices(batches):
-        ids, sets = _new_sets(batch, powers, done)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "members"])
+def sketch(members: np.ndarray) -> bytes:
+    """The set's size, and for each of at least twice as many hash ranges (a power of two) one bit: is its count there odd?"""
+    bits = max(RANGES.bit_length() - 1, (2 * len(members) - 1).bit_length())
+    odd = np.bincount((members >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) & 1
+    return len(members).to_bytes(8, "little") + np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def sketches_may_link(x: bytes, y: bytes) -> bool:
+    """The suffix filter on sketches; neighbouring ranges of the finer one are put together."""
+    total = sum(int.from_bytes(z[:8], "little") for z in (x, y))
+    coarse, fine = sorted((np.unpackbits(np.frombuffer(z, dtype=np.uint8, offset=8)) for z in (x, y)), key=len)
+    while len(fine) > len(coarse):
+        fine = fine[::2] ^ fine[1::2]
+    return int(np.count_nonzero(coarse ^ fine)) * (100 + PERCENT) <= total * (100 - PERCENT)
+
+
+def _members_of(form):
+    """Classes, each with its set in the given form."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers, done = Powers(), set()
+        for batch in slices(batches):
+            ids, sets = _new_sets(batch, powers, done)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(map(form, sets), pa.binary())], names=["class", "members"])
+
+    return run
 
 
 def overlap(x: np.ndarray, y: np.ndarray) -> int:
@@ -272,44 +322,58 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pairs(found)
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        keep = []
-        for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-            x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-            both = overlap(x, y)
-            keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-        mask = pa.array(keep, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
+def sets_link(x: bytes, y: bytes) -> bool:
+    x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+    both = overlap(x, y)
+    return 100 * both >= PERCENT * (len(x) + len(y) - both)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` of classes that link, each compared once; only their documents' sets are moved."""
-    pairs = stored(pairs, "jaccard-pairs")
+def _passing(test):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            mask = pa.array(list(map(test, batch.column("x").to_pylist(), batch.column("y").to_pylist())), pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
+
+    return run
+
+
+def compared(pairs: DataFrame, docs: DataFrame, classes: DataFrame, form, test) -> DataFrame:
+    """The pairs ``(a, b)`` of classes whose sets in this form pass the test; only their documents' sets are moved. ``pairs`` go."""
     members = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     wanted = stored(members.join(classes.select("class", "key"), "class").select("key"), "jaccard-wanted")
-    sets = join_small(docs, wanted, ["key"], "left_semi").select("text").mapInArrow(_sets_of, "class long, members binary")
+    sets = join_small(docs, wanted, ["key"], "left_semi").select("text").mapInArrow(_members_of(form), "class long, members binary")
     sets = stored(sets.dropDuplicates(["class"]), "jaccard-sets")
     x, y = sets.toDF("a", "x").hint("shuffle_merge"), sets.toDF("b", "y").hint("shuffle_merge")
-    links = stored(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long"), "jaccard-links")
+    passed = stored(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_passing(test), "a long, b long"), "jaccard-passed")
     discard(pairs, wanted, sets)
-    return links
+    return passed
 
 
-def prefixes(docs: DataFrame, rarity) -> DataFrame:
-    """``(token, class, n, place, marks, block, blocks)`` of all prefix shingles of more than one class; a shingle of many classes has blocks, a power of two."""
-    counts = docs.select("text").mapInArrow(_prefixes(rarity), "token long, class long").groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    blocks = F.expr(f"cast(if(n > {BLOCK}, power(2, ceil(log2(n / {BLOCK // 2}))), 1) as int)")
-    shared = stored(counts.select("token", blocks.alias("blocks")), "jaccard-tokens")
-    schema = "token long, class long, n int, place int, marks binary"
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` of classes that link, each compared once."""
+    close = compared(stored(pairs, "jaccard-pairs"), docs, classes, sketch, sketches_may_link)
+    return compared(close, docs, classes, np.ndarray.tobytes, sets_link)
+
+
+def prefixes(docs: DataFrame, rarity, copies=None) -> DataFrame:
+    """``(token, class, n, place, marks, block, blocks)`` of the prefix shingles where a class may have a partner by size; ``copies`` has the keys of rows that need
+    not take part, sorted. ``blocks`` is 0 for a shingle of at most ``FEW`` classes; one of many classes has several, a power of two."""
+    send, docs = docs.sparkSession.sparkContext.broadcast, docs.select("key", "text")
+    copies = send(np.zeros(0, dtype=np.int64) if copies is None else copies)
+    counts = docs.mapInArrow(_prefixes(rarity, copies), "token long, bands long").groupBy("token").agg(F.count("*").alias("n"), F.bit_or("bands").alias("bands"))
+    # As many classes as bands: each is alone in its band and needs one of the next two.
+    near = "bands & (shiftleft(bands, 1) | shiftleft(bands, 2) | shiftrightunsigned(bands, 1) | shiftrightunsigned(bands, 2))"
+    blocks = F.expr(f"cast(if(n > {BLOCK}, power(2, ceil(log2(n / {BLOCK // 2}))), if(n > {FEW}, 1, 0)) as int)")
+    shared = counts.where("n > 1").select("token", F.expr(f"if(n > bit_count(bands), bands, {near})").alias("bands"), blocks.alias("blocks"))
+    shared = stored(shared.where("bands <> 0"), "jaccard-tokens")
+    schema = "token long, class long, n int, place int, band int, blocks int, marks binary"
     if shared.count() <= SHARED_TOKENS:
-        wanted = docs.sparkSession.sparkContext.broadcast(np.sort(shared.select("token").toArrow().column("token").to_numpy()))
-        rows = docs.select("text").mapInArrow(_prefixes(rarity, wanted), schema)
-        many = stored(shared.where("blocks > 1"), "jaccard-many")
-        rows = join_small(rows, many, ["token"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        found = shared.toArrow().sort_by("token")
+        wanted = send((found.column("token").to_numpy(), found.column("bands").to_numpy().view(np.uint64), found.column("blocks").to_numpy()))
+        rows = docs.mapInArrow(_prefixes(rarity, copies, wanted), schema)
     else:
-        rows = docs.select("text").mapInArrow(_prefixes(rarity, None, True), schema).join(shared, "token")
-    return rows.withColumn("block", F.pmod(F.xxhash64("class"), "blocks").cast("int"))
+        rows = docs.mapInArrow(_prefixes(rarity, copies, None, True), schema).drop("blocks").join(shared, "token").where("getbit(bands, band) = 1")
+    return rows.drop("band", "bands").withColumn("block", F.expr("cast(pmod(xxhash64(class), greatest(blocks, 1)) as int)"))
 
 
 def leader_pairs(rows: DataFrame, number: int) -> DataFrame:
@@ -343,30 +407,45 @@ def block_pairs(rows: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     return few.select(columns).unionByName(many.select(columns)), [sizes, total, large]
 
 
-def prefix_pairs(rows: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """Pairs of classes of different parts that share a prefix shingle and pass all filters, and the tables that this reads."""
+def prefix_pairs(rows: DataFrame, few: DataFrame, parts: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Pairs of classes of different parts that share a prefix shingle and pass all filters, and the tables that this reads. The rows of small groups, ``few``,
+    need no part: a part's own pairs go afterwards."""
     rows, read = block_pairs(rows)
-    met = rows.repartition("token", "p", "q").sortWithinPartitions("token", "p", "q", "part")
-    return met.mapInArrow(_meet, "a long, b long").distinct(), read
+    few = few.select("token", "class", F.col("class").alias("part"), "n", "place", "marks", "block", F.lit(0).alias("p"), F.lit(0).alias("q"))
+    met = rows.unionByName(few).repartition("token", "p", "q").sortWithinPartitions("token", "p", "q", "part")
+    pairs = stored(met.mapInArrow(_meet, "a long, b long").distinct(), "jaccard-met")
+    return of_parts(pairs, parts).where("pa <> pb").select("a", "b"), [*read, pairs]
+
+
+def of_parts(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of classes with their parts ``pa`` and ``pb``."""
+    at = lambda c: parts.toDF(c, f"p{c}")
+    return join_small(join_small(pairs, at("a"), ["a"]), at("b"), ["b"])
 
 
-def class_parts(docs: DataFrame, classes: DataFrame, rarity, rounds: int = ROUNDS) -> DataFrame:
+def merged(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """``parts`` after those of linked classes became one; ``parts`` and ``links`` go."""
+    roots = components(of_parts(links, parts).select(F.col("pa").alias("a"), F.col("pb").alias("b")))
+    moved = join_small(parts, roots.toDF("part", "root"), ["part"], "left").select("class", F.coalesce("root", "part").alias("part"))
+    moved = stored(moved, "jaccard-parts")
+    discard(links, parts, roots)
+    return moved
+
+
+def class_parts(docs: DataFrame, classes: DataFrame, rarity, rounds: int = ROUNDS, copies=None) -> DataFrame:
     """``(class, part)`` of every class that shares a prefix shingle: equal parts, same component."""
-    rows = stored(prefixes(docs, rarity), "jaccard-prefixes")
-    parts = stored(rows.select("class").distinct().withColumn("part", F.col("class")), "jaccard-parts")
-    for number in range(rounds + 1):
-        met = join_small(rows, parts, ["class"])
-        pairs, read = (leader_pairs(met, number), []) if number < rounds else prefix_pairs(met)
-        links = verified(pairs, docs, classes)
-        at = lambda c: parts.toDF(c, f"p{c}")  # noqa: B023, E731
-        edges = join_small(join_small(links, at("a"), ["a"]), at("b"), ["b"])
-        roots = components(edges.select(F.col("pa").alias("a"), F.col("pb").alias("b")))
-        moved = join_small(parts, roots.toDF("part", "root"), ["part"], "left").select("class", F.coalesce("root", "part").alias("part"))
-        moved = stored(moved, "jaccard-parts")
-        discard(links, parts, roots, *read)
-        parts = moved
-    discard(rows)
-    return parts
+    rows = stored(prefixes(docs, rarity, copies), "jaccard-prefixes")
+    many = stored(rows.where("blocks > 0"), "jaccard-crowded")
+    parts = stored(many.select("class").distinct().withColumn("part", F.col("class")), "jaccard-parts")
+    for number in range(0 if parts.isEmpty() else rounds):
+        parts = merged(parts, verified(leader_pairs(join_small(many, parts, ["class"]), number), docs, classes))
+    every = join_small(rows.select("class").distinct(), parts, ["class"], "left").select("class", F.coalesce("part", "class").alias("part"))
+    every = stored(every, "jaccard-parts")
+    discard(parts)
+    pairs, read = prefix_pairs(join_small(many, every, ["class"]), rows.where("blocks = 0"), every)
+    links = verified(pairs, docs, classes)
+    discard(rows, many, *read)
+    return merged(every, links)
 
 
 def described(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -377,6 +456,15 @@ def described(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, stored(classes, "jaccard-classes")
 
 
+def further_copies(rows: DataFrame, classes: DataFrame) -> np.ndarray | None:
+    """Sorted keys of the rows beside the one by which their class is known; None if they are more than ``COPIES``."""
+    first = classes.select("class", F.col("key").alias("first"))
+    further = stored(rows.where("bucket is null and n > 0").join(first, "class").where("key <> first").select("key").distinct(), "jaccard-copies")
+    keys = np.sort(further.toArrow().column("key").to_numpy()) if further.count() <= COPIES else None
+    discard(further)
+    return keys
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, key, n, component`` of every row, where ``key`` is ``xxhash64(doc_id, text)`` and ``component`` is null without shingles."""
     docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
@@ -385,7 +473,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     count = np.zeros(BUCKETS, dtype=np.int64)
     count[sums.column("bucket").to_numpy()] = sums.column("n").to_numpy()
     rarity = docs.sparkSession.sparkContext.broadcast(count)
-    roots = class_parts(docs, classes, rarity).toDF("class", "root")
+    roots = class_parts(docs, classes, rarity, copies=further_copies(rows, classes)).toDF("class", "root")
     out = rows.where("bucket is null").select("doc_id", "key", "n", "class")
     joined = join_small(out, roots, ["class"], "left")
     return joined.select("doc_id", "key", "n", F.when(F.col("n") > 0, F.coalesce("root", "class")).alias("component"))
