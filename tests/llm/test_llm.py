@@ -530,6 +530,23 @@ def test_toxicity_channel(spark):
     assert len(features.channel.decode("i.d.i.o.t." * 5_000)) == 25_000
 
 
+def test_toxicity_known_features_are_those_of_all(spark):
+    """Plain words are looked up by their beginnings, without their features being made: the same ones are found, and none are made for other words."""
+    features = toxicity.Features(toxicity.letter_model(spark.createDataFrame([("the idiot and the moron are stupid losers " * 20,)], "text string")))
+    tokens = ["Idiot", "idiot,", "idiots.", "idiot!", "(idiot)", "1d1ot", "i.d.i.o.t", "idiooot", "idiooot,", "moron?;", "MORONIC", "stu", "st", "\u0130diot", "_idiot_", "idiot's", "\u00e9t\u00e9", "word...", "...", "", "3"]
+    every = {f for t in tokens for f in features.of_token(t)}
+    for wanted in (set(), {"=idiot", "^idi", "^moro", "=stu"}, every):
+        heads = features.heads(wanted)
+        for t in tokens:
+            assert set(features.known(t, wanted, heads)) == set(features.of_token(t)) & wanted
+        text = " ".join(tokens)
+        assert features.of_text(text, {}, wanted, heads) == features.of_text(text, {}) & wanted
+    made = []
+    features.of_word = lambda word: made.append(word) or []
+    features.known("Letters,", {"=idiot"}, {"idi"})
+    assert not made
+
+
 def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.ToxicityModel(docs, labels)

@@ -163,6 +163,24 @@ class Features:
             out += self.of_word(word)
         return out
 
+    @staticmethod
+    def plain_word(token: str) -> str | None:
+        """The word of a token that is letters and at most closing punctuation, which has no other reading; None for other tokens."""
+        word = token.lower().rstrip(",.;:?")
+        return word if word.isalpha() and not _REPEAT.search(word) else None
+
+    def known(self, token: str, wanted, heads: set[str]) -> list[str]:
+        """The features of a token that are in ``wanted``, whose words begin with one of ``heads`` (:meth:`heads`)."""
+        word = self.plain_word(token)
+        if word is None:
+            return [f for f in self.of_token(token) if f in wanted]
+        return [f for f in self.of_word(word) if f in wanted] if word[:3] in heads else []
+
+    @staticmethod
+    def heads(wanted) -> set[str]:
+        """The first three letters of the features' words; no feature has fewer."""
+        return {f[1:4] for f in wanted}
+
     def inside(self, token: str) -> Iterator[str]:
         """Words that may stand within the restored letters of a token whose letters are spaced out."""
         if not _SPACED.search(token):
@@ -192,13 +210,14 @@ class Features:
                 run = []
         return found
 
-    def of_text(self, text: str, memo: dict[str, list[str]]) -> set[str]:
+    def of_text(self, text: str, memo: dict[str, list[str]], wanted=None, heads: set[str] = frozenset()) -> set[str]:
+        """All features, or those in ``wanted``; ``memo`` is of the same kind."""
         out: set[str] = set()
         for token in self.tokens(text):
             if (f := memo.get(token)) is None:
                 if len(memo) > MEMO_FEATURES:
                     memo.clear()
-                f = memo[token] = self.of_token(token)
+                f = memo[token] = self.of_token(token) if wanted is None else self.known(token, wanted, heads)
             out.update(f)
         return out
 
@@ -207,6 +226,7 @@ def _count_features(model: np.ndarray, wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only = set(wanted.value) if wanted is not None else None
         features, memo, counts = Features(model), {}, Counter()
+        heads = Features.heads(only or ())
 
         def rows() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["feature", "n"])
@@ -215,8 +235,7 @@ def _count_features(model: np.ndarray, wanted):
 
         for batch in slices(batches):
             for text in batch.column("text").to_pylist():
-                found = features.of_text(text or "", memo)
-                counts.update(found if only is None else found & only)
+                counts.update(features.of_text(text or "", memo, only, heads))
                 if len(counts) > COUNTED_FEATURES:
                     yield rows()
         yield rows()
@@ -253,6 +272,7 @@ def log_odds(train: DataFrame, model: np.ndarray) -> dict[str, float]:
 def _strengths(model: np.ndarray, lexicon):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, features, memo = lexicon.value, Features(model), {}
+        heads = Features.heads(weight)
         for batch in slices(batches):
             best, more, size = [], [], []
             for text in batch.column("text").to_pylist():
@@ -263,8 +283,10 @@ def _strengths(model: np.ndarray, lexicon):
                     if (w := memo.get(token)) is None:
                         if len(memo) > MEMO_ENTRIES:
                             memo.clear()
-                        known = [weight[f] for f in (*features.of_token(token), *features.inside(token)) if f in weight]
-                        w = memo[token] = max(known, default=0.0)
+                        known = features.known(token, weight, heads)
+                        if not token.isalpha():
+                            known += [f for f in features.inside(token) if f in weight]
+                        w = memo[token] = max(map(weight.get, known), default=0.0)
                     if w:
                         found.append(w)
                 found.sort(reverse=True)
