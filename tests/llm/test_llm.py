@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import components, jaccard, language, mixing, pii, quality, queries, substrings, tokens, toxicity, vectors, words
+from tidemark.llm import components, jaccard, language, mixing, pii, quality, queries, shared, substrings, tokens, toxicity, vectors, words
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -255,6 +255,23 @@ def test_small_and_crowded_groups_together(spark, monkeypatch, shared_tokens):
     assert ordered(jaccard.jaccard_components(documents(spark, rows)).collect()) == ordered(brute_components(rows))
 
 
+def test_texts_go_to_python_in_small_batches(spark, monkeypatch):
+    """Every query of the near-duplicate join that reads texts runs with bounded batches; the session's own setting is as before afterwards."""
+    before, held, stored = spark.conf.get(shared.ARROW_BYTES), [], jaccard.stored
+    monkeypatch.setattr(jaccard, "stored", lambda df, name: (held.append((name, spark.conf.get(shared.ARROW_BYTES))), stored(df, name))[1])
+    jaccard.near_duplicates(documents(spark)).count()
+    assert {name for name, _ in held} >= {"jaccard-rows", "jaccard-tokens", "jaccard-prefixes"} and {x for _, x in held} == {str(shared.BATCH_BYTES)}
+    assert spark.conf.get(shared.ARROW_BYTES) == before
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    with shared.small_batches(spark):
+        found = [r["n"] for r in spark.range(0, 4000, 1, 1).selectExpr("repeat('x', 4000) as text").mapInArrow(sizes, "n long").collect()]
+    assert sum(found) >= 16_000_000 and max(found) < shared.BATCH_BYTES + 100_000
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.sets(st.integers(0, 2**64 - 1), min_size=1, max_size=60), st.sets(st.integers(0, 2**64 - 1), min_size=1, max_size=60), st.sets(st.integers(0, 2**64 - 1), max_size=60))
 def test_suffix_filter_drops_no_link(a, b, both):

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import discard, join_small, stored, whole_row
+from .shared import discard, join_small, small_batches, stored, whole_row
 from .words import Powers, Words, chunks, gram_hashes, mixed, slices, utf8
 
 SHINGLE = 5
@@ -468,12 +468,13 @@ def further_copies(rows: DataFrame, classes: DataFrame) -> np.ndarray | None:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, key, n, component`` of every row, where ``key`` is ``xxhash64(doc_id, text)`` and ``component`` is null without shingles."""
     docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
-    rows, classes = described(docs)
-    sums = rows.where("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most BUCKETS rows
-    count = np.zeros(BUCKETS, dtype=np.int64)
-    count[sums.column("bucket").to_numpy()] = sums.column("n").to_numpy()
-    rarity = docs.sparkSession.sparkContext.broadcast(count)
-    roots = class_parts(docs, classes, rarity, copies=further_copies(rows, classes)).toDF("class", "root")
+    with small_batches(docs.sparkSession):
+        rows, classes = described(docs)
+        sums = rows.where("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most BUCKETS rows
+        count = np.zeros(BUCKETS, dtype=np.int64)
+        count[sums.column("bucket").to_numpy()] = sums.column("n").to_numpy()
+        rarity = docs.sparkSession.sparkContext.broadcast(count)
+        roots = class_parts(docs, classes, rarity, copies=further_copies(rows, classes)).toDF("class", "root")
     out = rows.where("bucket is null").select("doc_id", "key", "n", "class")
     joined = join_small(out, roots, ["class"], "left")
     return joined.select("doc_id", "key", "n", F.when(F.col("n") > 0, F.coalesce("root", "class")).alias("component"))
