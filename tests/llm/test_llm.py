@@ -255,6 +255,16 @@ def test_small_and_crowded_groups_together(spark, monkeypatch, shared_tokens):
     assert ordered(jaccard.jaccard_components(documents(spark, rows)).collect()) == ordered(brute_components(rows))
 
 
+def test_class_beside_a_large_part_meets_many_of_its_members(spark):
+    """In a later round each class outside a family's large part gets several of that part's members as leaders, not one; members of the part meet each other never."""
+    marks = bytes(jaccard.RANGES // 8 + 8 * jaccard.LEAST)
+    rows = spark.range(30).crossJoin(spark.range(60).toDF("class")).selectExpr("id as token", "class", "if(class < 5, class, 9L) as part", "100 as n", "1 as place", "0 as block").withColumn("marks", F.lit(marks))
+    pairs = jaccard.leader_pairs(rows, 1).collect()
+    met = Counter(min(r["a"], r["b"]) for r in pairs if max(r["a"], r["b"]) >= 5)
+    assert all(met[c] >= 4 for c in range(5)) and all(min(r["a"], r["b"]) < 5 for r in pairs)
+    assert len(jaccard.leader_pairs(rows, 0).collect()) <= 60
+
+
 def test_texts_go_to_python_in_small_batches(spark, monkeypatch):
     """Every query of the near-duplicate join that reads texts runs with bounded batches; the session's own setting is as before afterwards."""
     before, held, stored = spark.conf.get(shared.ARROW_BYTES), [], jaccard.stored

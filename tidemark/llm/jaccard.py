@@ -7,14 +7,17 @@ whole columns of pairs and hands on only the pairs that pass all three; each suc
 What meets at a prefix shingle is narrowed before it moves: of equal texts one row takes part (the others' keys are sent to the tasks), and a class goes only
 to shingles where another class has a size that could link (sizes fall in 64 bands; a shingle's bands are one number).
 
-Groups of more than ``FEW`` classes are joined in rounds first: in each such prefix shingle's group one class leads, by an order that is the same in all groups and new in each round,
-and every other class is verified with one leader, that of most shared shingles; classes that link become one part. So a round costs one pair a class, and
-a family of copies falls into few parts. Then all pairs of different parts are compared, in blocks of bounded size where a shingle has many classes, together
-with all pairs of the small groups, of which those of one part go before they are verified. Links within a part change nothing, links between parts are all found.
+Groups of more than ``FEW`` classes are joined in rounds first: in each such prefix shingle's group one class leads, and every other class of another part is verified
+with leaders of shared prefix shingles; classes that link become one part. In the first round the leaders' order is the same in all groups and a class is verified with
+the one of most shared shingles, so a family of copies falls into few parts; in later rounds each group has an order of its own, so that a class beside a family's large
+part is verified with up to ``TRIES`` members of it. A round costs at most so many pairs a class. Then all pairs of different parts are compared, in blocks of bounded
+size where a shingle has many classes, together with all pairs of the small groups, of which those of one part go before they are verified. Links within a part change
+nothing, links between parts are all found.
 
 The suffix filter divides shingles by hash into ``RANGES`` ranges and keeps, for each set, whether its count in a range is odd (128 bytes). Two sets
 differ by at least one shingle in each range where that differs, so a pair with more such ranges than the threshold allows cannot link. That is too
-coarse for large sets, so a pair is held against sketches first, the same with at least two ranges for each shingle; whole sets move only for pairs that pass.
+coarse for large sets, so a pair of these is held against sketches first, the same with at least two ranges for each shingle; whole sets move only for pairs that pass.
+Where a set has at most half as many shingles as there are ranges, sketches tell no more than the parities that the pair has passed.
 
 Rarity is a count of hash buckets over all documents (``BUCKETS`` of them); any fixed order keeps the filter exact.
 
@@ -41,8 +44,8 @@ SHINGLE = 5
 PERCENT = 80
 BUCKETS = 1 << 17
 RANGES = 1024
-#: Rounds with leaders before all pairs of different parts are compared.
-ROUNDS = 4
+#: Rounds with leaders before all pairs of different parts are compared, and the leaders that a class is verified with in a round after the first.
+ROUNDS, TRIES = 4, 8
 #: Classes of one prefix shingle that are compared in one piece.
 BLOCK = 4096
 #: Classes of one prefix shingle that are compared without rounds before.
@@ -236,6 +239,15 @@ def passing(t: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.
     return i[keep], j[keep]
 
 
+def large_sets(t: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Of which pairs of rows the sketches are finer than the parities: both sets have more than half as many shingles as there are ``RANGES``."""
+    return np.minimum(t["n"][i], t["n"][j]) > RANGES // 2
+
+
+def _pair_columns(pairs: np.ndarray) -> list[pa.Array]:
+    return [pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(pairs[:, 2] > 0)]
+
+
 def _ends(*keys: np.ndarray) -> np.ndarray:
     """For each row the end of its run of equal keys."""
     size = len(keys[0])
@@ -244,8 +256,8 @@ def _ends(*keys: np.ndarray) -> np.ndarray:
 
 
 def group_pairs(t: dict[str, np.ndarray]) -> np.ndarray:
-    """Pairs of classes (columns a < b) of different parts in whole groups (token, p, q), sorted, parts in order, that pass all filters. A step
-    compares every row with the one ``k`` places after its part's last one, in all groups at once."""
+    """Pairs of classes (columns a < b, and whether both sets are large) of different parts in whole groups (token, p, q), sorted, parts in order, that pass
+    all filters. A step compares every row with the one ``k`` places after its part's last one, in all groups at once."""
     groups = t["token"], t["p"], t["q"]
     end, after = _ends(*groups), _ends(*groups, t["part"])
     rows, out, k = np.arange(len(end)), [], 0
@@ -256,10 +268,11 @@ def group_pairs(t: dict[str, np.ndarray]) -> np.ndarray:
         # A pair that shares a lesser shingle, as far as the rows can tell, is handed on there.
         x, y = t["least"][i][:, :, None], t["least"][j][:, None]
         keep = ~((x == y) & (x < t["token"][i][:, None, None])).any(axis=(1, 2))
-        a, b = t["class"][i[keep]], t["class"][j[keep]]
-        out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
+        i, j = i[keep], j[keep]
+        a, b = t["class"][i], t["class"][j]
+        out.append(np.stack([np.minimum(a, b), np.maximum(a, b), large_sets(t, i, j)], axis=1))
         k += 1
-    return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), dtype=np.int64)
+    return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), dtype=np.int64)
 
 
 def _columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
@@ -275,7 +288,7 @@ def _with_leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     def pairs(found: list[np.ndarray]) -> pa.RecordBatch:
         both, n = np.unique(np.concatenate(found), axis=0, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(n)], names=["class", "leader", "n"])
+        return pa.RecordBatch.from_arrays([*_pair_columns(both), pa.array(n)], names=["class", "leader", "large", "n"])
 
     leader, found = None, []
     for batch in slices(batches, 1 << 14):
@@ -288,7 +301,7 @@ def _with_leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         leader = {c: x[first[-1] : first[-1] + 1] for c, x in t.items()}
         i = np.flatnonzero(t["part"] != t["part"][first])
         i, j = passing(t, i, first[i])
-        found.append(np.stack([t["class"][i], t["class"][j]], axis=1))
+        found.append(np.stack([t["class"][i], t["class"][j], large_sets(t, i, j)], axis=1))
         if sum(map(len, found)) > GATHERED:
             yield pairs(found)
             found = []
@@ -300,8 +313,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Whole groups (token, p, q), sorted. Only groups that may still go on are kept."""
 
     def pairs(found: list[np.ndarray]) -> pa.RecordBatch:
-        both = np.unique(np.concatenate(found), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+        return pa.RecordBatch.from_arrays(_pair_columns(np.unique(np.concatenate(found), axis=0)), names=["a", "b", "large"])
 
     left, found = None, []
     for batch in slices(batches, 1 << 14):
@@ -350,9 +362,14 @@ def compared(pairs: DataFrame, docs: DataFrame, classes: DataFrame, form, test)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` of classes that link, each compared once."""
-    close = compared(stored(pairs, "jaccard-pairs"), docs, classes, sketch, sketches_may_link)
-    return compared(close, docs, classes, np.ndarray.tobytes, sets_link)
+    """Of the pairs ``(a, b, large)`` of classes the ``(a, b)`` that link, each compared once. Only pairs of ``large`` sets have sketches that tell more than
+    the parities, which all of them have passed."""
+    pairs = stored(pairs, "jaccard-pairs")
+    large = stored(pairs.where("large").select("a", "b"), "jaccard-large")
+    close, small = large if large.isEmpty() else compared(large, docs, classes, sketch, sketches_may_link), pairs.where("not large").select("a", "b")
+    links = compared(stored(small.unionByName(close), "jaccard-close"), docs, classes, np.ndarray.tobytes, sets_link)
+    discard(pairs, close)
+    return links
 
 
 def prefixes(docs: DataFrame, rarity, copies=None) -> DataFrame:
@@ -377,12 +394,16 @@ def prefixes(docs: DataFrame, rarity, copies=None) -> DataFrame:
 
 
 def leader_pairs(rows: DataFrame, number: int) -> DataFrame:
-    """Pairs ``(a, b)`` of a class and its leader of most shared shingles in this round, one a class at most."""
-    order = F.xxhash64("part", F.lit(number))
+    """Pairs ``(a, b, large)`` of a class and its leader of most shared shingles in the first round, its ``TRIES`` leaders of most in a later one. In the first
+    the order of leaders is the same in all groups, so that a family has few of them. Later ones have an order of classes in each group: most groups of a
+    family are then led by its largest part, each by another member, so that who stands beside that part meets many of it, and it meets nobody."""
+    order = F.xxhash64("part", F.lit(number)) if number == 0 else F.xxhash64("class", "token", F.lit(number))
     met = rows.select("token", "block", "class", "part", "n", "place", "marks").repartition("token", "block").sortWithinPartitions("token", "block", order, "class")
-    met = met.mapInArrow(_with_leaders, "class long, leader long, n long").groupBy("class", "leader").agg(F.sum("n").alias("n"))
-    best = met.groupBy("class").agg(F.max(F.struct("n", "leader"))["leader"].alias("leader"))
-    return best.select(F.least("class", "leader").alias("a"), F.greatest("class", "leader").alias("b")).distinct()
+    met = met.mapInArrow(_with_leaders, "class long, leader long, large boolean, n long").groupBy("class", "leader", "large").agg(F.sum("n").alias("n"))
+    # A class has fewer leaders than prefix shingles.
+    best = F.slice(F.sort_array(F.collect_list(F.struct("n", "leader", "large")), asc=False), 1, TRIES if number else 1)
+    met = met.groupBy("class").agg(best.alias("best")).select("class", F.inline("best").alias("n", "leader", "large"))
+    return met.select(F.least("class", "leader").alias("a"), F.greatest("class", "leader").alias("b"), "large").distinct()
 
 
 def block_pairs(rows: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
@@ -413,8 +434,8 @@ def prefix_pairs(rows: DataFrame, few: DataFrame, parts: DataFrame) -> tuple[Dat
     rows, read = block_pairs(rows)
     few = few.select("token", "class", F.col("class").alias("part"), "n", "place", "marks", "block", F.lit(0).alias("p"), F.lit(0).alias("q"))
     met = rows.unionByName(few).repartition("token", "p", "q").sortWithinPartitions("token", "p", "q", "part")
-    pairs = stored(met.mapInArrow(_meet, "a long, b long").distinct(), "jaccard-met")
-    return of_parts(pairs, parts).where("pa <> pb").select("a", "b"), [*read, pairs]
+    pairs = stored(met.mapInArrow(_meet, "a long, b long, large boolean").distinct(), "jaccard-met")
+    return of_parts(pairs, parts).where("pa <> pb").select("a", "b", "large"), [*read, pairs]
 
 
 def of_parts(pairs: DataFrame, parts: DataFrame) -> DataFrame:
