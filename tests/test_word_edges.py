@@ -2,11 +2,19 @@
 
 from pyspark.sql import functions as F
 
-from tests.test_goldens import column
+from tests.test_goldens import column, strategic
 from tidemark.functions import text
+from tidemark.operators import aggregates, strategy
 
 
 def test_category_beside_other_letters(spark):
     none = F.array().cast("array<string>")
     texts = ["a chipö here", "égpu", "prixé pricing", "viralé", "chips", "chip_set"]
     assert column(spark, texts, lambda x: text.infer_category(x, none)) == ["hardware", "hardware", "policy_platform", "social_trend", "software", "software"]
+
+
+def test_forcing_beside_other_letters(spark):
+    titles = ["Firm suedö today", "It was éstolen", "Claims ülawsuit", "a leaké", "suedö_ and sued_"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(titles)], "event_id long, title string").withColumns({"summary": F.lit(""), "injection_flagged": F.lit(False), "has_official": F.lit(True), "source_count": F.lit(3)})
+    found = rows.select("event_id", strategy.forcing_rule().alias("forced")).orderBy("event_id").collect()
+    assert [r["forced"] for r in found] == ["accusation", "accusation", "accusation", "rumour_or_leak", "accusation"]
