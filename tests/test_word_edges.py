@@ -18,3 +18,8 @@ def test_forcing_beside_other_letters(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(titles)], "event_id long, title string").withColumns({"summary": F.lit(""), "injection_flagged": F.lit(False), "has_official": F.lit(True), "source_count": F.lit(3)})
     found = rows.select("event_id", strategy.forcing_rule().alias("forced")).orderBy("event_id").collect()
     assert [r["forced"] for r in found] == ["accusation", "accusation", "accusation", "rumour_or_leak", "accusation"]
+
+
+def test_recommendation_beside_other_letters(spark):
+    r = strategy.recommend(strategic(spark, title="Firm suedö over API pricing")).first()
+    assert (r["action"], r["reason"], r["option"], r["manual_flag"]) == ("VERIFY", "accusation", "wait", True)
