@@ -23,3 +23,8 @@ def test_forcing_beside_other_letters(spark):
 def test_recommendation_beside_other_letters(spark):
     r = strategy.recommend(strategic(spark, title="Firm suedö over API pricing")).first()
     assert (r["action"], r["reason"], r["option"], r["manual_flag"]) == ("VERIFY", "accusation", "wait", True)
+
+
+def test_restraint_beside_other_letters(spark):
+    r = aggregates.restraint(strategy.recommend(strategic(spark, title="Firm suedö over API pricing"))).first()
+    assert (r["n"], r["restrained"], r["manual_flags"]) == (1, 1, 1)
