@@ -28,3 +28,8 @@ def test_recommendation_beside_other_letters(spark):
 def test_restraint_beside_other_letters(spark):
     r = aggregates.restraint(strategy.recommend(strategic(spark, title="Firm suedö over API pricing"))).first()
     assert (r["n"], r["restrained"], r["manual_flags"]) == (1, 1, 1)
+
+
+def test_summary_beside_other_letters(spark):
+    rows = aggregates.strategy_summary(strategy.recommend(strategic(spark, title="Firm suedö over API pricing"))).collect()
+    assert {(r["action"], r["reason"]) for r in rows} == {("VERIFY", "*"), ("*", "accusation"), ("*", "*")}
