@@ -33,3 +33,8 @@ def test_restraint_beside_other_letters(spark):
 def test_summary_beside_other_letters(spark):
     rows = aggregates.strategy_summary(strategy.recommend(strategic(spark, title="Firm suedö over API pricing"))).collect()
     assert {(r["action"], r["reason"]) for r in rows} == {("VERIFY", "*"), ("*", "accusation"), ("*", "*")}
+
+
+def test_alert_beside_other_letters(spark):
+    found = strategy.event_alerts(strategy.recommend(strategic(spark, title="Firm suedö over API pricing", hours_since=9.0))).collect()
+    assert [r["tier"] for r in found] == ["urgent"]
