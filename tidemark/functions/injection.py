@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +42,35 @@ PATTERNS = (
     ("instruction_override", r"(?i)style\s*=\s*[\"'][^\"']*(?:display\s*:\s*none|visibility\s*:\s*hidden|font-size\s*:\s*0|left\s*:\s*-\d{3,}px|position\s*:\s*absolute)"),
 )
 
+#: For each pattern, in their order, words in lower case of which every match holds one: where a text has none, the pattern needs not run.
+HINTS = (
+    ("ignore", "disregard", "forget", "override"),
+    ("prompt", "initial", "configuration", "rules"),
+    ("importance", "priority", "relevance", "score", "rating"),
+    ("critical", "urgent", "breaking", "important"),
+    ("system", "admin", "developer", "operator"),
+    ("url", "link", "address", "endpoint", "http"),
+    ("system", "assistant", "human", "user"),
+    ("<|", "inst]", "<<sys>>"),
+    ("importance", "priority", "relevance", "urgency", "confidence", "recommended_action"),
+    ("important",),
+    ("verify", "wait", "check", "confirm", "publish"),
+    ("audience", "follow"),
+    ("confirmed", "verified", "corroborated"),
+    ("official", "verified", "authoritative"),
+    ("<",),
+    ("pgp", "gpg", "cryptographically"),
+    ("operator", "administrator", "owner", "confidence", "safety", "validation", "guardrail"),
+    ("repeat", "echo", "output", "print"),
+    ("_api_key", "database_url", "aws_secret", "value"),
+    ("http",),
+    ("called", "named", "include"),
+    ("evidence",),
+    ("now", "forget", "fresh"),
+    ("disregard", "ignore", "instruction"),
+    ("style",),
+)
+
 
 def _signal(kind: str, evidence: Column) -> Column:
     return F.struct(F.lit(kind).alias("kind"), F.substring(evidence, 1, 200).alias("evidence"))
@@ -50,10 +82,12 @@ def detect_injection(df: DataFrame, column: str) -> DataFrame:
     The evidence of obfuscation is the text around the first invisible character, 30 characters to either side within its line. Patterns see the raw text, and where that holds invisible characters, the text without them too. Null is empty."""
     counted = sanitize(df, column, normalise=False)
     raw = F.coalesce(F.col(column), F.lit(""))
-    matches = lambda t: F.array(*[F.regexp_extract(t, p, 0) for _, p in PATTERNS])
+    hinted = lambda low, words: reduce(or_, (F.contains(low, F.lit(w)) for w in words))
+    matches = lambda t, low: F.array(*[F.when(hinted(low, words), F.regexp_extract(t, p, 0)).otherwise("") for (_, p), words in zip(PATTERNS, HINTS, strict=True)])
     # columns of their own, used more than once below, so that each pattern runs once over a text
     counted = counted.withColumn("_obfuscated", F.rlike(raw, F.lit(INVISIBLE))).withColumn("_visible", F.when(F.col("_obfuscated"), F.regexp_replace(raw, INVISIBLE, "")))
-    counted = counted.withColumn("_raw_matches", matches(raw)).withColumn("_visible_matches", F.when(F.col("_obfuscated"), matches(F.col("_visible"))))
+    counted = counted.withColumn("_low", F.lower(raw)).withColumn("_visible_low", F.lower("_visible"))
+    counted = counted.withColumn("_raw_matches", matches(raw, F.col("_low"))).withColumn("_visible_matches", F.when(F.col("_obfuscated"), matches(F.col("_visible"), F.col("_visible_low"))))
     kinds = F.array(*[F.lit(k) for k, _ in PATTERNS])
 
     def best(m: Column, i: Column) -> Column:

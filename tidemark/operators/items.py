@@ -9,6 +9,7 @@ from ..functions import artifacts as G
 from ..functions import injection as I
 from ..functions import text as N
 from ..functions import web as U
+from ..tables import written
 
 #: Characters of a title, of a summary, and of the summary's head that is embedded.
 TITLE_CHARS, SUMMARY_CHARS, EMBEDDED_CHARS = 500, 2000, 600
@@ -27,7 +28,8 @@ def normalize_items(items: DataFrame, sources: DataFrame, aliases: DataFrame, en
     for column, name, most in (("title", "_t", TITLE_CHARS), ("body", "_b", SUMMARY_CHARS)):
         kept = df.columns
         df = N.sanitize(df, column, most).select(*kept, F.col("clean").alias(name), F.col("truncated").alias(f"{name}_cut"))
-    df = df.withColumn("_both", F.concat_ws("\n", "_t", "_b"))
+    # Cleaned and searched once: the whole texts end here, rows and entities are made of the cut ones.
+    df = written(df.drop("title", "body").withColumn("_both", F.concat_ws("\n", "_t", "_b")), "cleaned")
     df = U.canonicalize_url(G.extract_artifacts(df, "_both", "_t"), "url")
     named = G.extract_entities(df.select("id", "_both"), "id", "_both", aliases, entities).withColumnRenamed("entities", "_named")
     own = sources.select(F.col("id").alias("source_id"), F.col("category").alias("source_category"), "is_official", "reliability", F.col("entity").alias("_own"))
