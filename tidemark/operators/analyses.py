@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import FACTUAL_NUMBER, YEAR_ONLY
+from ..tables import written
 
 # Fixed values of the payload's format: least and most characters of its texts, most elements of its lists, and the words that may stand.
 TEXTS = {"whatHappened": (1, 2500), "whatChanged": (1, 2500), "before": (0, 1200), "after": (0, 1200), "attentionReason": (0, 600), "injectionNote": (0, 1000)}
@@ -115,15 +116,20 @@ def check_analyses(analyses: DataFrame, evidence: DataFrame, official: DataFrame
     own = analyses.select("id", "event_id", F.try_parse_json("payload").alias("v")).select("id", "event_id", "v", shape_faults(F.col("v"), media_kinds, drivers).alias("shape"))
     parsed = own.withColumn("stray_numbers", F.when(F.size("shape") == 0, stray_numbers(F.col("v"))).otherwise(F.array().cast("array<string>")))
     ids = F.flatten(F.transform(F.try_variant_get("v", "$.claims", "array<variant>"), lambda c: F.try_variant_get(c, "$.evidenceIds", "array<string>")))
-    cited = parsed.where("size(shape) = 0").select("id", "event_id", F.explode(F.array_distinct(ids)).alias("evidence_id"))
+    text = lambda key: F.try_variant_get("v", f"$.{key}", "string")
+    read = parsed.select(
+        "id", "event_id", "shape", "stray_numbers", F.when(F.size("shape") == 0, F.array_distinct(ids)).alias("cited"), text("confidence").alias("said"), text("recommendedAction").alias("asked"),
+        F.try_variant_get("v", "$.injectionObserved", "boolean").alias("observed"),
+    )
+    parsed = written(read, "analyses")  # payloads are read once, what is joined is what they say
+    cited = parsed.select("id", "event_id", F.explode("cited").alias("evidence_id"))
     known = evidence.select("event_id", F.col("evidence_id").cast("string").alias("evidence_id"))
     unknown = cited.join(known, ["event_id", "evidence_id"], "left_anti").groupBy("id").agg(F.sort_array(F.collect_list("evidence_id")).alias("unknown_ids"))
     df = parsed.join(unknown, "id", "left").join(official.select("event_id").distinct().withColumn("_official", F.lit(True)), "event_id", "left")
     df = df.withColumn("unknown_ids", F.coalesce("unknown_ids", F.array().cast("array<string>")))
     verdict = F.when(F.size("shape") > 0, "shape").when(F.size("unknown_ids") > 0, "unknown_evidence").when(F.size("stray_numbers") > 0, "unsupported_number").otherwise("ok")
-    said, action = F.try_variant_get("v", "$.confidence", "string"), F.try_variant_get("v", "$.recommendedAction", "string")
-    low = F.col("_official").isNull() | F.try_variant_get("v", "$.injectionObserved", "boolean")
-    confidence = F.when(low, "LOW").otherwise(said)
+    low, action = F.col("_official").isNull() | F.col("observed"), F.col("asked")
+    confidence = F.when(low, "LOW").otherwise(F.col("said"))
     action = F.when((confidence == "LOW") & ~action.isin(*CAREFUL), "VERIFY").otherwise(action)
     good = lambda c: F.when(F.size("shape") == 0, c)
     return df.select("id", "event_id", verdict.alias("verdict"), "shape", "unknown_ids", "stray_numbers", good(confidence).alias("confidence"), good(action).alias("action"))
